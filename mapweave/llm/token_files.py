@@ -55,10 +55,9 @@ class WordTokenizer:
         for t, i in self.tok.get_vocab().items():
             self.ends[i] = t.endswith("</w>")
         self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > self.keep:
-            self.known.clear()
         for a in range(0, len(words), 2000):
             part = words[a : a + 2000]
             ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
@@ -70,28 +69,41 @@ class WordTokenizer:
                 for w in part:
                     self.known[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _add(self, chunks: set[str]) -> None:
+        """Ids of chunks between white space, from those of their words."""
+        split = {c: _WORDS.findall(c.lower()) for c in chunks}
+        new = set().union(*split.values()).difference(self.known)
+        if len(self.known) + len(new) > self.keep:
+            self.known.clear()
+            new = set().union(*split.values())
+        self._learn(list(new))
+        get = self.known.__getitem__
+        for c, words in split.items():
+            self.chunks[c] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian u4."""
         out: list[bytes] = []
         for a in range(0, len(texts), 64):
-            split = [_WORDS.findall(t.lower()) if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts[a : a + 64]]
-            new = set().union(*(s for s in split if s)).difference(self.known)
-            if len(self.known) + len(new) > self.keep:
-                self.known.clear()
-                new = set().union(*(s for s in split if s))
-            self._learn(list(new))
+            split = [t.split() if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts[a : a + 64]]
+            every = set().union(*(s for s in split if s))
+            new = every.difference(self.chunks)
+            if len(self.chunks) + len(new) > self.keep:
+                self.chunks.clear()
+                new = every
+            self._add(new)
             for t, s in zip(texts[a : a + 64], split, strict=True):
                 if s is None:
                     out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
                 else:
-                    out.append(b"".join(map(self.known.__getitem__, s)))
+                    out.append(b"".join(map(self.chunks.__getitem__, s)))
         return out
 
 
 # ---- grammar
 
 
-def repair(ids: np.ndarray, counts: np.ndarray, size: int, max_rules: int, sweeps: int = 10, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, counts: np.ndarray, size: int, max_rules: int, sweeps: int = 8, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules (left, right), the symbols, and each document's number of symbols; ids of documents end to end.
 
     Each sweep takes the most frequent pairs at once; where chosen pairs overlap, the more frequent one is replaced.
@@ -113,14 +125,24 @@ def repair(ids: np.ndarray, counts: np.ndarray, size: int, max_rules: int, sweep
         often = np.flatnonzero((number[slot] >= max(least, top)) & ~last[:-1])
         if not len(often):
             break
-        pairs, which, n = np.unique(pair[often], return_inverse=True, return_counts=True)
+        # of pairs that share a slot one is taken now; its count is exact
+        place = np.full(1 << bits, -1, np.int32)
+        place[slot[often]] = 0
+        slots = np.flatnonzero(place == 0)
+        place[slots] = np.arange(len(slots), dtype=np.int32)
+        which = place[slot[often]]
+        pairs = np.zeros(len(slots), np.uint64)
+        pairs[which] = pair[often]
+        same = pairs[which] == pair[often]
+        often, which = often[same], which[same]
+        n = np.bincount(which, minlength=len(slots))
         order = np.argsort(-n, kind="stable")[: max_rules - rules]
         order = order[n[order] >= least]
         if not len(order):
             break
-        rank = np.full(len(pairs), len(pairs), np.int64)
-        rank[order] = np.arange(len(order))
-        at = np.full(len(x) + 1, len(pairs), np.int64)
+        rank = np.full(len(pairs), len(pairs), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        at = np.full(len(x) + 1, len(pairs), np.int32)
         at[often + 1] = rank[which]  # at[i + 1]: rank of the pair that begins at i
         take = np.flatnonzero((at[1:-1] < len(order)) & (at[1:-1] < at[:-2]) & (at[1:-1] <= at[2:])) if len(x) > 1 else often[:0]
         if not len(take):

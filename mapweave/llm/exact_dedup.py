@@ -105,3 +105,13 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return dedup(docs).select("doc_id", "_dedup.keep_id", "_dedup.group_size", "_dedup.kept", F.col("_dedup.digest").alias("text_sha256"))
+
+
+ORACLE_SQL = """
+with t as (
+  select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as h from documents
+)
+select doc_id, max(doc_id) over (partition by h) as keep_id, count(*) over (partition by h) as group_size,
+  doc_id = max(doc_id) over (partition by h) as kept, h as text_sha256
+from t
+"""

@@ -22,7 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, shared_dir, stage, table
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition's store reserves megabytes
+}
 
 
 def located(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -44,9 +47,9 @@ def keep_state(log: DataFrame, state_dir: str) -> DataFrame:
     state_dir holds the stream's checkpoint, so a later call with more files in the log's folder goes on from it.
     """
     spark, changes = log.sparkSession, f"{state_dir}/changes"
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, _ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         path = log.inputFiles()[0].rsplit("/", 1)[0] if log.inputFiles() else None
         if path is None:
@@ -59,7 +62,11 @@ def keep_state(log: DataFrame, state_dir: str) -> DataFrame:
             .trigger(availableNow=True).start().awaitTermination()
         )
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     # each batch leaves the entries that it changed; both fields only ever grow
     return spark.read.parquet(changes).groupBy("digest").agg(F.max("best").alias("best"), F.max("size").alias("size"))
 
@@ -75,7 +82,7 @@ def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", digest: C
 
     s = hits.select(F.col("digest").alias("_d"), F.col("best").alias("_best"), F.col("size").alias("_size"))
     rows = rows.withColumn("_d", made)
-    joined = rows.join(s, "_d", "left")
+    joined = rows.join(s.hint("merge"), "_d", "left")  # one plan at every size: the state grows with the input
     me = F.struct(F.col(id_col).alias("id"), F.col("_at").alias("at"))
     at_best = F.col("_best").eqNullSafe(me)
 

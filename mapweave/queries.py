@@ -1,4 +1,309 @@
 """Queries over the mapping table, each with SQL for a check."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mapweave.functions import text as tx
+from mapweave.operators import entities, facets, justifications, paging
+from mapweave.operators.predicates import triple_match
+from mapweave.plans.search import EntitySearch, TripleSearch, mapping_by_id
+from mapweave.sources.mappings import flat, from_line_items
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_REL = "case l_returnflag when 'R' then 'exactMatch' when 'A' then 'closeMatch' else 'broadMatch' end"
+_JUST = "case l_linestatus when 'O' then 'LexicalMatching' else 'ManualMappingCuration' end"
+#: The mapping table in SQL, as m.
+VIEW = f"""
+with recursive m as (
+  select md5(concat_ws('|', cast(l_orderkey as varchar), cast(l_linenumber as varchar), cast(l_partkey as varchar), cast(l_suppkey as varchar),
+      cast(cast(l_shipdate as date) as varchar), cast(cast(l_quantity as bigint) as varchar))) as uuid,
+    'http://example.org/part#' || l_partkey as subject_id,
+    case when l_partkey % 11 = 0 then '' else 'PART:' || l_partkey end as subject_id_curie,
+    case when l_partkey % 7 = 0 then null else p_name end as subject_label,
+    p_type as subject_category, p_brand as subject_source,
+    'http://example.org/rel#' || {_REL} as predicate_id, 'rel:' || {_REL} as predicate_id_curie,
+    'http://example.org/supp#' || l_suppkey as object_id, 'SUPP:' || l_suppkey as object_id_curie,
+    s_name as object_label, n_name as object_category,
+    'http://example.org/just/' || {_JUST} as mapping_justification, 'just:' || {_JUST} as mapping_justification_curie,
+    case when l_linenumber = 4 then null when l_linenumber = 5 then 0.0 else l_quantity / 50.0 end as confidence,
+    n_name as mapping_provider, 'set-' || (l_suppkey % 5) as mapping_set_id,
+    cast(cast(l_shipdate as date) as varchar) as mapping_date,
+    string_split(p_name, ' ') as subject_match_field,
+    case when l_linenumber = 2 then null else string_split(p_name, ' ') end as match_string
+  from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
+)"""
+_E = "(subject_id_curie in ({0}) or object_id_curie in ({0}))"
+_SHOWN = "uuid, subject_id_curie, predicate_id_curie, object_id_curie, confidence"
+COLUMNS = _SHOWN.split(", ")
+IDS = ["PART:1", "PART:5", "SUPP:3"]
+_IDS = ", ".join(f"'{i}'" for i in IDS)
+_TRIPLE = "subject_id_curie, predicate_id_curie, object_id_curie"
+
+
+def query(sql: str | None = None, view: bool = True):
+    """Register a function of the mapping table (or of the session and the folder) under its name."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = (lambda spark, d: f(from_line_items(spark, d))) if view else f
+        if sql:
+            ORACLE_SQL[f.__name__] = f"{VIEW} {sql}" if view else sql
+        return f
+
+    return add
+
+
+def _search(name: str, where: str, search: EntitySearch) -> None:
+    QUERIES[name] = lambda spark, d: search.rows(from_line_items(spark, d)).select(COLUMNS)
+    ORACLE_SQL[name] = f"{VIEW} select {_SHOWN} from m where {where}"
+
+
+_search("entity_search_multi", _E.format(_IDS), EntitySearch(IDS))
+_search("entity_search_empty_ids", "false", EntitySearch(["", ""]))
+_search("confidence_range", f"{_E.format(_IDS)} and confidence between 0.2 and 0.8", EntitySearch(IDS, confidence=(0.2, 0.8)))
+_search("confidence_show_all_nulls", f"{_E.format(_IDS)} and (confidence between 0 and 1 or confidence is null)", EntitySearch(IDS))
+_search("facet_filter_single", f"{_E.format(_IDS)} and predicate_id_curie = 'rel:exactMatch'", EntitySearch(IDS, {"predicate_id_curie": ["rel:exactMatch"]}))
+_search("facet_filter_multi_value", f"{_E.format(_IDS)} and predicate_id_curie in ('rel:exactMatch', 'rel:closeMatch')", EntitySearch(IDS, {"predicate_id_curie": ["rel:exactMatch", "rel:closeMatch"], "confidence": ["0"]}))
+_search("facet_filter_multi_key", f"{_E.format(_IDS)} and predicate_id_curie = 'rel:exactMatch' and list_has_any(subject_match_field, ['part', 'red', 'blue'])", EntitySearch(IDS, {"predicate_id_curie": ["rel:exactMatch"], "subject_match_field": ["part", "red", "blue"]}))
+_search("entity_search_list", "subject_id_curie in (select 'PART:' || i from range(1, 1501) t(i)) or object_id_curie in (select 'PART:' || i from range(1, 1501) t(i))", EntitySearch([f"PART:{i}" for i in range(1, 1501)]))
+
+
+def _page(name: str, number: int) -> None:
+    QUERIES[name] = lambda spark, d: EntitySearch(IDS, limit=25, page=number).run(from_line_items(spark, d)).data.select(COLUMNS)
+    ORACLE_SQL[name] = f"{VIEW} select {_SHOWN} from m where {_E.format(_IDS)} order by uuid limit 25 offset {25 * (number - 1)}"
+
+
+_page("entity_search", 1)
+_page("page_first", 1)
+_page("page_middle", 3)
+_page("page_out_of_range", 100_000)
+
+_SCALARS = ("mapping_provider", "predicate_id_curie", "mapping_justification_curie", "subject_category", "object_category")
+_COUNTS = " union all ".join(f"select '{k}' as facet, {k} as value, count(*) as count from {{0}} where {k} is not null group by {k}" for k in _SCALARS)
+_ARRAY_COUNTS = "select 'subject_match_field' as facet, value, count(*) as count from (select uuid, unnest(list_distinct(subject_match_field)) as value from {0}) group by value"
+
+
+@query(f"{_COUNTS.format('m')} union all {_ARRAY_COUNTS.format('m')}")
+def facet_counts(m: DataFrame) -> DataFrame:
+    return facets.facet_counts(m)
+
+
+_NARROW = f"(select * from m where {_E.format(_IDS)} and predicate_id_curie in ('rel:exactMatch'))"
+
+
+@query(f"{_COUNTS.format(_NARROW)} union all {_ARRAY_COUNTS.format(_NARROW)}")
+def facet_counts_filtered(m: DataFrame) -> DataFrame:
+    return EntitySearch(IDS, {"predicate_id_curie": ["rel:exactMatch"]}).run(m).facets
+
+
+@query(_ARRAY_COUNTS.format("m"))
+def facet_array_counts(m: DataFrame) -> DataFrame:
+    return facets.facet_counts(m, ("subject_match_field",))
+
+
+_WIDE = f"(select * from m where {_E.format(_IDS)})"
+
+
+@query(" union all ".join(f"select '{k}' as facet, {k} as value, count(*) as count from {_WIDE if k == 'predicate_id_curie' else _NARROW} group by {k}" for k in ("predicate_id_curie", "mapping_provider")))
+def facet_counts_exclude_self(m: DataFrame) -> DataFrame:
+    return EntitySearch(IDS, {"predicate_id_curie": ["rel:exactMatch"]}).run(m, ("predicate_id_curie", "mapping_provider"), exclude_self=True).facets
+
+
+@query("select 'mapping_provider' as facet, mapping_provider as value, count(*) as count from m group by mapping_provider")
+def key_sort_ci(m: DataFrame) -> DataFrame:
+    return facets.ordered(facets.facet_counts(m, ("mapping_provider", "confidence")))
+
+
+@query("select distinct k as facet, replace(k, '_', ' ') as title from (values ('mapping_provider'), ('predicate_id_curie')) t(k)")
+def facet_titles(m: DataFrame) -> DataFrame:
+    return facets.facet_counts(m, ("mapping_provider", "predicate_id_curie")).select("facet", tx.title(F.col("facet")).alias("title")).distinct()
+
+
+@query(f"select '?limit=25&page=3' as next, '?limit=25&page=1' as previous, 2 as page_number, count(*) as total_items, cast(ceil(count(*) / 25.0) as integer) as total_pages, least(count(*), 25) as shown from m where {_E.format(_IDS)}")
+def page_summary(m: DataFrame) -> DataFrame:
+    return EntitySearch(IDS, limit=25, page=2).run(m).pagination
+
+
+@query("""
+select p, n, array_to_string(list_filter([ 'Previous', case when n > 0 then '1' end, case when n > 2 and p = 0 then '2' end,
+  case when p <= n - 1 and p > 2 then '...' end, case when p < n - 1 and p > 1 then cast(p as varchar) end,
+  case when p > 0 and p < n - 1 then cast(p + 1 as varchar) end, case when p >= 1 and p + 2 < n + 0 then cast(p + 2 as varchar) end,
+  case when p < n - 3 then '...' end, case when n > 2 and p = n - 1 then cast(n - 1 as varchar) end,
+  case when n > 1 then cast(n as varchar) end, 'Next' ], lambda x: x is not null), ' ') as links,
+  p = 0 as previous_disabled, p = n - 1 as next_disabled
+from range(0, 12) a(p), range(1, 13) b(n) where p < n""", view=False)
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.range(12).withColumnRenamed("id", "p").select("p", F.explode(F.sequence(F.col("p") + 1, F.lit(12).cast("long"))).alias("n"))
+    return paging.page_links(pages).withColumn("links", F.array_join("links", " "))
+
+
+@query(f"select {_SHOWN} from m where subject_id_curie = 'PART:5' and predicate_id_curie = 'rel:broadMatch' and object_id_curie in (select min(object_id_curie) from m where subject_id_curie = 'PART:5' and predicate_id_curie = 'rel:broadMatch')")
+def triple_search(m: DataFrame) -> DataFrame:
+    first = m.filter(triple_match("PART:5", "rel:broadMatch")).agg(F.min("object_id_curie")).first()[0]
+    return TripleSearch("PART:5", "rel:broadMatch", first).run(m).data.select(COLUMNS)
+
+
+@query(f"select {_SHOWN} from m where predicate_id_curie = 'rel:exactMatch' and object_id_curie = 'SUPP:3' order by uuid limit 100")
+def triple_partial(m: DataFrame) -> DataFrame:
+    return TripleSearch(None, "rel:exactMatch", "SUPP:3").run(m).data.select(COLUMNS)
+
+
+@query(f"select {_SHOWN} from m where subject_id = 'http://example.org/part#11' and predicate_id = 'http://example.org/rel#broadMatch'")
+def triple_by_iri(m: DataFrame) -> DataFrame:
+    return TripleSearch("http://example.org/part#11", "http://example.org/rel#broadMatch").rows(m).select(COLUMNS)
+
+
+@query(f"select {_SHOWN} from m where uuid = (select min(uuid) from m)")
+def mapping_by_uuid(m: DataFrame) -> DataFrame:
+    return mapping_by_id(m, m.agg(F.min("uuid")).first()[0]).select(COLUMNS)
+
+
+@query(f"select a.uuid, b.uuid as other_uuid from m a join m b using ({_TRIPLE}) where a.mapping_justification is distinct from b.mapping_justification")
+def other_justifications(m: DataFrame) -> DataFrame:
+    return justifications.pairs(m)
+
+
+@query(f"select b.uuid from m a join m b using ({_TRIPLE}) where a.uuid = (select min(uuid) from m where subject_id_curie = 'PART:1') and a.mapping_justification is distinct from b.mapping_justification")
+def mapping_detail(m: DataFrame) -> DataFrame:
+    one = m.filter("subject_id_curie = 'PART:1'").agg(F.min("uuid")).first()[0]
+    return justifications.others_of(m, one).select("uuid")
+
+
+_JOINED = "coalesce(array_to_string({0}, ', '), '')"
+
+
+@query(f"select uuid, mapping_justification as uri, confidence, mapping_provider as provider, {_JOINED.format('subject_match_field')} as subject_matches, '' as object_matches, {_JOINED.format('match_string')} as match_strings from m where {_E.format(_IDS)}")
+def justification_view(m: DataFrame) -> DataFrame:
+    return justifications.view(EntitySearch(IDS).rows(m))
+
+
+@query(f"select {_TRIPLE}, count(*) > 1 as shown from m group by all")
+def justification_section_flag(m: DataFrame) -> DataFrame:
+    return justifications.section_flags(m)
+
+
+@query(f"select {_TRIPLE}, count(*) as n, count(distinct mapping_justification) as n_justifications, string_agg(distinct mapping_justification, ' ' order by mapping_justification) as justifications from m group by {_TRIPLE}")
+def justifications_by_triple(m: DataFrame) -> DataFrame:
+    return justifications.by_triple(m).withColumn("justifications", F.array_join("justifications", " "))
+
+
+@query(f"select uuid, case when subject_id_curie = '' then subject_id else subject_id_curie end as subject_id, predicate_id_curie as predicate_id, object_id_curie as object_id, mapping_justification as uri, mapping_provider as provider, confidence is not null and confidence <> 0 as has_confidence, {_JOINED.format('match_string')} as match_strings from m where object_id_curie = 'SUPP:3'")
+def drawer_parameters(m: DataFrame) -> DataFrame:
+    rows = justifications.drawer(m.filter("object_id_curie = 'SUPP:3'"))
+    return rows.select("uuid", "subject_id", "predicate_id", "object_id", "uri", "provider", (F.col("confidence") != "").alias("has_confidence"), "match_strings")
+
+
+@query("select uuid, subject_id_curie, object_id_curie, false as is_subject, true as is_object from (select * from m where object_id_curie = 'SUPP:3' or subject_id_curie = 'SUPP:3' order by uuid limit 100)")
+def entity_view(m: DataFrame) -> DataFrame:
+    return entities.entity_view(m, "SUPP:3").select("uuid", "subject_id_curie", "object_id_curie", "is_subject", "is_object")
+
+
+@query("select uuid, subject_id_curie = 'PART:1' as is_subject, object_id_curie = 'PART:1' as is_object from m where subject_id_curie = 'PART:1' or object_id_curie = 'PART:1'")
+def entity_sides(m: DataFrame) -> DataFrame:
+    return entities.entity_view(m, "PART:1", 1_000_000).select("uuid", "is_subject", "is_object")
+
+
+_BOTH = "(select subject_id_curie as entity from m union all select object_id_curie from m)"
+
+
+@query(f"select count(*) as nb_mapping, count(distinct mapping_set_id) as nb_mapping_set, count(distinct mapping_provider) as nb_mapping_provider, (select count(distinct entity) from {_BOTH} where entity <> '') as nb_entity from m")
+def stats(m: DataFrame) -> DataFrame:
+    return entities.stats(m)
+
+
+@query(f"select distinct entity from {_BOTH} where entity <> ''")
+def distinct_entities(m: DataFrame) -> DataFrame:
+    return entities.distinct_entities(m)
+
+
+@query("select entity, min(label) as label, min(category) as category, min(source) as source, count(*) as n_mappings from (select subject_id_curie as entity, subject_label as label, subject_category as category, subject_source as source from m union all select object_id_curie, object_label, object_category, null from m) where entity <> '' group by entity")
+def entity_labels(m: DataFrame) -> DataFrame:
+    return entities.entities(m)
+
+
+@query("select mapping_provider, count(*) as n from m group by mapping_provider")
+def providers(m: DataFrame) -> DataFrame:
+    return m.groupBy("mapping_provider").agg(F.count(F.lit(1)).alias("n"))
+
+
+_EDGES = "e as (select distinct * from (select subject_id_curie as src, object_id_curie as dst from m where subject_id_curie <> '' union all select object_id_curie, subject_id_curie from m where subject_id_curie <> ''))"
+_HOPS = ", h0 as (select 'PART:1' as entity)" + "".join(f", h{d} as (select distinct dst as entity from e join h{d - 1} on src = entity where dst not in (select entity from h{d - 1}) {f'and dst not in (select entity from h{d - 2})' if d > 1 else ''} {f'and dst not in (select entity from h{d - 3})' if d > 2 else ''})" for d in (1, 2, 3))
+
+
+def _neighbours(hops: int) -> None:
+    name = f"neighbours_{hops}hop"
+    QUERIES[name] = lambda spark, d: entities.neighbourhood(from_line_items(spark, d), "PART:1", hops)
+    ORACLE_SQL[name] = f"{VIEW}, {_EDGES}{_HOPS} " + " union all ".join(f"select entity, {d} as distance from h{d}" for d in range(hops + 1))
+
+
+for _n in (1, 2, 3):
+    _neighbours(_n)
+
+_TEXT = "o_orderpriority || ', ,' || chr(10) || ' ' || o_orderstatus || ',,' || o_orderkey || chr(9)"
+_SPLIT = f"regexp_split_to_array({_TEXT}, '[\\n,]+')"
+
+
+def _orders(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.concat("o_orderpriority", F.lit(", ,\n "), "o_orderstatus", F.lit(",,"), F.col("o_orderkey").cast("string"), F.lit("\t")).alias("query"))
+
+
+@query(f"select o_orderkey, array_to_string(list_filter(list_transform({_SPLIT}, lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ',') as ids from orders", view=False)
+def tokenize_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).select("o_orderkey", tx.join_ids(tx.tokenize_home(F.col("query"))).alias("ids"))
+
+
+@query(f"select o_orderkey, array_to_string(list_transform(list_filter({_SPLIT}, lambda x: x <> ''), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), ',') as ids from orders", view=False)
+def tokenize_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders(spark, sf_dir).select("o_orderkey", tx.join_ids(tx.tokenize_search(F.col("query"))).alias("ids"))
+
+
+@query("select uuid, regexp_extract(predicate_id, '[^#]*$') as name from m")
+def local_name_hash(m: DataFrame) -> DataFrame:
+    return m.select("uuid", tx.after_last(F.col("predicate_id"), "#").alias("name"))
+
+
+@query("select uuid, regexp_extract(mapping_justification, '[^/]*$') as name from m")
+def local_name_slash(m: DataFrame) -> DataFrame:
+    return m.select("uuid", tx.after_last(F.col("mapping_justification"), "/").alias("name"))
+
+
+@query("select uuid, coalesce(nullif(subject_id_curie, ''), subject_id) as id from m")
+def curie_or_iri(m: DataFrame) -> DataFrame:
+    return m.select("uuid", tx.curie_or_iri(F.col("subject_id_curie"), F.col("subject_id")).alias("id"))
+
+
+@query("select uuid, coalesce(subject_label, '') as label from m")
+def label_default(m: DataFrame) -> DataFrame:
+    return m.select("uuid", tx.or_empty(F.col("subject_label")).alias("label"))
+
+
+@query("select uuid, coalesce(array_to_string(match_string, ', '), '') as joined from m")
+def join_arrays(m: DataFrame) -> DataFrame:
+    return m.select("uuid", tx.join(F.col("match_string")).alias("joined"))
+
+
+@query("select uuid, array_to_string(list_concat(coalesce(match_string, []), coalesce(subject_match_field, [])), '|') as both from m")
+def labels_then_ids(m: DataFrame) -> DataFrame:
+    return m.select("uuid", F.array_join(tx.labels_then_ids(F.col("match_string"), F.col("subject_match_field")), "|").alias("both"))
+
+
+@query("select uuid, coalesce(subject_id_curie <> '', false) as subject_id_curie, subject_label is not null as subject_label, coalesce(confidence <> 0, false) as confidence, match_string is not null as match_string from m")
+def presence_flags(m: DataFrame) -> DataFrame:
+    cols = ("subject_id_curie", "subject_label", "confidence", "match_string")
+    return m.select("uuid", *(tx.present(F.col(c), m.schema[c].dataType).alias(c) for c in cols))
+
+
+@query("select mapping_set_id, count(*) as n_mappings, count(distinct mapping_provider) as n_providers from m group by mapping_set_id")
+def mapping_set_members(m: DataFrame) -> DataFrame:
+    sets = m.select("mapping_set_id").distinct()
+    return sets.join(m, "mapping_set_id").groupBy("mapping_set_id").agg(F.count(F.lit(1)).alias("n_mappings"), F.countDistinct("mapping_provider").alias("n_providers"))
+
+
+@query("select uuid, subject_id_curie, coalesce(array_to_string(subject_match_field, ', '), '') as subject_match_field, coalesce(array_to_string(match_string, ', '), '') as match_string, '' as author_label from m")
+def export_projection(m: DataFrame) -> DataFrame:
+    return flat(m).select("uuid", "subject_id_curie", "subject_match_field", "match_string", "author_label")

@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, texts_of
+from .common import shared_dir, table
 
 # ---- tokenizing
 
@@ -46,7 +47,7 @@ class WordTokenizer:
     go to the library whole.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok, self.keep = Tokenizer.from_file(path), keep
@@ -55,7 +56,6 @@ class WordTokenizer:
         for t, i in self.tok.get_vocab().items():
             self.ends[i] = t.endswith("</w>")
         self.known: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
         for a in range(0, len(words), 2000):
@@ -69,41 +69,46 @@ class WordTokenizer:
                 for w in part:
                     self.known[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _add(self, chunks: set[str]) -> None:
-        """Ids of chunks between white space, from those of their words."""
-        split = {c: _WORDS.findall(c.lower()) for c in chunks}
-        new = set().union(*split.values()).difference(self.known)
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the number of ids of each."""
+        whole = {i: t for i, t in enumerate(texts.to_pylist()) if "<|" in t or not _PLAIN.fullmatch(t)}
+        if whole:
+            texts = pc.if_else(pa.array(np.isin(np.arange(len(texts)), list(whole))), "", texts)
+        chunks = pc.ascii_split_whitespace(texts)
+        coded = pc.utf8_lower(chunks.values).dictionary_encode()
+        split = list(map(_WORDS.findall, coded.dictionary.to_pylist()))
+        every = set().union(*split)
+        new = every.difference(self.known)
         if len(self.known) + len(new) > self.keep:
             self.known.clear()
-            new = set().union(*split.values())
+            new = every
         self._learn(list(new))
         get = self.known.__getitem__
-        for c, words in split.items():
-            self.chunks[c] = get(words[0]) if len(words) == 1 else b"".join(map(get, words))
+        data = [get(s[0]) if len(s) == 1 else b"".join(map(get, s)) for s in split]
+        flat = np.frombuffer(b"".join(data), "<u4")
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        code = coded.indices.to_numpy()
+        each = size[code]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        ids = flat[np.repeat((np.cumsum(size) - size)[code] - ends[:-1], each) + np.arange(ends[-1])]
+        counts = np.diff(ends[chunks.offsets.to_numpy()])
+        if whole:
+            parts = np.split(ids, np.cumsum(counts)[:-1])
+            for i, t in whole.items():
+                parts[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4")
+            ids, counts = np.concatenate(parts), np.array([len(x) for x in parts])
+        return ids, counts
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian u4."""
-        out: list[bytes] = []
-        for a in range(0, len(texts), 64):
-            split = [t.split() if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts[a : a + 64]]
-            every = set().union(*(s for s in split if s))
-            new = every.difference(self.chunks)
-            if len(self.chunks) + len(new) > self.keep:
-                self.chunks.clear()
-                new = every
-            self._add(new)
-            for t, s in zip(texts[a : a + 64], split, strict=True):
-                if s is None:
-                    out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes())
-                else:
-                    out.append(b"".join(map(self.chunks.__getitem__, s)))
-        return out
+        """Ids of each text as little-endian u4."""
+        ids, counts = self.encode_array(pa.array(texts, pa.string()))
+        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])]
 
 
 # ---- grammar
 
 
-def repair(ids: np.ndarray, counts: np.ndarray, size: int, max_rules: int, sweeps: int = 8, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, counts: np.ndarray, size: int, max_rules: int, sweeps: int = 6, least: int = 8, pairs_a_sweep: int = 2500) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules (left, right), the symbols, and each document's number of symbols; ids of documents end to end.
 
     Each sweep takes the most frequent pairs at once; where chosen pairs overlap, the more frequent one is replaced.
@@ -121,7 +126,7 @@ def repair(ids: np.ndarray, counts: np.ndarray, size: int, max_rules: int, sweep
         slot = (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)  # counts by hash, exact ones for the frequent
         slot = slot.astype(np.int64)
         number = np.bincount(slot[~last[:-1]], minlength=1 << bits)
-        top = np.sort(number)[-min(1500, max_rules - rules)] if len(number) else 0
+        top = np.sort(number)[-min(pairs_a_sweep, max_rules - rules)] if len(number) else 0
         often = np.flatnonzero((number[slot] >= max(least, top)) & ~last[:-1])
         if not len(often):
             break
@@ -227,29 +232,33 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part = _tokenizer(sent), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
-        seq, before, ids, data, size = 0, 0, [], [], 0
-
-        def shard(id_type):
-            counts = np.array([len(x) // 4 for x in data], np.int64)
-            body = pack(np.frombuffer(b"".join(data), "<u4"), counts, tok.size)
-            cols = [pa.array([part]), pa.array([seq]), pa.array([before]), pa.array([int(counts.sum())]), pa.array([ids], pa.list_(id_type)), pa.array([body], pa.binary())]
+        seq, before, size = 0, 0, 0
+        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # ids, counts and names of the shard to be
+
+        def shard():
+            ids, counts = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            names = pa.concat_arrays([h[2] for h in held])
+            cols = [pa.array([part]), pa.array([seq]), pa.array([before]), pa.array([len(ids)])]
+            cols += [pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.array([pack(ids, counts, tok.size)], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["part", "seq", "start", "n_tokens", "ids", "body"])
 
-        id_type = None
         for batch in batches:
-            id_type = batch.column("id").type
-            texts, names = texts_of(batch), batch.column("id").to_pylist()
-            for a in range(0, len(texts), 256):
-                for i, x in zip(names[a : a + 256], tok.encode(texts[a : a + 256]), strict=True):
-                    if data and size + len(x) > 4 * shard_tokens:
-                        yield shard(id_type)
-                        seq, before, ids, data, size = seq + 1, before + size // 4, [], [], 0
-                    ids.append(i)
-                    data.append(x + end)
-                    size += len(x) + 4
-        if data:
-            yield shard(id_type)
+            for a in range(0, batch.num_rows, 3000):
+                names = batch.column("id").slice(a, 3000)
+                ids, counts = tok.encode_array(batch.column("text").slice(a, 3000))
+                ids, counts = np.insert(ids, np.cumsum(counts), end_id), counts + 1
+                ends, at = np.concatenate(([0], np.cumsum(counts))), 0
+                while at < len(counts):
+                    to = max(int(np.searchsorted(ends, ends[at] + shard_tokens - size, "right")) - 1, at + (not held))
+                    if to > at:
+                        held.append((ids[ends[at] : ends[to]], counts[at:to], names.slice(at, to - at)))
+                        size += int(ends[to] - ends[at])
+                        at = to
+                    if at < len(counts):
+                        yield shard()
+                        seq, before, held, size = seq + 1, before + size, [], 0
+        if held:
+            yield shard()
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")

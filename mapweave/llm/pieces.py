@@ -1,14 +1,14 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts fall into units that no piece of the vocabulary spans (checked when it is loaded): runs of letters or of
-other characters, with the spaces before them. Each different unit of the corpus is encoded once: its substrings up
+other characters, with the spaces before them. Different units are encoded once: the substrings up
 to the longest piece are exploded and joined with the piece table (as large as the vocabulary, so broadcast), the
 edges are grouped by unit, and a higher-order ``aggregate`` folds them. For models of kind "unigram" the fold is
 Viterbi over the piece scores; for kind "bpe" that would not give the library's ids, so there the fold merges the
 best-scored neighbours, over and over, as the library does. Characters outside the vocabulary become bytes.
 
-Units that occur often (``keep`` of them at most) go to all tasks as a bounded dictionary; the rest is joined to
-the texts that hold them. Units of over ``longest`` characters are encoded by a small function in the task.
+The lattice gives the units that occur often (``keep`` of them at most: a bounded dictionary that goes to all
+tasks). Rarer units, and those of over ``longest`` characters, get the same ids from a small function in the task.
 
 Null texts count as empty and have no ids. Equal texts get equal ids, one output row for each input row. Decoding
 gives the text back; U+2581 in a text reads as a space, as in the library. An empty table gives an empty result;
@@ -165,10 +165,6 @@ def encode_units(units: DataFrame, pieces: Pieces, longest: int = 48) -> DataFra
     return folded.select("unit", ids.alias("ids")).union(long.select("unit").mapInArrow(run, "unit string, ids array<int>"))
 
 
-def _key(text):
-    return F.unhex(F.md5(text.cast("binary")))
-
-
 def unit_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Each different unit of all texts and how often it occurs."""
 
@@ -186,59 +182,55 @@ def unit_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 600_000, longest: int = 48) -> DataFrame:
-    """docs' columns, _ids (array of int) and _decoded_same (the ids' text is the text)."""
-    spark = docs.sparkSession
-    made = stage(unit_counts(docs, text))
-    units = stage(encode_units(made, pieces, longest).join(made, "unit").select("unit", "n", "ids"))
-    bins = {r[0]: r[1] for r in units.groupBy(F.floor(F.log2("n"))).count().collect()}  # at most 64 rows
+def dictionary(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 400_000, longest: int = 48) -> dict[str, bytes]:
+    """Ids (int32) of the units that occur often, keep at most, from the lattice."""
+    counts = stage(unit_counts(docs, text))
+    bins = {r[0]: r[1] for r in counts.groupBy(F.floor(F.log2("n"))).count().collect()}  # at most 64 rows
     least, total = 64, 0
     while least and total + bins.get(least - 1, 0) <= keep:
         least -= 1
         total += bins.get(least, 0)
-    often = units.filter(F.col("n") >= (1 << least)).select("unit", "ids").toArrow()  # keep rows at most
-    ids = often.column("ids").combine_chunks()
-    flat, at = np.asarray(ids.flatten(), np.int32), np.concatenate(([0], np.cumsum(np.asarray(often.column("ids").combine_chunks().value_lengths())))).tolist() if len(often) else [0]
-    data = flat.tobytes()
-    known = {u: data[4 * a : 4 * b] for u, a, b in zip(often.column("unit").to_pylist(), at, at[1:], strict=False)}
-    sent, words = spark.sparkContext.broadcast(known), spark.sparkContext.broadcast(pieces.out)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, found = [], []
-            for key, t in zip(batch.column("_key").to_pylist(), texts_of(batch, text), strict=True):
-                new = set(units_of(t)).difference(sent.value)
-                keys += [key] * len(new)
-                found += new
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.string())], ["_key", "unit"])
-
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rest = docs.select(_key(body).alias("_key"), body.alias(text)).mapInArrow(rare, "_key binary, unit string").distinct()
-    rest = rest.join(units.filter(F.col("n") < (1 << least)).select("unit", "ids"), "unit")
-    rest = rest.groupBy("_key").agg(F.collect_list(F.struct("unit", "ids")).alias("_rare"))
-    rows = docs.withColumn("_key", _key(body)).join(rest, "_key", "left").drop("_key")
-    fields = docs.schema
+    # dealt by unit before the lattice, so that its edges needn't move to be grouped
+    often = counts.filter(F.col("n") >= (1 << least)).select("unit").repartition("unit")
+    found = stage(encode_units(often, pieces, longest)).toArrow()
+    if not len(found):
+        return {}
+    ids = found.column("ids").combine_chunks()
+    data, at = ids.flatten().to_numpy().astype(np.int32).tobytes(), (4 * np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))).tolist()
+    return {u: data[a:b] for u, a, b in zip(found.column("unit").to_pylist(), at, at[1:], strict=False)}
+
+
+def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 400_000, longest: int = 48) -> DataFrame:
+    """docs' columns, _ids (array of int) and _decoded_same (the ids' text is the text)."""
+    context, fields = docs.sparkSession.sparkContext, docs.schema
+    sent, model = context.broadcast(dictionary(docs, pieces, text, keep, longest)), context.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = sent.value.get
-        piece = words.value.__getitem__
+        get, piece = sent.value.get, model.value.out.__getitem__
+        rare: dict[str, bytes] = {}
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
                 out, same = [], []
-                for t, more in zip(texts_of(batch, text), batch.column("_rare").to_pylist(), strict=True):
+                for t in texts_of(batch, text):
                     units = units_of(t)
                     parts = list(map(get, units))
-                    if more:
-                        own = {r["unit"]: np.asarray(r["ids"], np.int32).tobytes() for r in more}
-                        parts = [own[u] if p is None else p for u, p in zip(units, parts, strict=True)]
+                    if None in parts:
+                        for i, p in enumerate(parts):
+                            if p is None:
+                                u = units[i]
+                                if u not in rare:
+                                    if len(rare) > 100_000:
+                                        rare.clear()
+                                    rare[u] = np.array(model.value.encode_long(u), np.int32).tobytes()
+                                parts[i] = rare[u]
                     out.append(np.frombuffer(b"".join(parts), np.int32))
                     same.append(b"".join(map(piece, out[-1].tolist()))[1:] == t.replace(SPACE, " ").encode("utf-8", "replace"))
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in out])))
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), ids, pa.array(same, pa.bool_())], [*(f.name for f in fields), "_ids", "_decoded_same"])
 
-    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["_ids array<int>", "_decoded_same boolean"]))
+    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["_ids array<int>", "_decoded_same boolean"]))
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:

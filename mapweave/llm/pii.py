@@ -158,6 +158,7 @@ def labelled_sentences() -> list[list[tuple[str, str]]]:
             row += [(p, "B-account" if j == 0 else "I-account") for j, p in enumerate(parts)]
         elif kind == 5:  # numbers that are none
             row += [(pick("123456789", int(rng.integers(1, 5))), "O"), *words(1), (f"{pick('12', 1)}{pick(digits, 3)}-{pick('01', 1)}{pick('123', 1)}", "O"), (pick(digits, 16), "O")]
+            row += [(pick(low, 1) + pick(digits, int(rng.integers(1, 4))), "O") for _ in range(8)]
         elif kind == 6:  # triggers without a value
             row += [(str(rng.choice(["token", "key", "account", "secret", "password"])), "O"), *words(3)]
         else:

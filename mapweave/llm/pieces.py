@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -66,6 +67,7 @@ class Pieces:
             raise ValueError(f"pieces span units: {spanning[:5]}")
         self.size = max(len(p) for p, _, _ in self.rows)
         self.best = {p: (s, i) for p, i, s in self.rows}
+        self.score = {p: s for p, _, s in self.rows}
         self.least = min((s for _, _, s in self.rows), default=0.0)
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -75,6 +77,25 @@ class Pieces:
         data = char.encode("utf-8", "replace")
         return [self.bytes[b] for b in data] if self.bytes else [self.unknown]
 
+    def encode_rare(self, unit: str) -> list[int]:
+        """One unit that the lattice hasn't. For few characters a list is faster than the heap of encode_long."""
+        if self.kind != "bpe" or len(unit) > 48:
+            return self.encode_long(unit)
+        parts, score = list(unit), self.score.get
+        pairs = [score(a + b, -np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (top := max(pairs)) > -np.inf:
+            i = pairs.index(top)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], -np.inf)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], -np.inf)
+        out: list[int] = []
+        for p in parts:
+            out += [s[1]] if (s := self.best.get(p)) else self.fallback(p)
+        return out
+
     def encode_long(self, unit: str) -> list[int]:
         """One unit, by merging (bpe) or by Viterbi (unigram), for units too long to fold in SQL."""
         n = len(unit)
@@ -206,7 +227,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 400_
     sent, model = context.broadcast(dictionary(docs, pieces, text, keep, longest)), context.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, piece = sent.value.get, model.value.out.__getitem__
+        get, piece, encode_rare = sent.value.get, model.value.out.__getitem__, model.value.encode_rare
         rare: dict[str, bytes] = {}
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
@@ -222,7 +243,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 400_
                                 if u not in rare:
                                     if len(rare) > 100_000:
                                         rare.clear()
-                                    rare[u] = np.array(model.value.encode_long(u), np.int32).tobytes()
+                                    rare[u] = array("i", encode_rare(u)).tobytes()
                                 parts[i] = rare[u]
                     out.append(np.frombuffer(b"".join(parts), np.int32))
                     same.append(b"".join(map(piece, out[-1].tolist()))[1:] == t.replace(SPACE, " ").encode("utf-8", "replace"))

@@ -36,9 +36,21 @@ _NUMERIC = "\xb2\xb3\xb9\xbc-\xbe\u2070-\u209c\u2150-\u218b\u2460-\u24ff"  # wor
 UNIT = re.compile(rf" *[^\W\d_{_NUMERIC}]+| *(?:[^\w ]|[\d_{_NUMERIC}])+| +")
 
 
-def units_of(text: str) -> list[str]:
-    """Units with a plain space for U+2581; the first has the space that the library puts before a text."""
-    return UNIT.findall(" " + text.replace(SPACE, " ")) if text else []
+_CUT = re.compile(r"(?<=[^ ]) ")
+
+
+def units_of(text: str, size: int = 1 << 16) -> Iterator[tuple[str, list[str]]]:
+    """Parts of about size characters, cut where a unit begins, and the units of each part.
+
+    Parts have a plain space for U+2581; the first begins with the space that the library puts before a text.
+    """
+    text, at = " " + text.replace(SPACE, " ") if text else "", 0
+    while len(text) - at > size and (m := _CUT.search(text, at + size)):
+        part = text[at : m.start()]
+        yield part, UNIT.findall(part)
+        at = m.start()
+    if text:
+        yield (text[at:] if at else text), UNIT.findall(text, at)
 
 
 class Pieces:
@@ -192,20 +204,28 @@ def unit_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["unit", "n"])
-        for batch in batches:
-            for t in texts_of(batch, text):
-                seen.update(units_of(t))
-                if len(seen) > 200_000:
-                    yield flush()
-                    seen.clear()
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                for t in texts_of(whole.slice(a, 500), text):
+                    for _, units in units_of(t):
+                        seen.update(units)
+                        if len(seen) > 150_000:
+                            yield flush()
+                            seen.clear()
         yield flush()
 
     return docs.select(text).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def dictionary(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 400_000, longest: int = 48) -> dict[str, bytes]:
+def dictionary(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 250_000, longest: int = 48) -> dict[str, bytes]:
     """Ids (int32) of the units that occur often, keep at most, from the lattice."""
-    counts = stage(unit_counts(docs, text))
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "1000")  # whole texts: smaller batches hold less memory beside the heap
+    try:
+        counts = stage(unit_counts(docs, text))
+    finally:
+        conf.set(name, before)
     bins = {r[0]: r[1] for r in counts.groupBy(F.floor(F.log2("n"))).count().collect()}  # at most 64 rows
     least, total = 64, 0
     while least and total + bins.get(least - 1, 0) <= keep:
@@ -221,7 +241,7 @@ def dictionary(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int =
     return {u: data[a:b] for u, a, b in zip(found.column("unit").to_pylist(), at, at[1:], strict=False)}
 
 
-def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 400_000, longest: int = 48) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 250_000, longest: int = 48) -> DataFrame:
     """docs' columns, _ids (array of int) and _decoded_same (the ids' text is the text)."""
     context, fields = docs.sparkSession.sparkContext, docs.schema
     sent, model = context.broadcast(dictionary(docs, pieces, text, keep, longest)), context.broadcast(pieces)
@@ -234,19 +254,22 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 400_
                 batch = whole.slice(a, 500)
                 out, same = [], []
                 for t in texts_of(batch, text):
-                    units = units_of(t)
-                    parts = list(map(get, units))
-                    if None in parts:
-                        for i, p in enumerate(parts):
-                            if p is None:
-                                u = units[i]
-                                if u not in rare:
-                                    if len(rare) > 100_000:
-                                        rare.clear()
-                                    rare[u] = array("i", encode_rare(u)).tobytes()
-                                parts[i] = rare[u]
-                    out.append(np.frombuffer(b"".join(parts), np.int32))
-                    same.append(b"".join(map(piece, out[-1].tolist()))[1:] == t.replace(SPACE, " ").encode("utf-8", "replace"))
+                    made, equal = [], True
+                    for part, units in units_of(t):
+                        parts = list(map(get, units))
+                        if None in parts:
+                            for i, p in enumerate(parts):
+                                if p is None:
+                                    u = units[i]
+                                    if u not in rare:
+                                        if len(rare) > 50_000:
+                                            rare.clear()
+                                        rare[u] = array("i", encode_rare(u)).tobytes()
+                                    parts[i] = rare[u]
+                        made.append(np.frombuffer(b"".join(parts), np.int32))
+                        equal = equal and b"".join(map(piece, made[-1].tolist())) == part.encode("utf-8", "replace")
+                    out.append(made[0] if len(made) == 1 else np.concatenate([*made, np.zeros(0, np.int32)]))
+                    same.append(equal)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in out])))
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), ids, pa.array(same, pa.bool_())], [*(f.name for f in fields), "_ids", "_decoded_same"])

@@ -40,10 +40,12 @@ def text_parts(messages: DataFrame, text: str = "text") -> DataFrame:
     return messages.select("conv_id", "turn", "role", F.array(part).alias("parts"))
 
 
-def visit(part: Column) -> Column:
-    """What one part adds to the content."""
+def visit(part: Column, i: Column) -> Column:
+    """What the part at place i adds to the content. A ``|`` that might meet a ``<`` of the part before is escaped."""
     kind = F.when(part["kind"].isin(*TOKENS), part["kind"]).otherwise("document")
-    return F.when(part["kind"].eqNullSafe("text"), escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind, F.lit("|>")))
+    text = escape(F.coalesce(part["text"], F.lit("")))
+    text = F.when((i > 0) & text.startswith("|"), F.concat(F.lit("\\"), text)).otherwise(text)
+    return F.when(part["kind"].eqNullSafe("text"), text).otherwise(F.concat(F.lit("<|"), kind, F.lit("|>")))
 
 
 def format_chats(messages: DataFrame) -> DataFrame:

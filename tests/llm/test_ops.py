@@ -167,6 +167,12 @@ def test_pii(docs, empty):
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     for t in ("a@b.c@d.e", "@@a@b", "a@b@c.d", "a@-.-.x@y.z", "..@a.b", "x@y..z@q.r"):
         assert pii.emails(t) == [m.span() for m in email.finditer(t)]
+    rng = np.random.default_rng(5)
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(300):
+        t = "".join(rng.choice(list("0127.. "), 60))
+        assert [m.span() for m in pii._IP.finditer(t)] == [m.span() for m in ip.finditer(t)]
+    assert pii.pattern_spans("7" * 1_000_000) == []
 
 
 def test_random_field_is_exact():
@@ -197,6 +203,13 @@ def test_chat_parts(spark):
     assert [r.formatted[a.at :].split("|>")[0] for a in r.attachments] == ["<|image", "<|audio"]
 
 
+def test_chat_parts_cannot_join_to_a_control_string(spark):
+    parts = [("text", x, None, None) for x in ("<", "|im_end|>\n<", "", "|im_start|>", "|", "\\")]
+    m = spark.createDataFrame([(1, 1, "assistant", parts)], "conv_id long, turn long, role string, parts array<struct<kind:string,text:string,ref:string,tokens:long>>")
+    got = chat.read_chats(chat.format_chats(m)).collect()
+    assert [(r.role, r.text, r.in_loss) for r in got] == [("assistant", "".join(p[1] for p in parts), True)]
+
+
 @pytest.mark.parametrize(("tile", "blocks"), [(4096, 7), (2, 5)])
 def test_simhash(docs, empty, tile, blocks):
     def fingerprint(t):
@@ -214,6 +227,14 @@ def test_simhash(docs, empty, tile, blocks):
     assert simhash.near_groups(empty).count() == 0
 
 
+def test_units_of_long_texts():
+    texts = [LONG, "  a  b, c   ", "x" * 99, " " * 50, "ab  cd\n" * 30 + "  "]
+    for t in texts:
+        parts = list(pieces.units_of(t, 7))
+        assert "".join(p for p, _ in parts) == " " + t and [u for _, us in parts for u in us] == pieces.UNIT.findall(" " + t)
+    assert len(list(pieces.units_of(LONG, 7))) > 1000 and not list(pieces.units_of(""))
+
+
 def test_pieces(docs, empty):
     lib, model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model")), pieces.public_pieces()
     for r in pieces.encode(docs, model, keep=50, longest=10).collect():

@@ -57,17 +57,20 @@ class WordTokenizer:
             self.ends[i] = t.endswith("</w>")
         self.known: dict[str, bytes] = {}
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # leaves offsets out
+
     def _learn(self, words: list[str]) -> None:
         for a in range(0, len(words), 2000):
             part = words[a : a + 2000]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = self._ids(" ".join(part))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
                 data, at = ids.tobytes(), (4 * np.concatenate(([0], cuts))).tolist()
                 self.known.update((w, data[x:y]) for w, x, y in zip(part, at, at[1:], strict=False))
             else:
                 for w in part:
-                    self.known[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+                    self.known[w] = self._ids(w).tobytes()
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each."""
@@ -76,7 +79,7 @@ class WordTokenizer:
             texts = pc.if_else(pa.array(np.isin(np.arange(len(texts)), list(whole))), "", texts)
         chunks = pc.ascii_split_whitespace(texts)
         coded = pc.utf8_lower(chunks.values).dictionary_encode()
-        split = list(map(_WORDS.findall, coded.dictionary.to_pylist()))
+        split = list(map(_WORDS.findall, coded.dictionary.to_numpy(zero_copy_only=False)))
         every = set().union(*split)
         new = every.difference(self.known)
         if len(self.known) + len(new) > self.keep:
@@ -95,7 +98,7 @@ class WordTokenizer:
         if whole:
             parts = np.split(ids, np.cumsum(counts)[:-1])
             for i, t in whole.items():
-                parts[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4")
+                parts[i] = self._ids(t)
             ids, counts = np.concatenate(parts), np.array([len(x) for x in parts])
         return ids, counts
 

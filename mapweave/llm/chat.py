@@ -58,7 +58,6 @@ def format_chats(messages: DataFrame) -> DataFrame:
     before = F.sum(F.length("line")).over(order.rowsBetween(W.unboundedPreceding, -1))
     m = m.withColumn("pos", F.row_number().over(order)).withColumn("at", F.coalesce(before, F.lit(0)) + F.length("head"))
 
-    tokens = F.coalesce(*(F.when(F.col("p.kind") == k, F.lit(n)) for k, n in TOKENS.items()), F.lit(TOKENS["document"]))
     lengths = F.transform("pieces", lambda x: F.length(x))
     attached = F.transform(
         F.filter(F.arrays_zip(F.col("parts").alias("p"), F.sequence(F.lit(1), F.size("parts")).alias("i")), lambda x: ~x["p"]["kind"].eqNullSafe("text")),

@@ -62,7 +62,7 @@ def pattern_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(a, b, "email") for a, b in emails(text)]
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+            if all(len(x) <= 3 and int(x or 0) <= 255 for x in (part.lstrip("0") for part in m[0].split("."))):
                 out.append((*m.span(), "ip"))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(d := _DIGITS.findall(m[0])) <= 19 and _luhn(d):

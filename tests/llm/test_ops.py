@@ -173,6 +173,8 @@ def test_pii(docs, empty):
         t = "".join(rng.choice(list("0127.. "), 60))
         assert [m.span() for m in pii._IP.finditer(t)] == [m.span() for m in ip.finditer(t)]
     assert pii.pattern_spans("7" * 1_000_000) == []
+    zeros = "0" * 5000
+    assert pii.pattern_spans(f"{zeros}1.2.3.{zeros} {zeros}256.1.1.1") == [(0, 10006, "ip")]
 
 
 def test_random_field_is_exact():

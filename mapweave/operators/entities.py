@@ -39,21 +39,26 @@ def stats(mappings: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def edges(mappings: DataFrame) -> DataFrame:
-    """Distinct undirected neighbours, in both directions."""
+    """Undirected neighbours, in both directions, as often as mappings name them."""
     pair = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
-    both = mappings.filter("subject_id_curie <> '' and object_id_curie <> ''").select(F.inline(F.array(pair("subject_id_curie", "object_id_curie"), pair("object_id_curie", "subject_id_curie"))))
-    return both.distinct()
+    both = mappings.filter("subject_id_curie <> '' and object_id_curie <> ''")
+    return both.select(F.inline(F.array(pair("subject_id_curie", "object_id_curie"), pair("object_id_curie", "subject_id_curie"))))
 
 
 def neighbourhood(mappings: DataFrame, start: str, hops: int = 1) -> DataFrame:
-    """(entity, distance) of what is within hops of start; each entity once, at its least distance."""
+    """(entity, distance) of what is within hops of start; each entity once, at its least distance.
+
+    The first hop is a filter that reaches the scan. Each further hop is one join and one aggregation over all that is
+    near so far, so the plan grows in proportion to hops; repeated edges are combined before the shuffle.
+    """
     if not 1 <= hops <= MAX_HOPS:
         raise ValueError(f"hops go from 1 to {MAX_HOPS}")
-    links = edges(mappings)
-    seen = distinct_entities(mappings).filter(F.col("entity") == start).select("entity", F.lit(0).alias("distance"))
-    last = seen
-    for d in range(1, hops + 1):
-        near = links.join(last, F.col("src") == F.col("entity"), "left_semi").select(F.col("dst").alias("entity")).distinct()
-        last = near.join(seen, "entity", "left_anti").select("entity", F.lit(d).alias("distance"))
-        seen = seen.union(last)
-    return seen
+    touching = mappings.filter(entity_in([start]))
+    found = touching.select(F.lit(start).alias("entity"), F.lit(0).alias("distance"))
+    found = found.union(edges(touching).filter(F.col("src") == start).select("dst", F.lit(1)))
+    near = found.groupBy("entity").agg(F.min("distance").alias("distance"))
+    here, there = F.struct("entity", "distance"), F.struct(F.col("dst").alias("entity"), (F.col("distance") + 1).alias("distance"))
+    for _ in range(1, hops):
+        reached = near.join(edges(mappings), F.col("entity") == F.col("src"), "left").select(F.inline(F.array(here, there)))
+        near = reached.filter("entity is not null").groupBy("entity").agg(F.min("distance").alias("distance"))
+    return near

@@ -2,34 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mapweave.operators.predicates import facets_match
 from mapweave.schema import FACETS
 
 
-def facet_counts(rows: DataFrame, facets: tuple[str, ...] = FACETS) -> DataFrame:
-    """(facet, value, count): one pass over rows and one aggregation. A row counts once for a value; nulls don't count."""
-    values = lambda k: F.array_distinct(k) if isinstance(rows.schema[k].dataType, T.ArrayType) else F.array(F.col(k).cast("string"))
+def facet_counts(rows: DataFrame, facets: tuple[str, ...] = FACETS, when: dict[str, Column] | None = None) -> DataFrame:
+    """(facet, value, count): one pass over rows and one aggregation. A row counts once for a value; nulls don't count.
+
+    when: for a facet, the condition on which a row counts for it.
+    """
     keys = [k for k in facets if k.lower() != "confidence"]
-    pairs = F.concat(*(_pairs(k, values(k)) for k in keys))
+    pairs = F.concat(*(_pairs(k, rows.schema[k].dataType, (when or {}).get(k)) for k in keys))
     return rows.select(F.inline(pairs)).filter("value is not null").groupBy("facet", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _pairs(key: str, values):
+def _pairs(key: str, kind: T.DataType, on: Column | None) -> Column:
+    values = F.array_distinct(key) if isinstance(kind, T.ArrayType) else F.array(F.col(key).cast("string"))
+    values = values if on is None else F.when(on, values)
     return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(key).alias("facet"), v.alias("value")))
 
 
 def counts_without_own(rows: DataFrame, selected: dict, facets: tuple[str, ...] = FACETS) -> DataFrame:
-    """As facet_counts, each facet counted under the other facets' selections only."""
-    from mapweave.operators.predicates import facets_match
-
-    parts = [facet_counts(rows.filter(facets_match({k: v for k, v in selected.items() if k != f}, rows.schema)), (f,)) for f in facets]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """As facet_counts, each facet counted under the other facets' selections only; still one pass."""
+    return facet_counts(rows, facets, {f: facets_match({k: v for k, v in selected.items() if k != f}, rows.schema) for f in facets})
 
 
 def as_map(counts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions import text as tx
@@ -11,6 +11,11 @@ from mapweave.operators.predicates import other_justification, triple_match
 TRIPLE = ("subject_id_curie", "predicate_id_curie", "object_id_curie")
 
 
+def _matches() -> list[Column]:
+    fields = {"subject_match_field": "subject_matches", "object_match_field": "object_matches", "match_string": "match_strings"}
+    return [tx.join(F.col(c)).alias(name) for c, name in fields.items()]
+
+
 def view(rows: DataFrame) -> DataFrame:
     """uri, confidence, provider and the match fields as text."""
     return rows.select(
@@ -18,9 +23,7 @@ def view(rows: DataFrame) -> DataFrame:
         F.col("mapping_justification").alias("uri"),
         "confidence",
         F.col("mapping_provider").alias("provider"),
-        tx.join(F.col("subject_match_field")).alias("subject_matches"),
-        tx.join(F.col("object_match_field")).alias("object_matches"),
-        tx.join(F.col("match_string")).alias("match_strings"),
+        *_matches(),
     )
 
 
@@ -28,11 +31,14 @@ def drawer(rows: DataFrame) -> DataFrame:
     """Parameters of a row's drawer: identifiers by CURIE or IRI, the rest as text, falsy values empty."""
     ids = [tx.curie_or_iri(F.col(f"{k}_id_curie"), F.col(f"{k}_id")).alias(f"{k}_id") for k in ("subject", "predicate", "object")]
     conf = F.col("confidence")
-    return view(rows.select("*")).join(rows.select("uuid", *ids), "uuid").select(
-        "uuid", "subject_id", "predicate_id", "object_id", tx.or_empty(F.col("uri")).alias("uri"),
+    return rows.select(
+        "uuid",
+        *ids,
+        tx.or_empty(F.col("mapping_justification")).alias("uri"),
         F.when(tx.present(conf, rows.schema["confidence"].dataType), conf.cast("string")).otherwise("").alias("confidence"),
-        tx.or_empty(F.col("provider")).alias("provider"), "subject_matches", "object_matches", "match_strings",
-    )
+        tx.or_empty(F.col("mapping_provider")).alias("provider"),
+        *_matches(),
+    )
 
 
 def others_of(mappings: DataFrame, uuid: str) -> DataFrame:

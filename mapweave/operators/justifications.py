@@ -55,7 +55,8 @@ def of_triple(mappings: DataFrame, subject: str, predicate: str, obj: str, curre
 
 def by_triple(mappings: DataFrame) -> DataFrame:
     """All triples with their justifications, counted in one aggregation instead of a self-join."""
-    return mappings.groupBy(*TRIPLE).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mapping_justification").alias("n_justifications"), F.array_sort(F.collect_set("mapping_justification")).alias("justifications"))
+    every = mappings.groupBy(*TRIPLE).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("mapping_justification")).alias("justifications"))
+    return every.select(*TRIPLE, "n", F.size("justifications").cast("long").alias("n_justifications"), "justifications")
 
 
 def pairs(mappings: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mapweave.llm import exact_dedup, knn_quality, mixing, pieces, simhash
+from mapweave.llm import exact_dedup, knn_quality, mixing, near_copies, pieces
 from mapweave.llm.common import stage, table
 
 
@@ -17,7 +17,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_copies(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encode_stage(docs)
 
 
-STAGES = [("quality classifier", quality), ("exact dedup", exact), ("SimHash near-dedup", near), ("mixing to target weights", mix), ("SentencePiece encoding", encode)]
+STAGES = [("quality classifier", quality), ("exact dedup", exact), ("near-dedup", near), ("mixing to target weights", mix), ("SentencePiece encoding", encode)]
 
 #: SQL can express neither the trained classifier nor the components of the near copies.
 ORACLE_SQL = None

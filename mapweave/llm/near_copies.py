@@ -1,0 +1,162 @@
+"""Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+SimHash does not reach that far: at 0.8 two texts differ in about 15 % of a fingerprint's bits, too many for blocks.
+Candidates meet on MinHash bands instead: 28 bands of 5 values lose a pair at 0.8 with a probability of
+(1 - 0.8^5)^28, or 1.5 in 100,000. The bands' components are compared by the exact similarity of the shingles' hashes,
+so bands that meet by chance link nothing. Texts of one component larger than ``tile`` shingles are dealt out as pairs
+of tiles.
+
+Words are split and lower-cased as in ``simhash``. Fewer words than ``width`` are one shingle; null and empty texts
+have one empty shingle and are copies of each other. Of each group the row with the smallest id stays (nulls last),
+of rows with that id the one with the least text digest, of equal rows any one. An empty table gives an empty result;
+extra columns pass through.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stage, texts_of
+from .components import components
+
+BANDS, VALUES = 28, 5
+_FACTORS, _SHIFTS = (np.random.default_rng(s).integers(0, 1 << 64, BANDS * VALUES, np.uint64) | np.uint64(1) for s in (1, 2))
+#: The row number while rows are compared.
+_ROW = "_near_row"
+
+
+def shingles(text: str, width: int = 5) -> np.ndarray:
+    """Ascending hashes of the text's different shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= width:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))
+    k, xxh = len(words) - width + 1, xxhash.xxh3_64_intdigest
+    return np.unique(np.array([xxh(line[a:b]) for a, b in zip(starts[:k].tolist(), (ends[-k:] - 1).tolist(), strict=True)], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A signed long for each band of the MinHash values."""
+    least = np.full(BANDS * VALUES, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 2048):
+        h = hashes[i : i + 2048, None] * _FACTORS
+        h ^= h >> np.uint64(32)
+        h += _SHIFTS
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(least, h.min(axis=0), out=least)
+    return [int.from_bytes(xxhash.xxh3_64_digest(row.tobytes(), b), "big", signed=True) for b, row in enumerate(least.reshape(BANDS, VALUES))]
+
+
+def similar(sets: list[np.ndarray], num: int = 4, den: int = 5) -> list[tuple[int, int]]:
+    """Forest edges (places in sets) with the components of all pairs whose Jaccard similarity is num / den or more."""
+    size = np.array([len(s) for s in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(code, np.cumsum(size)[:-1])
+    left, edges = np.arange(len(sets)), []
+    while len(left) > 1:
+        # the places of each shingle among the texts without a component
+        part = np.concatenate([own[i] for i in left])
+        order = np.argsort(part, kind="stable")
+        place = np.repeat(np.arange(len(left)), size[left])[order]
+        begin = np.searchsorted(part[order], np.arange(code.max() + 2))
+        free, queue, done = np.ones(len(left), bool), [0], 0
+        free[0] = False
+        while done < len(left):
+            if not queue:
+                if 2 * done > len(left):
+                    break
+                queue = [int(free.argmax())]
+                free[queue[0]] = False
+            at = queue.pop()
+            done += 1
+            a, b = begin[own[left[at]]], begin[own[left[at]] + 1]
+            n = b - a
+            met = place[np.repeat(b - np.cumsum(n), n) + np.arange(n.sum())]
+            both = np.bincount(met[free[met]], minlength=len(left))
+            hit = np.flatnonzero(free & ((num + den) * both >= num * (size[left] + size[left[at]])))
+            free[hit] = False
+            edges += [(int(left[at]), int(left[i])) for i in hit]
+            queue += hit.tolist()
+        left = left[free]
+    return edges
+
+
+def _sketches(numbered: DataFrame, id_col: str, width: int) -> DataFrame:
+    """row, id, digest of the text, key (a hash of the set of shingles), n (of shingles) and bands."""
+    rows = numbered.select(_ROW, F.col(f"`{id_col}`").alias("id"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, found, digests = [], [], [], []
+            for t in texts_of(batch):
+                h = shingles(t, width)
+                keys.append(int.from_bytes(xxhash.xxh3_64_digest(h.tobytes()), "big", signed=True))
+                sizes.append(len(h))
+                found.append(bands(h))
+                digests.append(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")))
+            cols = [pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(_ROW), batch.column("id"), *cols], [_ROW, "id", "digest", "key", "n", "bands"])
+
+    kind = numbered.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"{_ROW} long, id {kind}, digest binary, key long, n long, bands array<long>")
+
+
+def _compared(cells: DataFrame, width: int) -> DataFrame:
+    """Edges (u, v) of the similar texts in each cell (root, a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, sets = None, [], []
+
+        def done():
+            found = similar(sets) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([keys[e[i]] for e in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            names = zip(*(batch.column(c).to_pylist() for c in ("root", "a", "b")), strict=True)
+            for cell, key, text in zip(names, batch.column("key").to_pylist(), texts_of(batch), strict=True):
+                if cell != now:
+                    yield done()
+                    now, keys, sets = cell, [], []
+                keys.append(key)
+                sets.append(shingles(text, width))
+        yield done()
+
+    dealt = cells.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def _groups(numbered: DataFrame, id_col: str, width: int, tile: int) -> DataFrame:
+    """The rows' numbers and whether they stay."""
+    marked = stage(_sketches(numbered, id_col, width))
+    best = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", F.col(_ROW).alias("row"))
+    sets = stage(marked.groupBy("key").agg(F.min(best).alias("best"), F.first("n").alias("n")))
+
+    met = marked.select("key", F.explode("bands").alias("band"))
+    shared = met.groupBy("band").agg(F.min("key").alias("u"), F.max("key").alias("v")).filter("u < v").select("band", "u")
+    near = components(met.join(shared, "band").filter("key <> u").select("u", F.col("key").alias("v")))
+
+    held = stage(sets.join(near, sets["key"] == near["node"]).select("key", "root", "n", F.col("best.row").alias(_ROW)))
+    tiles = held.groupBy("root").agg(F.ceil(F.sum("n") / tile).alias("tiles"))
+    dealt = held.join(tiles, "root").withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    dealt = dealt.select(_ROW, "key", "root", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"))
+    linked = components(_compared(numbered.select(_ROW, "text").join(dealt, _ROW), width))
+
+    rooted = sets.join(linked, sets["key"] == linked["node"], "left").select("key", "best", F.coalesce("root", "key").alias("root"))
+    stays = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(_ROW))
+    return stays
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", width: int = 5, tile: int = 1_000_000) -> DataFrame:
+    """One row of each group of near copies, and all rows without any."""
+    numbered = stage(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+    stays = _groups(numbered, id_col, width, tile)
+    return numbered.join(stays, _ROW, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -11,7 +11,7 @@ The default of 7 blocks makes 35 keys of 27 or 28 bits: at 10^9 distinct fingerp
 
 Null and empty texts have no words and the fingerprint zero; they link like any other. Rows with a null id get a
 component like all rows; nulls are passed over when its smallest id is taken. An empty table gives an empty
-result; extra columns, whatever their names, are ignored by ``near_groups`` and kept by ``drop_near_copies``.
+result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -186,13 +186,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", max_bits: int = 4, bloc
     return marked.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The document with the smallest id of each group stays (ids are unique after exact dedup; null ids stay)."""
-    groups = near_groups(docs, id_col)
-    gone = groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
-
-
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 
 import corpus_pipeline
 from mapweave.llm import near_copies
@@ -55,6 +56,24 @@ def test_stage_against_brute_force(spark):
     assert len(rows) - len(want) >= 20 and sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("tile", [1_000_000, 100])
+def test_rows_are_told_apart_by_more_than_their_id(spark, tile):
+    base = [f"word{i}" for i in range(80)]
+    near = " ".join([*base[:40], "changed", *base[41:]])
+    rows = [
+        (1, " ".join(base), "a"), (2, near, "b"), (2, "a clean text with the id of a near copy", "c"),
+        (5, "repeated rows are one group of copies", "d"), (5, "repeated rows are one group of copies", "d"),
+        (None, "no id and no copy of it", "e"), (None, "two rows without an id are copies", "f"), (None, "two rows WITHOUT an id are copies", "g"),
+        (None, near, "h"), (7, None, "i"), (8, "", "j"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    got = near_copies.drop_near_copies(docs, tile=tile)
+    assert got.columns == docs.columns
+    left = sorted(r._row for r in got.collect())
+    assert len(left) == 6 and [x for x in left if x not in "fg"] == ["a", "c", "d", "e", "i"]
+    assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+
+
 def test_similar_finds_all_components():
     rng = np.random.default_rng(4)
     base = [np.unique(rng.integers(0, 10**6, 50, np.uint64)) for _ in range(12)]

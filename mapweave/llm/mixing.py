@@ -2,14 +2,16 @@
 
 Documents fall into cells of source, language and topic; the cells' token sums are one small aggregation. The
 weights of the cells are raked in turn to the three marginals until no marginal is off by more than ``tolerance``.
-A document's probability is its cell's target weight over its present weight, times a factor that makes the
-expected number of sampled tokens ``share`` of all, and 1 at most. Documents are sampled by a hash of their id
-and text, so a rerun takes the same ones.
+A document's ``rate`` is its cell's target weight over its present weight, times a factor that makes the expected
+number of sampled tokens ``share`` of all. It is taken ``copies`` times: as often as the rate has wholes, and once more
+with the probability of the fraction, so the expected tokens have the target weights. ``p`` and ``kept`` are for those
+who take a document once at most: the rate is cut off at 1 and the factor raised until share is met, so the weights
+are missed where cells are cut off. Documents are sampled by a hash of their id and text, so a rerun takes the same.
 
 Topics are classes of form (table, marked, shouting, short, long, medium), as the documents name none. Where no
 targets are given, those of source and language are the present shares to the power ``flatten``, topics keep
 their shares. Null sources and languages are values of their own. Null and empty texts have no tokens, weigh
-nothing in the marginals and are sampled with the probability of their cell (1 if it has no tokens). Repeated rows
+nothing in the marginals and are sampled with the rate of their cell (1 if it has no tokens). Repeated rows
 share their fate. An empty table gives an empty result; extra columns pass through.
 """
 
@@ -70,7 +72,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
 
 
 def rates(raked: DataFrame, share: float) -> DataFrame:
-    """Probabilities p <= 1 in proportion to w / present weight, so that share of all tokens is expected."""
+    """Probabilities p <= 1 and rates in proportion to w / present weight, so that share of all tokens is expected."""
     r = raked.withColumn("ratio", F.col("w") / F.col("tokens"))
     total, least, most = r.agg(F.sum("tokens"), F.min("ratio"), F.max("ratio")).first()
     low, high = math.log(1e-9 / most), math.log(1 / least)
@@ -79,30 +81,35 @@ def rates(raked: DataFrame, share: float) -> DataFrame:
         got = r.agg(*(F.sum(F.least(F.lit(1.0), F.col("ratio") * math.exp(x)) * F.col("tokens")) for x in tries)).first()
         at = next((i for i in range(1, 33) if got[i] >= share * total), 32)
         low, high = tries[at - 1], tries[at]
-    return r.select(*DIMS, F.least(F.lit(1.0), F.col("ratio") * math.exp(high)).alias("p"))
+    p = F.least(F.lit(1.0), F.col("ratio") * math.exp(high))
+    return r.select(*DIMS, p.alias("p"), (F.col("ratio") * F.lit(share * total)).alias("rate"))
 
 
 def mix(docs: DataFrame, share: float = 0.8, flatten: float = 0.7, targets: dict[str, DataFrame] | None = None, tolerance: float = 1e-6) -> DataFrame:
-    """docs' columns and the struct _mix: topic, tokens, p, kept."""
+    """docs' columns and the struct _mix: topic, tokens, p, kept, rate, copies."""
     sized = docs.withColumn("_tokens", n_tokens(F.col("text")))
     sized = sized.withColumn("_topic", form_topic(F.coalesce("text", F.lit("")), F.col("_tokens")))
     cells = stage(sized.groupBy("source", "lang", F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")).filter("tokens > 0"))
     if cells.isEmpty():
-        p = cells.select(*DIMS, F.lit(1.0).alias("p"))
+        p = cells.select(*DIMS, F.lit(1.0).alias("p"), F.lit(1.0).alias("rate"))
     else:
         goals = {d: targets[d] if targets and d in targets else targets_of(cells, d, 1.0 if d == "topic" else flatten) for d in DIMS}
         p = stage(rates(rake(cells, goals, tolerance), share))
-    p = p.select(*(F.col(d).alias(f"_p_{d}") for d in DIMS), F.col("p").alias("_p"))
+    p = p.select(*(F.col(d).alias(f"_p_{d}") for d in DIMS), F.col("p").alias("_p"), F.col("rate").alias("_rate"))
     on = sized["source"].eqNullSafe(p["_p_source"]) & sized["lang"].eqNullSafe(p["_p_lang"]) & (sized["_topic"] == p["_p_topic"])
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    prob = F.coalesce("_p", F.lit(1.0))
-    made = F.struct(F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), prob.alias("p"), (chance < prob).alias("kept"))
+    prob, rate = F.coalesce("_p", F.lit(1.0)), F.coalesce("_rate", F.lit(1.0))
+    copies = (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int")
+    made = F.struct(F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), prob.alias("p"), (chance < prob).alias("kept"), rate.alias("rate"), copies.alias("copies"))
     return sized.join(p, on, "left").select(*(F.col(f"`{c}`") for c in docs.columns), made.alias("_mix"))
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    return mix(docs).filter("_mix.kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """Each document as often as the mix takes it."""
+    rows = mix(docs).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies"))))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "_mix.topic", "_mix.tokens", F.round("_mix.p", 6).alias("p"), "_mix.kept")
+    found = mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "source", "lang", "_mix.topic", "_mix.tokens", F.round("_mix.p", 6).alias("p"), "_mix.kept", F.round("_mix.rate", 6).alias("rate"), "_mix.copies")

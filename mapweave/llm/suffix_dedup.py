@@ -1,16 +1,22 @@
-"""Repeated byte strings, found by longest-previous-factor arrays.
-
-Each 400-byte string (``width``) has an anchor: the 16-byte gram in it whose hash is least (the leftmost of equal
-ones). Equal strings have the same anchor at the same offset, so it is enough to compare strings with one anchor.
-The starts that share an anchor form a run, and its segment is the bytes that they cover. Anchors that occur once
-are left out; equal segments are collapsed by hash (their runs are repeats as a whole). What is left is a few
-different segments for an anchor. Their starts are sorted in suffix order; where neighbours agree in ``width``
-bytes, the previous and next smaller positions give each start's longest earlier match (and, mirrored, its longest
-later match). Anchors with over ``most`` different segments are compared start by start with rolling hashes, and
-those with over ``most_in_task`` by a shuffle on each start's hash, so no anchor is left out or cut.
-
-keep="first" removes the strings that match an earlier place (by id, then position) and keeps the first;
-keep="none" also removes the first. Matches never cross documents and are judged on the input.
+"""Repeated byte strings, found by longest-previous-factor arrays over anchored suffix orders.
+
+Each string of ``passage`` bytes has an anchor: the 32-byte gram in it whose hash is least (the leftmost of equal
+ones). Equal strings have the same anchor at the same distance, so a match of ``passage`` bytes or more can only be
+between starts with one anchor and one distance. The starts that share an anchor form a run; its segment is the bytes
+that they reach within ``width``. Anchors that occur once are left out, and equal segments (told by 128 bits of hash)
+are collapsed to the earliest: the others are later copies of it as a whole.
+
+The segments of an anchor are put in the suffix order of what lies from the anchor on, with the common prefix of
+neighbours. A start at distance b before the anchor adds b bytes to such a suffix, so the starts at distance b are in
+the same order within each class of segments whose b bytes before the anchor agree. For each class the previous and
+next smaller positions in that order give the longest earlier match of each start (longest-previous-factor array) and,
+with the order of positions turned round, the longest later one. Classes only split as b grows, so each is handled
+once for all its distances. Anchors with over ``most_in_task`` different segments are compared by a shuffle on the
+hash of each start's string instead, so no anchor is left out or cut.
+
+keep="first" removes the strings of ``width`` bytes that match an earlier place (by id, then position) and keeps the
+first; keep="none" also removes the first. Matches never cross documents and are judged on the input. Besides, each
+text that shares ``passage`` bytes or more (300: about 50 words) with another document is marked.
 
 Null texts count as empty. Documents with the same text are told apart by their id only: with keep="first" the
 rows with the smallest id (null is smallest) stay. An empty table gives an empty result; extra columns are ignored.
@@ -29,10 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import stage, table
 
-GRAM = 16
-_NO_LIMIT = 1 << 60
+GRAM = 32
 _CHUNK_BITS = 21
-_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_LOW = np.uint64((1 << _CHUNK_BITS) - 1)
+_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
 def _least(x: np.ndarray, m: int) -> np.ndarray:
@@ -45,37 +51,37 @@ def _least(x: np.ndarray, m: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[m - 1 : m - 1 + n])
 
 
-def anchor_runs(data: bytes, ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents laid end to end (under 2^21 bytes each time): anchor hash, first start and last start of each run."""
+def anchor_runs(data: bytes, ends: np.ndarray, passage: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of documents laid end to end (under 2^21 bytes each time): anchor hash, its place, first and last start of each run."""
     none = np.zeros(0, np.int64)
-    if len(data) < width:
-        return none.astype(np.uint64), none, none
+    if len(data) < passage:
+        return none.astype(np.uint64), none, none, none
     w = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    h = w[:-8] * _A
-    h += w[8:] * _B
-    h ^= h >> np.uint64(32)
-    h *= _C
+    n = len(data) - GRAM + 1
+    h = w[:n] * _FACTORS[0]
+    for i, f in enumerate(_FACTORS[1:], 1):
+        h += w[8 * i : 8 * i + n] * f
+        h ^= h >> np.uint64(32)
+    h *= _FACTORS[1]
     h ^= h >> np.uint64(29)
-    low = np.uint64((1 << _CHUNK_BITS) - 1)
-    least = _least((h & ~low) | np.arange(len(h), dtype=np.uint64), width - GRAM + 1)
+    least = _least((h & ~_LOW) | np.arange(n, dtype=np.uint64), passage - GRAM + 1)
     valid = np.zeros(len(least), bool)
-    for a, b in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
-        if b - a >= width:
-            valid[a : b - width + 1] = True
+    for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True):
+        if b - a >= passage:
+            valid[a : b - passage + 1] = True
     starts = np.flatnonzero(valid)
     if not len(starts):
-        return none.astype(np.uint64), none, none
-    at = (least[starts] & low).astype(np.int64)
-    new = np.concatenate(([True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)))
-    first = np.flatnonzero(new)
-    return h[at[first]], starts[first], starts[np.concatenate((first[1:], [len(starts)])) - 1]
+        return none.astype(np.uint64), none, none, none
+    at = (least[starts] & _LOW).astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1))))
+    return h[at[first]], at[first], starts[first], starts[np.concatenate((first[1:], [len(starts)])) - 1]
 
 
-def _pieces(texts: list[bytes], width: int) -> Iterator[list[int]]:
+def _pieces(texts: list[bytes], passage: int) -> Iterator[list[int]]:
     """Indices of texts that together are under 2^21 bytes; a longer text comes alone."""
     now, size = [], 0
     for i, t in enumerate(texts):
-        if len(t) < width:
+        if len(t) < passage:
             continue
         if now and size + len(t) >= 1 << _CHUNK_BITS:
             yield now
@@ -86,28 +92,49 @@ def _pieces(texts: list[bytes], width: int) -> Iterator[list[int]]:
         yield now
 
 
-def runs_of(texts: list[bytes], width: int) -> list[list[tuple[int, int, int, int]]]:
-    """For each text: (anchor hash, segment hash, first start, number of starts) of each run."""
+def runs_of(texts: list[bytes], passage: int, width: int) -> list[list[tuple[int, int, int, int]]]:
+    """For each text: (anchor hash, segment hash, first start, form) of each run; form: see form_of."""
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
-    for part in _pieces(texts, width):
-        step = (1 << _CHUNK_BITS) - 1
+    step = (1 << _CHUNK_BITS) - 1
+    for part in _pieces(texts, passage):
         if len(part) == 1 and len(texts[part[0]]) > step:  # a long text in overlapping parts; a run that is cut is two runs
-            t, k = texts[part[0]], part[0]
-            parts = [(k, a, t[a : a + step]) for a in range(0, len(t) - width + 1, step - width + 1)]
-            groups = [([k], a, p, np.array([len(p)])) for k, a, p in parts]
+            t = texts[part[0]]
+            groups = [(part, a, t[a : a + step], np.array([min(step, len(t) - a)])) for a in range(0, len(t) - passage + 1, step - passage + 1)]
         else:
             groups = [(part, 0, b"".join(texts[i] for i in part), np.cumsum([len(texts[i]) for i in part]))]
         for ids, shift, data, ends in groups:
-            hashes, first, last = anchor_runs(data, ends, width)
+            hashes, at, first, last = anchor_runs(data, ends, passage)
             which = np.searchsorted(ends, first, side="right")
-            begin = np.concatenate(([0], ends[:-1]))
-            for h, a, b, i in zip(hashes.view(np.int64).tolist(), first.tolist(), last.tolist(), which.tolist(), strict=True):
-                sh = xxhash.xxh3_64_intdigest(data[a : b + width])
-                out[ids[i]].append((h, sh - (1 << 64) if sh >> 63 else sh, a - int(begin[i]) + shift, b - a + 1))
+            begin = np.concatenate(([0], ends[:-1]))[which] - shift
+            off, n, first = at - first, last - first + 1, first - begin
+            stop = np.minimum(last - begin + width, np.array([len(texts[i]) for i in ids])[which])
+            form = form_of(n, off, stop - first)
+            for h, a, b, f, i in zip(hashes.view(np.int64).tolist(), first.tolist(), stop.tolist(), form.tolist(), which.tolist(), strict=True):
+                sh = xxhash.xxh3_64_intdigest(texts[ids[i]][a:b], f)
+                out[ids[i]].append((h, sh - (1 << 64) if sh >> 63 else sh, a, f))
     return out
 
 
-def longest_previous(order: list, lcp: list[int]) -> list[int]:
+def form_of(n, off, size):
+    """Number of starts, distance of the first start to the anchor, and bytes of a segment, in one integer."""
+    return n << 40 | off << 20 | size
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        mid = (low + high) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid
+    return low
+
+
+def longest_previous(order: list[int], lcp: list[int]) -> list[int]:
     """Longest-previous-factor array of suffixes whose positions are in suffix order.
 
     lcp[i] is the common prefix of the suffixes i - 1 and i of that order. The previous and the next smaller
@@ -115,7 +142,7 @@ def longest_previous(order: list, lcp: list[int]) -> list[int]:
     """
     n, out = len(order), [0] * len(order)
     for seq in (range(n), range(n - 1, -1, -1)):
-        stack: list[list] = []  # position, and the least lcp since it
+        stack: list[list[int]] = []  # position, and the least lcp since it
         for i in seq:
             common = lcp[i] if seq.step > 0 else (lcp[i + 1] if i + 1 < n else 0)
             if stack:
@@ -124,224 +151,213 @@ def longest_previous(order: list, lcp: list[int]) -> list[int]:
                 least = stack.pop()[1]
                 if stack:
                     stack[-1][1] = min(stack[-1][1], least)
-            if stack:
-                out[i] = max(out[i], stack[-1][1])
-            stack.append([order[i], _NO_LIMIT])
+            if stack and stack[-1][1] > out[i]:
+                out[i] = stack[-1][1]
+            stack.append([order[i], 1 << 60])
     return out
 
 
 class Segment:
-    """A representative of equal segments: its place, number of starts, occurrences and bytes."""
-
-    __slots__ = ("count", "data", "digest", "first", "n", "owner")
-
-    def __init__(self, owner, digest, first, n, count, data):
-        self.owner, self.digest, self.first, self.n, self.count, self.data = owner, digest, first, n, count, data
-
-
-def repeated_starts(segments: list[Segment], width: int, keep: str) -> list[list[int]]:
-    """For each segment the starts (0 is its first) that are repeats, by suffix order."""
-    windows = [(s.data[i : i + width], k, i) for k, s in enumerate(segments) for i in range(s.n)]
-    windows.sort(key=lambda w: w[0])
-    out: list[list[int]] = [[] for _ in segments]
-    a = 0
-    while a < len(windows):
-        b = a + 1
-        while b < len(windows) and windows[b][0] == windows[a][0]:
-            b += 1
-        if b > a + 1:  # these suffixes agree in width bytes, their neighbours in fewer
-            block = windows[a:b]
-            place = [(segments[k].owner is not None, segments[k].owner, segments[k].digest, segments[k].first + i) for _, k, i in block]
-            rank = {p: r for r, p in enumerate(sorted(place, key=lambda p: (p[0], p[1] if p[0] else 0, *p[2:])))}
-            at, lcp = [rank[p] for p in place], [0] + [width] * (len(block) - 1)
-            longest = longest_previous(at, lcp)
-            if keep == "none":  # longest later matches: the mirrored order
-                longest = [max(x, y) for x, y in zip(longest, longest_previous([-x for x in at], lcp), strict=True)]
-            for (_, k, i), x in zip(block, longest, strict=True):
-                if x >= width:
-                    out[k].append(i)
-        a = b
-    return [sorted(x) for x in out]
-
-
-def repeated_by_hash(segments: list[Segment], offsets: list[int], width: int, keep: str) -> list[list[int]]:
-    """As repeated_starts, for many segments: offsets is the anchor's place in each, and windows meet by its distance."""
-    out: list[list[int]] = [[] for _ in segments]
-    order = sorted(range(len(segments)), key=lambda k: (segments[k].owner is not None, segments[k].owner or 0, segments[k].digest, segments[k].first))
-    for back in range(width - GRAM + 1):
-        on = [k for k in order if 0 <= offsets[k] - back < segments[k].n]
-        if len(on) < 2:
+    """A representative of equal segments: its place, number of starts, distance to the anchor, bytes and whether several texts have it."""
+
+    __slots__ = ("data", "digest", "first", "n", "off", "owner", "several")
+
+    def __init__(self, owner, digest, first, form, several, data):
+        self.owner, self.digest, self.first, self.several, self.data = owner, digest, first, several, data
+        self.n, self.off = form >> 40, form >> 20 & 0xFFFFF
+
+
+def repeated_starts(segments: list[Segment], passage: int, width: int, keep: str) -> list[tuple[list[tuple[int, int]], bool]]:
+    """Of different segments with one anchor: ranges of starts (0 is a segment's first) whose width bytes are repeats, and whether another text shares a passage."""
+    place = sorted(range(len(segments)), key=lambda k: (segments[k].owner is not None, segments[k].owner or 0, segments[k].digest, segments[k].first + segments[k].off))
+    rank = [0] * len(segments)
+    for r, k in enumerate(place):
+        rank[k] = r
+    right = [s.data[s.off :] for s in segments]
+    suffixes = sorted(range(len(segments)), key=right.__getitem__)
+    lcp = [0] + [_common(right[a], right[b]) for a, b in zip(suffixes, suffixes[1:], strict=False)]
+    back = [segments[k].data[: segments[k].off][::-1] for k in suffixes]
+    # what lies before the anchors, from the anchor on backwards: neighbours in this order make up the classes
+    lefts = sorted(range(len(suffixes)), key=back.__getitem__)
+    agree = [0] + [_common(back[a], back[b]) for a, b in zip(lefts, lefts[1:], strict=False)]
+
+    ranges: list[list[tuple[int, int]]] = [[] for _ in segments]
+    shared = [False] * len(segments)
+    classes = [(0, len(lefts), -1)]  # a range of lefts, and the distance up to which the class above it reaches
+    while classes:
+        a, b, above = classes.pop()
+        if b - a < 2:
             continue
-        seen: dict[bytes, int] = {}
-        hashes = [xxhash.xxh3_128_digest(segments[k].data[offsets[k] - back : offsets[k] - back + width]) for k in on]
-        for x in hashes:
-            seen[x] = seen.get(x, 0) + 1
-        met: set[bytes] = set()
-        for k, x in zip(on, hashes, strict=True):
-            if seen[x] > 1 and (keep == "none" or x in met):
-                out[k].append(offsets[k] - back)
-            met.add(x)
-    return [sorted(x) for x in out]
-
-
-def to_spans(starts: list[int], width: int) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s in starts:
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], s + width)
-        else:
-            out.append((s, s + width))
-    return out
-
-
-_SEG = "h long, sh long, owner {id}, digest binary, first long, n long, count long, off long, seg binary"
-
-
-def _compare(rows: DataFrame, kind: str, width: int, keep: str, most: int, most_in_task: int) -> DataFrame:
-    """Spans of repeats (digest, a, b); anchors with over most_in_task segments come back as rows with seg."""
-    names = [x.split()[0] for x in _SEG.split(", ")]
-    types = [pa.int64(), pa.int64(), None, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        reach = min(agree[a + 1 : b])
+        if reach > above:
+            _class(segments, suffixes, lcp, rank, sorted(lefts[a:b]), above + 1, reach, passage, width, keep, ranges, shared)
+        cuts = [a, *(i for i in range(a + 1, b) if agree[i] == reach), b]
+        classes += [(x, y, reach) for x, y in zip(cuts, cuts[1:], strict=False)]
+    return list(zip(ranges, shared, strict=True))
+
+
+def _class(segments, suffixes, lcp, rank, members, low, high, passage, width, keep, ranges, shared) -> None:
+    """Starts at distances low to high of the members (places in the suffix order), whose bytes before the anchor agree so far."""
+    if len(members) == len(suffixes):
+        common = lcp
+    else:
+        common = [0] + [min(lcp[x + 1 : y + 1]) for x, y in zip(members, members[1:], strict=False)]
+    if max(common) + high < passage:
+        return
+    own = [suffixes[i] for i in members]
+    order = [rank[k] for k in own]
+    longest = longest_previous(order, common)
+    if keep == "none":  # the longest later match too
+        longest = [max(x, y) for x, y in zip(longest, longest_previous([-x for x in order], common), strict=True)]
+    for k, r in zip(own, longest, strict=True):
+        s = segments[k]
+        far, near = min(high, s.off), max(low, s.off - s.n + 1, width - r)
+        if near <= far:
+            ranges[k].append((s.off - far, s.off - near))
+    at = 0
+    while at < len(own):  # suffixes that agree far enough for a passage at the largest distance
+        end = at + 1
+        while end < len(own) and common[end] + high >= passage:
+            end += 1
+        if end > at + 1 and (len({segments[k].digest for k in own[at:end]}) > 1 or any(segments[k].several for k in own[at:end])):
+            for k in own[at:end]:
+                shared[k] = shared[k] or segments[k].off - segments[k].n < high
+        at = end
+
+
+_SEG = "h long, sh long, owner {id}, digest binary, first long, form long, several boolean, seg binary"
+_FOUND = "digest binary, a long, b long, shared boolean"
+
+
+def _compare(rows: DataFrame, passage: int, width: int, keep: str) -> DataFrame:
+    """Spans of repeats (digest, a, b, shared) in the segments of each anchor; a is null in rows that only mark the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner_type = None
-        group: dict[int, tuple[Segment, int]] = {}
-        now, over = None, False
-        found: list[tuple[bytes, int, int]] = []
-        passed: list[tuple] = []
+        group: dict[int, Segment] = {}
+        now, found = None, []
 
         def finish():
-            nonlocal group
-            if len(group) > 1 and not over:
-                segs, offs = [g[0] for g in group.values()], [g[1] for g in group.values()]
-                done = repeated_starts(segs, width, keep) if len(segs) <= most else repeated_by_hash(segs, offs, width, keep)
-                for s, starts in zip(segs, done, strict=True):
-                    found.extend((s.digest, s.first + a, s.first + b) for a, b in to_spans(starts, width))
-            group = {}
+            if len(group) > 1:
+                segs = list(group.values())
+                for s, (ranges, shared) in zip(segs, repeated_starts(segs, passage, width, keep), strict=True):
+                    found.extend((s.digest, s.first + x, s.first + y + width, shared) for x, y in ranges)
+                    if shared and not ranges:
+                        found.append((s.digest, None, None, True))
+            group.clear()
 
         def out():
-            cols = [pa.nulls(len(found), t or owner_type) for t in types]
-            cols[3] = pa.array([f[0] for f in found], pa.binary())
-            one = pa.RecordBatch.from_arrays([*cols, pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64())], [*names, "a", "b"])
-            two = [pa.array(list(c), t or owner_type) for c, t in zip(zip(*passed, strict=True), types, strict=True)] if passed else [pa.nulls(0, t or owner_type) for t in types]
-            rest = pa.RecordBatch.from_arrays([*two, pa.nulls(len(passed), pa.int64()), pa.nulls(len(passed), pa.int64())], [*names, "a", "b"])
+            cols = list(zip(*found, strict=True)) or [[]] * 4
             found.clear()
-            passed.clear()
-            return [x for x in (one, rest) if x.num_rows]
+            types = (pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["digest", "a", "b", "shared"])
 
         for batch in batches:
-            owner_type = batch.schema.field("owner").type
-            for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-                h, sh, owner, digest, first, n, count, off, seg = row
+            for h, sh, *rest in zip(*(batch.column(x.split()[0]).to_pylist() for x in _SEG.split(", ")), strict=True):
                 if h != now:
                     finish()
-                    now, over = h, False
-                if over:
-                    passed.append(row)
-                elif sh not in group:
-                    group[sh] = (Segment(owner, digest, first, n, count, seg), off)
-                    if len(group) > most_in_task:
-                        passed.extend((h, k, s.owner, s.digest, s.first, s.n, s.count, o, s.data) for k, (s, o) in group.items())
-                        group, over = {}, True
-                if len(found) + len(passed) > 20_000:
-                    yield from out()
-            yield from out()
+                    now = h
+                if sh not in group:
+                    group[sh] = Segment(*rest)
+                if len(found) > 20_000:
+                    yield out()
         finish()
-        if owner_type is not None:
-            yield from out()
+        yield out()
 
-    return rows.repartition("h").sortWithinPartitions("h", "sh").mapInArrow(run, _SEG.format(id=kind) + ", a long, b long")
+    return rows.repartition("h").sortWithinPartitions("h", "sh").mapInArrow(run, _FOUND)
 
 
-def _windows(rows: DataFrame, kind: str, width: int) -> DataFrame:
-    """A row with the hash of each start of the segments."""
+def _windows(rows: DataFrame, kind: str, size: int) -> DataFrame:
+    """A row with the hash of each start's size bytes, of all segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for owner, digest, first, n, seg in zip(*(batch.column(c).to_pylist() for c in ("owner", "digest", "first", "n", "seg")), strict=True):
-                hashes = [xxhash.xxh3_128_digest(seg[i : i + width]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array([owner] * n, batch.schema.field("owner").type), pa.array([digest] * n, pa.binary()), pa.array(range(first, first + n), pa.int64())], ["w", "owner", "digest", "at"])
+            for owner, digest, first, form, several, seg in zip(*(batch.column(c).to_pylist() for c in ("owner", "digest", "first", "form", "several", "seg")), strict=True):
+                n = min(form >> 40, len(seg) - size + 1)
+                if n > 0:
+                    hashes = [xxhash.xxh3_128_digest(seg[i : i + size]) for i in range(n)]
+                    same = lambda x, t: pa.array([x] * n, t)  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), same(owner, batch.schema.field("owner").type), same(digest, pa.binary()), same(several, pa.bool_()), pa.array(range(first, first + n), pa.int64())], ["w", "owner", "digest", "several", "at"])
 
-    return rows.mapInArrow(run, f"w binary, owner {kind}, digest binary, at long")
+    return rows.mapInArrow(run, f"w binary, owner {kind}, digest binary, several boolean, at long")
+
+
+def _by_window(large: DataFrame, kind: str, passage: int, width: int, keep: str) -> DataFrame:
+    """As _compare, for anchors with many segments: equal strings meet by their hash."""
+    where = F.struct(F.col("owner").isNotNull().alias("has"), "owner", "digest", "at")
+    at = _windows(large, kind, width)
+    hit = at.join(at.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.min(where).alias("rep")).filter("c > 1"), "w")
+    if keep == "first":
+        hit = hit.filter((F.col("digest") != F.col("rep.digest")) | (F.col("at") != F.col("rep.at")))
+    spans = hit.select("digest", F.col("at").alias("a"), (F.col("at") + width).alias("b"), F.lit(False).alias("shared"))
+    at = _windows(large, kind, passage)
+    met = at.groupBy("w").agg(((F.min("digest") != F.max("digest")) | F.max("several")).alias("shared")).filter("shared")
+    marks = at.join(met, "w", "left_semi").select("digest").distinct()
+    none = F.lit(None).cast("long")
+    return spans.union(marks.select("digest", none.alias("a"), none.alias("b"), F.lit(True).alias("shared")))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, keep: str = "none", most: int = 400, most_in_task: int = 20_000) -> DataFrame:
-    """digest (of the text), owner (smallest id with it), copies, spans: array of (a, b) to remove, and no other text's.
+def repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, keep: str = "none", passage: int = 300, most_in_task: int = 50_000) -> DataFrame:
+    """digest (of the text), owner (smallest id with it), copies, spans: array of (a, b) to remove, and shared.
 
-    With keep="none", a text of at least width bytes with several copies has one span, the whole."""
+    With keep="none", a text of at least width bytes with several copies goes as a whole, whatever its spans."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _digested(docs, id_col)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = runs_of(batch.column("data").to_pylist(), width)
+            found = runs_of(batch.column("data").to_pylist(), passage, width)
             cols = [pa.array([[r[i] for r in f] for f in found], pa.list_(pa.int64())) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *cols], ["id", "digest", "h", "sh", "first", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *cols], ["id", "digest", "h", "sh", "first", "form"])
 
-    made = rows.select("id", "digest", F.col("text").cast("binary").alias("data")).mapInArrow(anchors, f"id {kind}, digest binary, h array<long>, sh array<long>, first array<long>, n array<long>")
-    texts = stage(made.groupBy("digest").agg(F.min("id").alias("owner"), F.max(F.col("id").isNull()).alias("_null"), F.count(F.lit(1)).alias("copies"), F.first(F.arrays_zip("h", "sh", "first", "n")).alias("runs")))
+    made = rows.select("id", "digest", F.col("text").cast("binary").alias("data")).mapInArrow(anchors, f"id {kind}, digest binary, h array<long>, sh array<long>, first array<long>, form array<long>")
+    texts = stage(made.groupBy("digest").agg(F.min("id").alias("owner"), F.max(F.col("id").isNull()).alias("_null"), F.count(F.lit(1)).alias("copies"), F.first(F.arrays_zip("h", "sh", "first", "form")).alias("runs")))
     texts = texts.withColumn("owner", F.when(~F.col("_null"), F.col("owner"))).drop("_null")
-    occ = texts.select("digest", "owner", F.inline("runs"))
-    often = occ.groupBy("h").agg(F.count(F.lit(1)).alias("_c"), (F.min("sh") != F.max("sh")).alias("mixed")).filter("_c > 1").drop("_c")
-    often = stage(occ.join(often, "h"))
-    place = F.struct(F.col("owner").isNotNull().alias("has"), "owner", "digest", "first", "n")
-    segs = stage(often.groupBy("h", "sh").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("count"), F.first("mixed").alias("mixed")))
-
-    whole = often.join(segs.filter("count > 1").select("h", "sh", "rep"), ["h", "sh"])
+    occ = texts.select("digest", "owner", (F.col("copies") > 1).alias("copied"), F.inline("runs"))
+    # staged before each join: a side that is only exchanged can be split where a key is hot
+    often = stage(occ.groupBy("h").agg(F.count(F.lit(1)).alias("_c"), (F.min("sh") != F.max("sh")).alias("mixed")).filter("_c > 1").drop("_c"))
+    often = stage(occ.join(often.hint("merge"), "h"))
+    place = F.struct(F.col("owner").isNotNull().alias("has"), "owner", "digest", "first", "form")
+    several = (F.min("digest") != F.max("digest")) | F.max("copied")
+    segs = stage(often.groupBy("h", "sh").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("count"), several.alias("several"), F.first("mixed").alias("mixed")))
+
+    whole = often.join(segs.filter("count > 1").select("h", "sh", "rep", "several").hint("merge"), ["h", "sh"])
+    size = F.col("form").bitwiseAND(F.lit(0xFFFFF))
+    gone = size >= width
     if keep == "first":
-        whole = whole.filter((F.col("digest") != F.col("rep.digest")) | (F.col("first") != F.col("rep.first")))
-    whole = whole.select("digest", F.col("first").alias("a"), (F.col("first") + F.col("n") - 1 + width).alias("b"))
+        gone = gone & ((F.col("digest") != F.col("rep.digest")) | (F.col("first") != F.col("rep.first")))
+    whole = whole.select("digest", F.when(gone, F.col("first")).alias("a"), F.when(gone, F.col("first") + size).alias("b"), F.col("several").alias("shared"))
 
-    need = segs.filter("mixed").select("h", "sh", "rep.owner", "rep.digest", "rep.first", "rep.n", "count")
-    need = need.groupBy("digest").agg(F.collect_list(F.struct("h", "sh", "owner", "first", "n", "count")).alias("need"))
+    need = segs.filter("mixed").select("h", "sh", "rep.owner", "rep.digest", "rep.first", "rep.form", "several")
+    need = stage(need.groupBy("digest", "owner").agg(F.collect_list(F.struct("h", "sh", "first", "form", "several")).alias("need")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner_type = pa.array([]).type
+        names, plain = [x.split()[0] for x in _SEG.split(", ")], [pa.int64(), pa.int64(), None, pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
         for batch in batches:
-            owner_type = batch.schema.field("need").type.value_type.field("owner").type
+            types = [t or batch.schema.field("owner").type for t in plain]
             out = []
-            for digest, data, wanted in zip(batch.column("digest").to_pylist(), batch.column("data").to_pylist(), batch.column("need").to_pylist(), strict=True):
+            for owner, digest, data, wanted in zip(*(batch.column(c).to_pylist() for c in ("owner", "digest", "data", "need")), strict=True):
                 for r in wanted:
-                    seg = data[r["first"] : r["first"] + r["n"] - 1 + width]
-                    out.append((r["h"], r["sh"], r["owner"], digest, r["first"], r["n"], r["count"], anchor_offset(seg, width), seg))
+                    out.append((r["h"], r["sh"], owner, digest, r["first"], r["form"], r["several"], data[r["first"] : r["first"] + (r["form"] & 0xFFFFF)]))
                     if len(out) >= 5000:
-                        yield _batch(out, owner_type)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
                         out = []
             if out:
-                yield _batch(out, owner_type)
-
-    own = rows.join(need, "digest").select("digest", F.col("text").cast("binary").alias("data"), "need")
-    met = stage(_compare(own.mapInArrow(cut, _SEG.format(id=kind)), kind, width, keep, most, most_in_task))
-    spans = whole.union(met.filter("a is not null").select("digest", "a", "b"))
-    large = met.filter("seg is not null")
-    if not large.isEmpty():
-        at = _windows(large, kind, width)
-        where = F.struct(F.col("owner").isNotNull().alias("has"), "owner", "digest", "at")
-        hit = at.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.min(where).alias("rep")).filter("c > 1")
-        hit = at.join(hit, "w")
-        if keep == "first":
-            hit = hit.filter((F.col("digest") != F.col("rep.digest")) | (F.col("at") != F.col("rep.at")))
-        spans = spans.union(hit.select("digest", F.col("at").alias("a"), (F.col("at") + width).alias("b")))
-    spans = spans.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    # one row with the text is enough: the digest and the smallest id, so that copies don't meet on one key
+    own = rows.join(need.hint("merge").withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & F.col("id").eqNullSafe(F.col("owner")))
+    own = own.select("owner", "digest", F.col("text").cast("binary").alias("data"), "need").mapInArrow(cut, _SEG.format(id=kind))
+    hot = stage(segs.filter("mixed").groupBy("h").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > most_in_task).select("h"))
+    if hot.isEmpty():
+        spans = whole.union(_compare(own, passage, width, keep))
+    else:
+        cuts = stage(own)
+        spans = whole.union(_compare(cuts.join(hot, "h", "left_anti"), passage, width, keep))
+        spans = spans.union(_by_window(stage(cuts.join(hot, "h", "left_semi")), kind, passage, width, keep))
+    spans = spans.groupBy("digest").agg(F.sort_array(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b")))).alias("spans"), F.max("shared").alias("shared"))
     return texts.select("digest", "owner", "copies").join(spans, "digest", "left")
 
 
-def anchor_offset(seg: bytes, width: int) -> int:
-    """The anchor's place in a segment: that of its first window's least gram."""
-    w = np.ndarray((len(seg) - 7,), "<u8", seg, strides=(1,))
-    h = w[:-8] * _A
-    h += w[8:] * _B
-    h ^= h >> np.uint64(32)
-    h *= _C
-    h ^= h >> np.uint64(29)
-    low = np.uint64((1 << _CHUNK_BITS) - 1)
-    return int(((h[: width - GRAM + 1] & ~low) | np.arange(min(len(h), width - GRAM + 1), dtype=np.uint64)).argmin())
-
-
-def _batch(rows: list[tuple], owner_type: pa.DataType) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), owner_type, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in _SEG.split(", ")])
-
-
 def _digested(docs: DataFrame, id_col: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("digest"))
@@ -358,16 +374,18 @@ def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, keep: str = "none", most: int = 400, most_in_task: int = 20_000) -> DataFrame:
-    """id_col, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes) and kept_sha256, a row for each document."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, keep: str = "none", passage: int = 300, most_in_task: int = 50_000) -> DataFrame:
+    """id_col, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes), kept_sha256 and shared_passage, a row for each document."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = _digested(docs, id_col).join(repeats(docs, id_col, width, keep, most, most_in_task).filter("copies > 1 or spans is not null"), "digest", "left")
+    found = stage(repeats(docs, id_col, width, keep, passage, most_in_task).filter("copies > 1 or spans is not null"))
+    rows = _digested(docs, id_col).join(found.hint("merge"), "digest", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, data, owner, copies, spans in zip(*(batch.column(c).to_pylist() for c in ("id", "data", "owner", "copies", "spans")), strict=True):
-                if (copies or 1) > 1 and len(data) >= width and (keep == "none" or i != owner):
+            for i, data, owner, copies, spans, shared in zip(*(batch.column(c).to_pylist() for c in ("id", "data", "owner", "copies", "spans", "shared")), strict=True):
+                several = (copies or 1) > 1
+                if several and len(data) >= width and (keep == "none" or i != owner):
                     cuts = [(0, len(data))]
                 else:
                     cuts = union_spans([(s["a"], s["b"]) for s in spans or []])
@@ -376,12 +394,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, ke
                     kept.append(data[at:a])
                     at = b
                 kept = b"".join([*kept, data[at:]])
-                out.append((len(data), len(data) - len(kept), len(cuts), kept, hashlib.sha256(kept).hexdigest()))
-            made = list(zip(*out, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(c), t) for c, t in zip(made, types, strict=True))], [id_col, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                out.append((len(data), len(data) - len(kept), len(cuts), kept, hashlib.sha256(kept).hexdigest(), bool(shared) or several and len(data) >= passage))
+            made = list(zip(*out, strict=True)) or [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(c), t) for c, t in zip(made, types, strict=True))], [id_col, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "shared_passage"])
 
-    return rows.select("id", F.col("text").cast("binary").alias("data"), "owner", "copies", "spans").mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    made = rows.select("id", F.col("text").cast("binary").alias("data"), "owner", "copies", "spans", "shared")
+    return made.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, shared_passage boolean")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

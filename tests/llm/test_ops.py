@@ -108,25 +108,77 @@ def test_classifier(spark, docs, empty):
     assert knn_quality.classify(empty, knn_quality.fit(empty, labels.limit(0))).count() == 0
 
 
-@pytest.mark.parametrize(("keep", "most", "in_task"), [("none", 400, 20000), ("first", 1, 20000), ("first", 2, 2)])
-def test_suffix_dedup(docs, empty, keep, most, in_task):
-    rows = docs.filter("doc_id is not null")
+@pytest.mark.parametrize(("keep", "in_task"), [("none", 20000), ("first", 20000), ("first", 1), ("none", 1)])
+def test_suffix_dedup(spark, docs, empty, keep, in_task):
+    # near the passage: texts of many forms with one word changed, repeated rows, and a row without an id
+    words_ = PASSAGE.split()
+    more = [" ".join([*words_[:k], "other", *words_[k + 1 :]])[k % 7 :] for k in range(0, 140, 9)] + [PASSAGE[:310], PASSAGE[:299] + "!", PASSAGE[5:330]]
+    rows = docs.unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(more)] + [(None, LONG), (103, more[3])], "doc_id long, text string"), allowMissingColumns=True)
+    table = sorted(((r.doc_id is not None, r.doc_id or 0, (r.text or "").encode()) for r in rows.collect()))
     seen: dict[bytes, list] = {}
-    data = {i: (t or "").encode() for i, t in enumerate(TEXTS)}
-    for i, b in data.items():
-        for a in range(len(b) - 399):
-            seen.setdefault(b[a : a + 400], []).append((i, a))
-    for r in suffix_dedup.remove_repeats(rows, keep=keep, most=most, most_in_task=in_task).collect():
-        b = data[r.doc_id]
+    for k, (_, _, b) in enumerate(table):
+        for a in range(len(b) - 299):
+            for n in (300, 400):
+                if a + n <= len(b):
+                    seen.setdefault(b[a : a + n], []).append((k, a))
+    want = []
+    for k, (has, i, b) in enumerate(table):
         gone = np.zeros(len(b), bool)
         for a in range(len(b) - 399):
             at = seen[b[a : a + 400]]
-            if len(at) > 1 and (keep == "none" or at[0] != (r.doc_id, a)):
+            # rows that share their id and text are told apart by nothing, and stay together
+            if len(at) > 1 and (keep == "none" or (table[at[0][0]], at[0][1]) != ((has, i, b), a)):
                 gone[a : a + 400] = True
+        shared = any(len({x for x, _ in seen[b[a : a + 300]]}) > 1 for a in range(len(b) - 299))
         left = bytes(np.frombuffer(b, np.uint8)[~gone])
-        assert (r.n_bytes, r.n_removed, bytes(r.kept), r.kept_sha256) == (len(b), gone.sum(), left, hashlib.sha256(left).hexdigest())
-        assert r.n_spans == (np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()
-    assert suffix_dedup.remove_repeats(empty).count() == 0
+        want.append((i if has else None, len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum()), left, hashlib.sha256(left).hexdigest(), shared))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.kept_sha256, r.shared_passage) for r in suffix_dedup.remove_repeats(rows, keep=keep, most_in_task=in_task).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert any(w[6] and not w[2] for w in want) and suffix_dedup.remove_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_runs_and_classes(keep):
+    rng = np.random.default_rng(3)
+    for turn in range(30):
+        base = bytes(rng.choice(list(b"abc"), 120)) * 2
+        texts = []
+        for _ in range(6):
+            t = bytearray(base[int(rng.integers(0, 60)) : int(rng.integers(120, 240))])
+            for at in rng.integers(0, len(t), turn % 4):
+                t[at] = 120
+            texts.append(bytes(rng.choice(list(b"de"), 5)) + bytes(t))
+        groups: dict = {}
+        for k, runs in enumerate(suffix_dedup.runs_of(texts, 40, 50)):
+            assert sorted(a + i for _, _, a, f in runs for i in range(f >> 40)) == list(range(len(texts[k]) - 39))
+            for h, sh, a, f in runs:
+                groups.setdefault(h, {}).setdefault(sh, []).append((k, a, f))
+        gone = [set() for _ in texts]
+        marked = set()
+        for g in groups.values():
+            segs = []
+            for places in g.values():
+                (k, a, f), size = places[0], places[0][2] & 0xFFFFF
+                segs.append(suffix_dedup.Segment(k, b"%d" % k, a, f, len({p[0] for p in places}) > 1, texts[k][a : a + size]))
+                for j, (kk, aa, _) in enumerate(places):
+                    if len(places) > 1 and (j or keep == "none") and size >= 50:
+                        gone[kk] |= set(range(aa, aa + size - 49))
+                if len({p[0] for p in places}) > 1:
+                    marked |= {p[0] for p in places}
+            for places, (ranges, shared) in zip(g.values(), suffix_dedup.repeated_starts(segs, 40, 50, keep), strict=True):
+                for k, a, _ in places:
+                    gone[k] |= {a + i for x, y in ranges for i in range(x, y + 1)}
+                    marked |= {k} if shared else set()
+        first: dict = {}
+        for k, t in enumerate(texts):
+            for a in range(len(t) - 49):
+                first.setdefault(t[a : a + 50], []).append((k, a))
+        assert gone == [{a for a in range(len(t) - 49) if len(p := first[t[a : a + 50]]) > 1 and (keep == "none" or p[0] != (k, a))} for k, t in enumerate(texts)]
+        grams: dict = {}
+        for k, t in enumerate(texts):
+            for a in range(len(t) - 39):
+                grams.setdefault(t[a : a + 40], set()).add(k)
+        assert marked == {k for g in grams.values() if len(g) > 1 for k in g}
 
 
 def test_longest_previous():

@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,67 +36,92 @@ from .common import shared_dir, table
 
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: The pre-tokenizer's pattern, for lower-cased texts of the characters below.
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+#: The pre-tokenizer's pattern, for lower-cased texts of the characters below, and a line end as a word of its own.
+_WORDS = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]*")
+#: Byte-level alphabets write the bytes of these characters as characters: most as themselves, the others after U+0100.
+_BYTES = {chr(c): "".join(chr(b if 0xA0 < b != 0xAD else 0xA2 + b if b < 0xA1 else 0x143) for b in chr(c).encode()) for c in range(0xA1, 0x100)}
+
+_WIDE = re.compile(r"[\xa1-\xff]")
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each range, end to end."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total < 1 << 31 and (not len(start) or int(start.max()) < 1 << 31) else np.int64
+    return np.repeat((start - ends + size).astype(kind), size) + np.arange(total, dtype=kind)
 
 
 class WordTokenizer:
     """Ids of whole texts, as tokenizers.Tokenizer.encode(text, add_special_tokens=False) gives them.
 
-    The library encodes each different word once for a while: words are independent of each other in this kind of
-    vocabulary (word ends are marked). Texts with characters beyond Latin-1, or with anything like a special token,
-    go to the library whole.
+    The library encodes each different word once for a while (``keep`` characters of words): words are independent of
+    each other in this kind of vocabulary (word ends are marked). It gets them already split, so it needn't normalise
+    and split them again. Texts with characters beyond Latin-1, or with anything like a special token, go to it whole.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
-        from tokenizers import Tokenizer
+    def __init__(self, vocabulary: str, keep: int = 1 << 23):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tok, self.keep = Tokenizer.from_file(path), keep
+        self.tok, self.split, self.keep = Tokenizer.from_str(vocabulary), Tokenizer.from_str(vocabulary), keep
+        self.split.normalizer, self.split.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.size = self.tok.get_vocab_size()
+        self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.ends = np.zeros(self.size, bool)
         for t, i in self.tok.get_vocab().items():
             self.ends[i] = t.endswith("</w>")
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.code: dict[str, int] = defaultdict(count().__next__)  # a new word gets the next number
+        self.code["\n"]
+        self.pool, self.place, self.length = np.zeros(0, self.kind), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.chars = 0
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # leaves offsets out
+    def _ids(self, text: str, tok=None) -> np.ndarray:
+        return np.array((tok or self.tok).encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)  # leaves offsets out
 
     def _learn(self, words: list[str]) -> None:
-        for a in range(0, len(words), 2000):
-            part = words[a : a + 2000]
-            ids = self._ids(" ".join(part))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                data, at = ids.tobytes(), (4 * np.concatenate(([0], cuts))).tolist()
-                self.known.update((w, data[x:y]) for w, x, y in zip(part, at, at[1:], strict=False))
-            else:
-                for w in part:
-                    self.known[w] = self._ids(w).tobytes()
+        ids, sizes = [self.pool], []
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            text = " ".join(part)
+            self.chars += len(text)
+            found = self._ids(text if text.isascii() else _WIDE.sub(lambda m: _BYTES[m[0]], text), self.split)
+            cuts = np.flatnonzero(self.ends[found]) + 1
+            if len(cuts) != len(part):
+                each = [self._ids(w) for w in part]
+                found, cuts = np.concatenate(each), np.cumsum([len(x) for x in each])
+            ids.append(found)
+            sizes.append(np.diff(cuts, prepend=0))
+        if sizes:
+            self.length = np.concatenate((self.length, *sizes))
+            self.place = np.cumsum(self.length) - self.length
+            self.pool = np.concatenate(ids)
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of ids of each."""
+        if self.chars > self.keep:
+            self._forget()
         whole = {i: t for i, t in enumerate(texts.to_pylist()) if "<|" in t or not _PLAIN.fullmatch(t)}
         if whole:
             texts = pc.if_else(pa.array(np.isin(np.arange(len(texts)), list(whole))), "", texts)
         chunks = pc.ascii_split_whitespace(texts)
-        coded = pc.utf8_lower(chunks.values).dictionary_encode()
-        split = list(map(_WORDS.findall, coded.dictionary.to_numpy(zero_copy_only=False)))
-        every = set().union(*split)
-        new = every.difference(self.known)
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            new = every
-        self._learn(list(new))
-        get = self.known.__getitem__
-        data = [get(s[0]) if len(s) == 1 else b"".join(map(get, s)) for s in split]
-        flat = np.frombuffer(b"".join(data), "<u4")
-        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        coded = chunks.values.dictionary_encode()
+        every = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), pc.utf8_lower(coded.dictionary))
+        words = _WORDS.findall((pc.binary_join(every, "\n")[0].as_py() or "") + "\n")
+        before = len(self.code)
+        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        self._learn(list(islice(self.code, before, None)))
+        size = self.length[codes]
+        flat = self.pool[_ranges(self.place[codes], size)]
+        ends = np.cumsum(size)[codes == 0]  # of the different chunks
+        size = np.diff(ends, prepend=0)
         code = coded.indices.to_numpy()
         each = size[code]
-        ends = np.concatenate(([0], np.cumsum(each)))
-        ids = flat[np.repeat((np.cumsum(size) - size)[code] - ends[:-1], each) + np.arange(ends[-1])]
-        counts = np.diff(ends[chunks.offsets.to_numpy()])
+        ids = flat[_ranges((ends - size)[code], each)]
+        counts = np.diff(np.concatenate(([0], np.cumsum(each)))[chunks.offsets.to_numpy()])
         if whole:
             parts = np.split(ids, np.cumsum(counts)[:-1])
             for i, t in whole.items():
@@ -102,47 +129,49 @@ class WordTokenizer:
             ids, counts = np.concatenate(parts), np.array([len(x) for x in parts])
         return ids, counts
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian u4."""
-        ids, counts = self.encode_array(pa.array(texts, pa.string()))
-        return [x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])]
-
 
 # ---- grammar
 
 
-def repair(ids: np.ndarray, counts: np.ndarray, size: int, max_rules: int, sweeps: int = 6, least: int = 8, pairs_a_sweep: int = 2500) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, counts: np.ndarray, size: int, max_rules: int, least: int = 8, pairs_a_sweep: int = 4000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules (left, right), the symbols, and each document's number of symbols; ids of documents end to end.
 
     Each sweep takes the most frequent pairs at once; where chosen pairs overlap, the more frequent one is replaced.
+    It ends when no pair occurs ``least`` times or when max_rules is reached.
     """
-    x = ids.astype(np.uint32)
+    # two symbols in one integer
+    half, kind, both = (16, np.uint16, np.uint32) if size + max_rules <= 1 << 16 else (32, np.uint32, np.uint64)
+    factor, bits = both(0x9E3779B97F4A7C15 >> (64 - 2 * half) | 1), 20
+    x = ids.astype(kind)
     last = np.zeros(len(x), bool)
     last[np.cumsum(counts) - 1] = True
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
-    rules, bits = 0, 20
-    for _ in range(sweeps):
-        if len(x) < 2 or rules >= max_rules:
-            break
-        pair = x[:-1].astype(np.uint64) << np.uint64(32) | x[1:]
-        slot = (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)  # counts by hash, exact ones for the frequent
-        slot = slot.astype(np.int64)
-        number = np.bincount(slot[~last[:-1]], minlength=1 << bits)
-        top = np.sort(number)[-min(pairs_a_sweep, max_rules - rules)] if len(number) else 0
-        often = np.flatnonzero((number[slot] >= max(least, top)) & ~last[:-1])
+    rules = 0
+    while len(x) > 1 and rules < max_rules:
+        pair = x[:-1].astype(both)
+        pair <<= both(half)
+        pair |= x[1:]
+        slot = ((pair * factor) >> both(2 * half - bits)).astype(np.int32)  # counts by hash, exact ones for the frequent
+        inner = ~last[:-1]
+        number = np.bincount(slot[inner], minlength=1 << bits).astype(np.int32)
+        k = min(pairs_a_sweep, max_rules - rules)
+        top = int(np.partition(number, -k)[-k])
+        often = np.flatnonzero((number >= max(least, top))[slot] & inner)
         if not len(often):
             break
         # of pairs that share a slot one is taken now; its count is exact
+        at_slot, pair_of = slot[often], pair[often]
         place = np.full(1 << bits, -1, np.int32)
-        place[slot[often]] = 0
+        place[at_slot] = 0
         slots = np.flatnonzero(place == 0)
         place[slots] = np.arange(len(slots), dtype=np.int32)
-        which = place[slot[often]]
-        pairs = np.zeros(len(slots), np.uint64)
-        pairs[which] = pair[often]
-        same = pairs[which] == pair[often]
-        often, which = often[same], which[same]
+        which = place[at_slot]
+        pairs = np.zeros(len(slots), both)
+        pairs[which] = pair_of
+        same = pairs[which] == pair_of
+        if not same.all():
+            often, which = often[same], which[same]
         n = np.bincount(which, minlength=len(slots))
         order = np.argsort(-n, kind="stable")[: max_rules - rules]
         order = order[n[order] >= least]
@@ -150,29 +179,30 @@ def repair(ids: np.ndarray, counts: np.ndarray, size: int, max_rules: int, sweep
             break
         rank = np.full(len(pairs), len(pairs), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        at = np.full(len(x) + 1, len(pairs), np.int32)
-        at[often + 1] = rank[which]  # at[i + 1]: rank of the pair that begins at i
-        take = np.flatnonzero((at[1:-1] < len(order)) & (at[1:-1] < at[:-2]) & (at[1:-1] <= at[2:])) if len(x) > 1 else often[:0]
+        # a pair is replaced where it ranks before the pair one symbol later and not after the pair one symbol earlier
+        own = rank[which]
+        near = np.diff(often) == 1
+        free = own < len(order)
+        free[1:] &= ~near | (own[1:] < own[:-1])
+        free[:-1] &= ~near | (own[:-1] <= own[1:])
+        take, chosen = often[free], own[free]
         if not len(take):
             break
-        chosen = at[take + 1]
-        x[take] = (size + rules + chosen).astype(np.uint32)
+        x[take] = (size + rules + chosen).astype(kind)
         last[take] = last[take + 1]
         keep = np.ones(len(x), bool)
         keep[take + 1] = False
         x, last = x[keep], last[keep]
-        left.append((pairs[order] >> np.uint64(32)).astype(np.uint32))
-        right.append((pairs[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        left.append((pairs[order] >> both(half)).astype(np.uint32))
+        right.append((pairs[order] & both((1 << half) - 1)).astype(np.uint32))
         rules += len(order)
-        if len(take) < 0.01 * len(x):
-            break
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     return join(left), join(right), x, np.diff(np.concatenate(([0], np.flatnonzero(last) + 1)))
 
 
 def pack(ids: np.ndarray, counts: np.ndarray, size: int) -> bytes:
     """A shard of documents with at least one id each."""
-    left, right, x, symbols = repair(ids, counts, size, max(256, min(12_000, (1 << 16) - size)))
+    left, right, x, symbols = repair(ids, counts, size, max(256, (1 << 16) - 1 - size))
     length = np.ones(size + len(left), np.uint32)
     for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
         length[size + i] = length[a] + length[b]
@@ -273,15 +303,10 @@ _TOKENIZERS: dict[int, WordTokenizer] = {}
 
 def _tokenizer(sent) -> WordTokenizer:
     """One tokenizer for each Python worker, from the broadcast vocabulary."""
-    import tempfile
-
     key = id(sent.value)
     if key not in _TOKENIZERS:
         _TOKENIZERS.clear()
-        with tempfile.NamedTemporaryFile("w", suffix=".json", encoding="utf-8") as f:
-            f.write(sent.value)
-            f.flush()
-            _TOKENIZERS[key] = WordTokenizer(f.name)
+        _TOKENIZERS[key] = WordTokenizer(sent.value)
     return _TOKENIZERS[key]
 
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -93,6 +94,27 @@ def test_grammar_random_access():
         assert (shard.ids(d, a, b) == ids[ends[d] - counts[d] :][a:b]).all()
 
 
+def test_grammar_goes_on_to_long_repeats():
+    # a passage copied many times becomes few symbols, however long it is
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 40_000, 3000)
+    ids = np.concatenate([np.append(passage, k) for k in range(64)]).astype(np.uint16)
+    shard = token_files.Shard(token_files.pack(ids, np.full(64, 3001), 49_408))
+    assert (shard.all_ids() == ids).all() and len(shard.symbols) < 64 * 4
+
+
+def test_word_tokenizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        ours = token_files.WordTokenizer(f.read(), keep=3000)
+    lib, rng = tokenizers.Tokenizer.from_file(path), np.random.default_rng(5)
+    chars = [chr(c) for c in range(32, 256)] + [*"\t\n\r\x0b\x0c 's'tlaeiouã£é©", "<|", "日", "\u0301"]
+    for _ in range(20):
+        texts = ["".join(rng.choice(chars if rng.random() < 0.3 else chars[:-3], int(rng.integers(0, 60)))) for _ in range(100)]
+        ids, counts = ours.encode_array(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_classifier(spark, docs, empty):
     labels = spark.createDataFrame([(i, int(i not in (13, 14)), None) for i in range(len(TEXTS))] + [(None, 1, None), (3, None, 1)], "doc_id long, quality int, toxic int")
     model = knn_quality.fit(docs, labels)

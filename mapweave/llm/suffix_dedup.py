@@ -160,10 +160,10 @@ def longest_previous(order: list[int], lcp: list[int]) -> list[int]:
 class Segment:
     """A representative of equal segments: its place, number of starts, distance to the anchor, bytes and whether several texts have it."""
 
-    __slots__ = ("data", "digest", "first", "n", "off", "owner", "several")
+    __slots__ = ("data", "digest", "first", "n", "off", "owner", "several", "text")
 
-    def __init__(self, owner, digest, first, form, several, data):
-        self.owner, self.digest, self.first, self.several, self.data = owner, digest, first, several, data
+    def __init__(self, text, owner, digest, first, form, several, data):
+        self.text, self.owner, self.digest, self.first, self.several, self.data = text, owner, digest, first, several, data
         self.n, self.off = form >> 40, form >> 20 & 0xFFFFF
 
 
@@ -219,18 +219,18 @@ def _class(segments, suffixes, lcp, rank, members, low, high, passage, width, ke
         end = at + 1
         while end < len(own) and common[end] + high >= passage:
             end += 1
-        if end > at + 1 and (len({segments[k].digest for k in own[at:end]}) > 1 or any(segments[k].several for k in own[at:end])):
+        if end > at + 1 and (len({segments[k].text for k in own[at:end]}) > 1 or any(segments[k].several for k in own[at:end])):
             for k in own[at:end]:
                 shared[k] = shared[k] or segments[k].off - segments[k].n < high
         at = end
 
 
-_SEG = "h long, sh long, owner {id}, digest binary, first long, form long, several boolean, seg binary"
-_FOUND = "digest binary, a long, b long, shared boolean"
+_SEG = "h long, sh long, tid long, owner {id}, digest binary, first long, form long, several boolean, seg binary"
+_FOUND = "tid long, a long, b long, shared boolean"
 
 
 def _compare(rows: DataFrame, passage: int, width: int, keep: str) -> DataFrame:
-    """Spans of repeats (digest, a, b, shared) in the segments of each anchor; a is null in rows that only mark the text."""
+    """Spans of repeats (tid, a, b, shared) in the segments of each anchor; a is null in rows that only mark the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: dict[int, Segment] = {}
@@ -240,16 +240,16 @@ def _compare(rows: DataFrame, passage: int, width: int, keep: str) -> DataFrame:
             if len(group) > 1:
                 segs = list(group.values())
                 for s, (ranges, shared) in zip(segs, repeated_starts(segs, passage, width, keep), strict=True):
-                    found.extend((s.digest, s.first + x, s.first + y + width, shared) for x, y in ranges)
+                    found.extend((s.text, s.first + x, s.first + y + width, shared) for x, y in ranges)
                     if shared and not ranges:
-                        found.append((s.digest, None, None, True))
+                        found.append((s.text, None, None, True))
             group.clear()
 
         def out():
             cols = list(zip(*found, strict=True)) or [[]] * 4
             found.clear()
-            types = (pa.binary(), pa.int64(), pa.int64(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["digest", "a", "b", "shared"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["tid", "a", "b", "shared"])
 
         for batch in batches:
             for h, sh, *rest in zip(*(batch.column(x.split()[0]).to_pylist() for x in _SEG.split(", ")), strict=True):
@@ -271,29 +271,29 @@ def _windows(rows: DataFrame, kind: str, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for owner, digest, first, form, several, seg in zip(*(batch.column(c).to_pylist() for c in ("owner", "digest", "first", "form", "several", "seg")), strict=True):
+            for tid, owner, digest, first, form, several, seg in zip(*(batch.column(c).to_pylist() for c in ("tid", "owner", "digest", "first", "form", "several", "seg")), strict=True):
                 n = min(form >> 40, len(seg) - size + 1)
                 if n > 0:
                     hashes = [xxhash.xxh3_128_digest(seg[i : i + size]) for i in range(n)]
                     same = lambda x, t: pa.array([x] * n, t)  # noqa: B023, E731
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), same(owner, batch.schema.field("owner").type), same(digest, pa.binary()), same(several, pa.bool_()), pa.array(range(first, first + n), pa.int64())], ["w", "owner", "digest", "several", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), same(tid, pa.int64()), same(owner, batch.schema.field("owner").type), same(digest, pa.binary()), same(several, pa.bool_()), pa.array(range(first, first + n), pa.int64())], ["w", "tid", "owner", "digest", "several", "at"])
 
-    return rows.mapInArrow(run, f"w binary, owner {kind}, digest binary, several boolean, at long")
+    return rows.mapInArrow(run, f"w binary, tid long, owner {kind}, digest binary, several boolean, at long")
 
 
 def _by_window(large: DataFrame, kind: str, passage: int, width: int, keep: str) -> DataFrame:
     """As _compare, for anchors with many segments: equal strings meet by their hash."""
-    where = F.struct(F.col("owner").isNotNull().alias("has"), "owner", "digest", "at")
+    where = F.struct(F.col("owner").isNotNull().alias("has"), "owner", "digest", "tid", "at")
     at = _windows(large, kind, width)
     hit = at.join(at.groupBy("w").agg(F.count(F.lit(1)).alias("c"), F.min(where).alias("rep")).filter("c > 1"), "w")
     if keep == "first":
-        hit = hit.filter((F.col("digest") != F.col("rep.digest")) | (F.col("at") != F.col("rep.at")))
-    spans = hit.select("digest", F.col("at").alias("a"), (F.col("at") + width).alias("b"), F.lit(False).alias("shared"))
+        hit = hit.filter((F.col("tid") != F.col("rep.tid")) | (F.col("at") != F.col("rep.at")))
+    spans = hit.select("tid", F.col("at").alias("a"), (F.col("at") + width).alias("b"), F.lit(False).alias("shared"))
     at = _windows(large, kind, passage)
-    met = at.groupBy("w").agg(((F.min("digest") != F.max("digest")) | F.max("several")).alias("shared")).filter("shared")
-    marks = at.join(met, "w", "left_semi").select("digest").distinct()
+    met = at.groupBy("w").agg(((F.min("tid") != F.max("tid")) | F.max("several")).alias("shared")).filter("shared")
+    marks = at.join(met, "w", "left_semi").select("tid").distinct()
     none = F.lit(None).cast("long")
-    return spans.union(marks.select("digest", none.alias("a"), none.alias("b"), F.lit(True).alias("shared")))
+    return spans.union(marks.select("tid", none.alias("a"), none.alias("b"), F.lit(True).alias("shared")))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, keep: str = "none", passage: int = 300, most_in_task: int = 50_000) -> DataFrame:
@@ -310,34 +310,37 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, keep: str
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), *cols], ["id", "digest", "h", "sh", "first", "form"])
 
     made = rows.select("id", "digest", F.col("text").cast("binary").alias("data")).mapInArrow(anchors, f"id {kind}, digest binary, h array<long>, sh array<long>, first array<long>, form array<long>")
-    texts = stage(made.groupBy("digest").agg(F.min("id").alias("owner"), F.max(F.col("id").isNull()).alias("_null"), F.count(F.lit(1)).alias("copies"), F.first(F.arrays_zip("h", "sh", "first", "form")).alias("runs")))
-    texts = texts.withColumn("owner", F.when(~F.col("_null"), F.col("owner"))).drop("_null")
-    occ = texts.select("digest", "owner", (F.col("copies") > 1).alias("copied"), F.inline("runs"))
+    grouped = made.groupBy("digest").agg(F.min("id").alias("owner"), F.max(F.col("id").isNull()).alias("_null"), F.count(F.lit(1)).alias("copies"), F.first(F.arrays_zip("h", "sh", "first", "form")).alias("runs"))
+    # each different text gets a number, which is smaller than its digest
+    texts = stage(grouped.withColumn("owner", F.when(~F.col("_null"), F.col("owner"))).drop("_null").withColumn("tid", F.monotonically_increasing_id()))
+    order = [F.col("owner").isNotNull().alias("has"), "owner", "digest"] if keep == "first" else []
+    occ = texts.select("tid", *order, (F.col("copies") > 1).alias("copied"), F.inline("runs"))
     # staged before each join: a side that is only exchanged can be split where a key is hot
     often = stage(occ.groupBy("h").agg(F.count(F.lit(1)).alias("_c"), (F.min("sh") != F.max("sh")).alias("mixed")).filter("_c > 1").drop("_c"))
     often = stage(occ.join(often.hint("merge"), "h"))
-    place = F.struct(F.col("owner").isNotNull().alias("has"), "owner", "digest", "first", "form")
-    several = (F.min("digest") != F.max("digest")) | F.max("copied")
+    place = F.struct(*(["has", "owner", "digest"] if order else []), "tid", "first", "form")
+    several = (F.min("tid") != F.max("tid")) | F.max("copied")
     segs = stage(often.groupBy("h", "sh").agg(F.min(place).alias("rep"), F.count(F.lit(1)).alias("count"), several.alias("several"), F.first("mixed").alias("mixed")))
 
     whole = often.join(segs.filter("count > 1").select("h", "sh", "rep", "several").hint("merge"), ["h", "sh"])
     size = F.col("form").bitwiseAND(F.lit(0xFFFFF))
     gone = size >= width
     if keep == "first":
-        gone = gone & ((F.col("digest") != F.col("rep.digest")) | (F.col("first") != F.col("rep.first")))
-    whole = whole.select("digest", F.when(gone, F.col("first")).alias("a"), F.when(gone, F.col("first") + size).alias("b"), F.col("several").alias("shared"))
+        gone = gone & ((F.col("tid") != F.col("rep.tid")) | (F.col("first") != F.col("rep.first")))
+    whole = whole.select("tid", F.when(gone, F.col("first")).alias("a"), F.when(gone, F.col("first") + size).alias("b"), F.col("several").alias("shared"))
 
-    need = segs.filter("mixed").select("h", "sh", "rep.owner", "rep.digest", "rep.first", "rep.form", "several")
-    need = stage(need.groupBy("digest", "owner").agg(F.collect_list(F.struct("h", "sh", "first", "form", "several")).alias("need")))
+    need = segs.filter("mixed").select("h", "sh", "rep.tid", "rep.first", "rep.form", "several")
+    need = need.groupBy("tid").agg(F.collect_list(F.struct("h", "sh", "first", "form", "several")).alias("need"))
+    need = stage(need.join(texts.select("tid", "owner", "digest"), "tid"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, plain = [x.split()[0] for x in _SEG.split(", ")], [pa.int64(), pa.int64(), None, pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        names, plain = [x.split()[0] for x in _SEG.split(", ")], [pa.int64(), pa.int64(), pa.int64(), None, pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
         for batch in batches:
             types = [t or batch.schema.field("owner").type for t in plain]
             out = []
-            for owner, digest, data, wanted in zip(*(batch.column(c).to_pylist() for c in ("owner", "digest", "data", "need")), strict=True):
+            for tid, owner, digest, data, wanted in zip(*(batch.column(c).to_pylist() for c in ("tid", "owner", "digest", "data", "need")), strict=True):
                 for r in wanted:
-                    out.append((r["h"], r["sh"], owner, digest, r["first"], r["form"], r["several"], data[r["first"] : r["first"] + (r["form"] & 0xFFFFF)]))
+                    out.append((r["h"], r["sh"], tid, owner, digest, r["first"], r["form"], r["several"], data[r["first"] : r["first"] + (r["form"] & 0xFFFFF)]))
                     if len(out) >= 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
                         out = []
@@ -346,7 +349,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, keep: str
 
     # one row with the text is enough: the digest and the smallest id, so that copies don't meet on one key
     own = rows.join(need.hint("merge").withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & F.col("id").eqNullSafe(F.col("owner")))
-    own = own.select("owner", "digest", F.col("text").cast("binary").alias("data"), "need").mapInArrow(cut, _SEG.format(id=kind))
+    own = own.select("tid", "owner", "digest", F.col("text").cast("binary").alias("data"), "need").mapInArrow(cut, _SEG.format(id=kind))
     hot = stage(segs.filter("mixed").groupBy("h").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") > most_in_task).select("h"))
     if hot.isEmpty():
         spans = whole.union(_compare(own, passage, width, keep))
@@ -354,8 +357,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, keep: str
         cuts = stage(own)
         spans = whole.union(_compare(cuts.join(hot, "h", "left_anti"), passage, width, keep))
         spans = spans.union(_by_window(stage(cuts.join(hot, "h", "left_semi")), kind, passage, width, keep))
-    spans = spans.groupBy("digest").agg(F.sort_array(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b")))).alias("spans"), F.max("shared").alias("shared"))
-    return texts.select("digest", "owner", "copies").join(spans, "digest", "left")
+    spans = spans.groupBy("tid").agg(F.sort_array(F.collect_list(F.when(F.col("a").isNotNull(), F.struct("a", "b")))).alias("spans"), F.max("shared").alias("shared"))
+    return texts.select("tid", "digest", "owner", "copies").join(spans, "tid", "left")
 
 
 def _digested(docs: DataFrame, id_col: str) -> DataFrame:

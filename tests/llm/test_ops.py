@@ -181,7 +181,7 @@ def test_runs_and_classes(keep):
             segs = []
             for places in g.values():
                 (k, a, f), size = places[0], places[0][2] & 0xFFFFF
-                segs.append(suffix_dedup.Segment(k, b"%d" % k, a, f, len({p[0] for p in places}) > 1, texts[k][a : a + size]))
+                segs.append(suffix_dedup.Segment(k, k, b"", a, f, len({p[0] for p in places}) > 1, texts[k][a : a + size]))
                 for j, (kk, aa, _) in enumerate(places):
                     if len(places) > 1 and (j or keep == "none") and size >= 50:
                         gone[kk] |= set(range(aa, aa + size - 49))

@@ -1,21 +1,33 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
-A 64-bit fingerprint of each text's word shingles; equal fingerprints are collapsed first. Fingerprints are cut
-into ``blocks`` blocks; two that differ in at most ``max_bits`` bits agree in at least blocks - max_bits of them,
-so each choice of that many blocks is a key to meet on, and no pair is lost. Rows with one key are streamed in
-sorted order, the Hamming distances within a run are computed by numpy, and each batch gives the edges of a
-spanning forest rather than all its pairs. Runs of more than ``tile`` fingerprints are not compared in one task:
-they are dealt out as pairs of tiles.
-
-The default of 7 blocks makes 35 keys of 27 or 28 bits: at 10^9 distinct fingerprints a key holds a handful.
-
-Null and empty texts have no words and the fingerprint zero; they link like any other. Rows with a null id get a
-component like all rows; nulls are passed over when its smallest id is taken. An empty table gives an empty
-result; extra columns, whatever their names, are ignored.
+**Fingerprints within a few bits** (``near_groups``). A 64-bit fingerprint of each text's word shingles; equal
+fingerprints are collapsed first. Fingerprints are cut into ``blocks`` blocks; two that differ in at most ``max_bits``
+bits agree in at least blocks - max_bits of them, so each choice of that many blocks is a key to meet on, and no pair
+is lost. Rows with one key are streamed in sorted order, the Hamming distances within a run are computed by numpy, and
+each batch gives the edges of a spanning forest rather than all its pairs. Runs of more than ``tile`` fingerprints are
+not compared in one task: they are dealt out as pairs of tiles. The default of 7 blocks makes 35 keys of 27 or 28 bits:
+at 10^9 distinct fingerprints a key holds a handful.
+
+**Texts with a similarity of 0.8 or more** (``drop_near_copies``, for the pipeline). At a Jaccard similarity of 0.8 two
+texts differ in about 15 % of a 64-bit fingerprint's bits, too many for its blocks. There the fingerprint is as long as
+that takes: the different five-word shingles are dealt by their hash into parts of about the same number, and each part
+has a 64-bit SimHash of its own, a block of the fingerprint. A shingle that only one of two texts has changes one block;
+the blocks without any such shingle are equal. A table by size (``Layout``) says how many parts there are and how many
+of them are written as blocks, so that a pair at exactly 0.8 shares no block with a probability of at most 1 in 100,000,
+whatever the length (closer pairs: less). Texts that share a block are candidates; their components are then compared by
+the exact similarity of the shingles' hashes, so blocks that are equal by chance link nothing. Texts of one component
+larger than ``tile`` shingles are dealt out as pairs of tiles.
+
+Null and empty texts have no words and the fingerprint zero (for drop_near_copies: one empty shingle); they link like
+any other. Fewer words than a shingle's are one shingle. In near_groups rows with a null id get a component like all
+rows; nulls are passed over when its smallest id is taken. drop_near_copies keeps of each group the row with the
+smallest id (nulls last), of rows with that id the one with the least text digest, of equal rows any one; its extra
+columns pass through, whatever their names. near_groups ignores extra columns. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -25,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, texts_of
+from .common import fresh, stage, table, texts_of
 from .components import components
 
 
@@ -186,6 +198,201 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", max_bits: int = 4, bloc
     return marked.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+# ---- texts with a similarity of 0.8 or more
+
+
+def shingles(text: str, width: int = 5) -> np.ndarray:
+    """Ascending hashes of the text's different shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= width:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))
+    k, xxh = len(words) - width + 1, xxhash.xxh3_64_intdigest
+    return np.unique(np.array([xxh(line[a:b]) for a, b in zip(starts[:k].tolist(), (ends[-k:] - 1).tolist(), strict=True)], np.uint64))
+
+
+class Layout:
+    """How texts with ``lo`` to ``hi`` different shingles (and those of the next smaller size that reach them) are dealt.
+
+    A pair at the similarity of 0.8 has at most (a + b) / 9 shingles that only one of the two has. A part is good if it
+    has a common shingle and none of those: of ``parts`` parts each is with a probability of g at least, and all of
+    ``blocks`` parts fail with (1 - g) ^ blocks at most, as the numbers in the parts are negatively associated.
+    parts is the least number, so the parts are as large as can be, for which ``most`` blocks are enough. Where there
+    are fewer parts than blocks the shingles are dealt again by another hash.
+    """
+
+    def __init__(self, level: int, most: int = 52, loss: float = 1e-5):
+        bound = lambda k: math.ceil(4 * 2 ** (k / 2))
+        self.level, self.lo, self.hi = level, bound(level), bound(level + 1) - 1
+        self.least = math.ceil(0.8 * self.lo)
+        cases = [(2 * self.hi // 9, self.hi - self.hi // 9), (self.lo - self.least, self.least)]  # differing, common
+        at = lambda m: min((1 - 1 / m) ** d * (1 - (1 - 1 / m) ** c) for d, c in cases)
+        need = lambda m: math.ceil(math.log(loss) / math.log1p(-max(at(m), 1e-9)))
+        low, high = 1, 2
+        while need(high) > most:
+            low, high = high, 2 * high
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (low, mid) if need(mid) <= most else (mid, high)
+        self.parts, self.blocks = high, need(high)
+
+
+_LAYOUTS: list[Layout] = []
+#: Changes the hashes before each deal.
+_DEALS = np.arange(64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def layouts(n: int) -> list[Layout]:
+    """The layouts that a text with n different shingles has blocks in; with fewer than 4 only equal sets are similar."""
+    if n < 4:
+        return []
+    level = int(2 * math.log2(n / 4))
+    while len(_LAYOUTS) < level + 3:
+        _LAYOUTS.append(Layout(len(_LAYOUTS)))
+    return [x for x in _LAYOUTS[max(0, level - 1) : level + 3] if x.least <= n <= x.hi]
+
+
+def simhash_blocks(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of shingles: a signed long for each block, of its SimHash, its place and the layout."""
+    out = []
+    for x in layouts(len(hashes)):
+        deals = -(-x.blocks // x.parts)
+        h = hashes if deals == 1 else (hashes ^ _DEALS[:deals, None]).ravel()
+        h = h * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xC2B2AE3D27D4EB4F)
+        part = ((h >> np.uint64(32)) * np.uint64(x.parts) >> np.uint64(32)).astype(np.int64)
+        if deals > 1:
+            part += np.repeat(np.arange(deals) * x.parts, len(hashes))
+        own = np.flatnonzero(part < x.blocks)
+        own = own[np.argsort(part[own], kind="stable")]
+        if not len(own):
+            continue
+        part = part[own]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        bits = np.unpackbits(hashes[own % len(hashes)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, first, axis=0, dtype=np.uint32)
+        n = np.diff(first, append=len(own))[:, None]
+        sim = np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        key = (sim ^ (part[first] + ((x.level << 32) + 1)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xA0761D6478BD642F)
+        key ^= key >> np.uint64(29)
+        out.append(key * np.uint64(0xE7037ED1A0B428DB))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+
+def similar(sets: list[np.ndarray], num: int = 4, den: int = 5) -> list[tuple[int, int]]:
+    """Forest edges (places in sets) with the components of all pairs whose Jaccard similarity is num / den or more."""
+    size = np.array([len(s) for s in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(code, np.cumsum(size)[:-1])
+    left, edges = np.arange(len(sets)), []
+    while len(left) > 1:
+        # the places of each shingle among the texts without a component
+        part = np.concatenate([own[i] for i in left])
+        order = np.argsort(part, kind="stable")
+        place = np.repeat(np.arange(len(left)), size[left])[order]
+        begin = np.searchsorted(part[order], np.arange(code.max() + 2))
+        free, queue, done = np.ones(len(left), bool), [0], 0
+        free[0] = False
+        while done < len(left):
+            if not queue:
+                if 2 * done > len(left):
+                    break
+                queue = [int(free.argmax())]
+                free[queue[0]] = False
+            at = queue.pop()
+            done += 1
+            a, b = begin[own[left[at]]], begin[own[left[at]] + 1]
+            n = b - a
+            met = place[np.repeat(b - np.cumsum(n), n) + np.arange(n.sum())]
+            both = np.bincount(met[free[met]], minlength=len(left))
+            hit = np.flatnonzero(free & ((num + den) * both >= num * (size[left] + size[left[at]])))
+            free[hit] = False
+            edges += [(int(left[at]), int(left[i])) for i in hit]
+            queue += hit.tolist()
+        left = left[free]
+    return edges
+
+
+def _sketches(numbered: DataFrame, width: int) -> DataFrame:
+    """row, id, digest of the text, key (a hash of the set of shingles), n (of shingles) and blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, found, digests = [], [], [], []
+            for t in texts_of(batch):
+                h = shingles(t, width)
+                keys.append(int.from_bytes(xxhash.xxh3_64_digest(h.tobytes()), "big", signed=True))
+                sizes.append(len(h))
+                found.append(simhash_blocks(h))
+                digests.append(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")))
+            cols = [pa.array(digests, pa.binary()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), *cols], ["row", "id", "digest", "key", "n", "blocks"])
+
+    kind = numbered.schema["id"].dataType.simpleString()
+    return numbered.mapInArrow(run, f"row long, id {kind}, digest binary, key long, n long, blocks array<long>")
+
+
+def _compared(cells: DataFrame, width: int) -> DataFrame:
+    """Edges (u, v) of the similar texts in each cell (root, a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, sets = None, [], []
+
+        def done():
+            found = similar(sets) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([keys[e[i]] for e in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+        for batch in batches:
+            names = zip(*(batch.column(c).to_pylist() for c in ("root", "a", "b")), strict=True)
+            for cell, key, text in zip(names, batch.column("key").to_pylist(), texts_of(batch), strict=True):
+                if cell != now:
+                    yield done()
+                    now, keys, sets = cell, [], []
+                keys.append(key)
+                sets.append(shingles(text, width))
+        yield done()
+
+    dealt = cells.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b")
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def _staying(numbered: DataFrame, width: int, tile: int) -> DataFrame:
+    """numbered (row, id, text) to the rows that stay."""
+    marked = stage(_sketches(numbered, width))
+    best = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "row")
+    sets = stage(marked.groupBy("key").agg(F.min(best).alias("best"), F.first("n").alias("n"), F.first("blocks").alias("blocks")))
+
+    # staged before the join, so that the rows of a hot block can be split
+    met = sets.select("key", F.explode("blocks").alias("block"))
+    shared = stage(met.groupBy("block").agg(F.min("key").alias("u"), F.max("key").alias("v")).filter("u < v").select("block", "u"))
+    near = components(met.join(shared.hint("merge"), "block").filter("key <> u").select("u", F.col("key").alias("v")))
+
+    held = stage(sets.join(near, sets["key"] == near["node"]).select("key", "root", "n", F.col("best.row").alias("row")))
+    tiles = stage(held.groupBy("root").agg(F.ceil(F.sum("n") / tile).alias("tiles")))
+    dealt = held.join(tiles.hint("merge"), "root").withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    dealt = dealt.select("row", "key", "root", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"))
+    linked = components(_compared(numbered.select("row", "text").join(dealt, "row"), width))
+
+    rooted = sets.join(linked, sets["key"] == linked["node"], "left").select("best", F.coalesce("root", "key").alias("root"))
+    return rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.row")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", width: int = 5, tile: int = 1_000_000) -> DataFrame:
+    """One row of each group of near copies, and all rows without any."""
+    row = fresh(docs, "row")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    plain = numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), "text")
+    stays = _staying(plain, width, tile).select(F.col("row").alias(row))
+    return numbered.join(stays, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+# ---- the query
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from mapweave.llm import near_copies
+from mapweave.llm import simhash
 
 
 def grams(text):
@@ -67,11 +67,26 @@ def test_rows_are_told_apart_by_more_than_their_id(spark, tile):
         (None, near, "h"), (7, None, "i"), (8, "", "j"),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _row string")
-    got = near_copies.drop_near_copies(docs, tile=tile)
+    got = simhash.drop_near_copies(docs, tile=tile)
     assert got.columns == docs.columns
     left = sorted(r._row for r in got.collect())
     assert len(left) == 6 and [x for x in left if x not in "fg"] == ["a", "c", "d", "e", "i"]
-    assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
+    assert simhash.drop_near_copies(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [4, 9, 16, 23, 40, 127, 363, 5793])
+def test_pairs_at_the_least_similarity_share_a_block(n):
+    rng, met = np.random.default_rng(n), 0
+    sizes = [(a, b) for a in (n, n - 1) for b in range(a, 5 * a // 4 + 1) if a > 3] if n < 400 else [(n, n), (n, 5 * n // 4), (n - 1, n + 1)]
+    for a, b in sizes:
+        c = -(-4 * (a + b) // 9)  # the least number of common shingles
+        if c > a:
+            continue
+        for _ in range(1 + 200 // len(sizes) if n < 400 else 4):
+            x = rng.integers(0, 1 << 63, a + b - c, dtype=np.uint64)
+            assert len(np.intersect1d(simhash.simhash_blocks(np.unique(x[:a])), simhash.simhash_blocks(np.unique(x[a - c :]))))
+            met += 1
+    assert met and all(y.blocks <= 52 for y in simhash.layouts(n)) and not len(simhash.simhash_blocks(np.arange(3, dtype=np.uint64)))
 
 
 def test_similar_finds_all_components():
@@ -84,6 +99,6 @@ def test_similar_finds_all_components():
         label = [min(label[j] for j in range(len(sets)) if near(sets[i], sets[j])) for i in range(len(sets))]
     got = list(range(len(sets)))
     for _ in sets:
-        for u, v in near_copies.similar(sets):
+        for u, v in simhash.similar(sets):
             got[u] = got[v] = min(got[u], got[v])
     assert got == label and 12 <= len(set(label)) < len(sets)

@@ -133,11 +133,12 @@ class WordTokenizer:
 # ---- grammar
 
 
-def repair(ids: np.ndarray, counts: np.ndarray, size: int, max_rules: int, least: int = 8, pairs_a_sweep: int = 4000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, counts: np.ndarray, size: int, max_rules: int, least: int = 8, pairs_a_sweep: int = 4000, gain: float = 0.005) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules (left, right), the symbols, and each document's number of symbols; ids of documents end to end.
 
     Each sweep takes the most frequent pairs at once; where chosen pairs overlap, the more frequent one is replaced.
-    It ends when no pair occurs ``least`` times or when max_rules is reached.
+    It ends when no pair occurs ``least`` times (and can be replaced half as often), when max_rules is reached, or after
+    a sweep that shortens the whole by less than the share ``gain`` (with 0 some 12 more sweeps shorten prose by 2 %).
     """
     # two symbols in one integer
     half, kind, both = (16, np.uint16, np.uint32) if size + max_rules <= 1 << 16 else (32, np.uint32, np.uint64)
@@ -179,23 +180,29 @@ def repair(ids: np.ndarray, counts: np.ndarray, size: int, max_rules: int, least
             break
         rank = np.full(len(pairs), len(pairs), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        # a pair is replaced where it ranks before the pair one symbol later and not after the pair one symbol earlier
+        # a pair is replaced where it ranks before the pairs one symbol earlier and later; of a run of one pair every other is
         own = rank[which]
-        near = np.diff(often) == 1
-        free = own < len(order)
-        free[1:] &= ~near | (own[1:] < own[:-1])
+        near, equal, i = np.diff(often) == 1, own[1:] == own[:-1], np.arange(len(own))
+        new = np.concatenate(([True], ~(near & equal)))
+        even = (i - np.maximum.accumulate(np.where(new, i, 0))) % 2 == 0
+        free = (own < len(order)) & even
+        free[1:] &= ~near | (own[1:] <= own[:-1])
         free[:-1] &= ~near | (own[:-1] <= own[1:])
-        take, chosen = often[free], own[free]
+        used = np.bincount(own[free], minlength=len(order)) >= least // 2
+        free[free] = used[own[free]]
+        take = often[free]
         if not len(take):
             break
-        x[take] = (size + rules + chosen).astype(kind)
+        x[take] = (size + rules + (np.cumsum(used) - 1)[own[free]]).astype(kind)
         last[take] = last[take + 1]
         keep = np.ones(len(x), bool)
         keep[take + 1] = False
-        x, last = x[keep], last[keep]
+        x, last, order = x[keep], last[keep], order[used]
         left.append((pairs[order] >> both(half)).astype(np.uint32))
         right.append((pairs[order] & both((1 << half) - 1)).astype(np.uint32))
         rules += len(order)
+        if len(take) < gain * len(x):
+            break
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.uint32)
     return join(left), join(right), x, np.diff(np.concatenate(([0], np.flatnonzero(last) + 1)))
 

@@ -10,9 +10,11 @@ are missed where cells are cut off. Documents are sampled by a hash of their id
 
 Topics are classes of form (table, marked, shouting, short, long, medium), as the documents name none. Where no
 targets are given, those of source and language are the present shares to the power ``flatten``, topics keep
-their shares. Null sources and languages are values of their own. Null and empty texts have no tokens, weigh
+their shares. A value that a given target table omits, or has with 0, has the weight 0: its documents get p, rate and
+copies 0. Targets that contradict each other (no weights have them all as marginals) raise an error where they were
+given; ``off``, the largest difference that is left in a marginal, comes with each document. Null sources and languages are values of their own. Null and empty texts have no tokens, weigh
 nothing in the marginals and are sampled with the rate of their cell (1 if it has no tokens). Repeated rows
-share their fate. An empty table gives an empty result; extra columns pass through.
+share their fate. An empty table gives an empty result; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import fresh, stage, table
 
 DIMS = ("source", "lang", "topic")
 
@@ -51,30 +53,39 @@ def targets_of(cells: DataFrame, dim: str, flatten: float) -> DataFrame:
     return sums.select(dim, (F.col("n") / total).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
-    """cells (source, lang, topic, tokens > 0) with w: weights whose marginals are the targets."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6, rounds: int = 60) -> tuple[DataFrame, float]:
+    """cells (source, lang, topic, tokens > 0) with w: weights whose marginals are the targets; and how far off they are at most.
+
+    Targets are summed by value and made to sum to 1; values without a target have 0, as have all cells with such a value.
+    """
     total = cells.agg(F.sum("tokens")).first()[0]
-    now = cells.withColumn("w", F.col("tokens") / F.lit(total))
+    now = cells.select(*DIMS, "tokens", (F.col("tokens") / F.lit(total)).alias("w"))
     for d in DIMS:
-        t = targets[d].select(F.col(d).alias("_k"), F.col("target").alias(f"t_{d}"))
-        now = now.join(t, now[d].eqNullSafe(t["_k"])).drop("_k")
+        t = targets[d].groupBy(F.col(d).alias("k")).agg(F.sum("target").alias("t"))
+        whole = t.agg(F.sum("t")).first()[0] or 1.0
+        goal = F.coalesce(t["t"] / F.lit(whole), F.lit(0.0)).alias(f"t_{d}")
+        now = now.join(t, now[d].eqNullSafe(t["k"]), "left").select(*(now[c] for c in now.columns), goal)
     now = stage(now)
     for _ in range(math.ceil(rounds / 5)):
         for _ in range(5):
             for d in DIMS:
-                now = now.withColumn("w", F.col("w") * F.col(f"t_{d}") / F.sum("w").over(W.partitionBy(d)))
+                present = F.sum("w").over(W.partitionBy(d))
+                now = now.withColumn("w", F.when(present > 0, F.col("w") * F.col(f"t_{d}") / present).otherwise(0.0))
         now = stage(now)
         off = [F.max(F.abs(F.col(f"s_{d}") - F.col(f"t_{d}"))) for d in DIMS]
         sums = now.select("*", *(F.sum("w").over(W.partitionBy(d)).alias(f"s_{d}") for d in DIMS))
-        if max(sums.agg(*off).first()) <= tolerance:
+        left = max(sums.agg(*off).first())
+        if left <= tolerance:
             break
-    return now.select(*DIMS, "tokens", "w")
+    return now.select(*DIMS, "tokens", "w"), left
 
 
 def rates(raked: DataFrame, share: float) -> DataFrame:
     """Probabilities p <= 1 and rates in proportion to w / present weight, so that share of all tokens is expected."""
     r = raked.withColumn("ratio", F.col("w") / F.col("tokens"))
-    total, least, most = r.agg(F.sum("tokens"), F.min("ratio"), F.max("ratio")).first()
+    total, least, most = r.agg(F.sum("tokens"), F.min(F.when(F.col("ratio") > 0, F.col("ratio"))), F.max("ratio")).first()
+    if not most:  # no cell has a weight
+        return r.select(*DIMS, F.lit(0.0).alias("p"), F.lit(0.0).alias("rate"))
     low, high = math.log(1e-9 / most), math.log(1 / least)
     for _ in range(5):  # each pass narrows the factor's bracket to a 32nd
         tries = [low + (high - low) * i / 32 for i in range(33)]
@@ -85,31 +96,40 @@ def rates(raked: DataFrame, share: float) -> DataFrame:
     return r.select(*DIMS, p.alias("p"), (F.col("ratio") * F.lit(share * total)).alias("rate"))
 
 
-def mix(docs: DataFrame, share: float = 0.8, flatten: float = 0.7, targets: dict[str, DataFrame] | None = None, tolerance: float = 1e-6) -> DataFrame:
-    """docs' columns and the struct _mix: topic, tokens, p, kept, rate, copies."""
-    sized = docs.withColumn("_tokens", n_tokens(F.col("text")))
-    sized = sized.withColumn("_topic", form_topic(F.coalesce("text", F.lit("")), F.col("_tokens")))
-    cells = stage(sized.groupBy("source", "lang", F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens")).filter("tokens > 0"))
+def _mixed(docs: DataFrame, share: float, flatten: float, targets: dict[str, DataFrame] | None, tolerance: float) -> DataFrame:
+    """The struct d of docs' columns and the struct m of the mix, so that no names meet."""
+    sized = docs.select(F.struct("*").alias("d"), n_tokens(F.col("text")).alias("tokens"))
+    sized = sized.select("d", "tokens", form_topic(F.coalesce("d.text", F.lit("")), F.col("tokens")).alias("topic"))
+    cells = stage(sized.groupBy("d.source", "d.lang", "topic").agg(F.sum("tokens").alias("tokens")).filter("tokens > 0"))
+    off = 0.0
     if cells.isEmpty():
         p = cells.select(*DIMS, F.lit(1.0).alias("p"), F.lit(1.0).alias("rate"))
     else:
         goals = {d: targets[d] if targets and d in targets else targets_of(cells, d, 1.0 if d == "topic" else flatten) for d in DIMS}
-        p = stage(rates(rake(cells, goals, tolerance), share))
-    p = p.select(*(F.col(d).alias(f"_p_{d}") for d in DIMS), F.col("p").alias("_p"), F.col("rate").alias("_rate"))
-    on = sized["source"].eqNullSafe(p["_p_source"]) & sized["lang"].eqNullSafe(p["_p_lang"]) & (sized["_topic"] == p["_p_topic"])
-    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    prob, rate = F.coalesce("_p", F.lit(1.0)), F.coalesce("_rate", F.lit(1.0))
+        raked, off = rake(cells, goals, tolerance)
+        if targets and off > tolerance:
+            raise ValueError(f"the targets contradict each other: a marginal is off by {off:.3g}")
+        p = stage(rates(raked, share))
+    p = p.select(*(F.col(d).alias(f"p_{d}") for d in DIMS), "p", "rate")
+    on = F.col("d.source").eqNullSafe(p["p_source"]) & F.col("d.lang").eqNullSafe(p["p_lang"]) & (F.col("topic") == p["p_topic"])
+    chance = F.pmod(F.xxhash64("d.doc_id", "d.text"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    prob, rate = F.coalesce("p", F.lit(1.0)), F.coalesce("rate", F.lit(1.0))
     copies = (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int")
-    made = F.struct(F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), prob.alias("p"), (chance < prob).alias("kept"), rate.alias("rate"), copies.alias("copies"))
-    return sized.join(p, on, "left").select(*(F.col(f"`{c}`") for c in docs.columns), made.alias("_mix"))
+    made = F.struct("topic", "tokens", prob.alias("p"), (chance < prob).alias("kept"), rate.alias("rate"), copies.alias("copies"), F.lit(off).alias("off"))
+    return sized.join(p, on, "left").select("d", made.alias("m"))
+
+
+def mix(docs: DataFrame, share: float = 0.8, flatten: float = 0.7, targets: dict[str, DataFrame] | None = None, tolerance: float = 1e-6) -> DataFrame:
+    """docs' columns and the struct _mix (see fresh() for clashing names): topic, tokens, p, kept, rate, copies, off."""
+    return _mixed(docs, share, flatten, targets, tolerance).select("d.*", F.col("m").alias(fresh(docs, "_mix")))
 
 
-def sample(docs: DataFrame) -> DataFrame:
+def sample(docs: DataFrame, share: float = 0.8, flatten: float = 0.7, targets: dict[str, DataFrame] | None = None, tolerance: float = 1e-6) -> DataFrame:
     """Each document as often as the mix takes it."""
-    rows = mix(docs).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies"))))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = _mixed(docs, share, flatten, targets, tolerance)
+    return rows.select("d", F.explode(F.array_repeat(F.lit(0), F.col("m.copies")))).select("d.*")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mix(table(spark, sf_dir, "documents"))
+    found = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return found.select("doc_id", "source", "lang", "_mix.topic", "_mix.tokens", F.round("_mix.p", 6).alias("p"), "_mix.kept", F.round("_mix.rate", 6).alias("rate"), "_mix.copies")

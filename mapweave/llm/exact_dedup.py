@@ -17,10 +17,11 @@ An empty table gives an empty result; extra columns, whatever their names, pass
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_dir, stage, table
+from .common import ascii_lower, fresh, shared_dir, stage, table
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -28,35 +29,37 @@ _STATE = {
 }
 
 
-def located(docs: DataFrame, text: str, id_col: str) -> DataFrame:
-    """docs with the struct _at: path and row of its file. Rows that come from no file are written to one first."""
-    at = lambda d: d.select("*", F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")).alias("_at"))
+def located(docs: DataFrame) -> DataFrame:
+    """The struct d of docs' columns and the struct at: path and row of its file. Rows that come from no file are written to one first."""
+
+    def at(df: DataFrame) -> DataFrame:
+        own = df.metadataColumn("_metadata")  # also where a column has that name
+        return df.select(F.struct("*").alias("d"), F.struct(own["file_path"].alias("path"), own["row_index"].alias("row")).alias("at"))
+
     try:
         out = at(docs)
         _ = out.schema
-    except Exception as e:  # no hidden file columns: an analysis error with this condition
-        if "UNRESOLVED_COLUMN" not in str(e):
-            raise
+    except AnalysisException:  # no hidden file columns
         out = at(stage(docs))
     return out
 
 
 def keep_state(log: DataFrame, state_dir: str) -> DataFrame:
-    """Stream the rows (digest, id, at) of log through the keyed state: (digest, best, size).
+    """Stream the rows (digest, id, at) of log through the keyed state: (digest, best, size) of all rows so far.
 
-    state_dir holds the stream's checkpoint, so a later call with more files in the log's folder goes on from it.
+    state_dir holds the stream's checkpoint and its input; a later call with the same one goes on from its state.
     """
-    spark, changes = log.sparkSession, f"{state_dir}/changes"
+    spark, source, changes = log.sparkSession, f"{state_dir}/log", f"{state_dir}/changes"
+    log.write.mode("append").parquet(source)
+    of_digest = F.max(F.struct("id", "at")).alias("best"), F.count(F.lit(1)).alias("size")
+    log.limit(0).groupBy("digest").agg(*of_digest).write.mode("overwrite").parquet(f"{changes}/batch=-1")  # there is a table even if no row comes
     before = {k: spark.conf.get(k, None) for k in _STATE}
     for k, v in _STATE.items():
         spark.conf.set(k, v)
     try:
-        path = log.inputFiles()[0].rsplit("/", 1)[0] if log.inputFiles() else None
-        if path is None:
-            return log.select("digest", F.struct("id", "at").alias("best"), F.lit(1).cast("long").alias("size"))
         (
-            spark.readStream.schema(log.schema).parquet(path)
-            .groupBy("digest").agg(F.max(F.struct("id", "at")).alias("best"), F.count(F.lit(1)).alias("size"))
+            spark.readStream.schema(log.schema).parquet(source)
+            .groupBy("digest").agg(*of_digest)
             .writeStream.outputMode("update").option("checkpointLocation", f"{state_dir}/checkpoint")
             .foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{changes}/batch={n}"))
             .trigger(availableNow=True).start().awaitTermination()
@@ -71,42 +74,59 @@ def keep_state(log: DataFrame, state_dir: str) -> DataFrame:
     return spark.read.parquet(changes).groupBy("digest").agg(F.max("best").alias("best"), F.max("size").alias("size"))
 
 
-def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", digest: Column | None = None, rows_per_salt: int = 1000) -> DataFrame:
-    """docs' columns and the struct _dedup: digest, keep_id, group_size, kept."""
-    body = ascii_lower(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    rows = located(docs, text, id_col)
+def _deduped(docs: DataFrame, text: str, id_col: str, digest: Column | None, rows_per_salt: int, state_dir: str | None, earlier: DataFrame | None) -> DataFrame:
+    """The struct d of docs' columns and the struct x: digest, keep_id, group_size, kept; so no names meet."""
+    of = lambda name: F.col("d").getField(name)
+    body = ascii_lower(F.coalesce(of(text), F.lit("")))
     made = F.sha2(body, 256) if digest is None else digest
-    log = stage(rows.select(made.alias("digest"), F.col(id_col).alias("id"), F.col("_at").alias("at")))
-    state = keep_state(log, shared_dir(docs.sparkSession))
+    whole = located(docs).withColumn("digest", made)
+    if earlier is not None:  # rows of batches that the state has already seen, for their texts
+        old = located(earlier).withColumn("digest", made)
+    state = keep_state(whole.select("digest", of(id_col).alias("id"), "at"), state_dir or shared_dir(docs.sparkSession))
     hits = stage(state.filter("size > 1"))
 
-    s = hits.select(F.col("digest").alias("_d"), F.col("best").alias("_best"), F.col("size").alias("_size"))
-    rows = rows.withColumn("_d", made)
-    joined = rows.join(s.hint("merge"), "_d", "left")  # one plan at every size: the state grows with the input
-    me = F.struct(F.col(id_col).alias("id"), F.col("_at").alias("at"))
-    at_best = F.col("_best").eqNullSafe(me)
+    s = hits.select(F.col("digest").alias("d_"), "best", "size")
+    beside = lambda rows: rows.join(s.hint("merge"), F.col("digest") == F.col("d_"), "left").drop("d_")  # noqa: E731  one plan at every size: the state grows with the input
+    joined = beside(whole)
+    me = F.struct(of(id_col).alias("id"), "at")
+    at_best = F.col("best").eqNullSafe(me)
 
     # the whole texts of hits against the kept one; the salt spreads the rows of a group
-    several = joined.filter("_size > 1").select("_d", "_at", "_size", at_best.alias("_first"), F.col(id_col).alias("_id"), body.alias("_body"))
-    several = stage(several.withColumn("_salt", F.pmod(F.xxhash64("_at"), F.ceil(F.col("_size") / rows_per_salt))))
-    first = several.filter("_first").select("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_size") / rows_per_salt) - 1)).alias("_salt"), F.col("_body").alias("_kept_body"))
-    other = several.join(first, ["_d", "_salt"]).filter("_body <> _kept_body").select("_d", "_at", "_id", "_body")
-    other = stage(other)
+    texts = lambda rows: rows.filter("size > 1").select("digest", "at", "size", at_best.alias("first"), of(id_col).alias("id"), body.alias("body"))
+    several = texts(joined) if earlier is None else texts(joined).union(texts(beside(old)))
+    salts = F.ceil(F.col("size") / rows_per_salt)
+    several = stage(several.withColumn("salt", F.pmod(F.xxhash64("at"), salts)))
+    first = several.filter("first").select("digest", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), F.col("body").alias("kept_body"))
+    other = stage(several.join(first, ["digest", "salt"]).filter("body <> kept_body").select("digest", "at", "id", "body"))
     if other.isEmpty():
-        size, keep, kept = F.coalesce("_size", F.lit(1).cast("long")), F.when(F.col("_size") > 1, F.col("_best.id")).otherwise(F.col(id_col)), F.col("_size").isNull() | at_best
-        return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct(F.col("_d").alias("digest"), keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept")).alias("_dedup"))
+        size, keep, kept = F.coalesce("size", F.lit(1).cast("long")), F.when(F.col("size") > 1, F.col("best.id")).otherwise(of(id_col)), F.col("size").isNull() | at_best
+        return joined.select("d", F.struct("digest", keep.alias("keep_id"), size.alias("group_size"), kept.alias("kept")).alias("x"))
     # unequal texts with one digest: exact groups of those rows, and the first group without them
-    exact = other.groupBy("_d", "_body").agg(F.max(F.struct(F.col("_id").alias("id"), F.col("_at").alias("at"))).alias("_best2"), F.count(F.lit(1)).alias("_size2"))
-    mine = other.join(exact, ["_d", "_body"]).select(F.col("_d").alias("_d2"), F.col("_at").alias("_at2"), "_best2", "_size2")
-    gone = other.groupBy("_d").agg(F.count(F.lit(1)).alias("_gone"))
-    joined = joined.join(mine, (F.col("_d") == F.col("_d2")) & (F.col("_at") == F.col("_at2")), "left").join(gone, "_d", "left")
-    best, size = F.coalesce("_best2", "_best", me), F.coalesce(F.col("_size2"), F.col("_size") - F.coalesce("_gone", F.lit(0)), F.lit(1).cast("long"))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.struct(F.col("_d").alias("digest"), best["id"].alias("keep_id"), size.alias("group_size"), best.eqNullSafe(me).alias("kept")).alias("_dedup"))
+    exact = other.groupBy("digest", "body").agg(F.max(F.struct("id", "at")).alias("best2"), F.count(F.lit(1)).alias("size2"))
+    mine = other.join(exact, ["digest", "body"]).select(F.col("digest").alias("d2"), F.col("at").alias("at2"), "best2", "size2")
+    gone = other.groupBy("digest").agg(F.count(F.lit(1)).alias("gone"))
+    joined = joined.join(mine, (F.col("digest") == F.col("d2")) & (F.col("at") == F.col("at2")), "left").join(gone, "digest", "left")
+    best, size = F.coalesce("best2", "best", me), F.coalesce(F.col("size2"), F.col("size") - F.coalesce("gone", F.lit(0)), F.lit(1).cast("long"))
+    return joined.select("d", F.struct("digest", best["id"].alias("keep_id"), size.alias("group_size"), best.eqNullSafe(me).alias("kept")).alias("x"))
+
+
+def dedup(
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", digest: Column | None = None, rows_per_salt: int = 1000,
+    state_dir: str | None = None, earlier: DataFrame | None = None,
+) -> DataFrame:
+    """docs' columns and the struct _dedup (see fresh() for clashing names): digest, keep_id, group_size, kept.
+
+    With state_dir (a folder that driver and executors share) the state stays there: a later call with other docs, the
+    same state_dir and the documents of the calls before as ``earlier`` goes on from it. Its group sizes and kept rows
+    are those of all documents so far; a row that an earlier call kept may be superseded by one with a larger id.
+    """
+    found = _deduped(docs, text, id_col, digest, rows_per_salt, state_dir, earlier)
+    return found.select("d.*", F.col("x").alias(fresh(docs, "_dedup")))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text another row has that stays."""
-    return dedup(docs).filter("_dedup.kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _deduped(docs, "text", "doc_id", None, 1000, None, None).filter("x.kept").select("d.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

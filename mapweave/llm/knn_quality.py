@@ -4,13 +4,14 @@ A document is a vector of counts over triples of character classes (lower, upper
 on: the form of its writing), its share of repeated words and lines, damped by log and weighted by inverse
 document frequency. A truncated SVD of the labelled sample (at most ``sample_rows`` labelled rows: a documented
 bound) gives ``rank`` latent dimensions. The labelled vectors (sample_rows x rank floats: a bounded broadcast) are
-compared with each document's vector by exact cosine products in blocks; the ``k`` nearest vote, weighted by
-similarity to the power ``sharpness``.
+compared with each document's vector by exact cosine products in blocks (components are whole multiples of 2^-20, so
+the sums have no rounding and don't depend on the block); the ``k`` nearest vote, of equally near ones the first by
+doc_id, weighted by similarity to the power ``sharpness``.
 
 Labels are learnt only from rows whose crc32(doc_id as text) mod 3 is not 1. Null and empty texts get the vector
 zero and the share of label 1 in the sample; without labels the score is 0.5. Rows of labels with null doc_id
-or quality are passed over; if a doc_id has several labels the smallest counts. Equal texts get equal scores.
-Empty tables give an empty result; extra columns pass through.
+or quality are passed over; if a doc_id has several labels the smallest counts, if it has several texts the least.
+Equal texts get equal scores. Empty tables give an empty result; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, texts_of
+from .common import fresh, table, texts_of
 
 _MARKS = b".,!?|*$%&#<>@\"'()-=:;/"
 _N = 8 + len(_MARKS)
@@ -79,11 +80,12 @@ class Model:
         self.basis[self.used] = (q @ turn.T)[:, :rank]
         self.labels, self.k, self.sharpness = labels.astype(np.float32), k, sharpness
         self.prior = float(labels.mean()) if n else 0.5
-        self.vectors = np.stack([self.project(i, v) for i, v in zip(ids, values, strict=True)]) if n else np.zeros((0, 0), np.float32)
+        self.vectors = np.stack([self.project(i, v) for i, v in zip(ids, values, strict=True)]) if n else np.zeros((0, 0))
 
     def project(self, ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The unit vector, rounded to multiples of 2^-20."""
         y = (values * self.idf[ids]).astype(np.float32) @ self.basis[ids]
-        return y / max(float(np.linalg.norm(y)), 1e-9)
+        return np.round(y.astype(np.float64) / max(float(np.linalg.norm(y)), 1e-9) * 2.0**20) / 2.0**20
 
     def scores(self, texts: list[str], block: int = 256) -> np.ndarray:
         out = np.full(len(texts), self.prior)
@@ -92,8 +94,10 @@ class Model:
         k = min(self.k, len(self.labels))
         for at in range(0, len(texts), block):
             part = texts[at : at + block]
-            cosine = np.stack([self.project(*counts(t)) if t else np.zeros(self.basis.shape[1], np.float32) for t in part]) @ self.vectors.T
-            best = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            cosine = np.stack([self.project(*counts(t)) if t else np.zeros(self.basis.shape[1]) for t in part]) @ self.vectors.T
+            least = np.partition(cosine, len(self.labels) - k, axis=1)[:, [len(self.labels) - k]]
+            over, same = cosine > least, cosine == least
+            best = np.nonzero(over | same & (same.cumsum(axis=1) <= k - over.sum(axis=1, keepdims=True)))[1].reshape(-1, k)
             weight = np.maximum(np.take_along_axis(cosine, best, 1), 0) ** self.sharpness
             total = weight.sum(axis=1)
             vote = (weight * self.labels[best]).sum(axis=1) / np.maximum(total, 1e-9)
@@ -108,13 +112,14 @@ def held_out(doc_id):
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500) -> Model:
     """Fit on at most sample_rows labelled documents, chosen by a hash of their id."""
     known = labels.filter("doc_id is not null and quality is not null").filter(~held_out(F.col("doc_id")))
-    picked = known.groupBy("doc_id").agg(F.min("quality").alias("_quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    picked = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counts(t) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64())), batch.column("_quality").cast(pa.int64())], ["doc_id", "ids", "vals", "quality"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64())), batch.column("quality").cast(pa.int64())], ["doc_id", "ids", "vals", "quality"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = rows.mapInArrow(run, f"doc_id {kind}, ids array<long>, vals array<double>, quality long").toArrow().sort_by("doc_id")
@@ -124,18 +129,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500) -> Model:
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' columns and _score, the voted share of label 1."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    """docs' columns and _score, the voted share of label 1; see fresh() for clashing names."""
+    sent, name = docs.sparkSession.sparkContext.broadcast(model), fresh(docs, "_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(texts_of(batch)))], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(texts_of(batch)))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["_score double"]))
+    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{name} double"]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return classify(docs, fit(docs, labels)).filter("_score >= 0.5").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return classify(docs, fit(docs, labels)).filter(F.col(fresh(docs, "_score")) >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,10 +16,13 @@ SPACE = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session has no such setting (tests on one machine) a temporary folder is made and set.
+    Only where the session has no such setting and runs in one process (tests) a temporary folder is made and set.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (spark.master is {master!r})")
         top = "file://" + tempfile.mkdtemp(prefix="mapweave-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"

@@ -11,18 +11,18 @@ from .common import stage
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v), in either direction, to (node, root): root is the least node of the component.
 
-    Each step is an aggregation and a join on node ids; the edge table of each round is written to the shared
-    folder. Nodes without an edge to another node are not listed.
+    Each step is an aggregation and a join on node ids. The edge table of each round is written to the shared folder,
+    and so are the aggregates, so that adaptive execution can split the edges of a hot node in the join. Nodes without an edge to another node are not listed.
     """
     high, low = F.greatest("u", "v"), F.least("u", "v")
     now = stage(edges.filter("u <> v").select(high.alias("u"), low.alias("v")).distinct())
     while True:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stage(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        least = stage(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         new = stage(small)
         sums = [x.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (now, new)]
         now = new

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, texts_of
+from .common import fresh, stage, table, texts_of
 
 SPACE = "▁"
 #: Letters, or other characters but the space, each with the spaces before them.
@@ -242,8 +242,8 @@ def dictionary(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int =
 
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 250_000, longest: int = 48) -> DataFrame:
-    """docs' columns, _ids (array of int) and _decoded_same (the ids' text is the text)."""
-    context, fields = docs.sparkSession.sparkContext, docs.schema
+    """docs' columns, _ids (array of int) and _decoded_same (the ids' text is the text); see fresh() for clashing names."""
+    context, fields, names = docs.sparkSession.sparkContext, docs.schema, [fresh(docs, "_ids"), fresh(docs, "_decoded_same")]
     sent, model = context.broadcast(dictionary(docs, pieces, text, keep, longest)), context.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,21 +272,21 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 250_
                     same.append(equal)
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in out])))
                 ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), ids, pa.array(same, pa.bool_())], [*(f.name for f in fields), "_ids", "_decoded_same"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), ids, pa.array(same, pa.bool_())], [*(f.name for f in fields), *names])
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["_ids array<int>", "_decoded_same boolean"]))
+    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{names[0]} array<int>", f"{names[1]} boolean"]))
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
-    """rows with text: the pieces of the ids end to end, without the first space; null ids give an empty text."""
-    sent, fields = rows.sparkSession.sparkContext.broadcast(pieces.out), rows.schema
+    """rows with text (see fresh() for clashing names): the pieces of the ids end to end, without the first space; null ids give an empty text."""
+    sent, fields, name = rows.sparkSession.sparkContext.broadcast(pieces.out), rows.schema, fresh(rows, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [b"".join(map(sent.value.__getitem__, x or []))[1:].decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "text"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, name])
 
-    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["text string"]))
+    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{name} string"]))
 
 
 def public_pieces() -> Pieces:
@@ -301,6 +301,6 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(docs: DataFrame) -> DataFrame:
-    """docs' columns without text, n_pieces and ids."""
-    rows = encode(docs, public_pieces())
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.size("_ids").cast("long").alias("n_pieces"), F.col("_ids").alias("ids"))
+    """docs' columns without text, n_pieces and ids; see fresh() for clashing names."""
+    rows, ids = encode(docs, public_pieces()), F.col(fresh(docs, "_ids"))
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.size(ids).cast("long").alias(fresh(docs, "n_pieces")), ids.alias(fresh(docs, "ids")))

@@ -192,10 +192,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", max_bits: int = 4, bloc
     marked = stage(fingerprints(docs.select(F.col(id_col).alias("id"), "text"), width))
     fps = stage(marked.groupBy("fp").agg(F.min("id").alias("first")))
     linked = components(near_links(fps, max_bits, blocks, tile)).select(F.col("node").alias("fp"), "root")
-    rooted = fps.join(linked, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    rooted = stage(fps.join(linked, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    # written, so that the rows of a hot root or fingerprint can be split in the joins
+    smallest = stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    classes = stage(rooted.join(smallest.hint("merge"), "root").select("fp", "component_id"))
+    return marked.join(classes.hint("merge"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 # ---- texts with a similarity of 0.8 or more

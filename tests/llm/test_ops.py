@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -40,16 +42,55 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def rejected(text):
+    """The rules that reject a text, from its words and characters."""
+    w, t = words(text), text or ""
+    chars = "".join(w)
+    lines = [x for x in t.split("\n") if words(x)]
+    broken = {
+        "word_length": not 2 * len(w) <= len(chars) <= 15 * len(w),
+        "symbols": len(re.findall(r"[#*$%&|<>]", t)) > 0.2 * len(w),
+        "dup_lines": len(lines) - len(set(lines)) > 0.3 * len(t.split("\n")),
+        "shouting": sum("A" <= c <= "Z" for c in t) > 0.5 * len(chars),
+        "letters": sum(c.isalpha() for c in t) < 0.6 * len(chars),
+    }
+    return {k for k, v in broken.items() if v}
+
+
+def test_cascade(spark):
+    rng = np.random.default_rng(8)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdeilnorstu"), rng.integers(3, 9))) for _ in range(n))
+    texts = [prose(80), prose(80).upper(), "\n".join([prose(8)] * 4 + [prose(9) for _ in range(8)]), prose(70) + " $$ ## " * 12, " ".join(f"{i}7{i}" for i in range(99)), " ".join(f"a{i}" * 9 for i in range(60)), prose(60) + " x" * 400]
+    texts += ["\n".join(x for _ in range(20) for x in [prose(6)] * 2), None, prose(20), " ".join(prose(1).upper() + "#" for _ in range(90))]
+    docs = spark.createDataFrame(list(enumerate(texts * 2)), "doc_id long, text string")
+    got = quality_rules.apply_rules(docs).collect()
+    assert len(got) == len(texts) * 2
+    for r in got:
+        why = set() if r.base_failed else rejected(texts[r.doc_id % len(texts)])
+        assert r.kept == (not r.base_failed and not why) and (r.rejected_by in why if why else r.rejected_by is None)
+    assert {k for t in texts if t for k in rejected(t)} == set(quality_rules.RULES) and any(r.kept for r in got)
+    measured = quality_rules.measure(docs)
+    passed = [t for t in texts if not quality_rules.base_failed(quality_rules.base_counts(t or ""))]
+    assert measured.keys() == set(quality_rules.RULES) and all(c > 0 for c, _ in measured.values())
+    assert {k: x for k, (_, x) in measured.items()} == pytest.approx({k: np.mean([k in rejected(t) for t in passed]) for k in quality_rules.RULES})
+
+
+def test_cascade_order():
+    order = quality_rules.cascade_order({"letters": (1.0, 0.5), "shouting": (0.1, 0.2), "symbols": (0.01, 0.0), "dup_lines": (5.0, 0.9)})
+    assert order == ["shouting", "letters", "dup_lines", "symbols", "word_length"]
+
+
 def test_quality_rules(docs, empty):
     got = {r.doc_id: r for r in quality_rules.apply_rules(docs).collect() if r.doc_id is not None}
     for i, t in enumerate(TEXTS):
         w = words(t)
         grams = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
-        repeat = {j + d for j, g in enumerate(grams) if grams.count(g) > 1 for d in range(3)} if len(w) < 500 else set(range(got[i].n_repeat_words))
+        often = Counter(grams)
+        repeat = {j + d for j, g in enumerate(grams) if often[g] > 1 for d in range(3)}
         lines = [x for x in (t or "").split("\n") if words(x)]
         assert got[i][1:6] == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(repeat))
         assert got[i].base_failed == (len(w) < 50 or 100 * len(repeat) > 50 * len(w))
-        assert not (got[i].kept and got[i].base_failed)
+        assert got[i].kept == (not got[i].base_failed and not rejected(t))
     assert quality_rules.apply_rules(empty).count() == 0
 
 
@@ -69,6 +110,27 @@ def test_exact_dedup(docs, empty, weak):
     assert exact_dedup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup_goes_on_from_its_state(spark, weak):
+    from pyspark.sql import functions as F
+
+    digest = F.lit("same") if weak else None
+    one = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b"), (None, "c")], "doc_id long, text string")
+    two = spark.createDataFrame([(5, "a"), (0, "B"), (6, "d"), (7, None), (8, "")], "doc_id long, text string")
+    state = shared_dir(spark)
+    one, two = (spark.read.parquet(p) for p in [stage_path(spark, x) for x in (one, two)])
+    first = {r.doc_id: r._dedup for r in exact_dedup.dedup(one, digest=digest, state_dir=state).collect()}
+    assert {i: (x.keep_id, x.group_size, x.kept) for i, x in first.items()} == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True), None: (None, 1, True)}
+    second = {r.doc_id: r._dedup for r in exact_dedup.dedup(two, digest=digest, state_dir=state, earlier=one).collect()}
+    assert {i: (x.keep_id, x.group_size, x.kept) for i, x in second.items()} == {5: (5, 3, True), 0: (3, 2, False), 6: (6, 1, True), 7: (8, 2, False), 8: (8, 2, True)}
+
+
+def stage_path(spark, df):
+    path = shared_dir(spark)
+    df.write.parquet(path)
+    return path
+
+
 def test_token_files(spark, docs, empty):
     path, name = shared_dir(spark), public_tokenizers.path("word_bpe_49k.json")
     token_files.write(docs, path, name, shard_tokens=500)
@@ -127,6 +189,11 @@ def test_classifier(spark, docs, empty):
     best = np.argsort(-cosine)[: model.k]
     w = np.maximum(cosine[best], 0) ** model.sharpness
     assert t[0] == pytest.approx((w * model.labels[best]).sum() / w.sum(), abs=1e-5) and t[1] == pytest.approx(model.prior)
+    texts = [f"{'Some ' * (i % 9)}text {i} with, marks{'!' * (i % 5)} {i * i}" for i in range(60)] * 3
+    scores = model.scores(texts, 256)
+    assert all((model.scores(texts, b) == scores).all() for b in (1, 7, 60)) and (scores[:60] == scores[60:120]).all()
+    twice = docs.unionByName(docs.limit(9).selectExpr("doc_id", "'other' as text"), allowMissingColumns=True)
+    assert len({knn_quality.fit(twice.repartition(n), labels).vectors.tobytes() for n in (1, 3, 4)}) == 1
     assert knn_quality.classify(empty, knn_quality.fit(empty, labels.limit(0))).count() == 0
 
 
@@ -217,7 +284,7 @@ def test_mixing(docs, empty):
     assert len(got) == len(TEXTS) + 1 and all(0 < r._mix.p <= 1 for r in got)
     tokens = [r._mix.tokens for r in got]
     assert sum(r._mix.p * n for r, n in zip(got, tokens, strict=True)) == pytest.approx(0.8 * sum(tokens), rel=1e-3)
-    assert mixing.mix(empty).count() == 0
+    assert all(r._mix.off <= 1e-6 for r in got) and mixing.mix(empty).count() == 0
 
 
 def test_raking(spark):
@@ -229,10 +296,29 @@ def test_raking(spark):
     for _ in range(200):
         for k, v in enumerate(goal.values()):
             x *= (np.array(v) / x.sum(axis=tuple({0, 1, 2} - {k}))).reshape([-1 if j == k else 1 for j in range(3)])
-    for r in mixing.rake(cells, targets, 1e-9).collect():
+    raked, off = mixing.rake(cells, targets, 1e-9)
+    assert off <= 1e-9
+    for r in raked.collect():
         assert r.w == pytest.approx(x[int(r.source[1]), int(r.lang[1]), int(r.topic[1])], abs=1e-6)
 
 
+def test_targets_that_are_absent_zero_or_contradictory(spark):
+    text = lambda n: " ".join(f"w{i}" for i in range(n))
+    rows = [(i, text(100 + i % 7), ("en", "de", None)[i % 3], ("a", "b", "c", None)[i // 3 % 4], "x", "y") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _mix string, tokens string")
+    goal = spark.createDataFrame([("a", 3.0), ("c", 0.0), (None, 0.5), (None, 0.5), ("unseen", 4.0)], "source string, target double")
+    with pytest.raises(ValueError, match="contradict"):  # no document has half of the weight
+        mixing.mix(docs, targets={"source": goal})
+    found = mixing.mix(docs, targets={"source": goal.filter("source is null or source <> 'unseen'")})
+    assert found.columns == [*docs.columns, "_mix_"]
+    got = found.collect()
+    by = {s: [r for r in got if r.source == s] for s in ("a", "b", "c", None)}
+    assert all((r._mix_.p, r._mix_.rate, r._mix_.copies, r._mix_.kept) == (0, 0, 0, False) for s in ("b", "c") for r in by[s])
+    tokens = {s: sum(r._mix_.rate * r._mix_.tokens for r in by[s]) for s in ("a", None)}
+    assert tokens["a"] == pytest.approx(3 * tokens[None], rel=1e-4) and sum(tokens.values()) == pytest.approx(0.8 * sum(r._mix_.tokens for r in got), rel=1e-4)
+    assert all(r._mix_.off <= 1e-6 for r in got)
+
+
 def test_pii(docs, empty):
     spans = {r.doc_id: [(s.kind, TEXTS[r.doc_id][s.start : s.end]) for s in r.spans] for r in pii.find_pii(docs).collect() if r.doc_id is not None}
     assert spans[16] == [("secret", "1eb9c654e721b4f812088970e66a6345cee33dd6"), ("email", "a.b@c.example.com"), ("phone", "+1 (310) 555-4510"), ("ip", "10.20.30.40"), ("card", "4111 1111 1111 1111")]
@@ -251,6 +337,41 @@ def test_pii(docs, empty):
     assert pii.pattern_spans(f"{zeros}1.2.3.{zeros} {zeros}256.1.1.1") == [(0, 10006, "ip")]
 
 
+def test_long_words_take_linear_time():
+    began = time.time()
+    for t in ("a" + "*" * 1_000_000 + "a", "*" * 1_000_000 + "7", "token=" + "_" * 1_000_000, "k" * 1_000_000 + "1"):
+        pii.shape(t)
+        assert pii.pattern_spans(t) == []
+    assert time.time() - began < 20
+    bare = re.compile(r"^[\W_]+|[\W_]+$")
+    for w in ("a", "", "_", "*a*", "a*b", "__a_b__", "é!", "!!", "“日”", "²)"):
+        assert pii.bared(w) == bare.sub("", w)
+
+
+def test_random_field_finds_secrets_and_accounts():
+    crf, rng = pii.Crf(pii.labelled_sentences()), np.random.default_rng(77)
+    pick = lambda chars, n: "".join(rng.choice(list(chars), n))
+    prose = lambda n: " ".join(pick("abcdefghilmnoprstuv", rng.integers(2, 11)) for _ in range(n))
+    digits, hexa = "0123456789", "0123456789abcdef"
+    texts, want = [], []
+    for i in range(200):
+        name, value = [
+            ("token", lambda: "a1" + pick(hexa, 38)), ("secret", lambda: "f0" + pick(hexa, 30)), ("iban", lambda: "DE" + pick(digits, 20)),
+            ("ssn", lambda: f"{pick(digits, 3)}-{pick(digits, 2)}-{pick(digits, 4)}"), ("password", lambda: "sk_" + pick("abcdefgh" + digits, 24) + "7q"),
+        ][i % 5]
+        v, quote = value(), '"' * (i % 2 if i % 5 in (0, 1, 4) else 0)
+        before = prose(int(rng.integers(0, 9)))
+        head = f"{before} {name}{' = ' if i % 5 in (0, 1, 4) else ': ' if i % 2 else ' '}{quote}"
+        texts.append(f"{head}{v}{quote} {prose(6)}.")
+        want.append((len(head), len(head) + len(v), "account" if name in ("iban", "ssn") else "secret"))
+    clean = [f"{prose(12)} {pick('123456789', 3)} {prose(3)} token {prose(2)}. The key {prose(4)}, account {prose(5)}." for _ in range(200)]
+    found = pii.added_spans([*texts, *clean], [pii.pattern_spans(t) for t in [*texts, *clean]], crf)
+    for kind in ("secret", "account"):
+        hit = sum(w in f for w, f in zip(want, found, strict=False) if w[2] == kind)
+        said = sum(s[2] == kind for f in found for s in f)
+        assert hit >= 0.95 * sum(w[2] == kind for w in want) and hit >= 0.95 * said
+
+
 def test_random_field_is_exact():
     crf = pii.Crf(pii.labelled_sentences(), steps=30)
     feats = [pii.features("my token = ab12cd34ef56ab78ef90 ok".split()), pii.features(["one"])]

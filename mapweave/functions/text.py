@@ -25,7 +25,18 @@ def tokenize_search(query: Column) -> Column:
 
 
 def split_ids(ids: Column) -> Column:
-    return F.split(ids, ",")
+    """Identifiers of a joined list: an empty list gives one empty identifier, null none."""
+    return F.coalesce(F.split(ids, ","), F.array().cast("array<string>"))
+
+
+def echo(ids: Column) -> Column:
+    """The query text that a joined list is shown as: one identifier a line."""
+    return F.replace(ids, F.lit(","), F.lit("\n"))
+
+
+def asked(query: Column) -> Column:
+    """Whether a free query starts a search: text that isn't empty (blanks do, with no identifiers)."""
+    return present(query)
 
 
 def join_ids(tokens: Column) -> Column:
@@ -90,9 +101,36 @@ def path_head(path: Column) -> Column:
 
 
 def one_decimal(col: Column) -> Column:
+    """Labels of a slider that goes in tenths."""
     return F.format_string("%.1f", col.cast("double"))
 
 
 def to_number(text: Column) -> Column:
     """A number, 0 for an empty or null text and for text that is none."""
     return F.coalesce(text.try_cast("double"), F.lit(0.0))
+
+
+def number_text(col: Column) -> Column:
+    """A double in its shortest form, as scripts in browsers write it: 1 for 1.0, no exponent from 1e-6 up to 1e21."""
+    size, plain = F.abs(col), col.cast("string")
+    tenths = F.regexp_replace(plain.try_cast("decimal(38,23)").cast("string"), r"\.?0+$", "")
+    power = F.regexp_replace(F.regexp_replace(plain, r"(\.0)?E(\d)", "e+$2"), r"(\.0)?E-", "e-")
+    special = F.isnan(col) | (size == float("inf"))
+    return (
+        F.when(col == 0, "0")
+        .when(special, plain)
+        .when((size >= 1e-6) & (size < 1e15), tenths)
+        .when((size >= 1e15) & (size < 1e21), col.cast("decimal(38,0)").cast("string"))
+        .otherwise(power)
+    )
+
+
+def to_query(fields: dict[str, Column]) -> Column:
+    """The fields as the text of a request's query."""
+    pairs = [F.concat(F.lit(f"{k}="), form_encode(or_empty(v))) for k, v in fields.items()]
+    return F.concat_ws("&", *pairs)
+
+
+def from_query(text: Column, name: str) -> Column:
+    """A field of a request's query; null if it isn't there."""
+    return F.url_decode(F.try_element_at(F.str_to_map(text, F.lit("&"), F.lit("=")), F.lit(name)))

@@ -45,20 +45,31 @@ def edges(mappings: DataFrame) -> DataFrame:
     return both.select(F.inline(F.array(pair("subject_id_curie", "object_id_curie"), pair("object_id_curie", "subject_id_curie"))))
 
 
-def neighbourhood(mappings: DataFrame, start: str, hops: int = 1) -> DataFrame:
+def inverted(mappings: DataFrame) -> DataFrame:
+    """Each mapping the other way round: subject and object change places."""
+    other = lambda c: c.replace("subject", "object") if "subject" in c else c.replace("object", "subject")
+    return mappings.select(*(F.col(other(c)).alias(c) for c in mappings.columns))
+
+
+def neighbourhood(mappings: DataFrame | None, start: str, hops: int = 1, links: DataFrame | None = None) -> DataFrame:
     """(entity, distance) of what is within hops of start; each entity once, at its least distance.
 
     The first hop is a filter that reaches the scan. Each further hop is one join and one aggregation over all that is
-    near so far, so the plan grows in proportion to hops; repeated edges are combined before the shuffle.
+    near so far, so the plan grows in proportion to hops; repeated edges are combined before the shuffle. links is the
+    table that write_edges writes (entity, other), sorted by entity; without it mappings are turned into edges.
     """
     if not 1 <= hops <= MAX_HOPS:
         raise ValueError(f"hops go from 1 to {MAX_HOPS}")
-    touching = mappings.filter(entity_in([start]))
-    found = touching.select(F.lit(start).alias("entity"), F.lit(0).alias("distance"))
-    found = found.union(edges(touching).filter(F.col("src") == start).select("dst", F.lit(1)))
+    if links is None:
+        first, every = edges(mappings.filter(entity_in([start]))), edges(mappings)
+        here = mappings.filter(entity_in([start])).select(F.lit(start).alias("entity"))
+    else:
+        every = links.select(F.col("entity").alias("src"), F.col("other").alias("dst")).filter("dst <> ''")
+        first, here = every, links.filter(F.col("entity") == start).select("entity")
+    found = here.select("entity", F.lit(0).alias("distance")).union(first.filter(F.col("src") == start).select("dst", F.lit(1)))
     near = found.groupBy("entity").agg(F.min("distance").alias("distance"))
     here, there = F.struct("entity", "distance"), F.struct(F.col("dst").alias("entity"), (F.col("distance") + 1).alias("distance"))
     for _ in range(1, hops):
-        reached = near.join(edges(mappings), F.col("entity") == F.col("src"), "left").select(F.inline(F.array(here, there)))
+        reached = near.join(every, F.col("entity") == F.col("src"), "left").select(F.inline(F.array(here, there)))
         near = reached.filter("entity is not null").groupBy("entity").agg(F.min("distance").alias("distance"))
     return near

@@ -42,6 +42,17 @@ def ordered(counts: DataFrame) -> DataFrame:
     return counts.orderBy(F.upper("facet"), "facet", F.desc("count"), "value")
 
 
+def checked(selected: Column, value: Column) -> Column:
+    """Whether a facet's value is shown as selected; selected: array of the facet's values or null. Empty values never are."""
+    return F.coalesce(F.array_contains(selected, value) & (value != ""), F.lit(False))
+
+
+def toggled(selected: Column, value: Column) -> Column:
+    """toggle() of one facet, for columns: the array after a click on value, null where none is left."""
+    left = F.array_remove(selected, value)
+    return F.when(selected.isNull(), F.array(value)).when(~checked(selected, value), selected).when(F.size(left) > 0, left)
+
+
 def toggle(selected: dict[str, list[str]], key: str, value: str) -> dict[str, list[str]]:
     """The selection after a click on value: set where nothing is, removed where it is, else unchanged."""
     now = selected.get(key)

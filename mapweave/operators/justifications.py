@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.functions import text as tx
+from mapweave.operators import paging
 from mapweave.operators.predicates import other_justification, triple_match
 
 TRIPLE = ("subject_id_curie", "predicate_id_curie", "object_id_curie")
@@ -35,24 +36,51 @@ def drawer(rows: DataFrame) -> DataFrame:
         "uuid",
         *ids,
         tx.or_empty(F.col("mapping_justification")).alias("uri"),
-        F.when(tx.present(conf, rows.schema["confidence"].dataType), conf.cast("string")).otherwise("").alias("confidence"),
+        F.when(tx.present(conf, rows.schema["confidence"].dataType), tx.number_text(conf)).otherwise("").alias("confidence"),
         tx.or_empty(F.col("mapping_provider")).alias("provider"),
         *_matches(),
     )
 
 
-def others_of(mappings: DataFrame, uuid: str) -> DataFrame:
-    """Other justifications of the mapping with this uuid, by its CURIEs: one self-join, the lookup side has one row."""
+#: Fields of a drawer's request and the columns of drawer() that they hold.
+REQUEST = {
+    "subject_id": "subject_id", "predicate_id": "predicate_id", "object_id": "object_id", "justif_uri": "uri", "justif_confidence": "confidence",
+    "justif_provider": "provider", "justif_subject_matches": "subject_matches", "justif_object_matches": "object_matches", "justif_match_strings": "match_strings",
+}
+
+
+def requests(rows: DataFrame) -> DataFrame:
+    """(uuid, query): the text of the request that a row's drawer makes."""
+    d = drawer(rows)
+    return d.select("uuid", tx.to_query({k: d[c] for k, c in REQUEST.items()}).alias("query"))
+
+
+def read_requests(texts: DataFrame) -> DataFrame:
+    """The fields of each request's text, under drawer()'s names; confidence as a number, 0 for none."""
+    field = lambda k: tx.or_empty(tx.from_query(F.col("query"), k))
+    return texts.select("uuid", *((tx.to_number(field(k)) if c == "confidence" else field(k)).alias(c) for k, c in REQUEST.items()))
+
+
+def others_of(mappings: DataFrame, uuid: str, limit: int = paging.TOP) -> DataFrame:
+    """Other justifications of the mapping with this uuid, among the first of its triple by uuid.
+
+    One self-join, by its CURIEs; the lookup side has one row.
+    """
     one = mappings.filter(F.col("uuid") == uuid).select(*(F.col(c).alias(f"_{c}") for c in (*TRIPLE, "mapping_justification"))).limit(1)
-    same = [F.col(c) == F.col(f"_{c}") for c in TRIPLE]
-    other = ~F.col("mapping_justification").eqNullSafe(F.col("_mapping_justification"))
-    return mappings.join(F.broadcast(one), [*same, other]).select(*mappings.columns)
+    same = mappings.join(F.broadcast(one), [F.col(c) == F.col(f"_{c}") for c in TRIPLE])
+    first = paging.page(same, limit, 1)
+    return first.filter(~F.col("mapping_justification").eqNullSafe(F.col("_mapping_justification"))).select(*mappings.columns)
 
 
 def of_triple(mappings: DataFrame, subject: str, predicate: str, obj: str, current: str | None) -> DataFrame:
     return view(mappings.filter(triple_match(subject, predicate, obj)).filter(other_justification(current)))
 
 
+def of_drawer(mappings: DataFrame, subject: str, predicate: str, obj: str, limit: int = 25, number: int = 1) -> DataFrame:
+    """A page of the justifications of a triple that its drawer shows, its own too."""
+    return view(paging.page(mappings.filter(triple_match(subject, predicate, obj)), limit, number))
+
+
 def by_triple(mappings: DataFrame) -> DataFrame:
     """All triples with their justifications, counted in one aggregation instead of a self-join."""
     every = mappings.groupBy(*TRIPLE).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("mapping_justification")).alias("justifications"))
@@ -60,7 +88,10 @@ def by_triple(mappings: DataFrame) -> DataFrame:
 
 
 def pairs(mappings: DataFrame) -> DataFrame:
-    """(uuid, other_uuid): each mapping with those of its triple under another justification."""
+    """(uuid, other_uuid): each mapping with those of its triple under another justification.
+
+    All pairs of a triple, so it is for selections; by_triple says the same of a whole table in one row a triple.
+    """
     keys = mappings.select("uuid", "mapping_justification", *TRIPLE)
     o = keys.select(F.col("uuid").alias("other_uuid"), F.col("mapping_justification").alias("_j"), *TRIPLE)
     return keys.join(o, list(TRIPLE)).filter(~F.col("mapping_justification").eqNullSafe(F.col("_j"))).select("uuid", "other_uuid")

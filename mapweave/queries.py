@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from mapweave.functions import text as tx
 from mapweave.operators import entities, facets, justifications, paging
 from mapweave.operators.predicates import triple_match
 from mapweave.plans.search import EntitySearch, TripleSearch, mapping_by_id
-from mapweave.sources.mappings import flat, from_line_items
+from mapweave.sources.mappings import flat, from_line_items, of_sets, sets_from_suppliers, stored, write_edges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,6 +85,31 @@ _page("page_first", 1)
 _page("page_middle", 3)
 _page("page_out_of_range", 100_000)
 
+
+@query(" union all ".join(f"select {n} as size, * from (select uuid from m where {_E.format(_IDS)} order by uuid limit {n} offset {n})" for n in paging.SIZES))
+def page_sizes(m: DataFrame) -> DataFrame:
+    rows = EntitySearch(IDS).rows(m).select("uuid")
+    return reduce(DataFrame.union, (paging.ui_page(rows, n, 1).select(F.lit(n).alias("size"), "uuid") for n in paging.SIZES))
+
+
+@query(f"select {_SHOWN} from m where {_E.format(_IDS)} and uuid > (select max(uuid) from (select uuid from m where {_E.format(_IDS)} order by uuid limit 25)) order by uuid limit 25")
+def page_after_key(m: DataFrame) -> DataFrame:
+    rows = EntitySearch(IDS).rows(m)
+    last = paging.page(rows.select("uuid"), 25, 1).agg(F.max("uuid")).first()[0]
+    return paging.page_after(rows, last).select(COLUMNS)
+
+
+@query(f"select '' as next, '' as previous, 100000 as page_number, count(*) as total_items, cast(ceil(count(*) / 25.0) as integer) as total_pages, least(count(*), 25) as shown from m where {_E.format(_IDS)}")
+def page_beyond_summary(m: DataFrame) -> DataFrame:
+    return EntitySearch(IDS, limit=25, page=100_000).run(m).pagination
+
+
+@query("select pages, total, shown, case when pages > 1 then shown when total <= 10 then 10 when total <= 25 then 25 else 100 end as size from range(0, 3) a(pages), range(0, 40) b(total), (values (10), (25), (100)) c(shown)", view=False)
+def size_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda name, n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
+    cases = spark.range(3).select(F.col("id").alias("pages")).select("pages", of("total", 40)).select("pages", "total", F.explode(F.array(*map(F.lit, paging.SIZES))).alias("shown"))
+    return cases.withColumn("size", paging.initial_size(F.col("pages"), F.col("total"), F.col("shown")))
+
 _SCALARS = ("mapping_provider", "predicate_id_curie", "mapping_justification_curie", "subject_category", "object_category")
 _COUNTS = " union all ".join(f"select '{k}' as facet, {k} as value, count(*) as count from {{0}} where {k} is not null group by {k}" for k in _SCALARS)
 _ARRAY_COUNTS = "select 'subject_match_field' as facet, value, count(*) as count from (select uuid, unnest(list_distinct(subject_match_field)) as value from {0}) group by value"
@@ -124,6 +151,34 @@ def facet_titles(m: DataFrame) -> DataFrame:
     return facets.facet_counts(m, ("mapping_provider", "predicate_id_curie")).select("facet", tx.title(F.col("facet")).alias("title")).distinct()
 
 
+@query("select 'mapping_provider' as facet, value, count, row_number() over (order by count desc, value) as place from (select mapping_provider as value, count(*) as count from m where mapping_provider is not null group by mapping_provider)")
+def facet_order(m: DataFrame) -> DataFrame:
+    listed = facets.ordered(facets.facet_counts(m, ("mapping_provider",))).agg(F.collect_list(F.struct("facet", "value", "count")).alias("r"))
+    return listed.select(F.posexplode("r").alias("at", "r")).select("r.facet", "r.value", "r.count", (F.col("at") + 1).cast("long").alias("place"))
+
+
+@query("select facet, '{' || string_agg('\"' || value || '\":' || count, ',' order by value) || '}' as values from (select 'mapping_provider' as facet, mapping_provider as value, count(*) as count from m group by mapping_provider union all select 'predicate_id_curie', predicate_id_curie, count(*) from m group by predicate_id_curie) group by facet")
+def facet_map(m: DataFrame) -> DataFrame:
+    counts = facets.facet_counts(m, ("mapping_provider", "predicate_id_curie"))
+    return facets.as_map(counts).select(F.explode("facets").alias("facet", "values"))
+
+
+_CLICKS = "['rel:exactMatch', 'rel:closeMatch']"
+_CHOSEN = f"case state when 0 then null when 1 then ['rel:exactMatch'] else {_CLICKS} end"
+
+
+@query(f"""select state, value, coalesce(list_contains(now, value), false) as checked,
+  case when now is null then value when not list_contains(now, value) then array_to_string(now, ' ')
+    else nullif(array_to_string(list_filter(now, lambda x: x <> value), ' '), '') end as after
+from (select state, value, {_CHOSEN} as now from range(0, 3) s(state), (select distinct predicate_id_curie as value from m))""")
+def facet_toggle(m: DataFrame) -> DataFrame:
+    one, two = F.array(F.lit("rel:exactMatch")), F.array(F.lit("rel:exactMatch"), F.lit("rel:closeMatch"))
+    values = facets.facet_counts(m, ("predicate_id_curie",)).select("value", F.explode(F.array(*(F.lit(i).cast("long") for i in range(3)))).alias("state"))
+    now = values.withColumn("now", F.when(F.col("state") == 1, one).when(F.col("state") == 2, two))
+    after = F.array_join(facets.toggled(F.col("now"), F.col("value")), " ")
+    return now.select("state", "value", facets.checked(F.col("now"), F.col("value")).alias("checked"), after.alias("after"))
+
+
 @query(f"select '?limit=25&page=3' as next, '?limit=25&page=1' as previous, 2 as page_number, count(*) as total_items, cast(ceil(count(*) / 25.0) as integer) as total_pages, least(count(*), 25) as shown from m where {_E.format(_IDS)}")
 def page_summary(m: DataFrame) -> DataFrame:
     return EntitySearch(IDS, limit=25, page=2).run(m).pagination
@@ -168,10 +223,24 @@ def other_justifications(m: DataFrame) -> DataFrame:
     return justifications.pairs(m)
 
 
-@query(f"select b.uuid from m a join m b using ({_TRIPLE}) where a.uuid = (select min(uuid) from m where subject_id_curie = 'PART:1') and a.mapping_justification is distinct from b.mapping_justification")
+#: The least mapping whose triple has several justifications.
+_SHARED = f"(select min(first) from (select min(uuid) as first from m group by {_TRIPLE} having min(mapping_justification) <> max(mapping_justification)))"
+
+
+def _shared(m: DataFrame) -> str:
+    several = m.groupBy(*justifications.TRIPLE).agg(F.min("uuid").alias("first"), (F.min("mapping_justification") != F.max("mapping_justification")).alias("several"))
+    return several.filter("several").agg(F.min("first")).first()[0]
+
+
+@query(f"select uuid from (select a.mapping_justification as own, b.uuid, b.mapping_justification from m a join m b using ({_TRIPLE}) where a.uuid = {_SHARED} order by b.uuid limit 100) where mapping_justification is distinct from own")
 def mapping_detail(m: DataFrame) -> DataFrame:
-    one = m.filter("subject_id_curie = 'PART:1'").agg(F.min("uuid")).first()[0]
-    return justifications.others_of(m, one).select("uuid")
+    return justifications.others_of(m, _shared(m)).select("uuid")
+
+
+@query(f"select uuid from (select a.mapping_justification as own, b.uuid, b.mapping_justification from m a join m b using ({_TRIPLE}) where a.uuid = {_SHARED} order by b.uuid limit 1) where mapping_justification is distinct from own union all select min(uuid) from m where uuid = {_SHARED}")
+def mapping_detail_limit(m: DataFrame) -> DataFrame:
+    # the first row of the triple is the mapping itself, so a limit of one leaves no other
+    return justifications.others_of(m, _shared(m), 1).select("uuid").union(mapping_by_id(m, _shared(m)).select("uuid"))
 
 
 _JOINED = "coalesce(array_to_string({0}, ', '), '')"
@@ -192,10 +261,33 @@ def justifications_by_triple(m: DataFrame) -> DataFrame:
     return justifications.by_triple(m).withColumn("justifications", F.array_join("justifications", " "))
 
 
-@query(f"select uuid, case when subject_id_curie = '' then subject_id else subject_id_curie end as subject_id, predicate_id_curie as predicate_id, object_id_curie as object_id, mapping_justification as uri, mapping_provider as provider, confidence is not null and confidence <> 0 as has_confidence, {_JOINED.format('match_string')} as match_strings from m where object_id_curie = 'SUPP:3'")
+_DRAWER = f"uuid, case when subject_id_curie = '' then subject_id else subject_id_curie end as subject_id, predicate_id_curie as predicate_id, object_id_curie as object_id, mapping_justification as uri, mapping_provider as provider, {_JOINED.format('subject_match_field')} as subject_matches, '' as object_matches, {_JOINED.format('match_string')} as match_strings"
+_NUMBER = "case when confidence is null or confidence = 0 then '' else regexp_replace(cast(confidence as varchar), '[.]0$', '') end"
+
+
+@query(f"select {_DRAWER}, {_NUMBER} as confidence from m")
 def drawer_parameters(m: DataFrame) -> DataFrame:
-    rows = justifications.drawer(m.filter("object_id_curie = 'SUPP:3'"))
-    return rows.select("uuid", "subject_id", "predicate_id", "object_id", "uri", "provider", (F.col("confidence") != "").alias("has_confidence"), "match_strings")
+    return justifications.drawer(m)
+
+
+_FORM = "replace(replace(replace(url_encode({0}), '%20', '+'), '~', '%7E'), '%2A', '*')"
+_FIELDS = {"subject_id": "subject_id", "predicate_id": "predicate_id", "object_id": "object_id", "justif_uri": "uri", "justif_confidence": "confidence", "justif_provider": "provider", "justif_subject_matches": "subject_matches", "justif_object_matches": "object_matches", "justif_match_strings": "match_strings"}
+
+
+@query(f"select uuid, concat_ws('&', {', '.join(f"'{k}=' || " + _FORM.format(c) for k, c in _FIELDS.items())}) as query from (select {_DRAWER}, {_NUMBER} as confidence from m)")
+def drawer_requests(m: DataFrame) -> DataFrame:
+    return justifications.requests(m)
+
+
+@query(f"select {_DRAWER}, coalesce(confidence, 0.0) as confidence from m")
+def drawer_read_back(m: DataFrame) -> DataFrame:
+    return justifications.read_requests(justifications.requests(m))
+
+
+@query(f"select b.uuid, b.mapping_justification as uri, b.confidence from m a join m b using ({_TRIPLE}) where a.uuid = {_SHARED} order by b.uuid limit 2")
+def drawer_justifications(m: DataFrame) -> DataFrame:
+    one = mapping_by_id(m, _shared(m)).select(*justifications.TRIPLE).first()
+    return justifications.of_drawer(m, *one, limit=2).select("uuid", "uri", "confidence")
 
 
 @query("select uuid, subject_id_curie, object_id_curie, false as is_subject, true as is_object from (select * from m where object_id_curie = 'SUPP:3' or subject_id_curie = 'SUPP:3' order by uuid limit 100)")
@@ -208,6 +300,12 @@ def entity_sides(m: DataFrame) -> DataFrame:
     return entities.entity_view(m, "PART:1", 1_000_000).select("uuid", "is_subject", "is_object")
 
 
+@query("select row_number() over (order by is_subject desc, uuid) as place, uuid, is_subject, is_object from (select uuid, subject_id_curie = 'PART:1' as is_subject, object_id_curie = 'PART:1' as is_object from m where subject_id_curie = 'PART:1' union all select uuid, false, true from m where subject_id_curie = 'PART:1')")
+def entity_view_order(m: DataFrame) -> DataFrame:
+    listed = entities.entity_view(m.union(entities.inverted(m)), "PART:1", 1_000_000).agg(F.collect_list(F.struct("uuid", "is_subject", "is_object")).alias("r"))
+    return listed.select(F.posexplode("r").alias("at", "r")).select((F.col("at") + 1).cast("long").alias("place"), "r.uuid", "r.is_subject", "r.is_object")
+
+
 _BOTH = "(select subject_id_curie as entity from m union all select object_id_curie from m)"
 
 
@@ -244,6 +342,25 @@ def _neighbours(hops: int) -> None:
 for _n in (1, 2, 3):
     _neighbours(_n)
 
+def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A folder of this session below the one that driver and executors share."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
+
+
+@query(f"{VIEW} select {_SHOWN} from m where {_E.format(_IDS)} and predicate_id_curie = 'rel:exactMatch'", view=False)
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = stored(from_line_items(spark, sf_dir), _folder(spark, sf_dir, "mappings"))
+    return EntitySearch(IDS, {"predicate_id_curie": ["rel:exactMatch"]}).rows(m).select(COLUMNS)
+
+
+@query(f"{VIEW}, {_EDGES}{_HOPS} " + " union all ".join(f"select entity, {d} as distance from h{d}" for d in range(3)), view=False)
+def stored_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark, sf_dir, "edges")
+    write_edges(from_line_items(spark, sf_dir), path, "overwrite")
+    return entities.neighbourhood(None, "PART:1", 2, links=spark.read.parquet(path))
+
+
 _TEXT = "o_orderpriority || ', ,' || chr(10) || ' ' || o_orderstatus || ',,' || o_orderkey || chr(9)"
 _SPLIT = f"regexp_split_to_array({_TEXT}, '[\\n,]+')"
 
@@ -300,8 +417,53 @@ def presence_flags(m: DataFrame) -> DataFrame:
 
 @query("select mapping_set_id, count(*) as n_mappings, count(distinct mapping_provider) as n_providers from m group by mapping_set_id")
 def mapping_set_members(m: DataFrame) -> DataFrame:
-    sets = m.select("mapping_set_id").distinct()
-    return sets.join(m, "mapping_set_id").groupBy("mapping_set_id").agg(F.count(F.lit(1)).alias("n_mappings"), F.countDistinct("mapping_provider").alias("n_providers"))
+    return m.groupBy("mapping_set_id").agg(F.count(F.lit(1)).alias("n_mappings"), F.countDistinct("mapping_provider").alias("n_providers"))
+
+
+@query(f"{VIEW}, s as (select 'set-' || (s_suppkey % 5) as id, min(n_name) as provider from supplier join nation on s_nationkey = n_nationkey group by s_suppkey % 5) select id as set_uuid, provider as set_provider, uuid from s join m on mapping_set_id = id", view=False)
+def mapping_set_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_sets(sets_from_suppliers(spark, sf_dir), from_line_items(spark, sf_dir)).select("set_uuid", "set_provider", "uuid")
+
+
+_LISTS = "nullif(o_orderkey % 7, 0) || ',' || o_orderstatus || repeat(',', cast(o_orderkey % 3 as integer)) || o_orderkey"
+
+
+@query(f"select o_orderkey, array_to_string(coalesce(string_split({_LISTS}, ','), []), '|') as ids, replace({_LISTS}, ',', chr(10)) as shown, coalesce({_LISTS} <> '', false) as asked from orders", view=False)
+def split_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    text = F.concat(F.nullif(key % 7, F.lit(0)).cast("string"), F.lit(","), "o_orderstatus", F.repeat(F.lit(","), (key % 3).cast("int")), key.cast("string"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.array_join(tx.split_ids(text), "|").alias("ids"), tx.echo(text).alias("shown"), tx.asked(text).alias("asked"))
+
+
+_ODD = "p_name || ' /?&=+~*''()!#%é ' || p_brand"
+
+
+@query(f"select p_partkey, {_FORM.format(_ODD)} as form, replace(replace(replace(replace(replace(url_encode({_ODD}), '%21', '!'), '%27', chr(39)), '%28', '('), '%29', ')'), '%2A', '*') as component from part", view=False)
+def encoded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = F.concat("p_name", F.lit(" /?&=+~*'()!#%é "), "p_brand")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", tx.form_encode(odd).alias("form"), tx.component_encode(odd).alias("component"))
+
+
+@query("select uuid, case when subject_id_curie = '' then '' else 'entity' end as head from m")
+def path_heads(m: DataFrame) -> DataFrame:
+    path = F.when(F.col("subject_id_curie") == "", "/").otherwise(F.concat(F.lit("/entity/"), tx.component_encode(F.col("subject_id_curie"))))
+    return m.select("uuid", tx.path_head(path).alias("head"))
+
+
+@query("select i, printf('%.1f', i / 10.0) as label from range(0, 11) t(i)", view=False)
+def slider_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(11).select(F.col("id").alias("i"), tx.one_decimal(F.col("id") / 10).alias("label"))
+
+
+@query(f"select uuid, {_NUMBER.replace('confidence = 0', 'false').replace("''", 'null', 1)} as text, coalesce(confidence, 0.0) as number from m")
+def confidence_texts(m: DataFrame) -> DataFrame:
+    text = tx.number_text(F.col("confidence"))
+    return m.select("uuid", text.alias("text"), tx.to_number(text).alias("number"))
+
+
+@query("select uuid, match_string is not null as match_string, false as author_id, true as subject_match_field from m")
+def not_empty_lists(m: DataFrame) -> DataFrame:
+    return m.select("uuid", *(tx.not_empty(F.col(c)).alias(c) for c in ("match_string", "author_id", "subject_match_field")))
 
 
 @query("select uuid, subject_id_curie, coalesce(array_to_string(subject_match_field, ', '), '') as subject_match_field, coalesce(array_to_string(match_string, ', '), '') as match_string, '' as author_label from m")

@@ -50,8 +50,30 @@ def flat(mappings: DataFrame) -> DataFrame:
 
 
 def export(mappings: DataFrame, path: str, kind: str = "csv", mode: str = "errorifexists") -> None:
-    """CSV or TSV with a header."""
-    flat(mappings).write.mode(mode).option("header", True).option("sep", {"csv": ",", "tsv": "\t"}[kind]).csv(path)
+    """CSV or TSV with a header. Fields with separators, quotes or line ends are quoted, quotes in them are doubled; spaces stay."""
+    out = flat(mappings).write.mode(mode).option("header", True).option("sep", {"csv": ",", "tsv": "\t"}[kind]).option("escape", '"')
+    out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def sets_from_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping sets of from_line_items' mappings, with the address of each one's mappings."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    named = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    key = F.concat(F.lit("set-"), (F.col("s_suppkey") % 5).cast("string")).alias("uuid")
+    sets = named.groupBy(key).agg(F.min("n_name").alias("mapping_provider"), F.sort_array(F.collect_set("n_name")).alias("mapping_set_source"))
+    return conform(sets.withColumn("mappings", F.struct(F.concat(F.lit("/sets/"), "uuid", F.lit("/mappings")).alias("href"))), MAPPING_SET)
+
+
+def stored(mappings: DataFrame, path: str) -> DataFrame:
+    """Mappings written once to path and read from there, so that filters reach the files."""
+    write_mappings(mappings, path, "overwrite")
+    return read_mappings(mappings.sparkSession, path)
+
+
+def of_sets(sets: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Each mapping with the set whose address names its mapping_set_id: set's uuid and provider, then the mapping's columns."""
+    named = sets.select(F.col("uuid").alias("set_uuid"), F.col("mapping_provider").alias("set_provider"), F.split_part("mappings.href", F.lit("/"), F.lit(3)).alias("set_id"))
+    return named.join(mappings, F.col("set_id") == F.col("mapping_set_id")).drop("set_id")
 
 
 def from_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Sources, sinks, predicates, paging and facets on a few mappings with nulls, blanks and repeated rows."""
 
+import csv
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from mapweave.functions import text as tx
 from mapweave.operators import entities, facets, justifications, paging
 from mapweave.operators.predicates import confidence_between, filter_entities, other_justification, triple_match
 from mapweave.plans.search import EntitySearch, TripleSearch, mapping_by_id, require
@@ -133,3 +135,77 @@ def test_neighbourhood(m):
         entities.neighbourhood(m, "A:1", 4)
     assert [(r.uuid, r.is_subject, r.is_object) for r in entities.entity_view(m, "B:1").collect()] == [("u3", True, False), ("u1", False, True), ("u2", False, True)]
     assert tuple(entities.stats(m).first()) == (5, 0, 2, 4)
+
+
+@pytest.mark.parametrize(("kind", "sep"), [("csv", ","), ("tsv", "\t")])
+def test_export_of_quotes_separators_and_line_ends(spark, tmp_path, kind, sep):
+    odd = ['say "a"', "a,b\tc", "line\nend", '"', "", "a\\", None, "plain"]
+    rows = [tuple({"uuid": f"u{i}", "comment": t, "match_string": [t, 'x"y', None]}.get(f.name) for f in MAPPING) for i, t in enumerate(odd)]
+    source.export(spark.createDataFrame(rows, MAPPING).coalesce(1), f"{tmp_path}/e", kind)
+    (file,) = (tmp_path / "e").glob("*.csv")
+    with open(file, newline="", encoding="utf-8") as f:
+        got = {r["uuid"]: (r["comment"], r["match_string"]) for r in csv.DictReader(f, delimiter=sep)}
+    assert got == {f"u{i}": (t or "", f'{t or ""}, x"y, ') for i, t in enumerate(odd)}
+
+
+def test_filters_reach_stored_mappings(spark, m, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
+    stored = source.stored(m, f"{tmp_path}/m")
+    found = EntitySearch(["B:1"], {"mapping_provider": ["p"]}, (0.2, 0.9)).rows(stored)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert all(x in pushed for x in ("EqualTo(subject_id_curie,B:1)", "EqualTo(object_id_curie,B:1)", "EqualTo(mapping_provider,p)", "GreaterThanOrEqual(confidence,0.2)"))
+    assert uuids(found) == ["u1"]
+    plan = entities.neighbourhood(stored, "B:1", 1)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(subject_id_curie,B:1)" in plan[plan.index("PushedFilters") :]
+
+
+def test_neighbourhood_of_stored_edges(spark, m, tmp_path):
+    source.write_edges(m, f"{tmp_path}/g")
+    links = spark.read.parquet(f"{tmp_path}/g")
+    for start in ("A:1", "C:1", "Z:1"):
+        for hops in (1, 2, 3):
+            assert sorted(entities.neighbourhood(None, start, hops, links).collect()) == sorted(entities.neighbourhood(m, start, hops).collect())
+
+
+def test_orders(m):
+    both = m.union(entities.inverted(m))
+    got = [(r.uuid, r.is_subject) for r in entities.entity_view(both, "B:1").collect()]
+    assert got == [("u1", True), ("u2", True), ("u3", True), ("u1", False), ("u2", False), ("u3", False)]
+    counts = m.sparkSession.createDataFrame([("b", "x", 1), ("A", "y", 2), ("A", "z", 5), ("a", "q", 9), ("A", "w", 2)], "facet string, value string, count long")
+    assert [(r.facet, r.value) for r in facets.ordered(counts).collect()] == [("A", "z"), ("A", "w"), ("A", "y"), ("a", "q"), ("b", "x")]
+
+
+def test_approximate_statistics(spark):
+    ids = spark.range(5000).select(*(F.concat(F.lit(f"{c}:"), F.col("id").cast("string")).alias(f"{c}") for c in ("s", "o")), "id")
+    many = source.conform(ids.select(F.col("s").alias("subject_id_curie"), F.col("o").alias("object_id_curie"), F.col("id").cast("string").alias("uuid"), F.lit("p").alias("mapping_provider")))
+    exact, near = entities.stats(many).first(), entities.stats(many, approximate=True).first()
+    assert exact.nb_entity == 10_000 and near.nb_mapping == 5000 and near.nb_entity == pytest.approx(10_000, rel=0.15)
+
+
+def test_numbers_as_text(spark):
+    want = {1.0: "1", 0.5: "0.5", 0.02: "0.02", 0.1 + 0.2: "0.30000000000000004", 1e-6: "0.000001", 1.5e-7: "1.5e-7", 1e-7: "1e-7", 100.0: "100", 1e7: "10000000", 123456789.25: "123456789.25", 1e20: "100000000000000000000", 1e21: "1e+21", -0.25: "-0.25", 0.0: "0", 0.00012345: "0.00012345"}
+    got = spark.createDataFrame([(x,) for x in want], "x double").select("x", tx.number_text(F.col("x")).alias("t")).collect()
+    assert {r.x: r.t for r in got} == want
+    one = spark.createDataFrame([("", "", ["a"], []), (None, "abc", None, None)], "a string, b string, c array<string>, d array<string>")
+    got = one.select(tx.asked(F.col("a")), tx.split_ids(F.col("a")), tx.to_number(F.col("b")), tx.not_empty(F.col("c")), tx.not_empty(F.col("d"))).collect()
+    assert [tuple(r) for r in got] == [(False, [""], 0.0, True, False), (False, [], 0.0, False, False)]
+
+
+def test_drawer_requests(m):
+    texts = {r.uuid: r.query for r in justifications.requests(m).collect()}
+    assert texts["u1"].startswith("subject_id=A%3A1&predicate_id=r%3Ax&object_id=B%3A1&justif_uri=j%2F1&justif_confidence=0.5&justif_provider=p&justif_subject_matches=l%2C+l%2C+s&")
+    back = {r.uuid: r for r in justifications.read_requests(justifications.requests(m)).collect()}
+    assert (back["u1"].confidence, back["u2"].confidence, back["u4"].match_strings, back["u4"].subject_id) == (0.5, 0.0, "a,b, ", "http://a#4")
+    assert [r.uuid for r in justifications.of_drawer(m, "A:1", "r:x", "B:1", 1, 2).collect()] == ["u2"]
+    assert uuids(justifications.others_of(m, "u1", 1)) == []
+
+
+def test_toggled_columns(m):
+    rows = [([], "a"), (None, "a"), (["a"], "a"), (["a", "b"], "a"), (["b"], "a"), ([""], "")]
+    got = m.sparkSession.createDataFrame(rows, "s array<string>, v string").select(facets.checked(F.col("s"), F.col("v")).alias("c"), facets.toggled(F.col("s"), F.col("v")).alias("t")).collect()
+    assert [(r.c, r.t) for r in got] == [(False, []), (False, ["a"]), (True, None), (True, ["b"]), (False, ["b"]), (False, [""])]
+    for s, v in rows:
+        if s != [""]:
+            want = facets.toggle({} if s is None else {"k": s}, "k", v).get("k")
+            assert got[rows.index((s, v))].t == want

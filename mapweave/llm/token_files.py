@@ -61,7 +61,7 @@ class WordTokenizer:
     and split them again. Texts with characters beyond Latin-1, or with anything like a special token, go to it whole.
     """
 
-    def __init__(self, vocabulary: str, keep: int = 1 << 23):
+    def __init__(self, vocabulary: str, keep: int = 1 << 22):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok, self.split, self.keep = Tokenizer.from_str(vocabulary), Tokenizer.from_str(vocabulary), keep

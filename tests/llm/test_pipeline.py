@@ -50,8 +50,15 @@ def good(model, text):
     return (weight * model.labels[best]).sum() / weight.sum() >= 0.5 if weight.sum() > 1e-9 else model.prior >= 0.5
 
 
-def chances(docs, share=0.8, flatten=0.7):
-    """The probability of each document: raked cells over present ones, by dense arrays."""
+def similar(a, b):
+    """Whether five-word shingles have a Jaccard similarity of 0.8 or more."""
+    of = lambda t: {tuple(w[i : i + 5]) for w in [words(lower(t))] for i in range(max(1, len(w) - 4))}
+    x, y = of(a), of(b)
+    return 5 * len(x & y) >= 4 * len(x | y)
+
+
+def cells(docs, flatten=0.7):
+    """Raked weights of the cells (source, language, topic) over their tokens, the tokens, and each document's cell."""
     key = [(d.source, d.lang, topic(d.text)) for d in docs]
     names = [sorted({k[i] for k in key}, key=lambda x: (x is not None, x or "")) for i in range(3)]
     have = np.zeros([len(n) for n in names])
@@ -64,13 +71,25 @@ def chances(docs, share=0.8, flatten=0.7):
             goal = have.sum(axis=others) ** (1.0 if i == 2 else flatten)
             now = w.sum(axis=others)
             w = w * np.divide(goal / goal.sum(), now, out=np.zeros_like(now), where=now > 0).reshape([-1 if j == i else 1 for j in range(3)])
-    ratio = np.divide(w, have, out=np.zeros_like(w), where=have > 0)
+    at = [tuple(n.index(x) for n, x in zip(names, k, strict=True)) for k in key]
+    return np.divide(w, have, out=np.zeros_like(w), where=have > 0), have, at
+
+
+def rates(docs, share=0.8):
+    """How often each document is expected: its cell's weight over its tokens, for share of all tokens."""
+    ratio, have, at = cells(docs)
+    return {d.doc_id: ratio[c] * share * have.sum() if have[c] else 1.0 for d, c in zip(docs, at, strict=True)}
+
+
+def chances(docs, share=0.8, flatten=0.7):
+    """The probability of each document, once at most: raked cells over present ones, by dense arrays."""
+    ratio, have, at = cells(docs, flatten)
     low, high = 0.0, 1 / ratio[ratio > 0].min()
     for _ in range(200):
         mid = (low + high) / 2
         low, high = (low, mid) if (np.minimum(1, ratio * mid) * have).sum() >= share * have.sum() else (mid, high)
     p = np.where(have > 0, np.minimum(1, ratio * high), 1.0)
-    return {d.doc_id: p[tuple(n.index(x) for n, x in zip(names, k, strict=True))] for d, k in zip(docs, key, strict=True)}
+    return {d.doc_id: p[c] for d, c in zip(docs, at, strict=True)}
 
 
 @pytest.fixture(scope="module")
@@ -102,21 +121,25 @@ def test_pipeline(spark, folder):
     last = {lower(d.text): d.doc_id for d in docs}
     docs = [d for d in docs if last[lower(d.text)] == d.doc_id]
 
-    fp = [fingerprint(d.text) for d in docs]
-    root = [d.doc_id for d in docs]
-    for _ in docs:
-        root = [min(root[j] for j in range(len(docs)) if (fp[i] ^ fp[j]).bit_count() <= 4) for i in range(len(docs))]
+    before, root = len(docs), [d.doc_id for d in docs]
+    while True:
+        new = [min(r for r, e in zip(root, docs, strict=True) if similar(d.text, e.text)) for d in docs]
+        if new == root:
+            break
+        root = new
     docs = [d for d, r in zip(docs, root, strict=True) if d.doc_id == r]
+    assert len(docs) <= before - 3
 
-    p = chances(docs)
+    rate = rates(docs)
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 53)) / F.lit(float(1 << 53))
     chance = {r.doc_id: r.x for r in table.select("doc_id", drawn.alias("x")).collect()}
-    docs = [d for d in docs if chance[d.doc_id] < p[d.doc_id]]
+    copies = {d.doc_id: int(rate[d.doc_id]) + (chance[d.doc_id] < rate[d.doc_id] % 1) for d in docs}
+    assert {0, 1} <= set(copies.values())
 
     lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    want = {d.doc_id: (d.lang, d.source, d.n_chars, lib.encode(d.text or "")) for d in docs}
+    want = [(d.doc_id, d.lang, d.source, d.n_chars, lib.encode(d.text or "")) for d in docs for _ in range(copies[d.doc_id])]
     got = corpus_pipeline.run(spark, folder).collect()
-    assert {r.doc_id: (r.lang, r.source, r.n_chars, r.ids) for r in got} == want and len(got) == len(want)
+    assert sorted((r.doc_id, r.lang, r.source, r.n_chars, r.ids) for r in got) == sorted(want, key=lambda w: w[0])
     assert all(r.n_pieces == len(r.ids) for r in got)
 
 
@@ -126,6 +149,28 @@ def test_stages_keep_the_columns(spark, folder):
         assert step(spark, docs, folder).schema.simpleString() == docs.schema.simpleString()
 
 
+def test_stages_with_repeated_ids_and_clashing_names(spark, folder):
+    """Repeated rows, ids of several texts, null ids and columns with the names that stages use inside."""
+    names = "_at _best _copy _d _decoded_same _dedup _gone _ids _metadata _mix _p _quality _salt _score _size _tokens _topic at best body d digest first id ids m n n_pieces node p quality r rate root row runs size tid tokens topic u v x".split()
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    twice = docs.union(docs.filter("doc_id in (5, 20, 21)")).union(docs.filter("doc_id = 30").selectExpr("cast(6 as bigint)", "text", "lang", "source", "n_chars"))
+    twice = twice.union(docs.filter("doc_id = 31").selectExpr("cast(null as bigint)", "concat(text, ' and so on')", "lang", "source", "n_chars"))
+    wide = twice.select("*", *(F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in names))
+    plain = {}
+    for i, (name, step) in enumerate(corpus_pipeline.STAGES):
+        few, many = step(spark, twice, folder), step(spark, wide, folder)
+        rows = many.collect()
+        assert many.columns[: len(names) + (5 if i < 4 else 4)] == [c for c in wide.columns if i < 4 or c != "text"], name
+        assert all(r[c] == (None if r.doc_id is None else f"{c}-{r.doc_id}") for r in rows for c in names), name
+        key = "text" if i < 4 else "n_chars"
+        plain[name] = sorted(((r.doc_id or -1, r[key] or "") for r in rows))
+        assert plain[name] == sorted(((r.doc_id or -1, r[key] or "") for r in few.collect())), name
+    exact = plain["exact dedup"]
+    assert len(exact) == len({lower(t) for _, t in exact}) and [t for i, t in exact if i == 30 or i == 6]
+    near = plain["SimHash near-dedup"]
+    assert not any(similar(a, b) for k, (_, a) in enumerate(near) for _, b in near[:k])
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -56,10 +56,10 @@ def base_failed(counts: tuple[int, int, int, int, int]) -> bool:
 #: Each rule says whether a text with these base counts is to be rejected.
 RULES: dict[str, Callable[[str, tuple[int, int, int, int, int]], bool]] = {
     "word_length": lambda t, c: not 2 * c[0] <= c[1] <= 15 * c[0],
-    "symbols": lambda t, c: c[2] > 0.2 * c[0],
-    "dup_lines": lambda t, c: c[3] > 0.3 * (t.count("\n") + 1),
-    "shouting": lambda t, c: len(_UPPER.findall(t)) > 0.5 * c[1],
-    "letters": lambda t, c: len(_LETTER.findall(t)) < 0.6 * c[1],
+    "symbols": lambda t, c: 5 * c[2] > c[0],
+    "dup_lines": lambda t, c: 10 * c[3] > 3 * (t.count("\n") + 1),
+    "shouting": lambda t, c: 2 * len(_UPPER.findall(t)) > c[1],
+    "letters": lambda t, c: 10 * len(_LETTER.findall(t)) < 6 * c[1],
 }
 
 _MEASURED = "rule string, seconds double, rejected long, seen long"
@@ -119,3 +119,24 @@ def apply_rules(docs: DataFrame, sample_rows: int = 500, carry: tuple[str, ...]
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     # rejected_by names one of the rules that reject; which one depends on measured costs, so the query leaves it out
     return apply_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+ORACLE_SQL = r"""
+with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+w as (select r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
+grams as (select r, i, words[i] as a, words[i + 1] as b, words[i + 2] as c from (select r, words, unnest(range(1, len(words) - 1)) as i from w)),
+often as (select r, i from (select r, i, count(*) over (partition by r, a, b, c) as n from grams) where n > 1),
+covered as (select r, count(distinct i + d) as n_repeat_words from often, range(0, 3) x(d) group by r),
+counts as (
+  select r, doc_id, text, len(words) as n_words, length(array_to_string(words, '')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words from w left join covered using (r)
+),
+base as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counts)
+select doc_id, n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and word_chars between 2 * n_words and 15 * n_words and 5 * n_symbols <= n_words
+    and 10 * n_dup_lines <= 3 * len(string_split(text, chr(10)))
+    and length(regexp_replace(text, '[^A-Z]', '', 'g')) * 2 <= word_chars
+    and length(regexp_replace(text, '[^\p{L}\p{Nl}\p{No}]', '', 'g')) * 10 >= 6 * word_chars as kept
+from base
+"""

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders that shared_dir has named, by application.
+_MADE: dict[str, list[str]] = {}
 #: The white space that separates words: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -25,7 +27,21 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (spark.master is {master!r})")
         top = "file://" + tempfile.mkdtemp(prefix="mapweave-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this application has written so far; how many there were.
+
+    For callers that have written or read their results: DataFrames of the operators are lazy and read these tables.
+    """
+    paths, jvm = _MADE.pop(spark.sparkContext.applicationId, []), spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def stage(df: DataFrame) -> DataFrame:

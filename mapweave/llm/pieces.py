@@ -203,15 +203,18 @@ def unit_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        chars = 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["unit", "n"])
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 for t in texts_of(whole.slice(a, 500), text):
                     for _, units in units_of(t):
                         seen.update(units)
-                        if len(seen) > 150_000:
-                            yield flush()
-                            seen.clear()
+                    chars += len(t)
+                    if len(seen) > 150_000 or chars > 1 << 25:  # so many characters of units at most
+                        yield flush()
+                        seen.clear()
+                        chars = 0
         yield flush()
 
     return docs.select(text).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -249,6 +252,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 250_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, piece, encode_rare = sent.value.get, model.value.out.__getitem__, model.value.encode_rare
         rare: dict[str, bytes] = {}
+        chars = 0
         for whole in batches:
             for a in range(0, whole.num_rows, 500):
                 batch = whole.slice(a, 500)
@@ -262,8 +266,10 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 250_
                                 if p is None:
                                     u = units[i]
                                     if u not in rare:
-                                        if len(rare) > 50_000:
+                                        chars += len(u)
+                                        if len(rare) > 50_000 or chars > 1 << 22:
                                             rare.clear()
+                                            chars = len(u)
                                         rare[u] = array("i", encode_rare(u)).tobytes()
                                     parts[i] = rare[u]
                         made.append(np.frombuffer(b"".join(parts), np.int32))

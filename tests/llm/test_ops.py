@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on edge rows: nulls, empty and long texts, ties, copies, clashing columns."""
 
 import hashlib
+import os
 import re
 import time
 import zlib
@@ -15,7 +16,7 @@ import tokenizers
 import xxhash
 
 from mapweave.llm import chat, exact_dedup, knn_quality, mixing, pieces, pii, quality_rules, simhash, suffix_dedup, token_files
-from mapweave.llm.common import shared_dir
+from mapweave.llm.common import clear_staged, shared_dir, stage
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(3000))
 PASSAGE = " ".join(f"p{i}" for i in range(150))
@@ -125,6 +126,16 @@ def test_exact_dedup_goes_on_from_its_state(spark, weak):
     assert {i: (x.keep_id, x.group_size, x.kept) for i, x in second.items()} == {5: (5, 3, True), 0: (3, 2, False), 6: (6, 1, True), 7: (8, 2, False), 8: (8, 2, True)}
 
 
+def test_clear_staged(spark, monkeypatch):
+    from pyspark.sql.conf import RuntimeConfig
+
+    path = stage(spark.range(3)).inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and clear_staged(spark) > 0 and not os.path.exists(path) and clear_staged(spark) == 0
+    monkeypatch.setattr(RuntimeConfig, "get", lambda self, k, *d: "spark://host:7077" if k == "spark.master" else None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(spark)
+
+
 def stage_path(spark, df):
     path = shared_dir(spark)
     df.write.parquet(path)
@@ -390,6 +401,8 @@ def test_chat(spark):
     got = chat.read_chats(chat.format_chats(m)).orderBy("conv_id", "pos").collect()
     assert [(r.conv_id, r.role, r.text, r.in_loss) for r in got] == [(None, "assistant", "é🙂", True), (1, "", "", False), (1, "user", evil, False), (1, "assistant", evil, True), (1, "assistant", evil, True), (2, "assistant", "", True)]
     assert chat.format_chats(m.limit(0)).count() == 0
+    wide = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "conv_id long, turn long, role string, text string, line string, pos long, formatted string")
+    assert sorted(map(str, chat.format_chats(chat.text_parts(wide)).collect())) == sorted(map(str, chat.format_chats(m).collect()))
 
 
 def test_chat_parts(spark):

@@ -123,7 +123,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
-w as (select r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+w as materialized (select r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from t),
 grams as (select r, i, words[i] as a, words[i + 1] as b, words[i + 2] as c from (select r, words, unnest(range(1, len(words) - 1)) as i from w)),
 often as (select r, i from (select r, i, count(*) over (partition by r, a, b, c) as n from grams) where n > 1),

@@ -20,4 +20,9 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL = {"op1_quality_rules": quality_rules.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op9_chat_formatting": chat.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op6_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op9_chat_formatting": chat.ORACLE_SQL,
+}

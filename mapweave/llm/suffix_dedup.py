@@ -408,3 +408,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, ke
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLE_SQL = r"""
+with t as materialized (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as body from documents),
+-- parts of 800 starts each, so that no start is counted from the beginning of a long text
+parts as (select r, c, length(body) // 2 - c as rest, substr(body, 2 * c + 1, 2400) as part from (select r, body, unnest(range(0, greatest(length(body) // 2 - 299, 0), 800)) as c from t)),
+starts as (select r, c, part, rest, unnest(range(0, least(800, rest - 299))) as i from parts),
+pos as materialized (select r, c + i as a, md5_number(substr(part, 2 * i + 1, 600)) as short, case when rest - i >= 400 then md5_number(substr(part, 2 * i + 1, 800)) end as long from starts),
+shared as (select distinct r from pos join (select short from pos group by short having min(r) <> max(r)) using (short)),
+hit as (select r, a, lag(a) over (partition by r order by a) as before from pos join (select long from pos where long is not null group by long having count(*) > 1) using (long)),
+runs as (select r, a, sum(case when before is null or a > before + 400 then 1 else 0 end) over (partition by r order by a) as k from hit),
+spans as (select r, k, min(a) as a, max(a) + 400 as b from runs group by r, k),
+kept as (select r, lag(b, 1, 0) over (partition by r order by k) as a, a as b from spans union all select r, max(b), null from spans group by r),
+bodies as (select r, string_agg(substr(body, 2 * a + 1, 2 * (coalesce(b, length(body) // 2) - a)), '' order by a) as body from (select kept.r, kept.a, b, body from kept join t using (r)) group by r),
+removed as (select r, count(*) as n_spans, sum(b - a) as n_removed from spans group by r)
+select doc_id, length(t.body) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(coalesce(bodies.body, t.body))) as kept_sha256, shared.r is not null as shared_passage
+from t left join removed using (r) left join bodies using (r) left join shared using (r)
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +71,17 @@ def ascii_lower(col):
     return F.when(plain, F.lower(col)).otherwise(F.translate(col, upper, lower))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that few whole texts are Python objects at once.
+
+    What Arrow holds from earlier work of the same worker is given back first.
+    """
+    pa.default_memory_pool().release_unused()
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's texts; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

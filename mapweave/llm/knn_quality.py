@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table, texts_of
+from .common import fresh, sliced, table, texts_of
 
 _MARKS = b".,!?|*$%&#<>@\"'()-=:;/"
 _N = 8 + len(_MARKS)
@@ -87,7 +87,7 @@ class Model:
         y = (values * self.idf[ids]).astype(np.float32) @ self.basis[ids]
         return np.round(y.astype(np.float64) / max(float(np.linalg.norm(y)), 1e-9) * 2.0**20) / 2.0**20
 
-    def scores(self, texts: list[str], block: int = 256) -> np.ndarray:
+    def scores(self, texts: list[str], block: int = 100) -> np.ndarray:
         out = np.full(len(texts), self.prior)
         if not len(self.labels):
             return out
@@ -133,7 +133,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     sent, name = docs.sparkSession.sparkContext.broadcast(model), fresh(docs, "_score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(texts_of(batch)))], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{name} double"]))

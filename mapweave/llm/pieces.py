@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, stage, table, texts_of
+from .common import fresh, sliced, stage, table, texts_of
 
 SPACE = "▁"
 #: Letters, or other characters but the space, each with the spaces before them.
@@ -205,16 +205,15 @@ def unit_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         seen: Counter[str] = Counter()
         chars = 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["unit", "n"])
-        for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                for t in texts_of(whole.slice(a, 500), text):
-                    for _, units in units_of(t):
-                        seen.update(units)
-                    chars += len(t)
-                    if len(seen) > 150_000 or chars > 1 << 25:  # so many characters of units at most
-                        yield flush()
-                        seen.clear()
-                        chars = 0
+        for batch in sliced(batches, 500):
+            for t in texts_of(batch, text):
+                for _, units in units_of(t):
+                    seen.update(units)
+                chars += len(t)
+                if len(seen) > 150_000 or chars > 1 << 25:  # so many characters of units at most
+                    yield flush()
+                    seen.clear()
+                    chars = 0
         yield flush()
 
     return docs.select(text).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
@@ -253,32 +252,30 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 250_
         get, piece, encode_rare = sent.value.get, model.value.out.__getitem__, model.value.encode_rare
         rare: dict[str, bytes] = {}
         chars = 0
-        for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                batch = whole.slice(a, 500)
-                out, same = [], []
-                for t in texts_of(batch, text):
-                    made, equal = [], True
-                    for part, units in units_of(t):
-                        parts = list(map(get, units))
-                        if None in parts:
-                            for i, p in enumerate(parts):
-                                if p is None:
-                                    u = units[i]
-                                    if u not in rare:
-                                        chars += len(u)
-                                        if len(rare) > 50_000 or chars > 1 << 22:
-                                            rare.clear()
-                                            chars = len(u)
-                                        rare[u] = array("i", encode_rare(u)).tobytes()
-                                    parts[i] = rare[u]
-                        made.append(np.frombuffer(b"".join(parts), np.int32))
-                        equal = equal and b"".join(map(piece, made[-1].tolist())) == part.encode("utf-8", "replace")
-                    out.append(made[0] if len(made) == 1 else np.concatenate([*made, np.zeros(0, np.int32)]))
-                    same.append(equal)
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in out])))
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), ids, pa.array(same, pa.bool_())], [*(f.name for f in fields), *names])
+        for batch in sliced(batches, 500):
+            out, same = [], []
+            for t in texts_of(batch, text):
+                made, equal = [], True
+                for part, units in units_of(t):
+                    parts = list(map(get, units))
+                    if None in parts:
+                        for i, p in enumerate(parts):
+                            if p is None:
+                                u = units[i]
+                                if u not in rare:
+                                    chars += len(u)
+                                    if len(rare) > 50_000 or chars > 1 << 22:
+                                        rare.clear()
+                                        chars = len(u)
+                                    rare[u] = array("i", encode_rare(u)).tobytes()
+                                parts[i] = rare[u]
+                    made.append(np.frombuffer(b"".join(parts), np.int32))
+                    equal = equal and b"".join(map(piece, made[-1].tolist())) == part.encode("utf-8", "replace")
+                out.append(made[0] if len(made) == 1 else np.concatenate([*made, np.zeros(0, np.int32)]))
+                same.append(equal)
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in out])))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), ids, pa.array(same, pa.bool_())], [*(f.name for f in fields), *names])
 
     return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{names[0]} array<int>", f"{names[1]} boolean"]))
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, stage, table, texts_of
+from .common import fresh, sliced, stage, table, texts_of
 from .components import components
 
 
@@ -321,7 +321,7 @@ def _sketches(numbered: DataFrame, width: int) -> DataFrame:
     """row, id, digest of the text, key (a hash of the set of shingles), n (of shingles) and blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             keys, sizes, found, digests = [], [], [], []
             for t in texts_of(batch):
                 h = shingles(t, width)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, knn_quality, mixing, pieces, pii, quality_rules, simhash, suffix_dedup, token_files
+from . import chat, exact_dedup, hard_negatives, knn_quality, mixing, pieces, pii, quality_rules, simhash, suffix_dedup, token_files
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         pii.op8_pii,
         chat.op9_chat_formatting,
         simhash.op10_simhash_near_dedup,
+        hard_negatives.op11_hard_negatives,
     )
 }
 
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op6_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op9_chat_formatting": chat.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, hard_negatives, knn_quality, mixing, pieces, pii, quality_rules, simhash, suffix_dedup, token_files
+from . import chat, exact_dedup, hard_negatives, knn_quality, mixing, pieces, pii, quality_rules, simhash, suffix_dedup, token_files, vector_codes
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         chat.op9_chat_formatting,
         simhash.op10_simhash_near_dedup,
         hard_negatives.op11_hard_negatives,
+        vector_codes.op13_vector_codes,
     )
 }
 
@@ -27,4 +28,5 @@ ORACLE_SQL = {
     "op6_suffix_dedup": suffix_dedup.ORACLE_SQL,
     "op9_chat_formatting": chat.ORACLE_SQL,
     "op11_hard_negatives": hard_negatives.ORACLE_SQL,
+    "op13_vector_codes": vector_codes.ORACLE_SQL,
 }

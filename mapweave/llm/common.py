@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Folders that shared_dir has named, by application.
 _MADE: dict[str, list[str]] = {}
@@ -85,3 +86,27 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's texts; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], fields: list[T.StructField]) -> DataFrame:
+    """df.mapInArrow(run) with columns told by their place, so that names with dots and quotes and repeated names pass."""
+    plain = lambda kinds: T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(kinds)])
+    inside = plain(fields)
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in run(batches):
+            yield out.rename_columns(inside.names)
+
+    return df.toDF(*plain(df.schema).names).mapInArrow(renamed, inside).toDF(*(f.name for f in fields))
+
+
+def with_made(df: DataFrame, column: str, make: Callable[[pa.RecordBatch, int], list[pa.Array]], fields: list[T.StructField], rows: int = 1000) -> DataFrame:
+    """df's columns and those that make gives for a slice of so many rows, in which column has the place that it gets told."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, rows):
+            out = [*batch.columns, *make(batch, at)]
+            yield pa.RecordBatch.from_arrays(out, [str(i) for i in range(len(out))])
+
+    return in_batches(df, run, [*df.schema.fields, *fields])

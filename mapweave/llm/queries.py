@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, hard_negatives, knn_quality, mixing, pieces, pii, quality_rules, simhash, suffix_dedup, token_files, vector_codes
+from . import chat, exact_dedup, hard_negatives, knn_quality, mixing, page_text, pieces, pii, quality_rules, simhash, suffix_dedup, token_files, vector_codes
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,7 @@ QUERIES = {
         chat.op9_chat_formatting,
         simhash.op10_simhash_near_dedup,
         hard_negatives.op11_hard_negatives,
+        page_text.op12_page_text,
         vector_codes.op13_vector_codes,
     )
 }

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +53,11 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(column: str) -> Column:
+    """The column of this name, which may have dots and backticks in it."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like name that df hasn't, in any spelling of upper and lower case."""
     taken = {c.lower() for c in df.columns}
@@ -83,7 +88,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(a, rows)
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
+def texts_of(batch: pa.RecordBatch, column: str | int = "text") -> list[str]:
     """The column's texts; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
 

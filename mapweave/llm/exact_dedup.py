@@ -29,19 +29,50 @@ _STATE = {
 }
 
 
+#: Steps of a plan that give each row of a file once at most.
+_SINGLE = {"LogicalRelation", "Relation", "SubqueryAlias", "View", "Filter", "Project"}
+
+
+def once_each(docs: DataFrame) -> bool:
+    """Whether docs is a scan of different files with filters and projections only, so that no row of a file comes twice."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while True:
+        if plan.getClass().getSimpleName() not in _SINGLE:
+            return False
+        if not plan.children().size():
+            paths = [p for p in docs._jdf.inputFiles()]
+            return len(set(paths)) == len(paths) and not _listed_twice(plan)
+        plan = plan.children().apply(0)
+
+
+def _listed_twice(relation) -> bool:
+    try:
+        roots = relation.relation().location().rootPaths()
+    except Exception:  # no table of files
+        return True
+    paths = [f"{roots.apply(i).toString().rstrip('/')}/" for i in range(roots.size())]
+    return any(a.startswith(b) for i, a in enumerate(paths) for j, b in enumerate(paths) if i != j)
+
+
 def located(docs: DataFrame) -> DataFrame:
-    """The struct d of docs' columns and the struct at: path and row of its file. Rows that come from no file are written to one first."""
+    """The struct d of docs' columns and the struct at: path and row of its file.
+
+    Rows that come from no file, or that a step before may have repeated (explode, sampling with replacement, joins),
+    are written to files first.
+    """
 
     def at(df: DataFrame) -> DataFrame:
         own = df.metadataColumn("_metadata")  # also where a column has that name
         return df.select(F.struct("*").alias("d"), F.struct(own["file_path"].alias("path"), own["row_index"].alias("row")).alias("at"))
 
-    try:
-        out = at(docs)
-        _ = out.schema
-    except AnalysisException:  # no hidden file columns
-        out = at(stage(docs))
-    return out
+    if once_each(docs):
+        try:
+            out = at(docs)
+            _ = out.schema
+            return out
+        except AnalysisException:  # no hidden file columns
+            pass
+    return at(stage(docs))
 
 
 def keep_state(log: DataFrame, state_dir: str) -> DataFrame:

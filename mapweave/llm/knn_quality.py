@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh, sliced, table, texts_of
+from .common import fresh, named, table, texts_of, with_made
 
 _MARKS = b".,!?|*$%&#<>@\"'()-=:;/"
 _N = 8 + len(_MARKS)
@@ -130,17 +131,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500) -> Model:
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
     """docs' columns and _score, the voted share of label 1; see fresh() for clashing names."""
-    sent, name = docs.sparkSession.sparkContext.broadcast(model), fresh(docs, "_score")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.scores(texts_of(batch)))], [*batch.schema.names, name])
+    def made(batch: pa.RecordBatch, at: int) -> list[pa.Array]:
+        return [pa.array(sent.value.scores(texts_of(batch, at)))]
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{name} double"]))
+    return with_made(docs, "text", made, [T.StructField(fresh(docs, "_score"), T.DoubleType())])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return classify(docs, fit(docs, labels)).filter(F.col(fresh(docs, "_score")) >= 0.5).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return classify(docs, fit(docs, labels)).filter(F.col(fresh(docs, "_score")) >= 0.5).select(*map(named, docs.columns))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh, sliced, stage, table, texts_of
+from .common import fresh, in_batches, named, sliced, stage, table, texts_of, with_made
 
 SPACE = "▁"
 #: Letters, or other characters but the space, each with the spaces before them.
@@ -245,7 +246,8 @@ def dictionary(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int =
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 250_000, longest: int = 48) -> DataFrame:
     """docs' columns, _ids (array of int) and _decoded_same (the ids' text is the text); see fresh() for clashing names."""
-    context, fields, names = docs.sparkSession.sparkContext, docs.schema, [fresh(docs, "_ids"), fresh(docs, "_decoded_same")]
+    context, at = docs.sparkSession.sparkContext, docs.columns.index(text)
+    fields = [*docs.schema, T.StructField(fresh(docs, "_ids"), T.ArrayType(T.IntegerType())), T.StructField(fresh(docs, "_decoded_same"), T.BooleanType())]
     sent, model = context.broadcast(dictionary(docs, pieces, text, keep, longest)), context.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +256,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 250_
         chars = 0
         for batch in sliced(batches, 500):
             out, same = [], []
-            for t in texts_of(batch, text):
+            for t in texts_of(batch, at):
                 made, equal = [], True
                 for part, units in units_of(t):
                     parts = list(map(get, units))
@@ -275,21 +277,19 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: int = 250_
                 same.append(equal)
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in out])))
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), ids, pa.array(same, pa.bool_())], [*(f.name for f in fields), *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(same, pa.bool_())], [str(i) for i in range(len(fields))])
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{names[0]} array<int>", f"{names[1]} boolean"]))
+    return in_batches(docs, run, fields)
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids: str = "ids") -> DataFrame:
     """rows with text (see fresh() for clashing names): the pieces of the ids end to end, without the first space; null ids give an empty text."""
-    sent, fields, name = rows.sparkSession.sparkContext.broadcast(pieces.out), rows.schema, fresh(rows, "text")
+    sent = rows.sparkSession.sparkContext.broadcast(pieces.out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [b"".join(map(sent.value.__getitem__, x or []))[1:].decode("utf-8", "replace") for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, name])
+    def made(batch: pa.RecordBatch, at: int) -> list[pa.Array]:
+        return [pa.array([b"".join(map(sent.value.__getitem__, x or []))[1:].decode("utf-8", "replace") for x in batch.column(at).to_pylist()], pa.string())]
 
-    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{name} string"]))
+    return with_made(rows, ids, made, [T.StructField(fresh(rows, "text"), T.StringType())])
 
 
 def public_pieces() -> Pieces:
@@ -306,4 +306,4 @@ def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encode_stage(docs: DataFrame) -> DataFrame:
     """docs' columns without text, n_pieces and ids; see fresh() for clashing names."""
     rows, ids = encode(docs, public_pieces()), F.col(fresh(docs, "_ids"))
-    return rows.select(*(F.col(f"`{c}`") for c in docs.columns if c != "text"), F.size(ids).cast("long").alias(fresh(docs, "n_pieces")), ids.alias(fresh(docs, "ids")))
+    return rows.select(*(named(c) for c in docs.columns if c != "text"), F.size(ids).cast("long").alias(fresh(docs, "n_pieces")), ids.alias(fresh(docs, "ids")))

@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table, texts_of
+from .common import in_batches, named, table, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("secret", "account")
@@ -328,24 +330,30 @@ def added_spans(texts: list[str], taken: list[list[tuple[int, int, str]]], crf:
     return out
 
 
+@cache
+def fitted() -> Crf:
+    """The field of the labelled sentences, fitted once in a process."""
+    return Crf(labelled_sentences())
+
+
 def find_pii(docs: DataFrame, crf: Crf | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in carry and spans: array of (start, end, kind), in code points, by start and then kind."""
-    sent = docs.sparkSession.sparkContext.broadcast(crf or Crf(labelled_sentences()))
-    fields = [docs.schema[c] for c in carry]
+    sent = docs.sparkSession.sparkContext.broadcast(crf or fitted())
+    used = docs.select(*map(named, carry), "text")
+    made = T.StructType.fromDDL("spans array<struct<start:long,end:long,kind:string>>")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch)
+            texts = texts_of(batch, batch.num_columns - 1)
             base = [pattern_spans(t) for t in texts]
             more = added_spans(texts, base, sent.value)
             rank = {k: i for i, k in enumerate(KINDS + ADDED)}
             rows = [sorted(a + b, key=lambda s: (s[0], rank[s[2]], s[1])) for a, b in zip(base, more, strict=True)]
             spans = pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in r] for r in rows], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in fields] + [spans], [f.name for f in fields] + ["spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], spans], [str(i) for i in range(batch.num_columns)])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["spans array<struct<start:long,end:long,kind:string>>"])
-    return docs.select(*carry, "text").mapInArrow(run, schema)
+    return in_batches(used, run, [*used.schema.fields[:-1], *made])
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

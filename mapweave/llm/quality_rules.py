@@ -1,26 +1,29 @@
 """Quality rules as a short-circuit cascade.
 
 Every document gets the base counts. Documents that pass the base test go through further rules, and the first
-rule that rejects a document ends its cascade. A random sample of about ``sample_rows`` rows gives each rule's cost
+rule that rejects a document ends its cascade. A random sample of about ``sample_rows`` rows (of at most 8 files) gives each rule's cost
 (seconds a document) and selectivity (share rejected); rules run in descending order of rejections per second. The order
 changes only the work: a document is kept exactly if no rule rejects it.
 
-Null and empty texts have no words and fail the base test. Extra columns are ignored. Equal rows get equal
+Null and empty texts have no words and fail the base test; texts of any length are counted whole, by one task. Extra columns are ignored. Equal rows get equal
 verdicts, one output row for each input row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE, table, texts_of
+from .common import SPACE, in_batches, named, table, texts_of
 
 _SYMBOLS = "#*$%&|<>"
 _UPPER = re.compile(r"[A-Z]")
@@ -66,6 +69,20 @@ _MEASURED = "rule string, seconds double, rejected long, seen long"
 _OUT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
+def _some_files(docs: DataFrame, files: int = 8) -> tuple[DataFrame, int]:
+    """The rows of so many of docs' files, chosen by a hash of their names, and their number; all rows where docs is no plain table of files."""
+    every = docs.inputFiles()
+    if len(every) > files:
+        try:
+            path = docs.metadataColumn("_metadata")["file_path"]
+            some = docs.filter(path.isin(sorted(every, key=lambda x: hashlib.md5(x.encode()).digest())[:files]))
+            if rows := some.count():
+                return some, rows
+        except AnalysisException:
+            pass
+    return docs, docs.count()
+
+
 def measure(docs: DataFrame, sample_rows: int = 500) -> dict[str, tuple[float, float]]:
     """Cost in seconds a document and rejected share of each rule, on about sample_rows rows, each measured where it lies."""
 
@@ -81,8 +98,8 @@ def measure(docs: DataFrame, sample_rows: int = 500) -> dict[str, tuple[float, f
                 rows.append((name, time.perf_counter() - began, rejected, len(cases)))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["rule", "seconds", "rejected", "seen"])
 
-    share = min(1.0, sample_rows / max(docs.count(), 1))  # the count comes from Parquet's footers
-    sample = docs.select("text").sample(share, seed=17)
+    near, rows = _some_files(docs)  # of a table of many files only a few are read; a count comes from Parquet's footers
+    sample = near.select("text").sample(min(1.0, sample_rows / max(rows, 1)), seed=17)
     found = sample.mapInArrow(run, _MEASURED).groupBy("rule").agg(F.sum("seconds"), F.sum("rejected"), F.sum("seen")).collect()
     return {r[0]: (r[1] / max(r[3], 1), r[2] / max(r[3], 1)) for r in found}
 
@@ -96,12 +113,13 @@ def cascade_order(measured: dict[str, tuple[float, float]]) -> list[str]:
 def apply_rules(docs: DataFrame, sample_rows: int = 500, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in carry, the base counts, base_failed, kept and rejected_by (null if kept or base_failed)."""
     order = cascade_order(measure(docs, sample_rows))
-    fields = [docs.schema[c] for c in carry]
+    used = docs.select(*map(named, carry), "text")
+    fields = [*used.schema][:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, why = [], []
-            for t in texts_of(batch):
+            for t in texts_of(batch, len(fields)):
                 c = base_counts(t)
                 failed = base_failed(c)
                 by = None if failed else next((k for k in order if RULES[k](t, c)), None)
@@ -109,11 +127,10 @@ def apply_rules(docs: DataFrame, sample_rows: int = 500, carry: tuple[str, ...]
                 why.append(by)
             made = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
-            arrays = [batch.column(f.name) for f in fields] + [pa.array(x, k) for x, k in zip(made, kinds, strict=True)] + [pa.array(why, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in fields] + [x.split()[0] for x in _OUT.split(", ")] + ["rejected_by"])
+            arrays = batch.columns[:-1] + [pa.array(x, k) for x, k in zip(made, kinds, strict=True)] + [pa.array(why, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, [str(i) for i in range(len(arrays))])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [_OUT, "rejected_by string"])
-    return docs.select(*carry, "text").mapInArrow(run, schema)
+    return in_batches(used, run, [*fields, *T.StructType.fromDDL(f"{_OUT}, rejected_by string")])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,8 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh, sliced, stage, table, texts_of
+from .common import fresh, in_batches, named, sliced, stage, table, texts_of
 from .components import components
 
 
@@ -61,14 +62,16 @@ def fingerprint(text: str, width: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """docs' columns without text, and fp (the fingerprint as a signed long)."""
-    kept = [f for f in docs.schema if f.name != "text"]
+    at = docs.columns.index("text")
+    fields = [f for i, f in enumerate(docs.schema) if i != at] + [T.StructField("fp", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, width) for t in texts_of(batch)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(fp)], [f.name for f in kept] + ["fp"])
+            fp = np.array([fingerprint(t, width) for t in texts_of(batch, at)], dtype=np.uint64).view(np.int64)
+            kept = [c for i, c in enumerate(batch.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fp)], [str(i) for i in range(len(fields))])
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["fp long"]))
+    return in_batches(docs, run, fields)
 
 
 def block_masks(blocks: int, max_bits: int) -> list[int]:
@@ -189,7 +192,7 @@ def near_links(fps: DataFrame, max_bits: int = 4, blocks: int = 7, tile: int = 4
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", max_bits: int = 4, blocks: int = 7, tile: int = 4096, width: int = 4) -> DataFrame:
     """id_col, fp and component_id, one row for each document."""
-    marked = stage(fingerprints(docs.select(F.col(id_col).alias("id"), "text"), width))
+    marked = stage(fingerprints(docs.select(named(id_col).alias("id"), "text"), width))
     fps = stage(marked.groupBy("fp").agg(F.min("id").alias("first")))
     linked = components(near_links(fps, max_bits, blocks, tile)).select(F.col("node").alias("fp"), "root")
     rooted = stage(fps.join(linked, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
@@ -386,9 +389,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", width: int = 5, ti
     """One row of each group of near copies, and all rows without any."""
     row = fresh(docs, "row")
     numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))
-    plain = numbered.select(F.col(row).alias("row"), F.col(f"`{id_col}`").alias("id"), "text")
+    plain = numbered.select(F.col(row).alias("row"), named(id_col).alias("id"), "text")
     stays = _staying(plain, width, tile).select(F.col("row").alias(row))
-    return numbered.join(stays, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return numbered.join(stays, row, "left_semi").select(*map(named, docs.columns))
 
 
 # ---- the query

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import named, stage, table
 
 GRAM = 32
 _CHUNK_BITS = 21
@@ -296,7 +296,7 @@ def _by_window(large: DataFrame, kind: str, passage: int, width: int, keep: str)
     return spans.union(marks.select("tid", none.alias("a"), none.alias("b"), F.lit(True).alias("shared")))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, keep: str = "none", passage: int = 300, most_in_task: int = 50_000) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, keep: str = "none", passage: int = 300, most_in_task: int = 8_000) -> DataFrame:
     """digest (of the text), owner (smallest id with it), copies, spans: array of (a, b) to remove, and shared.
 
     With keep="none", a text of at least width bytes with several copies goes as a whole, whatever its spans."""
@@ -363,7 +363,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, keep: str
 
 def _digested(docs: DataFrame, id_col: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("digest"))
+    return docs.select(named(id_col).alias("id"), text.alias("text"), F.substring(F.unhex(F.sha2(text, 256)), 1, 16).alias("digest"))
 
 
 def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -377,7 +377,7 @@ def union_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, keep: str = "none", passage: int = 300, most_in_task: int = 50_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, keep: str = "none", passage: int = 300, most_in_task: int = 8_000) -> DataFrame:
     """id_col, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes), kept_sha256 and shared_passage, a row for each document."""
     kind = docs.schema[id_col].dataType.simpleString()
     found = stage(repeats(docs, id_col, width, keep, passage, most_in_task).filter("copies > 1 or spans is not null"))
@@ -400,10 +400,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", width: int = 400, ke
                 out.append((len(data), len(data) - len(kept), len(cuts), kept, hashlib.sha256(kept).hexdigest(), bool(shared) or several and len(data) >= passage))
             made = list(zip(*out, strict=True)) or [[]] * 6
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(c), t) for c, t in zip(made, types, strict=True))], [id_col, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "shared_passage"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(list(c), t) for c, t in zip(made, types, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "shared_passage"])
 
     made = rows.select("id", F.col("text").cast("binary").alias("data"), "owner", "copies", "spans", "shared")
-    return made.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, shared_passage boolean")
+    return made.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, shared_passage boolean").withColumnRenamed("id", id_col)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import named, shared_dir, table
 
 # ---- tokenizing
 
@@ -230,31 +230,41 @@ class Shard:
         for n in (rules, rules, rules, docs, docs + 1):
             cols.append(np.frombuffer(data, "<u4", n, at))
             at += 4 * n
-        left, right, length, self.counts, self.begin = cols
+        self.left, self.right, length, self.counts, self.begin = cols
         self.symbols = np.frombuffer(data, "<u2" if self.size + rules < 1 << 16 else "<u4", symbols, at)
         self.length = np.concatenate((np.ones(self.size, np.int64), length.astype(np.int64)))
-        self.place = np.concatenate((np.arange(self.size), self.size + np.concatenate(([0], np.cumsum(length.astype(np.int64))[:-1]))))[: self.size + rules].astype(np.int64)
-        self.pool = np.zeros(self.size + int(length.sum(dtype=np.int64)), "<u4")
-        self.pool[: self.size] = np.arange(self.size)
-        p, n, pool = self.place.tolist(), self.length.tolist(), self.pool
-        for i, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True), self.size):
-            pool[p[i] : p[i] + n[a]] = pool[p[a] : p[a] + n[a]]
-            pool[p[i] + n[a] : p[i] + n[i]] = pool[p[b] : p[b] + n[b]]
 
     def _expand(self, symbols: np.ndarray) -> np.ndarray:
-        n = self.length[symbols]
-        ends = np.cumsum(n)
-        return self.pool[np.repeat(self.place[symbols] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        """The symbols' ids, along the rules that they name only: each round replaces every rule by its two sides."""
+        now = symbols.astype(np.uint32)
+        while (rule := now >= self.size).any():
+            at = np.cumsum(1 + rule) - 1
+            new = np.empty(int(at[-1]) + 1, np.uint32)
+            new[at] = now
+            own = now[rule] - self.size
+            new[at[rule] - 1], new[at[rule]] = self.left[own], self.right[own]
+            now = new
+        return now.astype("<u4")
 
     def all_ids(self) -> np.ndarray:
-        return self._expand(self.symbols)
+        """All ids, from the expansion of every rule, written out once."""
+        length = self.length.tolist()
+        place = np.concatenate(([0], np.cumsum(self.length)[:-1]))
+        p, pool = place.tolist(), np.zeros(int(self.length.sum()), "<u4")
+        pool[: self.size] = np.arange(self.size)
+        for i, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist(), strict=True), self.size):
+            pool[p[i] : p[i] + length[a]] = pool[p[a] : p[a] + length[a]]
+            pool[p[i] + length[a] : p[i] + length[i]] = pool[p[b] : p[b] + length[b]]
+        n = self.length[self.symbols]
+        ends = np.cumsum(n)
+        return pool[np.repeat(place[self.symbols] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def ids(self, doc: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids start to stop of one document; only the symbols that cover them are expanded."""
         s = self.symbols[self.begin[doc] : self.begin[doc + 1]]
         stop = int(self.counts[doc]) if stop is None else min(stop, int(self.counts[doc]))
         if start >= stop:
-            return self.pool[:0]
+            return np.zeros(0, "<u4")
         ends = np.cumsum(self.length[s])
         a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
         skip = int(ends[a - 1]) if a else 0
@@ -300,7 +310,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, id_col:
         if held:
             yield shard()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(named(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     rows.mapInArrow(run, f"part long, seq long, start long, n_tokens long, ids array<{kind}>, body binary").write.parquet(path)
 
@@ -335,10 +345,10 @@ def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
                 for a in range(0, len(counts), 256):  # small batches: ids are larger than the shard
                     rows = range(a, min(a + 256, len(counts)))
                     data = [every[ends[i] - counts[i] : ends[i]].tobytes() for i in rows]
-                    yield pa.RecordBatch.from_arrays([names.values[rows.start : rows.stop], pa.array(start + ends[a : rows.stop] - counts[a : rows.stop]), pa.array(counts[a : rows.stop]), pa.array(data, pa.binary())], [id_col, "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([names.values[rows.start : rows.stop], pa.array(start + ends[a : rows.stop] - counts[a : rows.stop]), pa.array(counts[a : rows.stop]), pa.array(data, pa.binary())], ["id", "start", "n_tokens", "ids"])
 
     placed = shards.join(base, "part").select("body", "ids", (F.col("start") + F.col("base")).alias("start"))
-    return placed.mapInArrow(run, f"`{id_col}` {kind}, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(run, f"id {kind}, start long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: White space of scripts in browsers; U+0085 is none.
+_BLANK = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+
+
 def trim_all(col: Column) -> Column:
-    """Trim every white-space character, Unicode spaces and U+FEFF too (trim() takes plain spaces only)."""
-    return F.regexp_replace(col, r"(?U)^[\s﻿]+|[\s﻿]+$", "")
+    """Trim every white-space character of scripts, Unicode spaces and U+FEFF too (trim() takes plain spaces only)."""
+    return F.regexp_replace(col, rf"\A{_BLANK}+|{_BLANK}+\z", "")
 
 
 def tokenize_home(query: Column) -> Column:
@@ -131,6 +135,15 @@ def to_query(fields: dict[str, Column]) -> Column:
     return F.concat_ws("&", *pairs)
 
 
+def form_decode(col: Column) -> Column:
+    """Undo form_encode; percent signs that no two hexadecimal digits follow stay as they are."""
+    whole = F.regexp_replace(col, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.coalesce(F.try_url_decode(whole), col)
+
+
 def from_query(text: Column, name: str) -> Column:
-    """A field of a request's query; null if it isn't there."""
-    return F.url_decode(F.try_element_at(F.str_to_map(text, F.lit("&"), F.lit("=")), F.lit(name)))
+    """A field of a request's query, the first of repeated ones; null if it isn't there. A leading question mark is passed over."""
+    pairs = F.split(F.regexp_replace(text, r"\A\?", ""), "&")
+    found = F.filter(pairs, lambda p: (p != "") & (form_decode(F.substring_index(p, "=", 1)) == name))
+    first = F.get(found, F.lit(0))
+    return F.when(first.isNotNull(), F.when(F.contains(first, F.lit("=")), form_decode(F.substr(first, F.instr(first, "=") + 1))).otherwise(""))

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mapweave.operators import paging
-from mapweave.operators.predicates import confidence_between, entity_in
+from mapweave.operators.predicates import LIST_LIMIT, confidence_between, entity_in
+from mapweave.sources.folders import staged
 
 MAX_HOPS = 3
 
 
-def entity_view(mappings: DataFrame, entity: str, limit: int = paging.TOP) -> DataFrame:
-    """The first mappings of an entity by uuid, with the side that it is on; rows with it as subject come first."""
+def entity_view(mappings: DataFrame, entity: str, limit: int | None = paging.TOP) -> DataFrame:
+    """The first mappings of an entity by uuid (all with limit None), with the side that it is on; rows with it as subject come first."""
     sides = [F.coalesce(F.col(f"{k}_id_curie") == entity, F.lit(False)).alias(f"is_{k}") for k in ("subject", "object")]
-    found = paging.page(mappings.filter(entity_in([entity])).filter(confidence_between()), limit, 1)
+    found = mappings.filter(entity_in([entity])).filter(confidence_between())
+    found = found if limit is None else paging.page(found, limit, 1)
     return found.select("*", *sides).orderBy(F.desc("is_subject"), "uuid")
 
 
@@ -51,25 +55,49 @@ def inverted(mappings: DataFrame) -> DataFrame:
     return mappings.select(*(F.col(other(c)).alias(c) for c in mappings.columns))
 
 
-def neighbourhood(mappings: DataFrame | None, start: str, hops: int = 1, links: DataFrame | None = None) -> DataFrame:
+#: A frontier of so many entities at most is sent along with each task of a join.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+
+
+def as_links(mappings: DataFrame | None, links: DataFrame | None = None) -> DataFrame:
+    """(src, dst): the edges of mappings, or of the table that write_edges or write_bucketed_edges has written."""
+    if links is None:
+        return edges(mappings)
+    return links.select(F.col("entity").alias("src"), F.col("other").alias("dst")).filter("dst <> ''")
+
+
+def beyond(frontier: DataFrame, mappings: DataFrame | None, links: DataFrame | None, few: int = LIST_LIMIT, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The entities one edge away from a stored frontier (entity), as often as edges lead there.
+
+    Few identifiers go into the filter of the scan; more are broadcast, if their number and size are within bounds;
+    beyond that both sides are joined by shuffle, or in place where the links are bucketed by entity.
+    """
+    n, size = frontier.agg(F.count(F.lit(1)), F.sum(F.octet_length("entity"))).first()
+    if n <= few:
+        ids = [r[0] for r in frontier.collect()]
+        every = as_links(None if mappings is None else mappings.filter(entity_in(ids)), links)
+        return every.filter(F.col("src").isin(ids)).select(F.col("dst").alias("entity"))
+    near = frontier.select(F.col("entity").alias("src"))
+    near = F.broadcast(near) if n <= most and size <= BROADCAST_BYTES else near.hint("merge")
+    return as_links(mappings, links).join(near, "src").select(F.col("dst").alias("entity"))
+
+
+def neighbourhood(
+    mappings: DataFrame | None, start: str, hops: int = 1, links: DataFrame | None = None, few: int = LIST_LIMIT, most: int = BROADCAST_ROWS,
+) -> DataFrame:
     """(entity, distance) of what is within hops of start; each entity once, at its least distance.
 
-    The first hop is a filter that reaches the scan. Each further hop is one join and one aggregation over all that is
-    near so far, so the plan grows in proportion to hops; repeated edges are combined before the shuffle. links is the
-    table that write_edges writes (entity, other), sorted by entity; without it mappings are turned into edges.
+    Hop by hop, only from the frontier: the entities that the last hop has found, without those found before. Each
+    frontier is written to the shared folder, so no hop is computed twice. links is the table of write_edges or
+    write_bucketed_edges; without it mappings are turned into edges.
     """
     if not 1 <= hops <= MAX_HOPS:
         raise ValueError(f"hops go from 1 to {MAX_HOPS}")
-    if links is None:
-        first, every = edges(mappings.filter(entity_in([start]))), edges(mappings)
-        here = mappings.filter(entity_in([start])).select(F.lit(start).alias("entity"))
-    else:
-        every = links.select(F.col("entity").alias("src"), F.col("other").alias("dst")).filter("dst <> ''")
-        first, here = every, links.filter(F.col("entity") == start).select("entity")
-    found = here.select("entity", F.lit(0).alias("distance")).union(first.filter(F.col("src") == start).select("dst", F.lit(1)))
-    near = found.groupBy("entity").agg(F.min("distance").alias("distance"))
-    here, there = F.struct("entity", "distance"), F.struct(F.col("dst").alias("entity"), (F.col("distance") + 1).alias("distance"))
-    for _ in range(1, hops):
-        reached = near.join(every, F.col("entity") == F.col("src"), "left").select(F.inline(F.array(here, there)))
-        near = reached.filter("entity is not null").groupBy("entity").agg(F.min("distance").alias("distance"))
-    return near
+    here = mappings.filter(entity_in([start])) if links is None else links.filter(F.col("entity") == start)
+    levels = [staged(here.limit(1).select(F.lit(start).alias("entity")))]
+    for _ in range(hops):
+        found = beyond(levels[-1], mappings, links, few, most).distinct()
+        for level in levels:  # the frontiers are all that has been seen
+            found = found.join(level, "entity", "left_anti")
+        levels.append(staged(found))
+    return reduce(DataFrame.union, (level.select("entity", F.lit(d).alias("distance")) for d, level in enumerate(levels)))

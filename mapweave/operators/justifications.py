@@ -1,7 +1,13 @@
-"""Justifications of one assertion: the same subject, predicate and object."""
+"""Justifications of one assertion: the same subject, predicate and object.
+
+A part of an assertion is known by its CURIE, or by its IRI where the CURIE is empty or null, so that subjects without a
+CURIE are told apart. Rows that have neither for some part have a null there: they are no one's other justification.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +15,13 @@ from mapweave.functions import text as tx
 from mapweave.operators import paging
 from mapweave.operators.predicates import other_justification, triple_match
 
-TRIPLE = ("subject_id_curie", "predicate_id_curie", "object_id_curie")
+#: Parts of an assertion, and the names of their identifiers by CURIE or IRI.
+PARTS = ("subject", "predicate", "object")
+
+
+def triple() -> list[Column]:
+    """The three parts, each by CURIE or IRI."""
+    return [tx.curie_or_iri(F.col(f"{k}_id_curie"), F.col(f"{k}_id")).alias(k) for k in PARTS]
 
 
 def _matches() -> list[Column]:
@@ -30,7 +42,7 @@ def view(rows: DataFrame) -> DataFrame:
 
 def drawer(rows: DataFrame) -> DataFrame:
     """Parameters of a row's drawer: identifiers by CURIE or IRI, the rest as text, falsy values empty."""
-    ids = [tx.curie_or_iri(F.col(f"{k}_id_curie"), F.col(f"{k}_id")).alias(f"{k}_id") for k in ("subject", "predicate", "object")]
+    ids = [part.alias(f"{k}_id") for k, part in zip(PARTS, triple(), strict=True)]
     conf = F.col("confidence")
     return rows.select(
         "uuid",
@@ -61,15 +73,27 @@ def read_requests(texts: DataFrame) -> DataFrame:
     return texts.select("uuid", *((tx.to_number(field(k)) if c == "confidence" else field(k)).alias(c) for k, c in REQUEST.items()))
 
 
+def drawer_page(mappings: DataFrame, request: Mapping[str, str | None], limit: int = 25, number: int = 1) -> DataFrame:
+    """The drawer of a request (fields as in REQUEST): a page of the triple's justifications by uuid, and of that page those under another uri.
+
+    Parts that the request leaves out or has empty are no condition, as in a triple search. A row without a justification
+    differs from any uri, also from an empty one. The page is cut before its own rows are left out, so it may be shorter.
+    """
+    found = mappings.filter(triple_match(*(request.get(f"{k}_id") for k in PARTS)))
+    return view(paging.page(found, limit, number)).filter(~F.col("uri").eqNullSafe(F.lit(request.get("justif_uri") or "")))
+
+
 def others_of(mappings: DataFrame, uuid: str, limit: int = paging.TOP) -> DataFrame:
-    """Other justifications of the mapping with this uuid, among the first of its triple by uuid.
+    """Other justifications of the mapping with this uuid, among the first of its triple by uuid; no rows if there is no such mapping.
 
-    One self-join, by its CURIEs; the lookup side has one row.
+    The triple is asked for by its CURIEs; a part whose CURIE is empty or null is no condition. The mapping is looked up
+    first (one row), so both filters reach the scan of stored mappings.
     """
-    one = mappings.filter(F.col("uuid") == uuid).select(*(F.col(c).alias(f"_{c}") for c in (*TRIPLE, "mapping_justification"))).limit(1)
-    same = mappings.join(F.broadcast(one), [F.col(c) == F.col(f"_{c}") for c in TRIPLE])
-    first = paging.page(same, limit, 1)
-    return first.filter(~F.col("mapping_justification").eqNullSafe(F.col("_mapping_justification"))).select(*mappings.columns)
+    one = mappings.filter(F.col("uuid") == uuid).select(*(f"{k}_id_curie" for k in PARTS), "mapping_justification").first()
+    if one is None:
+        return mappings.limit(0)
+    first = paging.page(mappings.filter(triple_match(*one[:3])), limit, 1)
+    return first.filter(other_justification(one[3]))
 
 
 def of_triple(mappings: DataFrame, subject: str, predicate: str, obj: str, current: str | None) -> DataFrame:
@@ -83,20 +107,35 @@ def of_drawer(mappings: DataFrame, subject: str, predicate: str, obj: str, limit
 
 def by_triple(mappings: DataFrame) -> DataFrame:
     """All triples with their justifications, counted in one aggregation instead of a self-join."""
-    every = mappings.groupBy(*TRIPLE).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("mapping_justification")).alias("justifications"))
-    return every.select(*TRIPLE, "n", F.size("justifications").cast("long").alias("n_justifications"), "justifications")
+    every = mappings.groupBy(*triple()).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("mapping_justification")).alias("justifications"))
+    return every.select(*PARTS, "n", F.size("justifications").cast("long").alias("n_justifications"), "justifications")
+
+
+def pairs(selected: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(uuid, other_uuid): each of the selected mappings with those of its triple under another justification.
+
+    All pairs of a triple, so it is for selections such as a page of results; links() says the same of a whole table.
+    """
+    keys = selected.select("uuid", "mapping_justification", *triple())
+    o = mappings.select(F.col("uuid").alias("other_uuid"), F.col("mapping_justification").alias("_j"), *triple())
+    return keys.join(o, list(PARTS)).filter(~F.col("mapping_justification").eqNullSafe(F.col("_j"))).select("uuid", "other_uuid")
 
 
-def pairs(mappings: DataFrame) -> DataFrame:
-    """(uuid, other_uuid): each mapping with those of its triple under another justification.
+def links(mappings: DataFrame) -> DataFrame:
+    """Each mapping's class (the least uuid of its triple) and how many mappings of the class have another justification.
 
-    All pairs of a triple, so it is for selections; by_triple says the same of a whole table in one row a triple.
+    Two aggregations, the second over the first, and a join whose other side has one row for each triple and justification:
+    no pairs are made, and rows of a hot triple can be split in the join.
     """
-    keys = mappings.select("uuid", "mapping_justification", *TRIPLE)
-    o = keys.select(F.col("uuid").alias("other_uuid"), F.col("mapping_justification").alias("_j"), *TRIPLE)
-    return keys.join(o, list(TRIPLE)).filter(~F.col("mapping_justification").eqNullSafe(F.col("_j"))).select("uuid", "other_uuid")
+    rows = mappings.select("uuid", F.col("mapping_justification").alias("why"), *triple())
+    own = rows.groupBy(*PARTS, "why").agg(F.count(F.lit(1)).alias("n"), F.min("uuid").alias("least"))
+    whole = own.groupBy(*PARTS).agg(F.sum("n").alias("total"), F.min("least").alias("class_id"))
+    counted = own.join(whole, list(PARTS)).select(*(F.col(k).alias(f"_{k}") for k in PARTS), F.col("why").alias("_why"), "class_id", (F.col("total") - F.col("n")).alias("n_others"))
+    same = [F.col(k) == F.col(f"_{k}") for k in PARTS] + [F.col("why").eqNullSafe(F.col("_why"))]
+    joined = rows.join(counted, same, "left")
+    return joined.select("uuid", F.coalesce("class_id", "uuid").alias("class_id"), F.coalesce("n_others", F.lit(0)).alias("n_others"))
 
 
 def section_flags(mappings: DataFrame) -> DataFrame:
     """(triple, shown): the section of other justifications has a header where a triple has several rows."""
-    return mappings.groupBy(*TRIPLE).agg((F.count(F.lit(1)) > 1).alias("shown"))
+    return mappings.groupBy(*triple()).agg((F.count(F.lit(1)) > 1).alias("shown"))

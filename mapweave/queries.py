@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,6 +12,7 @@ from mapweave.functions import text as tx
 from mapweave.operators import entities, facets, justifications, paging
 from mapweave.operators.predicates import triple_match
 from mapweave.plans.search import EntitySearch, TripleSearch, mapping_by_id
+from mapweave.sources.folders import new_folder
 from mapweave.sources.mappings import flat, from_line_items, of_sets, sets_from_suppliers, stored, write_edges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,7 +45,9 @@ _SHOWN = "uuid, subject_id_curie, predicate_id_curie, object_id_curie, confidenc
 COLUMNS = _SHOWN.split(", ")
 IDS = ["PART:1", "PART:5", "SUPP:3"]
 _IDS = ", ".join(f"'{i}'" for i in IDS)
-_TRIPLE = "subject_id_curie, predicate_id_curie, object_id_curie"
+_TRIPLE = "subject, predicate, object"
+#: The mapping table with the parts of its triples, each by CURIE or IRI.
+_PARTS = "(select *, coalesce(nullif(subject_id_curie, ''), subject_id) as subject, coalesce(nullif(predicate_id_curie, ''), predicate_id) as predicate, coalesce(nullif(object_id_curie, ''), object_id) as object from m)"
 
 
 def query(sql: str | None = None, view: bool = True):
@@ -218,26 +220,40 @@ def mapping_by_uuid(m: DataFrame) -> DataFrame:
     return mapping_by_id(m, m.agg(F.min("uuid")).first()[0]).select(COLUMNS)
 
 
-@query(f"select a.uuid, b.uuid as other_uuid from m a join m b using ({_TRIPLE}) where a.mapping_justification is distinct from b.mapping_justification")
+@query(f"select uuid, min(uuid) over (partition by {_TRIPLE}) as class_id, count(*) over (partition by {_TRIPLE}) - count(*) over (partition by {_TRIPLE}, mapping_justification) as n_others from {_PARTS}")
 def other_justifications(m: DataFrame) -> DataFrame:
-    return justifications.pairs(m)
+    return justifications.links(m)
+
+
+@query(f"select a.uuid, b.uuid as other_uuid from (select * from {_PARTS} where {_E.format(_IDS)} or subject_id = 'http://example.org/part#11') a join {_PARTS} b using ({_TRIPLE}) where a.mapping_justification is distinct from b.mapping_justification")
+def justification_pairs(m: DataFrame) -> DataFrame:
+    found = EntitySearch(IDS).rows(m).union(TripleSearch("http://example.org/part#11").rows(m)).distinct()
+    return justifications.pairs(found, m)
 
 
 #: The least mapping whose triple has several justifications.
-_SHARED = f"(select min(first) from (select min(uuid) as first from m group by {_TRIPLE} having min(mapping_justification) <> max(mapping_justification)))"
+_SHARED = f"(select min(first) from (select min(uuid) as first from {_PARTS} group by {_TRIPLE} having min(mapping_justification) <> max(mapping_justification)))"
+#: The same among the mappings whose subject has no CURIE.
+_SHARED_IRI = _SHARED.replace("from m)", "from m where subject_id_curie = '')")
 
 
 def _shared(m: DataFrame) -> str:
-    several = m.groupBy(*justifications.TRIPLE).agg(F.min("uuid").alias("first"), (F.min("mapping_justification") != F.max("mapping_justification")).alias("several"))
+    several = m.groupBy(*justifications.triple()).agg(F.min("uuid").alias("first"), (F.min("mapping_justification") != F.max("mapping_justification")).alias("several"))
     return several.filter("several").agg(F.min("first")).first()[0]
 
 
-@query(f"select uuid from (select a.mapping_justification as own, b.uuid, b.mapping_justification from m a join m b using ({_TRIPLE}) where a.uuid = {_SHARED} order by b.uuid limit 100) where mapping_justification is distinct from own")
+@query(f"select uuid from (select a.mapping_justification as own, b.uuid, b.mapping_justification from {_PARTS} a join {_PARTS} b using ({_TRIPLE}) where a.uuid = {_SHARED} order by b.uuid limit 100) where mapping_justification is distinct from own")
 def mapping_detail(m: DataFrame) -> DataFrame:
     return justifications.others_of(m, _shared(m)).select("uuid")
 
 
-@query(f"select uuid from (select a.mapping_justification as own, b.uuid, b.mapping_justification from m a join m b using ({_TRIPLE}) where a.uuid = {_SHARED} order by b.uuid limit 1) where mapping_justification is distinct from own union all select min(uuid) from m where uuid = {_SHARED}")
+@query(f"select uuid from (select a.mapping_justification as own, b.uuid, b.mapping_justification from m a join m b using (predicate_id_curie, object_id_curie) where a.uuid = {_SHARED_IRI} order by b.uuid limit 100) where mapping_justification is distinct from own")
+def mapping_detail_without_curie(m: DataFrame) -> DataFrame:
+    # the request leaves the subject out, as its CURIE is empty
+    return justifications.others_of(m, _shared(m.filter("subject_id_curie = ''"))).select("uuid")
+
+
+@query(f"select uuid from (select a.mapping_justification as own, b.uuid, b.mapping_justification from {_PARTS} a join {_PARTS} b using ({_TRIPLE}) where a.uuid = {_SHARED} order by b.uuid limit 1) where mapping_justification is distinct from own union all select min(uuid) from m where uuid = {_SHARED}")
 def mapping_detail_limit(m: DataFrame) -> DataFrame:
     # the first row of the triple is the mapping itself, so a limit of one leaves no other
     return justifications.others_of(m, _shared(m), 1).select("uuid").union(mapping_by_id(m, _shared(m)).select("uuid"))
@@ -251,12 +267,12 @@ def justification_view(m: DataFrame) -> DataFrame:
     return justifications.view(EntitySearch(IDS).rows(m))
 
 
-@query(f"select {_TRIPLE}, count(*) > 1 as shown from m group by all")
+@query(f"select {_TRIPLE}, count(*) > 1 as shown from {_PARTS} group by all")
 def justification_section_flag(m: DataFrame) -> DataFrame:
     return justifications.section_flags(m)
 
 
-@query(f"select {_TRIPLE}, count(*) as n, count(distinct mapping_justification) as n_justifications, string_agg(distinct mapping_justification, ' ' order by mapping_justification) as justifications from m group by {_TRIPLE}")
+@query(f"select {_TRIPLE}, count(*) as n, count(distinct mapping_justification) as n_justifications, string_agg(distinct mapping_justification, ' ' order by mapping_justification) as justifications from {_PARTS} group by {_TRIPLE}")
 def justifications_by_triple(m: DataFrame) -> DataFrame:
     return justifications.by_triple(m).withColumn("justifications", F.array_join("justifications", " "))
 
@@ -284,12 +300,25 @@ def drawer_read_back(m: DataFrame) -> DataFrame:
     return justifications.read_requests(justifications.requests(m))
 
 
-@query(f"select b.uuid, b.mapping_justification as uri, b.confidence from m a join m b using ({_TRIPLE}) where a.uuid = {_SHARED} order by b.uuid limit 2")
+@query(f"select b.uuid, b.mapping_justification as uri, b.confidence from {_PARTS} a join {_PARTS} b using ({_TRIPLE}) where a.uuid = {_SHARED} order by b.uuid limit 2")
 def drawer_justifications(m: DataFrame) -> DataFrame:
-    one = mapping_by_id(m, _shared(m)).select(*justifications.TRIPLE).first()
+    one = mapping_by_id(m, _shared(m)).select(*justifications.triple()).first()
     return justifications.of_drawer(m, *one, limit=2).select("uuid", "uri", "confidence")
 
 
+_DRAWN = "select b.uuid, b.mapping_justification as uri, b.confidence, b.mapping_provider as provider from {1} a join {1} b using ({2}) where a.uuid = {0} and b.uuid in (select c.uuid from {1} d join {1} c using ({2}) where d.uuid = {0} order by c.uuid limit 3) and b.mapping_justification is distinct from a.mapping_justification"
+
+
+@query(" union all ".join(_DRAWN.format(x, _PARTS, _TRIPLE) for x in (_SHARED, _SHARED_IRI)))
+def drawer_other_justifications(m: DataFrame) -> DataFrame:
+    """The drawers of two mappings, one of them without a CURIE, from the texts of their requests: a page of 3, then those with another uri."""
+    pages = []
+    for one in (_shared(m), _shared(m.filter("subject_id_curie = ''"))):
+        request = justifications.read_requests(justifications.requests(mapping_by_id(m, one))).first().asDict()
+        pages.append(justifications.drawer_page(m, {k: request[c] for k, c in justifications.REQUEST.items()}, limit=3))
+    return pages[0].union(pages[1]).select("uuid", "uri", "confidence", "provider")
+
+
 @query("select uuid, subject_id_curie, object_id_curie, false as is_subject, true as is_object from (select * from m where object_id_curie = 'SUPP:3' or subject_id_curie = 'SUPP:3' order by uuid limit 100)")
 def entity_view(m: DataFrame) -> DataFrame:
     return entities.entity_view(m, "SUPP:3").select("uuid", "subject_id_curie", "object_id_curie", "is_subject", "is_object")
@@ -297,12 +326,12 @@ def entity_view(m: DataFrame) -> DataFrame:
 
 @query("select uuid, subject_id_curie = 'PART:1' as is_subject, object_id_curie = 'PART:1' as is_object from m where subject_id_curie = 'PART:1' or object_id_curie = 'PART:1'")
 def entity_sides(m: DataFrame) -> DataFrame:
-    return entities.entity_view(m, "PART:1", 1_000_000).select("uuid", "is_subject", "is_object")
+    return entities.entity_view(m, "PART:1", None).select("uuid", "is_subject", "is_object")
 
 
 @query("select row_number() over (order by is_subject desc, uuid) as place, uuid, is_subject, is_object from (select uuid, subject_id_curie = 'PART:1' as is_subject, object_id_curie = 'PART:1' as is_object from m where subject_id_curie = 'PART:1' union all select uuid, false, true from m where subject_id_curie = 'PART:1')")
 def entity_view_order(m: DataFrame) -> DataFrame:
-    listed = entities.entity_view(m.union(entities.inverted(m)), "PART:1", 1_000_000).agg(F.collect_list(F.struct("uuid", "is_subject", "is_object")).alias("r"))
+    listed = entities.entity_view(m.union(entities.inverted(m)), "PART:1", None).agg(F.collect_list(F.struct("uuid", "is_subject", "is_object")).alias("r"))
     return listed.select(F.posexplode("r").alias("at", "r")).select((F.col("at") + 1).cast("long").alias("place"), "r.uuid", "r.is_subject", "r.is_object")
 
 
@@ -342,22 +371,16 @@ def _neighbours(hops: int) -> None:
 for _n in (1, 2, 3):
     _neighbours(_n)
 
-def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A folder of this session below the one that driver and executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}"
-
-
 @query(f"{VIEW} select {_SHOWN} from m where {_E.format(_IDS)} and predicate_id_curie = 'rel:exactMatch'", view=False)
 def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = stored(from_line_items(spark, sf_dir), _folder(spark, sf_dir, "mappings"))
+    m = stored(from_line_items(spark, sf_dir))
     return EntitySearch(IDS, {"predicate_id_curie": ["rel:exactMatch"]}).rows(m).select(COLUMNS)
 
 
 @query(f"{VIEW}, {_EDGES}{_HOPS} " + " union all ".join(f"select entity, {d} as distance from h{d}" for d in range(3)), view=False)
 def stored_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark, sf_dir, "edges")
-    write_edges(from_line_items(spark, sf_dir), path, "overwrite")
+    path = new_folder(spark, "edges")
+    write_edges(from_line_items(spark, sf_dir), path)
     return entities.neighbourhood(None, "PART:1", 2, links=spark.read.parquet(path))
 
 
@@ -461,9 +484,27 @@ def confidence_texts(m: DataFrame) -> DataFrame:
     return m.select("uuid", text.alias("text"), tx.to_number(text).alias("number"))
 
 
-@query("select uuid, match_string is not null as match_string, false as author_id, true as subject_match_field from m")
+@query("select uuid, match_string is not null as match_string, false as author_id, true as subject_match_field, len(list_filter(subject_match_field, lambda x: starts_with(x, 'b'))) > 0 as some, match_string is not null as listed from m")
 def not_empty_lists(m: DataFrame) -> DataFrame:
-    return m.select("uuid", *(tx.not_empty(F.col(c)).alias(c) for c in ("match_string", "author_id", "subject_match_field")))
+    some = F.filter("subject_match_field", lambda x: F.startswith(x, F.lit("b")))  # empty in many rows
+    listed = tx.present(F.filter("match_string", lambda x: F.startswith(x, F.lit("b"))), m.schema["match_string"].dataType)  # empty lists are there too
+    return m.select("uuid", *(tx.not_empty(F.col(c)).alias(c) for c in ("match_string", "author_id", "subject_match_field")), tx.not_empty(some).alias("some"), listed.alias("listed"))
+
+
+_BLANKS = "chr(9) || chr(160) || ' ' || chr(8195) || chr(133) || ' ' || p_name || chr(133) || chr(65279) || chr(10) || ' ' || p_brand || chr(13) || ' ' || chr(12288)"
+
+
+@query(f"select p_partkey, trim({_BLANKS}, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || chr(5760) || chr(8195) || chr(8232) || chr(8233) || chr(12288) || chr(65279)) as trimmed from part", view=False)
+def trimmed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", tx.trim_all(F.concat(F.lit("\t\u00a0 \u2003\u0085 "), "p_name", F.lit("\u0085\ufeff\n "), "p_brand", F.lit("\r \u3000"))).alias("trimmed"))
+
+
+@query("select uuid, mapping_provider || ' %zz 100%' as provider, case when subject_id_curie = '' then '' else subject_id_curie end as subject, cast(null as varchar) as missing, '' as bare from m")
+def lenient_requests(m: DataFrame) -> DataFrame:
+    """Requests that repeat a field, have broken percent signs, a field without a value and a leading question mark."""
+    text = F.concat(F.lit("?bare&subject="), tx.form_encode(F.col("subject_id_curie")), F.lit("&provider="), F.replace(tx.form_encode(F.col("mapping_provider")), F.lit("%20"), F.lit("+")), F.lit("+%zz+100%&subject=second&&=x&provider=%41"))
+    field = lambda k: tx.from_query(text, k).alias(k)
+    return m.select("uuid", *map(field, ("provider", "subject", "missing", "bare")))
 
 
 @query("select uuid, subject_id_curie, coalesce(array_to_string(subject_match_field, ', '), '') as subject_match_field, coalesce(array_to_string(match_string, ', '), '') as match_string, '' as author_label from m")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from mapweave.functions import text as tx
 from mapweave.schema import MAPPING, MAPPING_SET
+from mapweave.sources.folders import new_folder
 
 
 def conform(df: DataFrame, schema: T.StructType = MAPPING) -> DataFrame:
@@ -64,9 +65,12 @@ def sets_from_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(sets.withColumn("mappings", F.struct(F.concat(F.lit("/sets/"), "uuid", F.lit("/mappings")).alias("href"))), MAPPING_SET)
 
 
-def stored(mappings: DataFrame, path: str) -> DataFrame:
-    """Mappings written once to path and read from there, so that filters reach the files."""
-    write_mappings(mappings, path, "overwrite")
+def stored(mappings: DataFrame, path: str | None = None) -> DataFrame:
+    """Mappings written once to path (a new folder if none is given) and read from there, so that filters reach the files.
+
+    A folder that has files already is left alone and raises an error, so results that read it stay right."""
+    path = path or new_folder(mappings.sparkSession, "mappings")
+    write_mappings(mappings, path)
     return read_mappings(mappings.sparkSession, path)
 
 

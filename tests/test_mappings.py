@@ -121,7 +121,7 @@ def test_searches(m):
 
 def test_justifications(m):
     assert uuids(justifications.others_of(m, "u1")) == ["u2"]
-    assert {tuple(r) for r in justifications.pairs(m).collect()} == {("u1", "u2"), ("u2", "u1")}
+    assert {tuple(r) for r in justifications.pairs(m, m).collect()} == {("u1", "u2"), ("u2", "u1")}
     drawn = {r.uuid: r for r in justifications.drawer(m).collect()}
     assert (drawn["u3"].confidence, drawn["u3"].uri, drawn["u1"].confidence, drawn["u4"].subject_id) == ("", "", "0.5", "http://a#4")
     assert justifications.of_triple(m, "A:1", "r:x", "B:1", "j/2").first().subject_matches == "l, l, s"
@@ -156,7 +156,7 @@ def test_filters_reach_stored_mappings(spark, m, tmp_path):
     pushed = plan[plan.index("PushedFilters") :]
     assert all(x in pushed for x in ("EqualTo(subject_id_curie,B:1)", "EqualTo(object_id_curie,B:1)", "EqualTo(mapping_provider,p)", "GreaterThanOrEqual(confidence,0.2)"))
     assert uuids(found) == ["u1"]
-    plan = entities.neighbourhood(stored, "B:1", 1)._jdf.queryExecution().executedPlan().toString()
+    plan = entities.beyond(spark.createDataFrame([("B:1",)], "entity string"), stored, None)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(subject_id_curie,B:1)" in plan[plan.index("PushedFilters") :]
 
 
@@ -209,3 +209,68 @@ def test_toggled_columns(m):
         if s != [""]:
             want = facets.toggle({} if s is None else {"k": s}, "k", v).get("k")
             assert got[rows.index((s, v))].t == want
+
+
+def test_triples_by_curie_or_iri(spark):
+    def row(uuid, subject, curie, why):
+        return dict(uuid=uuid, subject_id=subject, subject_id_curie=curie, predicate_id_curie="r:x", object_id="http://b#1", object_id_curie="B:1", mapping_justification=why)
+
+    rows = [row("a", "http://a#1", "", "j1"), row("b", "http://a#2", "", "j2"), row("c", "http://a#1", "", "j2"), row("d", "http://a#2", None, "j2"), row("e", None, "", "j1"), row("f", None, None, "j2"), row("g", "http://a#1", "A:1", None), row("h", "x", "A:1", "j1")]
+    m = spark.createDataFrame([tuple(r.get(f.name) for f in MAPPING) for r in rows], MAPPING)
+    assert {tuple(r) for r in justifications.pairs(m, m).collect()} == {("a", "c"), ("c", "a"), ("g", "h"), ("h", "g")}
+    assert {tuple(r) for r in justifications.links(m).collect()} == {("a", "a", 1), ("c", "a", 1), ("b", "b", 0), ("d", "b", 0), ("e", "e", 0), ("f", "f", 0), ("g", "g", 1), ("h", "g", 1)}
+    assert {(r.subject, r.n, r.n_justifications) for r in justifications.by_triple(m).collect()} == {("http://a#1", 2, 2), ("http://a#2", 2, 1), (None, 2, 2), ("A:1", 2, 1)}
+    assert {(r.subject, r.shown) for r in justifications.section_flags(m).filter("shown").collect()} == {("http://a#1", True), ("http://a#2", True), (None, True), ("A:1", True)}
+    # a part without a CURIE is no condition of the detail's request
+    assert uuids(justifications.others_of(m, "a")) == ["b", "c", "d", "f", "g"] and uuids(justifications.others_of(m, "f")) == ["a", "e", "g", "h"]
+    assert uuids(justifications.others_of(m, "g")) == ["h"] and uuids(justifications.others_of(m, "nobody")) == []
+    assert uuids(justifications.others_of(m, "a", 2)) == ["b"]
+
+
+def test_drawer_page(m):
+    rows = [dict(uuid=f"v{i}", subject_id_curie="A:1", predicate_id_curie="r:x", object_id_curie="B:1", mapping_justification=j) for i, j in enumerate(["j/1", None, "j/1", "", "j/2"])]
+    m = m.sparkSession.createDataFrame([tuple(r.get(f.name) for f in MAPPING) for r in rows], MAPPING)
+    ask = {"subject_id": "A:1", "predicate_id": "r:x", "object_id": "B:1", "justif_uri": "j/1"}
+    assert uuids(justifications.drawer_page(m, ask, 3)) == ["v1"] and uuids(justifications.drawer_page(m, ask, 3, 2)) == ["v3", "v4"] and uuids(justifications.drawer_page(m, ask, 3, 3)) == []
+    assert uuids(justifications.drawer_page(m, {**ask, "justif_uri": ""})) == ["v0", "v1", "v2", "v4"]
+    assert uuids(justifications.drawer_page(m, {"subject_id": "", "object_id": None, "predicate_id": "r:x"})) == ["v0", "v1", "v2", "v4"]
+
+
+def test_lenient_decoding(spark):
+    cases = {"a=1&a=2": "1", "a=%zz": "%zz", "a=1%": "1%", "a=x+y%20z%2B": "x y z+", "b=1": None, "a": "", "a=": "", "?a=q": "q", "": None, "a=b=c": "b=c", "%61=1": "1", "=1": None, "a=%E9%41": "�A", "&&a=1&": "1", None: None}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", tx.from_query(F.col("t"), "a").alias("v")).collect()
+    assert {r.t: r.v for r in got} == cases
+
+
+def test_trimming(spark):
+    cases = {"\u0085x\u0085": "\u0085x\u0085", " \u0085 ": "\u0085", "﻿ 　x  ": "x", "x \u0085": "x \u0085", "\x1cx\x1c": "\x1cx\x1c", "a\nb\n": "a\nb", "​x": "​x"}
+    got = spark.createDataFrame([(t,) for t in cases], "t string").select("t", tx.trim_all(F.col("t")).alias("v")).collect()
+    assert {r.t: r.v for r in got} == cases
+
+
+def test_stored_folders_are_new_each_time(spark, m):
+    first, second = source.stored(m), source.stored(m.filter("uuid > 'u2'"))
+    assert uuids(first) == ["u1", "u2", "u3", "u4", "u5"] and uuids(second) == ["u3", "u4", "u5"]
+    before = entities.neighbourhood(first, "A:1", 2)
+    assert entities.neighbourhood(first, "C:1", 2).count() == 4 and before.count() == 3
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        source.stored(m, first.inputFiles()[0].rsplit("/", 1)[0])
+
+
+@pytest.mark.parametrize(("few", "most"), [(1000, 10), (0, 10), (0, 0)])
+def test_frontiers_of_any_size(spark, m, tmp_path, few, most):
+    source.write_edges(m, f"{tmp_path}/g")
+    links = spark.read.parquet(f"{tmp_path}/g")
+    for args in ((m, "A:1", 3), (None, "A:1", 3, links)):
+        got = entities.neighbourhood(*args, few=few, most=most).collect()
+        assert sorted(map(tuple, got)) == [("A:1", 0), ("B:1", 1), ("C:1", 2), ("D:1", 3)]
+
+
+def test_small_frontiers_move_no_edges(spark, m):
+    stored = source.stored(m)
+    frontier = spark.createDataFrame([("B:1",), ("C:1",)], "entity string")
+    for few, join in ((1000, None), (0, "BroadcastHashJoin")):
+        plan = entities.beyond(frontier, stored, None, few, 10)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and (join or "Scan parquet") in plan
+    plan = entities.beyond(frontier, stored, None)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "In(subject_id_curie, [B:1,C:1])" in plan[plan.index("PushedFilters") :]

@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.functions import text as tx
-from mapweave.operators import entities, facets, justifications, paging
+from mapweave.operators import bitmaps, entities, facets, justifications, maintained, page_index, paging, reach, sketches
 from mapweave.operators.predicates import triple_match
+from mapweave.schema import FACETS
 from mapweave.plans.search import EntitySearch, TripleSearch, mapping_by_id
+from mapweave.sources import store
 from mapweave.sources.folders import new_folder
-from mapweave.sources.mappings import flat, from_line_items, of_sets, sets_from_suppliers, stored, write_edges
+from mapweave.sources.documents import decode, documents, read_documents, write_documents
+from mapweave.sources.mappings import export, flat, from_line_items, of_sets, read_export, sets_from_suppliers, stored, write_edges
+from mapweave.sources.paged import FORMAT, register
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -384,6 +388,150 @@ def stored_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.neighbourhood(None, "PART:1", 2, links=spark.read.parquet(path))
 
 
+#: Starts of a search from many entities: every 64th of them has no CURIE and so no edges.
+STARTS = [f"PART:{i}" for i in range(1, 65)]
+_MANY = ", ".join(f"'{s}'" for s in STARTS)
+
+
+def _many(hops: int) -> str:
+    sql = f"{VIEW}, {_EDGES}, h0 as (select distinct src as start, src as entity from e where src in ({_MANY}))"
+    for d in range(1, hops + 1):
+        seen = "".join(f" and not exists (select 1 from h{k} where h{k}.start = h.start and h{k}.entity = dst)" for k in range(d))
+        sql += f", h{d} as materialized (select distinct h.start, dst as entity from e join h{d - 1} h on src = h.entity where true{seen})"
+    return sql + " " + " union all ".join(f"select start, entity, {d} as distance from h{d}" for d in range(hops + 1))
+
+
+@query(_many(3), view=False)
+def neighbours_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reach.neighbours_many(from_line_items(spark, sf_dir), STARTS, 3)
+
+
+@query(f"{VIEW}, {_EDGES}{_HOPS} " + " union all ".join(f"select entity, {d} as distance from h{d}" for d in range(4)), view=False)
+def bucketed_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hops over edges bucketed by entity, each frontier joined by shuffle: the edges stay where they lie."""
+    table = reach.write_bucketed_edges(from_line_items(spark, sf_dir), 16)
+    return entities.neighbourhood(None, "PART:1", 3, links=spark.table(table), few=0, most=0)
+
+
+def _indexed(name: str, sql: str, search: EntitySearch, keys: tuple[str, ...], exclude_self: bool) -> None:
+    QUERIES[name] = lambda spark, d: bitmaps.build(from_line_items(spark, d)).counts(search, keys, exclude_self)
+    ORACLE_SQL[name] = f"{VIEW} {sql}"
+
+
+_EXACT = EntitySearch(IDS, {"predicate_id_curie": ["rel:exactMatch"]})
+_indexed("bitmap_counts", f"{_COUNTS.format(_NARROW)} union all {_ARRAY_COUNTS.format(_NARROW)}", _EXACT, FACETS, False)
+_indexed("bitmap_counts_exclude_self", ORACLE_SQL["facet_counts_exclude_self"].removeprefix(VIEW), _EXACT, ("predicate_id_curie", "mapping_provider"), True)
+_SOME = f"(select * from m where {_E.format(_IDS)} and confidence between 0.2 and 0.8 and predicate_id_curie in ('rel:exactMatch', 'rel:closeMatch') and list_has_any(subject_match_field, ['part', 'red', 'blue']))"
+_indexed("bitmap_counts_of_ranges", f"{_COUNTS.format(_SOME)} union all {_ARRAY_COUNTS.format(_SOME)}", EntitySearch(IDS, {"predicate_id_curie": ["rel:exactMatch", "rel:closeMatch"], "subject_match_field": ["part", "red", "blue"]}, (0.2, 0.8)), FACETS, False)
+
+
+@query("""
+select entity, row_number() over (partition by entity order by is_subject desc, uuid) as place, is_subject, is_object, uuid from (
+  select * from (select subject_id_curie as entity, true as is_subject, subject_id_curie = object_id_curie as is_object, uuid from m where subject_id_curie <> ''
+    union all select object_id_curie, false, true, uuid from m where object_id_curie <> '' and object_id_curie <> subject_id_curie)
+  qualify row_number() over (partition by entity order by uuid) <= 100)""")
+def entity_views(m: DataFrame) -> DataFrame:
+    return entities.entity_views(m).select("entity", F.col("place").cast("long").alias("place"), "is_subject", "is_object", "uuid")
+
+
+@query(f"select {_SHOWN} from m order by uuid limit 25 offset (select ((count(*) - 1) // 25) * 25 from m)")
+def page_deep(m: DataFrame) -> DataFrame:
+    """The last page of all mappings."""
+    index = page_index.build(m.select(COLUMNS), partitions=16)
+    return index.page(max(1, index.total_pages(25)))
+
+
+@query("""
+select year, count(distinct uuid) as nb_mapping, count(distinct mapping_set_id) as nb_mapping_set, count(distinct mapping_provider) as nb_mapping_provider, count(distinct entity) as nb_entity
+from (select *, substr(mapping_date, 1, 4) as year, unnest([nullif(subject_id_curie, ''), object_id_curie]) as entity from m) group by year""")
+def sketched_stats(m: DataFrame) -> DataFrame:
+    """Statistics of each year as unions of the sketches of its days; 2^16 registers are exact for so few entities."""
+    days = sketches.build(m, ("mapping_date",), 16)
+    return sketches.stats(days.withColumn("year", F.substring("mapping_date", 1, 4)), ("year",))
+
+
+_CHANGED = f"{VIEW}, n as (select * replace (case when uuid[1] = '0' then 'rel:changed' else predicate_id_curie end as predicate_id_curie, case when uuid[1] = '0' then 'PART:new' else subject_id_curie end as subject_id_curie) from m where uuid[1] <> '1')"
+
+
+def _changed(m: DataFrame) -> tuple[store.KeyedStore, maintained.MaintainedCounts]:
+    """A store without the mappings whose uuid begins with 2, and then a batch: these come, those with 0 change, those with 1 go."""
+    spark, begins = m.sparkSession, lambda c: F.startswith("uuid", F.lit(c))
+    kept, counts = store.create(spark, m.schema, buckets=16), maintained.begin(spark, buckets=16)
+    counts.apply(kept.put(m.filter(~begins("2"))))
+    changed = m.filter(begins("0")).withColumns({"predicate_id_curie": F.lit("rel:changed"), "subject_id_curie": F.lit("PART:new")})
+    counts.apply(kept.put(changed.union(m.filter(begins("2"))), m.filter(begins("1")).select("uuid")))
+    return kept, counts
+
+
+@query(f"{_CHANGED} {_COUNTS.format('n')} union all {_ARRAY_COUNTS.format('n')}", view=False)
+def maintained_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(from_line_items(spark, sf_dir))[1].facet_counts()
+
+
+@query(f"{_CHANGED} select count(*) as nb_mapping, count(distinct mapping_set_id) as nb_mapping_set, count(distinct mapping_provider) as nb_mapping_provider, (select count(distinct entity) from (select subject_id_curie as entity from n union all select object_id_curie from n) where entity <> '') as nb_entity from n", view=False)
+def maintained_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changed(from_line_items(spark, sf_dir))[1].stats()
+
+
+@query(f"{_CHANGED} select {_SHOWN}, array_to_string(match_string, ' ') as match_string from n", view=False)
+def put_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, _ = _changed(from_line_items(spark, sf_dir))
+    return kept.read().select(*COLUMNS, F.array_join("match_string", " ").alias("match_string"))
+
+
+_WRONG = "uuid[1] = '0'"
+
+
+@query(f"""{VIEW} select uuid, subject_id_curie, case when {_WRONG} then null else confidence end as confidence, case when uuid[1] = '1' then null else array_to_string(match_string, ' ') end as match_string,
+  case when {_WRONG} and confidence is not null then 'confidence="high"' when uuid[1] = '1' then 'match_string={{"a":1}}' else '' end as wrong, cast(null as varchar) as rejected from m
+union all select null, null, null, null, '', '{{"data": [{{"uuid": "' || n_name || '"' from nation
+union all select null, null, null, null, '', '"' || n_name || '"' from nation""", view=False)
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mappings, some with fields of a wrong type, and with records and documents that are none."""
+    m = from_line_items(spark, sf_dir)
+    wrong = m.withColumns({"confidence": F.when(F.startswith("uuid", F.lit("0")), F.when(F.col("confidence").isNotNull(), F.parse_json(F.lit('"high"')))).otherwise(F.col("confidence").cast("variant"))})
+    wrong = wrong.withColumn("match_string", F.when(F.startswith("uuid", F.lit("1")), F.parse_json(F.lit('{"a": 1}'))).otherwise(F.col("match_string").cast("variant")))
+    path = new_folder(spark, "documents")
+    write_documents(wrong, path)
+    names = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    bad = names.select(F.explode(F.array(F.concat(F.lit('{"data": [{"uuid": "'), "n_name", F.lit('"')), F.concat(F.lit('{"data": ["'), "n_name", F.lit('"]}')))).alias("value"))
+    got = decode(read_documents(spark, path, lines=True).union(bad))
+    said = F.array_join(F.transform(F.map_entries("_wrong"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), " ")
+    return got.select("uuid", "subject_id_curie", "confidence", F.array_join("match_string", " ").alias("match_string"), said.alias("wrong"), F.col("_rejected").alias("rejected"))
+
+
+@query(f"{VIEW} select {_SHOWN}, array_to_string(match_string, ' ') as match_string from m where object_id_curie = 'SUPP:3' and predicate_id_curie in ('rel:exactMatch', 'rel:closeMatch') and confidence > 0.2", view=False)
+def paged_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings written as pages of about 500 and searched through the page reader."""
+    m = from_line_items(spark, sf_dir)
+    pages = max(1, m.count() // 500)
+    path = new_folder(spark, "pages")
+    paged = m.select(F.struct(*m.columns).alias("m"), F.pmod(F.xxhash64("uuid"), F.lit(pages)).alias("page"))
+    documents(paged).repartition(min(pages, 1000), "page").write.partitionBy("page").text(path)
+    register(spark)
+    found = spark.read.format(FORMAT).option("path", path).load()
+    found = found.filter("object_id_curie = 'SUPP:3' and predicate_id_curie in ('rel:exactMatch', 'rel:closeMatch') and confidence > 0.2")
+    return found.select(*COLUMNS, F.array_join("match_string", " ").alias("match_string"))
+
+
+_EXPORTED = f"select uuid, subject_id_curie, coalesce(subject_label, '') as subject_label, cast(confidence as varchar) as confidence, {_JOINED.format('subject_match_field')} as subject_match_field, {_JOINED.format('match_string')} as match_string, subject_source || ' \"x\"' || chr(9) || ', ' || chr(10) || ' ' as comment from m"
+
+
+def _exported(kind: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = new_folder(spark, kind)
+        export(from_line_items(spark, sf_dir).withColumn("comment", F.concat("subject_source", F.lit(' "x"\t, \n '))), path, kind)
+        got = read_export(spark, path, kind)
+        texts = ("uuid", "subject_id_curie", "subject_label", "subject_match_field", "match_string", "comment")
+        return got.select("confidence", *(tx.or_empty(F.col(c)).alias(c) for c in texts))
+
+    QUERIES[f"exported_{kind}"], ORACLE_SQL[f"exported_{kind}"] = run, f"{VIEW} {_EXPORTED}"
+
+
+_exported("csv")
+_exported("tsv")
+
+
 _TEXT = "o_orderpriority || ', ,' || chr(10) || ' ' || o_orderstatus || ',,' || o_orderkey || chr(9)"
 _SPLIT = f"regexp_split_to_array({_TEXT}, '[\\n,]+')"
 

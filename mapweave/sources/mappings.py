@@ -56,6 +56,11 @@ def export(mappings: DataFrame, path: str, kind: str = "csv", mode: str = "error
     out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
+def read_export(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
+    """What export has written, all columns as text; absent and empty texts are both null."""
+    return spark.read.option("header", True).option("sep", {"csv": ",", "tsv": "\t"}[kind]).option("escape", '"').option("multiLine", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def sets_from_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mapping sets of from_line_items' mappings, with the address of each one's mappings."""
     t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mapweave.sources.folders import new_folder
 
@@ -50,10 +51,12 @@ def build(rows: DataFrame, path: str | None = None, partitions: int | None = Non
     path = path or new_folder(rows.sparkSession, "pages")
     dealt = rows.repartitionByRange(*([partitions] if partitions else []), order).withColumn("_part", F.spark_partition_id())
     dealt.sortWithinPartitions("_part", order).write.partitionBy("_part").parquet(path)
-    return load(rows.sparkSession, path, order)
+    return load(rows.sparkSession, path, order, rows.schema)
 
 
-def load(spark: SparkSession, path: str, order: str = "uuid") -> PageIndex:
-    rows = spark.read.parquet(path)
+def load(spark: SparkSession, path: str, order: str = "uuid", schema: T.StructType | None = None) -> PageIndex:
+    """The index in path. schema: the rows' columns, which a folder without rows doesn't tell."""
+    reader = spark.read if schema is None else spark.read.schema(T.StructType([*schema, T.StructField("_part", T.IntegerType())]))
+    rows = reader.parquet(path)
     counted = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each range
     return PageIndex(rows, sorted((r["_part"], r["n"]) for r in counted), order)

@@ -21,7 +21,9 @@ _FIT = {T.StringType: "STRING", T.DoubleType: r"(BIGINT|DOUBLE|FLOAT|DECIMAL\(.*
 
 def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(value): the texts of the documents in path: a file each, or a line each."""
-    return spark.read.option("wholetext", not lines).text(path)
+    if lines:
+        return spark.read.text(path)
+    return spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("value"))
 
 
 def decode(texts: DataFrame, schema: T.StructType = MAPPING) -> DataFrame:

@@ -83,7 +83,9 @@ class PageReader(DataSourceReader):
         at = lambda n: url.replace("{page}", str(n)) + sent
         return [Page(at(n), self.fields) for n in range(1, int(fetch(at(1))["pagination"]["total_pages"]) + 1)]
 
-    def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Page | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # a folder without pages
+            return
         rows = [r for r in fetch(partition.address)["data"] if all(r.get(k) in values for k, values in partition.fields.items())]
         yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in self.schema} for r in rows], to_arrow_schema(self.schema))
 

@@ -62,7 +62,7 @@ _LINKS = (
 )
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """p, n to an array of labels in display order, and whether Previous and Next are disabled."""
+def page_links(pages: DataFrame, *carry: str) -> DataFrame:
+    """p, n to an array of labels in display order, and whether Previous and Next are disabled; with the columns in carry."""
     shown = "filter(array({}), x -> x is not null)".format(", ".join(f"if({cond}, {label}, null)" for label, cond in _LINKS))
-    return pages.select("p", "n", F.expr(shown).alias("links"), F.expr("p = 0").alias("previous_disabled"), F.expr("p = n - 1").alias("next_disabled"))
+    return pages.select(*carry, "p", "n", F.expr(shown).alias("links"), F.expr("p = 0").alias("previous_disabled"), F.expr("p = n - 1").alias("next_disabled"))

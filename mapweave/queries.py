@@ -110,11 +110,13 @@ def page_beyond_summary(m: DataFrame) -> DataFrame:
     return EntitySearch(IDS, limit=25, page=100_000).run(m).pagination
 
 
-@query("select pages, total, shown, case when pages > 1 then shown when total <= 10 then 10 when total <= 25 then 25 else 100 end as size from range(0, 3) a(pages), range(0, 40) b(total), (values (10), (25), (100)) c(shown)", view=False)
-def size_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = lambda name, n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
-    cases = spark.range(3).select(F.col("id").alias("pages")).select("pages", of("total", 40)).select("pages", "total", F.explode(F.array(*map(F.lit, paging.SIZES))).alias("shown"))
-    return cases.withColumn("size", paging.initial_size(F.col("pages"), F.col("total"), F.col("shown")))
+@query("select object_id_curie as entity, cast(ceil(count(*) / 25.0) as bigint) as pages, count(*) as total, least(count(*), 25) as shown, case when count(*) > 25 then least(count(*), 25) when count(*) <= 10 then 10 else 25 end as size from (select object_id_curie from m union all select subject_id_curie from m) where object_id_curie <> '' group by object_id_curie")
+def size_restore(m: DataFrame) -> DataFrame:
+    """The page size that the first page of each entity's mappings gives back."""
+    total, shown = F.col("n_mappings"), F.least("n_mappings", F.lit(25).cast("long"))
+    pages = F.ceil(total / 25)
+    return entities.entities(m).select("entity", pages.alias("pages"), total.alias("total"), shown.alias("shown"), paging.initial_size(pages, total, shown).cast("long").alias("size"))
+
 
 _SCALARS = ("mapping_provider", "predicate_id_curie", "mapping_justification_curie", "subject_category", "object_category")
 _COUNTS = " union all ".join(f"select '{k}' as facet, {k} as value, count(*) as count from {{0}} where {k} is not null group by {k}" for k in _SCALARS)
@@ -191,16 +193,17 @@ def page_summary(m: DataFrame) -> DataFrame:
 
 
 @query("""
-select p, n, array_to_string(list_filter([ 'Previous', case when n > 0 then '1' end, case when n > 2 and p = 0 then '2' end,
+select entity, p, n, array_to_string(list_filter([ 'Previous', case when n > 0 then '1' end, case when n > 2 and p = 0 then '2' end,
   case when p <= n - 1 and p > 2 then '...' end, case when p < n - 1 and p > 1 then cast(p as varchar) end,
   case when p > 0 and p < n - 1 then cast(p + 1 as varchar) end, case when p >= 1 and p + 2 < n + 0 then cast(p + 2 as varchar) end,
   case when p < n - 3 then '...' end, case when n > 2 and p = n - 1 then cast(n - 1 as varchar) end,
   case when n > 1 then cast(n as varchar) end, 'Next' ], lambda x: x is not null), ' ') as links,
   p = 0 as previous_disabled, p = n - 1 as next_disabled
-from range(0, 12) a(p), range(1, 13) b(n) where p < n""", view=False)
-def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.range(12).withColumnRenamed("id", "p").select("p", F.explode(F.sequence(F.col("p") + 1, F.lit(12).cast("long"))).alias("n"))
-    return paging.page_links(pages).withColumn("links", F.array_join("links", " "))
+from (select entity, n, unnest(range(0, n)) as p from (select object_id_curie as entity, cast(ceil(count(*) / 10.0) as bigint) as n from m group by object_id_curie))""")
+def page_links(m: DataFrame) -> DataFrame:
+    """The pager of each page of ten of each object's mappings."""
+    pages = m.groupBy(F.col("object_id_curie").alias("entity")).agg(F.ceil(F.count(F.lit(1)) / 10).alias("n"))
+    return paging.page_links(pages.select("entity", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("p")), "entity").withColumn("links", F.array_join("links", " "))
 
 
 @query(f"select {_SHOWN} from m where subject_id_curie = 'PART:5' and predicate_id_curie = 'rel:broadMatch' and object_id_curie in (select min(object_id_curie) from m where subject_id_curie = 'PART:5' and predicate_id_curie = 'rel:broadMatch')")
@@ -621,9 +624,9 @@ def path_heads(m: DataFrame) -> DataFrame:
     return m.select("uuid", tx.path_head(path).alias("head"))
 
 
-@query("select i, printf('%.1f', i / 10.0) as label from range(0, 11) t(i)", view=False)
-def slider_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(11).select(F.col("id").alias("i"), tx.one_decimal(F.col("id") / 10).alias("label"))
+@query("select uuid, printf('%.1f', coalesce(confidence, 0.0)) as label from m")
+def slider_labels(m: DataFrame) -> DataFrame:
+    return m.select("uuid", tx.one_decimal(F.coalesce("confidence", F.lit(0.0))).alias("label"))
 
 
 @query(f"select uuid, {_NUMBER.replace('confidence = 0', 'false').replace("''", 'null', 1)} as text, coalesce(confidence, 0.0) as number from m")

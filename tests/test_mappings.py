@@ -274,3 +274,10 @@ def test_small_frontiers_move_no_edges(spark, m):
         assert "Exchange hashpartitioning" not in plan and (join or "Scan parquet") in plan
     plan = entities.beyond(frontier, stored, None)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "In(subject_id_curie, [B:1,C:1])" in plan[plan.index("PushedFilters") :]
+
+
+def test_pager_of_each_place(spark):
+    want = {(0, 1): "Previous 1 Next", (0, 3): "Previous 1 2 3 Next", (0, 4): "Previous 1 2 ... 4 Next", (1, 3): "Previous 1 2 3 Next", (2, 4): "Previous 1 2 3 4 Next", (9, 10): "Previous 1 ... 9 10 Next", (4, 10): "Previous 1 ... 4 5 6 ... 10 Next"}
+    got = paging.page_links(spark.createDataFrame([(p, n) for p, n in want], "p long, n long")).collect()
+    assert {(r.p, r.n): " ".join(r.links) for r in got} == want
+    assert all(r.previous_disabled == (r.p == 0) and r.next_disabled == (r.p == r.n - 1) for r in got)

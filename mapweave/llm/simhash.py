@@ -14,9 +14,10 @@ that takes: the different five-word shingles are dealt by their hash into parts
 has a 64-bit SimHash of its own, a block of the fingerprint. A shingle that only one of two texts has changes one block;
 the blocks without any such shingle are equal. A table by size (``Layout``) says how many parts there are and how many
 of them are written as blocks, so that a pair at exactly 0.8 shares no block with a probability of at most 1 in 100,000,
-whatever the length (closer pairs: less). Texts that share a block are candidates; their components are then compared by
-the exact similarity of the shingles' hashes, so blocks that are equal by chance link nothing. Texts of one component
-larger than ``tile`` shingles are dealt out as pairs of tiles.
+whatever the length (closer pairs: less). Texts that share a block are candidates and are compared by
+the exact similarity of the shingles' hashes, block by block, before anything is closed into groups: blocks that are
+equal by chance link nothing and join nothing. Members of one block with more than ``tile`` shingles are dealt out as
+tiles.
 
 Null and empty texts have no words and the fingerprint zero (for drop_near_copies: one empty shingle); they link like
 any other. Fewer words than a shingle's are one shingle. In near_groups rows with a null id get a component like all
@@ -363,24 +364,63 @@ def _compared(cells: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _starred(cells: DataFrame, width: int) -> DataFrame:
+    """Edges (u, v) of the texts in each cell (u, s) that are similar to its pivot, the text whose key is u."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pivot = None, np.zeros(0, np.uint64)
+        for batch in sliced(batches):
+            found: list[tuple[int, int]] = []
+            for u, s, key, text in zip(*(batch.column(c).to_pylist() for c in ("u", "s", "key", "text")), strict=True):
+                own = shingles(text or "", width)
+                if key == u:
+                    now, pivot = (u, s), own
+                elif now == (u, s):
+                    both = int(np.isin(own, pivot, assume_unique=True).sum())
+                    if 9 * both >= 4 * (len(own) + len(pivot)):  # a similarity of 0.8
+                        found.append((u, key))
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    dealt = cells.repartition("u", "s").sortWithinPartitions("u", "s", F.col("key") != F.col("u"))
+    return dealt.select("u", "s", "key", "text").mapInArrow(run, "u long, v long")
+
+
+def _links(texts: DataFrame, sets: DataFrame, width: int, tile: int) -> DataFrame:
+    """Edges (u, v) of sets (key, n, blocks, row) with the components of all similar pairs that share a block.
+
+    First the members of each block are held against its least one. Where a block's members are then not all of one
+    component, and are more than two, they are compared with one another in tiles. So no text is compared with one that
+    it shares no block with, and chains of chance blocks make no larger groups.
+    """
+    met = stage(sets.select("key", "n", F.explode("blocks").alias("block")))
+    least = stage(met.groupBy("block").agg(F.min("key").alias("u"), F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    shared = stage(met.join(least.hint("merge"), "block"))
+    row_of = sets.select("key", "row")
+
+    pairs = stage(shared.filter("key <> u").select("u", "key", "n").distinct())
+    tiles = stage(pairs.groupBy("u").agg(F.ceil(F.sum("n") / tile).alias("tiles")))
+    others = pairs.join(tiles.hint("merge"), "u").select("u", F.pmod(F.xxhash64("key"), F.col("tiles")).alias("s"), "key")
+    pivots = tiles.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("s"), F.col("u").alias("key"))
+    cells = stage(others.union(pivots).join(row_of, "key"))
+    near = stage(_starred(texts.join(cells, "row"), width))
+
+    rooted = stage(shared.join(components(near), F.col("key") == F.col("node"), "left").select("block", "key", "n", "c", F.coalesce("root", "key").alias("root")))
+    own = F.xxhash64("key")
+    mixed = rooted.filter("c > 2").groupBy("block").agg((F.min("root") != F.max("root")).alias("mixed"), F.count(F.lit(1)).alias("size"), F.bit_xor(own).alias("a"), F.sum(own.cast("decimal(38,0)")).alias("b"), F.sum("n").alias("n")).filter("mixed")
+    # blocks with the same members are compared once
+    mixed = stage(mixed.groupBy("size", "a", "b", "n").agg(F.min("block").alias("block")).select("block", F.ceil(F.col("n") / tile).alias("tiles")))
+    dealt = rooted.join(mixed.hint("merge"), "block").withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    dealt = stage(dealt.select("key", F.col("block").alias("root"), F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b")).join(row_of, "key"))
+    return near.union(_compared(texts.join(dealt, "row"), width))
+
+
 def _staying(numbered: DataFrame, width: int, tile: int) -> DataFrame:
     """numbered (row, id, text) to the rows that stay."""
     marked = stage(_sketches(numbered, width))
     best = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "row")
     sets = stage(marked.groupBy("key").agg(F.min(best).alias("best"), F.first("n").alias("n"), F.first("blocks").alias("blocks")))
-
-    # staged before the join, so that the rows of a hot block can be split
-    met = sets.select("key", F.explode("blocks").alias("block"))
-    shared = stage(met.groupBy("block").agg(F.min("key").alias("u"), F.max("key").alias("v")).filter("u < v").select("block", "u"))
-    near = components(met.join(shared.hint("merge"), "block").filter("key <> u").select("u", F.col("key").alias("v")))
-
-    held = stage(sets.join(near, sets["key"] == near["node"]).select("key", "root", "n", F.col("best.row").alias("row")))
-    tiles = stage(held.groupBy("root").agg(F.ceil(F.sum("n") / tile).alias("tiles")))
-    dealt = held.join(tiles.hint("merge"), "root").withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    dealt = dealt.select("row", "key", "root", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"))
-    linked = components(_compared(numbered.select("row", "text").join(dealt, "row"), width))
-
+    linked = components(_links(numbered.select("row", "text"), sets.select("key", "n", "blocks", F.col("best.row").alias("row")), width, tile))
     rooted = sets.join(linked, sets["key"] == linked["node"], "left").select("best", F.coalesce("root", "key").alias("root"))
     return rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.row")
 

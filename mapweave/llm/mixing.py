@@ -1,14 +1,16 @@
 """Mixing to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Documents fall into cells of source, language and topic; the cells' token sums are one small aggregation. The
-weights of the cells are raked in turn to the three marginals until no marginal is off by more than ``tolerance``.
+weights of the cells are raked in turn to the three marginals until no marginal is off by more than ``tolerance``: a
+cell's weight is its present one times a factor of its source, one of its language and one of its topic, and each step
+is one aggregation of the cells that gives the factors of one of the three anew.
 A document's ``rate`` is its cell's target weight over its present weight, times a factor that makes the expected
 number of sampled tokens ``share`` of all. It is taken ``copies`` times: as often as the rate has wholes, and once more
 with the probability of the fraction, so the expected tokens have the target weights. ``p`` and ``kept`` are for those
 who take a document once at most: the rate is cut off at 1 and the factor raised until share is met, so the weights
 are missed where cells are cut off. Documents are sampled by a hash of their id and text, so a rerun takes the same.
 
-Topics are classes of form (table, marked, shouting, short, long, medium), as the documents name none. Where no
+Topics are classes of form, not of subject (table, marked, shouting, short, long, medium), not of subject, as the documents name none. Where no
 targets are given, those of source and language are the present shares to the power ``flatten``, topics keep
 their shares. A value that a given target table omits, or has with 0, has the weight 0: its documents get p, rate and
 copies 0. Targets that contradict each other (no weights have them all as marginals) raise an error where they were
@@ -22,7 +24,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import fresh, stage, table
@@ -53,31 +54,57 @@ def targets_of(cells: DataFrame, dim: str, flatten: float) -> DataFrame:
     return sums.select(dim, (F.col("n") / total).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6, rounds: int = 60) -> tuple[DataFrame, float]:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6, rounds: int = 60, most: int = 10_000) -> tuple[DataFrame, float]:
     """cells (source, lang, topic, tokens > 0) with w: weights whose marginals are the targets; and how far off they are at most.
 
     Targets are summed by value and made to sum to 1; values without a target have 0, as have all cells with such a value.
+    Tables of a dimension's values are broadcast where it has at most ``most`` of them; larger ones are joined by shuffle.
     """
     total = cells.agg(F.sum("tokens")).first()[0]
-    now = cells.select(*DIMS, "tokens", (F.col("tokens") / F.lit(total)).alias("w"))
+    now = stage(cells.select(*DIMS, "tokens", (F.col("tokens") / F.lit(total)).alias("w")))
+    values = now.agg(*(F.count_distinct(F.coalesce(d, F.lit(""))).alias(d) for d in DIMS)).first()
+    small = {d: values[d] <= most for d in DIMS}
+    goals = {}
     for d in DIMS:
         t = targets[d].groupBy(F.col(d).alias("k")).agg(F.sum("target").alias("t"))
         whole = t.agg(F.sum("t")).first()[0] or 1.0
-        goal = F.coalesce(t["t"] / F.lit(whole), F.lit(0.0)).alias(f"t_{d}")
-        now = now.join(t, now[d].eqNullSafe(t["k"]), "left").select(*(now[c] for c in now.columns), goal)
-    now = stage(now)
-    for _ in range(math.ceil(rounds / 5)):
-        for _ in range(5):
-            for d in DIMS:
-                present = F.sum("w").over(W.partitionBy(d))
-                now = now.withColumn("w", F.when(present > 0, F.col("w") * F.col(f"t_{d}") / present).otherwise(0.0))
-        now = stage(now)
-        off = [F.max(F.abs(F.col(f"s_{d}") - F.col(f"t_{d}"))) for d in DIMS]
-        sums = now.select("*", *(F.sum("w").over(W.partitionBy(d)).alias(f"s_{d}") for d in DIMS))
-        left = max(sums.agg(*off).first())
-        if left <= tolerance:
+        known = now.select(F.col(d).alias("k")).distinct()
+        goals[d] = _kept(known.join(t.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k")), "left").select("k", (F.coalesce("t", F.lit(0.0)) / F.lit(whole)).alias("t")), small[d])
+    factors: dict[str, DataFrame] = {}
+    for _ in range(rounds):
+        offs = []
+        for d in DIMS:
+            sums = _weighted(now, {o: f for o, f in factors.items() if o != d}, small).groupBy(d).agg(F.sum("w").alias("s"))
+            found = _beside(sums, d, goals[d], "t", small[d])
+            found = _beside(found, d, factors[d], "f", small[d]) if d in factors else found.withColumn("f", F.lit(1.0))
+            new = F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(0.0)
+            step = _kept(found.select(F.col(d).alias("k"), new.alias("f"), F.abs(F.col("s") * F.col("f") - F.col("t")).alias("off")), small[d])
+            offs.append(step.agg(F.max("off")).first()[0])
+            factors[d] = step.select("k", "f")
+        if max(offs) <= tolerance:  # no marginal was off when its turn came
             break
-    return now.select(*DIMS, "tokens", "w"), left
+    weighted = stage(_weighted(now, factors, small))
+    left = max(_beside(weighted.groupBy(d).agg(F.sum("w").alias("s")), d, goals[d], "t", small[d]).agg(F.max(F.abs(F.col("s") - F.col("t")))).first()[0] for d in DIMS)
+    return weighted, left
+
+
+def _kept(values: DataFrame, small: bool) -> DataFrame:
+    """A table of the values of one dimension, worked out once: in the plan itself where they are few, else in the shared folder."""
+    return values.sparkSession.createDataFrame(values.collect(), values.schema) if small else stage(values)
+
+
+def _beside(rows: DataFrame, d: str, values: DataFrame, name: str, small: bool) -> DataFrame:
+    """rows with the value of their d, 0 where it has none."""
+    v = values.select(F.col("k").alias("_k"), F.col(name).alias("_v"))
+    v = F.broadcast(v) if small else v.hint("merge")
+    return rows.join(v, F.col(d).eqNullSafe(F.col("_k")), "left").select(*rows.columns, F.coalesce("_v", F.lit(0.0)).alias(name))
+
+
+def _weighted(cells: DataFrame, factors: dict[str, DataFrame], small: dict[str, bool]) -> DataFrame:
+    """cells with w times the factors of their values."""
+    for d, f in factors.items():
+        cells = _beside(cells, d, f, "f", small[d]).withColumn("w", F.col("w") * F.col("f")).drop("f")
+    return cells
 
 
 def rates(raked: DataFrame, share: float) -> DataFrame:

@@ -10,11 +10,12 @@ with the probability of the fraction, so the expected tokens have the target wei
 who take a document once at most: the rate is cut off at 1 and the factor raised until share is met, so the weights
 are missed where cells are cut off. Documents are sampled by a hash of their id and text, so a rerun takes the same.
 
-Topics are classes of form, not of subject (table, marked, shouting, short, long, medium), not of subject, as the documents name none. Where no
-targets are given, those of source and language are the present shares to the power ``flatten``, topics keep
+Topics are classes of form (table, marked, shouting, short, long, medium), not of subject, as the documents name none.
+Where no targets are given, those of source and language are the present shares to the power ``flatten``, topics keep
 their shares. A value that a given target table omits, or has with 0, has the weight 0: its documents get p, rate and
 copies 0. Targets that contradict each other (no weights have them all as marginals) raise an error where they were
-given; ``off``, the largest difference that is left in a marginal, comes with each document. Null sources and languages are values of their own. Null and empty texts have no tokens, weigh
+given; ``off``, the largest difference that is left in a marginal, comes with each document. Null sources and languages
+are values of their own. Null and empty texts have no tokens, weigh
 nothing in the marginals and are sampled with the rate of their cell (1 if it has no tokens). Repeated rows
 share their fate. An empty table gives an empty result; extra columns pass through, whatever their names.
 """
@@ -71,6 +72,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
         known = now.select(F.col(d).alias("k")).distinct()
         goals[d] = _kept(known.join(t.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k")), "left").select("k", (F.coalesce("t", F.lit(0.0)) / F.lit(whole)).alias("t")), small[d])
     factors: dict[str, DataFrame] = {}
+    worst: list[float] = []
     for _ in range(rounds):
         offs = []
         for d in DIMS:
@@ -81,7 +83,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
             step = _kept(found.select(F.col(d).alias("k"), new.alias("f"), F.abs(F.col("s") * F.col("f") - F.col("t")).alias("off")), small[d])
             offs.append(step.agg(F.max("off")).first()[0])
             factors[d] = step.select("k", "f")
-        if max(offs) <= tolerance:  # no marginal was off when its turn came
+        worst.append(max(offs))
+        if worst[-1] <= tolerance:  # no marginal was off when its turn came
+            break
+        if len(worst) > 10 and worst[-1] > 0.99 * worst[-6]:  # the targets contradict each other
             break
     weighted = stage(_weighted(now, factors, small))
     left = max(_beside(weighted.groupBy(d).agg(F.sum("w").alias("s")), d, goals[d], "t", small[d]).agg(F.max(F.abs(F.col("s") - F.col("t")))).first()[0] for d in DIMS)

@@ -385,7 +385,7 @@ def _starred(cells: DataFrame, width: int) -> DataFrame:
     return dealt.select("u", "s", "key", "text").mapInArrow(run, "u long, v long")
 
 
-def _links(texts: DataFrame, sets: DataFrame, width: int, tile: int) -> DataFrame:
+def _block_links(texts: DataFrame, sets: DataFrame, width: int, tile: int) -> DataFrame:
     """Edges (u, v) of sets (key, n, blocks, row) with the components of all similar pairs that share a block.
 
     First the members of each block are held against its least one. Where a block's members are then not all of one
@@ -420,7 +420,7 @@ def _staying(numbered: DataFrame, width: int, tile: int) -> DataFrame:
     marked = stage(_sketches(numbered, width))
     best = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "row")
     sets = stage(marked.groupBy("key").agg(F.min(best).alias("best"), F.first("n").alias("n"), F.first("blocks").alias("blocks")))
-    linked = components(_links(numbered.select("row", "text"), sets.select("key", "n", "blocks", F.col("best.row").alias("row")), width, tile))
+    linked = components(_block_links(numbered.select("row", "text"), sets.select("key", "n", "blocks", F.col("best.row").alias("row")), width, tile))
     rooted = sets.join(linked, sets["key"] == linked["node"], "left").select("best", F.coalesce("root", "key").alias("root"))
     return rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.row")
 

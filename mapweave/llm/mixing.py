@@ -22,10 +22,12 @@ share their fate. An empty table gives an empty result; extra columns pass throu
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fresh, stage, table
 
@@ -94,8 +96,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
 
 
 def _kept(values: DataFrame, small: bool) -> DataFrame:
-    """A table of the values of one dimension, worked out once: in the plan itself where they are few, else in the shared folder."""
-    return values.sparkSession.createDataFrame(values.collect(), values.schema) if small else stage(values)
+    """A table of the values of one dimension, worked out once: as a literal of the plan where they are few, else in the shared folder."""
+    if not small:
+        return stage(values)
+    rows = F.lit(json.dumps([r.asDict() for r in values.collect()], default=str))
+    return values.sparkSession.range(1).select(F.inline(F.from_json(rows, T.ArrayType(values.schema))))
 
 
 def _beside(rows: DataFrame, d: str, values: DataFrame, name: str, small: bool) -> DataFrame:

@@ -104,23 +104,6 @@ def test_similar_finds_all_components():
     assert got == label and 12 <= len(set(label)) < len(sets)
 
 
-def test_chains_of_shared_blocks_are_not_compared(spark, monkeypatch):
-    """Texts in a chain, each with shingles that the next one has too, but none similar: cells hold the members of one block only."""
-    rng = np.random.default_rng(9)
-    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
-    lines = [" ".join(word() for _ in range(30)) for _ in range(41)]
-    texts = [f"{lines[i]} {lines[i + 1]} {' '.join(word() for _ in range(12))}" for i in range(40)]
-    copies = [t + " end" for t in texts[:5]]
-    docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")
-    seen = []
-    old = simhash._compared
-    monkeypatch.setattr(simhash, "_compared", lambda cells, width: seen.append(cells) or old(cells, width))
-    got = sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect())
-    assert got == sorted(stay(list(enumerate(texts + copies)))) == list(range(40))
-    (cells,) = seen
-    assert max([r["count"] for r in cells.groupBy("root", "a", "b").count().collect()], default=0) <= 6
-
-
 def test_hot_blocks_are_dealt_out(spark):
     """A third of the texts copies of one, in cells of a few texts each."""
     rng = np.random.default_rng(10)

@@ -14,9 +14,11 @@ that takes: the different five-word shingles are dealt by their hash into parts
 has a 64-bit SimHash of its own, a block of the fingerprint. A shingle that only one of two texts has changes one block;
 the blocks without any such shingle are equal. A table by size (``Layout``) says how many parts there are and how many
 of them are written as blocks, so that a pair at exactly 0.8 shares no block with a probability of at most 1 in 100,000,
-whatever the length (closer pairs: less). Texts that share a block are candidates; their components are then compared by
-the exact similarity of the shingles' hashes, so blocks that are equal by chance link nothing. Texts of one component
-larger than ``tile`` shingles are dealt out as pairs of tiles.
+whatever the length (closer pairs: less). Texts that share a block are candidates and are compared by
+the exact similarity of the shingles' hashes (``_block_links``): first with the least text of each of their blocks, then
+those that this leaves apart, by blocks that hang together or block by block, whichever moves less. Blocks that are
+equal by chance link nothing. Members of one group already found aren't compared again by tiles of their own, and none
+of more than ``tile`` shingles meets another in one task.
 
 Null and empty texts have no words and the fingerprint zero (for drop_near_copies: one empty shingle); they link like
 any other. Fewer words than a shingle's are one shingle. In near_groups rows with a null id get a component like all
@@ -363,29 +365,118 @@ def _compared(cells: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _starred(cells: DataFrame, width: int) -> DataFrame:
+    """Edges (u, v) of the texts in each cell (u, s) that are similar to its pivot, the text whose key is u."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pivot = None, np.zeros(0, np.uint64)
+        for batch in sliced(batches):
+            found: list[tuple[int, int]] = []
+            for u, s, key, text in zip(*(batch.column(c).to_pylist() for c in ("u", "s", "key", "text")), strict=True):
+                own = shingles(text or "", width)
+                if key == u:
+                    now, pivot = (u, s), own
+                elif now == (u, s):
+                    both = int(np.isin(own, pivot, assume_unique=True).sum())
+                    if 9 * both >= 4 * (len(own) + len(pivot)):  # a similarity of 0.8
+                        found.append((u, key))
+            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], ["u", "v"])
+
+    dealt = cells.repartition("u", "s").sortWithinPartitions("u", "s", F.col("key") != F.col("u"))
+    return dealt.select("u", "s", "key", "text").mapInArrow(run, "u long, v long")
+
+
+def _to_pivots(texts: DataFrame, sets: DataFrame, shared: DataFrame, width: int, tile: int) -> DataFrame:
+    """Edges of shared (block, u, key, n): each text against the least one, u, of each of its blocks, every pair once."""
+    pairs = stage(shared.filter("key <> u").select("u", "key", "n").distinct())
+    tiles = stage(pairs.groupBy("u").agg(F.ceil(F.sum("n") / tile).alias("tiles")))
+    others = pairs.join(tiles.hint("merge"), "u").select("u", F.pmod(F.xxhash64("key"), F.col("tiles")).alias("s"), "key")
+    pivots = tiles.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("s"), F.col("u").alias("key"))
+    cells = stage(others.union(pivots).join(sets.select("key", "row"), "key"))
+    return stage(_starred(texts.join(cells, "row"), width))
+
+
+def _weighed(members: DataFrame, cell: str, tile: int, *more: str) -> DataFrame:
+    """For each cell of members (cell, root, n): its heaviest root, tiles of that (na) and of the rest (nr), and work.
+
+    work is the number of shingles that comparing the rest with all members would move.
+    """
+    by_root = members.groupBy(cell, *more, "root").agg(F.sum("n").alias("own"))
+    found = by_root.groupBy(cell, *more).agg(F.max(F.struct("own", "root")).alias("x"), F.sum("own").alias("all"))
+    rest = F.col("all") - F.col("x.own")
+    found = found.select(cell, *more, F.col("x.root").alias("big"), F.col("x.own").alias("a"), rest.alias("r"))
+    found = found.withColumn("na", F.ceil(F.col("a") / tile)).withColumn("nr", F.ceil(F.col("r") / tile))
+    return found.withColumn("work", F.expr("cast(a as decimal(38, 0)) * nr + cast(r as decimal(38, 0)) * (na + nr)"))
+
+
+def _in_tiles(members: DataFrame, cells: DataFrame) -> DataFrame:
+    """members (cell, key, root) as (key, root, a, b) for ``_compared``: every pair of members whose roots differ meets.
+
+    The heaviest root's members, already known to be one group, are dealt into na tiles and the others into nr. Cell
+    (r, t) holds tile r of the others with tile t of the heaviest root, cell (r, na + q) the tiles r < q of the others.
+    """
+    long = lambda c: F.lit(c).cast("long")
+    m = members.join(cells.hint("merge"), "cell").withColumn("of_big", F.col("root") == F.col("big"))
+    t = F.pmod(F.xxhash64("key"), F.when(F.col("of_big"), F.col("na")).otherwise(F.col("nr")))
+    m = m.withColumn("t", t)
+    big = m.filter("of_big").withColumn("a", F.explode(F.sequence(long(0), F.col("nr") - 1))).withColumn("b", F.col("t"))
+    rest = m.filter("not of_big").withColumn("o", F.explode(F.sequence(long(0), F.col("na") + F.col("nr") - 1))).withColumn("q", F.col("o") - F.col("na"))
+    rest = rest.filter("q < 0 or q <> t").withColumn("a", F.when(F.col("q") < 0, F.col("t")).otherwise(F.least("t", "q")))
+    rest = rest.withColumn("b", F.when(F.col("q") < 0, F.col("o")).otherwise(F.col("na") + F.greatest("t", "q")))
+    return big.select("key", F.col("cell").alias("root"), "a", "b").union(rest.select("key", F.col("cell").alias("root"), "a", "b"))
+
+
+def _block_links(texts: DataFrame, sets: DataFrame, width: int, tile: int) -> DataFrame:
+    """Edges (u, v) of sets (key, n, blocks, row) with the components of all similar pairs that share a block.
+
+    First each text is held against the least one of each of its blocks. What is left are blocks whose members are then
+    of several components. Such blocks that hang together are compared in one go where that moves fewer shingles, and
+    each on its own where chains of blocks that are equal by chance have made the whole larger than its parts.
+    """
+    met = stage(sets.select("key", "n", F.explode("blocks").alias("block")))
+    least = stage(met.groupBy("block").agg(F.min("key").alias("u"), F.count(F.lit(1)).alias("c")).filter("c > 1"))
+    shared = stage(met.join(least.hint("merge"), "block"))
+    near = _to_pivots(texts, sets, shared, width, tile)
+
+    roots = stage(components(near))
+    rooted = shared.filter("c > 2").join(roots.hint("merge"), F.col("key") == F.col("node"), "left")
+    rooted = stage(rooted.select("block", "u", "key", "n", F.coalesce("root", "key").alias("root")))
+    own = F.xxhash64("key")
+    state = [(F.min("root") != F.max("root")).alias("mixed"), F.count(F.lit(1)).alias("c"), F.bit_xor(own).alias("x"), F.sum(own.cast("decimal(38,0)")).alias("y")]
+    mixed = rooted.groupBy("block").agg(*state).filter("mixed")
+    mixed = stage(mixed.groupBy("c", "x", "y").agg(F.min("block").alias("block")).select("block"))  # the same members are compared once
+    left = stage(rooted.join(mixed.hint("merge"), "block"))
+    if left.isEmpty():
+        return near
+
+    whole = stage(components(left.filter("key <> u").select("u", F.col("key").alias("v"))))
+    left = stage(left.join(whole.select(F.col("node").alias("key"), F.col("root").alias("group")).hint("merge"), "key"))
+    members = stage(left.select("group", "key", "n", "root").distinct())
+    by_block = stage(_weighed(left, "block", tile, "group"))
+    by_group = stage(_weighed(members, "group", tile))
+    parts = by_block.groupBy("group").agg(F.sum("work").alias("parts"))
+    apart = stage(by_group.join(parts.hint("merge"), "group").select("group", (F.col("work") > F.col("parts")).alias("apart")))
+    plan = ["cell", "big", "na", "nr"]
+    cells_of = lambda weighed, cell, which: weighed.join(apart.filter(which).hint("merge"), "group").withColumn("cell", F.col(cell)).select(*plan)
+    at_once = _in_tiles(members.withColumn("cell", F.col("group")).select("cell", "key", "root"), stage(cells_of(by_group, "group", "not apart")))
+    singly = _in_tiles(left.withColumn("cell", F.col("block")).select("cell", "key", "root"), stage(cells_of(by_block, "block", "apart")))
+    dealt = stage(at_once.union(singly).join(sets.select("key", "row"), "key"))
+    return near.union(stage(_compared(texts.join(dealt, "row"), width)))
+
+
 def _staying(numbered: DataFrame, width: int, tile: int) -> DataFrame:
     """numbered (row, id, text) to the rows that stay."""
     marked = stage(_sketches(numbered, width))
     best = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "row")
     sets = stage(marked.groupBy("key").agg(F.min(best).alias("best"), F.first("n").alias("n"), F.first("blocks").alias("blocks")))
-
-    # staged before the join, so that the rows of a hot block can be split
-    met = sets.select("key", F.explode("blocks").alias("block"))
-    shared = stage(met.groupBy("block").agg(F.min("key").alias("u"), F.max("key").alias("v")).filter("u < v").select("block", "u"))
-    near = components(met.join(shared.hint("merge"), "block").filter("key <> u").select("u", F.col("key").alias("v")))
-
-    held = stage(sets.join(near, sets["key"] == near["node"]).select("key", "root", "n", F.col("best.row").alias("row")))
-    tiles = stage(held.groupBy("root").agg(F.ceil(F.sum("n") / tile).alias("tiles")))
-    dealt = held.join(tiles.hint("merge"), "root").withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    dealt = dealt.select("row", "key", "root", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"))
-    linked = components(_compared(numbered.select("row", "text").join(dealt, "row"), width))
+    rows = sets.select("key", "n", "blocks", F.col("best.row").alias("row"))
+    linked = stage(components(_block_links(numbered.select("row", "text"), rows, width, tile)))
 
     rooted = sets.join(linked, sets["key"] == linked["node"], "left").select("best", F.coalesce("root", "key").alias("root"))
     return rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.row")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", width: int = 5, tile: int = 1_000_000) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", width: int = 5, tile: int = 250_000) -> DataFrame:
     """One row of each group of near copies, and all rows without any."""
     row = fresh(docs, "row")
     numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mapweave.llm import simhash
@@ -118,3 +119,35 @@ def test_hot_blocks_are_dealt_out(spark):
     for tile in (200, 1_000_000):
         got = sorted(r.doc_id for r in simhash.drop_near_copies(docs, tile=tile).collect())
         assert got == sorted(rows[i][0] for i in stay(rows)) and len(got) == 41
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_chains_of_shared_blocks(spark, monkeypatch, apart):
+    """Texts in a chain, each line in three of them, but none similar: at once, and block by block where the whole weighs more."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    lines = [" ".join(word() for _ in range(30)) for _ in range(42)]
+    texts = [" ".join(lines[i : i + 3] + [word() for _ in range(12)]) for i in range(40)]
+    rows = list(enumerate(texts + [t + " end" for t in texts[:5]]))
+    seen = []
+    tiles, weighed = simhash._in_tiles, simhash._weighed
+    monkeypatch.setattr(simhash, "_in_tiles", lambda members, cells: seen.append(cells.count()) or tiles(members, cells))
+    heavier = lambda members, cell, *more: weighed(members, cell, *more).withColumn("work", F.col("work") * (1000 if cell == "group" else 1))
+    if apart:
+        monkeypatch.setattr(simhash, "_weighed", heavier)
+    got = sorted(r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), tile=300).collect())
+    assert got == sorted(rows[i][0] for i in stay(rows)) == list(range(40))
+    at_once, singly = seen
+    assert (at_once == 0 < singly) if apart else (singly == 0 < at_once)
+
+
+def test_members_of_different_roots_meet_in_a_cell(spark):
+    rng = np.random.default_rng(12)
+    rows = [(c, c * 1000 + i, int(rng.choice([7, 7, 7, *range(20, 30)])) if c else i % 2, int(rng.integers(1, 40))) for c in range(4) for i in range(60)]
+    members = spark.createDataFrame(rows, "cell long, key long, root long, n long")
+    cells = {}
+    for r in simhash._in_tiles(members.select("cell", "key", "root"), simhash._weighed(members, "cell", 100)).collect():
+        cells.setdefault((r.root, r.a, r.b), []).append(r.key)
+    met = {(u, v) for x in cells.values() for u in x for v in x}
+    assert all((x[1], y[1]) in met for x in rows for y in rows if x[0] == y[0] and x[2] != y[2])
+    assert max(map(len, cells.values())) < 40

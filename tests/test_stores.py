@@ -200,3 +200,21 @@ def test_export_reads_back(spark, tmp_path):
         source.export(m, f"{tmp_path}/{kind}", kind)
         got = content(source.read_export(spark, f"{tmp_path}/{kind}", kind))
         assert (got["u1"].comment, got["u1"].match_string, got["u1"].confidence, got["u2"].comment, got["u2"].match_string) == ('say "a",\tb\nc ', "x, , y", "0.5", " ", None)
+
+
+def test_puts_do_not_move_whole_rows(spark):
+    kept, was = store.create(spark, MAPPING, buckets=4), store.FEW_ROWS
+    rows = drawn(150, 9)
+    store.FEW_ROWS = 100  # a put of many rows
+    try:
+        kept.put(made(spark, rows))
+        changed = [{**r, "comment": "new"} for r in rows[:20]]
+        signed = kept.put(made(spark, changed + rows[20:40]), made(spark, rows[100:]).select("uuid"))
+        assert signed.count() == 20 * 2 + 50
+        want = {r["uuid"]: r for r in rows[:100]} | {r["uuid"]: r for r in changed}
+        assert content(kept.read()) == content(made(spark, list(want.values()))) and kept.read().count() == 100
+    finally:
+        store.FEW_ROWS = was
+    places = kept._places(kept._bucketed(made(spark, rows[:9]).select("uuid")))
+    plan = kept._at(kept._stored(), places, False)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(uuid" not in plan.split("BroadcastExchange")[0]

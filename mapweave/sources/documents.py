@@ -9,6 +9,9 @@ numbers; lists may hold nulls. Fields that a mapping doesn't have are left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,13 +49,27 @@ def _fits(value: Column, kind: T.DataType) -> Column:
     return F.coalesce(value.isNull() | F.is_variant_null(value) | F.rlike(F.schema_of_variant(value), F.lit(f"^{_FIT[type(kind)]}$")), F.lit(True))
 
 
-def write_documents(mappings: DataFrame, path: str, size: int = 100) -> None:
-    """Page documents of at most size mappings each, a line each; absent fields are left out."""
-    numbered = mappings.select(F.struct(*mappings.columns).alias("m"), F.floor(F.monotonically_increasing_id() / size).alias("page"))
-    documents(numbered).select("value").write.text(path)
+def write_documents(mappings: DataFrame, path: str, size: int = 100, each: bool = False) -> None:
+    """Page documents of at most size mappings each, a line each (or with each, a file each), gzipped; absent fields are left out.
+
+    A document takes rows that follow each other in a partition, so nothing is shuffled.
+    """
+    out = documents(mappings, size).write.option("compression", "gzip")
+    (out.option("maxRecordsPerFile", 1) if each else out).text(path)
+
+
+def documents(mappings: DataFrame, size: int) -> DataFrame:
+    """(value): documents of size mappings, the last one of a partition with what is left."""
 
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        made = lambda texts: pa.RecordBatch.from_pydict({"value": ['{"data":[' + ",".join(texts) + "]}"]})
+        for batch in batches:
+            held += batch.column(0).to_pylist()
+            while len(held) >= size:
+                yield made(held[:size])
+                held = held[size:]
+        if held:
+            yield made(held)
 
-def documents(paged: DataFrame) -> DataFrame:
-    """(page, value) of (page, m): a document for each page, which holds its mappings."""
-    held = paged.groupBy("page").agg(F.collect_list("m").alias("data"))
-    return held.select("page", F.to_json(F.struct("data")).alias("value"))
+    return mappings.select(F.to_json(F.struct(*mappings.columns)).alias("value")).mapInArrow(pages, "value string")

@@ -1,4 +1,4 @@
-"""spark.read.format("mapping_pages"): mappings from numbered page documents, a partition for each page.
+"""spark.read.format("mapping_pages"): mappings from numbered page documents, a partition for each page (up to 2,000).
 
 Options: ``path``, a folder that all workers can open, whose files are the pages; or ``url``, an address with {page} in
 it (from 1 on) whose first page says how many there are (pagination.total_pages); ``query`` says whether search fields
@@ -9,6 +9,7 @@ can't be read, or that is no page document, fails the job and says which.
 
 from __future__ import annotations
 
+import gzip
 import json
 import os
 import urllib.error
@@ -28,11 +29,13 @@ from mapweave.schema import MAPPING
 #: Fields whose conditions of equality the reader takes.
 PUSHED = ("uuid", "subject_id", "subject_id_curie", "predicate_id", "predicate_id_curie", "object_id", "object_id_curie", "mapping_provider")
 FORMAT = "mapping_pages"
+#: Pages beyond so many share partitions.
+MOST_PARTITIONS = 2_000
 
 
 @dataclass
 class Page(InputPartition):
-    address: str
+    addresses: list[str]
     fields: dict[str, list[str]]
 
 
@@ -45,6 +48,8 @@ def fetch(address: str) -> dict:
         else:
             with open(address, "rb") as f:
                 text = f.read()
+            if address.endswith(".gz"):
+                text = gzip.decompress(text)
     except urllib.error.HTTPError as e:
         raise OSError(f"Failure loading {address} with status {e.code}") from e
     except OSError as e:
@@ -77,17 +82,23 @@ class PageReader(DataSourceReader):
             if "://" in folder:
                 raise ValueError(f"{path} is no folder that a worker can open; give an url")
             files = sorted(os.path.join(d, n) for d, _, names in os.walk(folder) for n in names if not n.startswith((".", "_")))
-            return [Page(f, self.fields) for f in files]
+            return self._dealt(files)
         url = self.options["url"]
         sent = "".join(f"&{k}={urllib.parse.quote(v)}" for k, values in self.fields.items() for v in values) if self.options.get("query", "false") == "true" else ""
         at = lambda n: url.replace("{page}", str(n)) + sent
-        return [Page(at(n), self.fields) for n in range(1, int(fetch(at(1))["pagination"]["total_pages"]) + 1)]
+        return self._dealt([at(n) for n in range(1, int(fetch(at(1))["pagination"]["total_pages"]) + 1)])
+
+    def _dealt(self, addresses: list[str]) -> list[Page]:
+        """A partition for each page, for several where there are more than MOST_PARTITIONS."""
+        several = -(-len(addresses) // MOST_PARTITIONS) or 1
+        return [Page(addresses[i : i + several], self.fields) for i in range(0, len(addresses), several)]
 
     def read(self, partition: Page | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # a folder without pages
             return
-        rows = [r for r in fetch(partition.address)["data"] if all(r.get(k) in values for k, values in partition.fields.items())]
-        yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in self.schema} for r in rows], to_arrow_schema(self.schema))
+        for address in partition.addresses:
+            rows = [r for r in fetch(address)["data"] if all(r.get(k) in values for k, values in partition.fields.items())]
+            yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in self.schema} for r in rows], to_arrow_schema(self.schema))
 
 
 class MappingPages(DataSource):

@@ -218,3 +218,20 @@ def test_puts_do_not_move_whole_rows(spark):
     places = kept._places(kept._bucketed(made(spark, rows[:9]).select("uuid")))
     plan = kept._at(kept._stored(), places, False)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(uuid" not in plan.split("BroadcastExchange")[0]
+
+
+def test_documents_take_rows_as_they_lie(spark, tmp_path):
+    m = made(spark, drawn(95, 3)).repartition(2)
+    documents.write_documents(m, f"{tmp_path}/d", 10)
+    assert "Exchange" not in documents.documents(made(spark, drawn(95, 3)), 10)._jdf.queryExecution().executedPlan().toString()
+    assert all(f.name.endswith(".gz") for f in (tmp_path / "d").glob("part-*"))
+    documents.write_documents(m, f"{tmp_path}/e", 10, each=True)
+    paged.register(spark)
+    read = spark.read.format("mapping_pages").option("path", f"{tmp_path}/e").load()
+    assert 10 <= read.rdd.getNumPartitions() <= 12 and content(read) == content(m)
+
+
+def test_many_pages_share_partitions(spark):
+    reader = paged.PageReader({"path": "x"}, MAPPING)
+    dealt = reader._dealt([str(i) for i in range(4_001)])
+    assert len(dealt) <= paged.MOST_PARTITIONS and [a for p in dealt for a in p.addresses] == [str(i) for i in range(4_001)]

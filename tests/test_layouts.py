@@ -146,3 +146,10 @@ def test_folders_are_cleared(spark):
     assert kept.count() == 3 and clear(spark) > 0
     with pytest.raises(Exception, match="does not exist|NOT_EXIST"):
         kept.collect()
+
+
+def test_exact_statistics_of_many_entities(spark):
+    many = spark.range(200_000).select(F.concat(F.lit("A:"), F.col("id").cast("string")).alias("subject_id_curie"), F.lit("").alias("object_id_curie"), F.lit("p").alias("mapping_provider"), F.lit(None).cast("string").alias("mapping_set_id"), (F.col("id") % 3).cast("string").alias("mapping_date"))
+    days = staged(sketches.sets(many))
+    assert tuple(sketches.exact_stats(days).first()) == (200_000, 0, 1, 200_000)
+    assert tuple(sketches.exact_stats(days.filter("mapping_date = '1'")).first()) == (66_667, 0, 1, 66_667)

@@ -114,7 +114,8 @@ def by_triple(mappings: DataFrame) -> DataFrame:
 def pairs(selected: DataFrame, mappings: DataFrame) -> DataFrame:
     """(uuid, other_uuid): each of the selected mappings with those of its triple under another justification.
 
-    All pairs of a triple, so it is for selections such as a page of results; links() says the same of a whole table.
+    All pairs of a triple; links() gives their numbers only. Of a table with itself, both sides are the same five columns,
+    so they are shuffled once and read twice, and a hot triple is split in the join.
     """
     keys = selected.select("uuid", "mapping_justification", *triple())
     o = mappings.select(F.col("uuid").alias("other_uuid"), F.col("mapping_justification").alias("_j"), *triple())

@@ -281,3 +281,11 @@ def test_pager_of_each_place(spark):
     got = paging.page_links(spark.createDataFrame([(p, n) for p, n in want], "p long, n long")).collect()
     assert {(r.p, r.n): " ".join(r.links) for r in got} == want
     assert all(r.previous_disabled == (r.p == 0) and r.next_disabled == (r.p == r.n - 1) for r in got)
+
+
+def test_all_pairs_shuffle_the_table_once(spark):
+    m = spark.createDataFrame([(f"u{i}", f"A:{i % 3}", "r:1", "B:1", f"j{i % 2}") for i in range(12)], "uuid string, subject_id_curie string, predicate_id_curie string, object_id_curie string, mapping_justification string")
+    m = source.conform(m)
+    pairs = justifications.pairs(m, m)
+    assert {tuple(r) for r in pairs.collect()} == {(f"u{i}", f"u{j}") for i in range(12) for j in range(12) if i % 3 == j % 3 and i % 2 != j % 2}
+    assert pairs.columns == ["uuid", "other_uuid"] and pairs.count() == sum(r.n_others for r in justifications.links(m).collect())

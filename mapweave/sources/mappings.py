@@ -11,6 +11,10 @@ from mapweave.schema import MAPPING, MAPPING_SET
 from mapweave.sources.folders import new_folder
 
 
+#: Rows of a file of an export at most.
+FILE_ROWS = 200_000
+
+
 def conform(df: DataFrame, schema: T.StructType = MAPPING) -> DataFrame:
     """df's columns in the schema's order and types; missing ones are null, others are left out."""
     have = set(df.columns)
@@ -51,8 +55,11 @@ def flat(mappings: DataFrame) -> DataFrame:
 
 
 def export(mappings: DataFrame, path: str, kind: str = "csv", mode: str = "errorifexists") -> None:
-    """CSV or TSV with a header. Fields with separators, quotes or line ends are quoted, quotes in them are doubled; spaces stay."""
-    out = flat(mappings).write.mode(mode).option("header", True).option("sep", {"csv": ",", "tsv": "\t"}[kind]).option("escape", '"')
+    """CSV or TSV with a header. Fields with separators, quotes or line ends are quoted, quotes in them are doubled; spaces stay.
+
+    Files have at most FILE_ROWS rows, as a file with line ends in its fields can't be split and is read by one task.
+    """
+    out = flat(mappings).write.mode(mode).option("maxRecordsPerFile", FILE_ROWS).option("header", True).option("sep", {"csv": ",", "tsv": "\t"}[kind]).option("escape", '"')
     out.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 

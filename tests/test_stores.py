@@ -235,3 +235,10 @@ def test_many_pages_share_partitions(spark):
     reader = paged.PageReader({"path": "x"}, MAPPING)
     dealt = reader._dealt([str(i) for i in range(4_001)])
     assert len(dealt) <= paged.MOST_PARTITIONS and [a for p in dealt for a in p.addresses] == [str(i) for i in range(4_001)]
+
+
+def test_large_exports_have_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source, "FILE_ROWS", 10)
+    m = made(spark, drawn(95, 3)).coalesce(1)
+    source.export(m, f"{tmp_path}/csv")
+    assert len(list((tmp_path / "csv").glob("part-*"))) == 10 and source.read_export(spark, f"{tmp_path}/csv").count() == 95

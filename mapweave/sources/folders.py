@@ -35,6 +35,13 @@ def staged(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that new_folder has named and nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _MADE[spark.sparkContext.applicationId].remove(path)
+
+
 def clear(spark: SparkSession) -> int:
     """Delete what new_folder has named for this application so far, when results have been read or written; how many there were."""
     paths, jvm = _MADE.pop(spark.sparkContext.applicationId, []), spark.sparkContext._jvm

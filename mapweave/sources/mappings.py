@@ -8,11 +8,11 @@ from pyspark.sql import types as T
 
 from mapweave.functions import text as tx
 from mapweave.schema import MAPPING, MAPPING_SET
-from mapweave.sources.folders import new_folder
+from mapweave.sources.folders import drop, new_folder
 
 
-#: Rows of a file of an export at most.
-FILE_ROWS = 200_000
+#: Rows of a file of an export, rows of an unsorted file and bytes of what one task sorts, at most.
+FILE_ROWS, SORTED_ROWS, PART_BYTES = 200_000, 500_000, str(16 << 20)
 
 
 def conform(df: DataFrame, schema: T.StructType = MAPPING) -> DataFrame:
@@ -39,8 +39,20 @@ def decode_page(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_mappings(mappings: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Parquet, sorted by subject within files so that lookups skip row groups."""
-    conform(mappings).sortWithinPartitions("subject_id_curie", "uuid").write.mode(mode).parquet(path)
+    """Parquet, sorted by subject within files so that lookups skip row groups.
+
+    The rows are written as they come first and sorted from there in small parts: a partition of whole rows, which Spark
+    sizes by the narrower rows that they are made of, would spill while it is sorted.
+    """
+    spark, most = mappings.sparkSession, "spark.sql.files.maxPartitionBytes"
+    first, was = new_folder(spark, "unsorted"), spark.conf.get(most)
+    conform(mappings).write.option("maxRecordsPerFile", SORTED_ROWS).parquet(first)
+    try:
+        spark.conf.set(most, PART_BYTES)
+        spark.read.schema(MAPPING).parquet(first).sortWithinPartitions("subject_id_curie", "uuid").write.mode(mode).parquet(path)
+    finally:
+        spark.conf.set(most, was)
+    drop(spark, first)
 
 
 def write_edges(mappings: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -23,6 +23,8 @@ from mapweave.sources.folders import new_folder, staged
 
 #: Starts go to the driver's plan as literals, so their number is bounded.
 MOST_STARTS = 100_000
+#: Edges of a bucket where no number of buckets is given.
+BUCKET_ROWS = 2_000_000
 
 
 def neighbours_many(mappings: DataFrame | None, starts: Iterable[str], hops: int = 1, links: DataFrame | None = None) -> DataFrame:
@@ -61,12 +63,13 @@ def _present(bits: DataFrame, mappings: DataFrame | None, links: DataFrame | Non
     return ids.join(F.broadcast(bits), "entity").distinct()
 
 
-def write_bucketed_edges(mappings: DataFrame, buckets: int = 64, name: str | None = None) -> str:
+def write_bucketed_edges(mappings: DataFrame, buckets: int | None = None, name: str | None = None) -> str:
     """The table of write_edges, bucketed and sorted by entity; its name. Its files are in a new shared folder.
 
     Joins and aggregations by entity take the buckets as they lie: only the other side moves. Files are one a bucket,
-    so take as many buckets as tasks are to read the table.
+    so take as many buckets as tasks are to read the table; without a number, one for every BUCKET_ROWS edges, 16 at least.
     """
+    buckets = buckets or max(16, -(-2 * mappings.count() // BUCKET_ROWS))
     name = name or f"edges_{uuid.uuid4().hex}"
     side = lambda a, b, s: F.struct(F.col(f"{a}_id_curie").alias("entity"), F.col(f"{b}_id_curie").alias("other"), F.lit(s).alias("side"))
     edges = mappings.select("uuid", F.inline(F.array(side("subject", "object", "subject"), side("object", "subject", "object")))).filter("entity <> ''")

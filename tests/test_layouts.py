@@ -153,3 +153,10 @@ def test_exact_statistics_of_many_entities(spark):
     days = staged(sketches.sets(many))
     assert tuple(sketches.exact_stats(days).first()) == (200_000, 0, 1, 200_000)
     assert tuple(sketches.exact_stats(days.filter("mapping_date = '1'")).first()) == (66_667, 0, 1, 66_667)
+
+
+def test_buckets_by_the_number_of_edges(spark, monkeypatch):
+    monkeypatch.setattr(reach, "BUCKET_ROWS", 100)
+    rows = spark.range(1_000).select(F.col("id").cast("string").alias("uuid"), F.concat(F.lit("A:"), F.col("id").cast("string")).alias("subject_id_curie"), F.lit("B:1").alias("object_id_curie"))
+    table = spark.table(reach.write_bucketed_edges(rows))
+    assert table.count() == 2_000 and len(table.inputFiles()) > 16

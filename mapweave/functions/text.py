@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,14 +136,48 @@ def to_query(fields: dict[str, Column]) -> Column:
 
 
 def form_decode(col: Column) -> Column:
-    """Undo form_encode; percent signs that no two hexadecimal digits follow stay as they are."""
-    whole = F.regexp_replace(col, "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.coalesce(F.try_url_decode(whole), col)
+    """Undo form_encode; percent signs that no two hexadecimal digits follow stay as they are. Only text with escapes is decoded."""
+    whole = F.when(F.rlike(col, F.lit("%(?![0-9A-Fa-f]{2})")), F.regexp_replace(col, "%(?![0-9A-Fa-f]{2})", "%25")).otherwise(col)
+    escaped = F.contains(col, F.lit("%")) | F.contains(col, F.lit("+"))
+    return F.when(escaped, F.coalesce(F.try_url_decode(whole), col)).otherwise(col)
 
 
-def from_query(text: Column, name: str) -> Column:
-    """A field of a request's query, the first of repeated ones; null if it isn't there. A leading question mark is passed over."""
-    pairs = F.split(F.regexp_replace(text, r"\A\?", ""), "&")
-    found = F.filter(pairs, lambda p: (p != "") & (form_decode(F.substring_index(p, "=", 1)) == name))
+def _body(text: Column) -> Column:
+    return F.concat(F.lit("&"), F.when(F.startswith(text, F.lit("?")), F.substr(text, F.lit(2))).otherwise(text), F.lit("&"))
+
+
+def _escaped(body: Column) -> Column:
+    """Whether a name in a request has escapes."""
+    return F.rlike(body, F.lit("&[^=&]*[%+]"))
+
+
+def _places(body: Column, name: str) -> list[Column]:
+    """Where a field first stands with a value and without one, 0 for nowhere."""
+    return [F.instr(body, f"&{name}="), F.instr(body, f"&{name}&")]
+
+
+def _field(body: Column, escaped: Column, at: Column, bare: Column, name: str) -> Column:
+    found = F.filter(F.split(body, "&"), lambda p: (p != "") & (form_decode(F.substring_index(p, "=", 1)) == name))
     first = F.get(found, F.lit(0))
-    return F.when(first.isNotNull(), F.when(F.contains(first, F.lit("=")), form_decode(F.substr(first, F.instr(first, "=") + 1))).otherwise(""))
+    every = F.when(first.isNotNull(), F.when(F.contains(first, F.lit("=")), form_decode(F.substr(first, F.instr(first, "=") + 1))).otherwise(""))
+    if not name or set(name) & set("&="):
+        return every
+    value = form_decode(F.substring_index(F.substr(body, at + len(f"&{name}=")), "&", 1))
+    return F.when(escaped, every).when((at > 0) & ((bare == 0) | (at < bare)), value).when(bare > 0, "")
+
+
+def from_query(text: Column, name: str) -> Column:
+    """A field of a request's query, the first of repeated ones; null if it isn't there. A leading question mark is passed over.
+
+    The field is found by its place in the text; pairs are gone through one by one only where names have escapes.
+    """
+    body = _body(text)
+    return _field(body, _escaped(body), *_places(body, name), name)
+
+
+def from_queries(rows: DataFrame, text: Column, names: list[str], keep: list[str]) -> DataFrame:
+    """rows' columns keep and from_query of each of these names, with one search of the text for each place."""
+    bodies = rows.select(*keep, _body(text).alias("_body"))
+    places = [c.alias(f"_{kind}{i}") for i, k in enumerate(names) for kind, c in zip(("at", "bare"), _places(F.col("_body"), k), strict=True)]
+    found = bodies.select(*keep, "_body", _escaped(F.col("_body")).alias("_escaped"), *places)
+    return found.select(*keep, *(_field(F.col("_body"), F.col("_escaped"), F.col(f"_at{i}"), F.col(f"_bare{i}"), k).alias(k) for i, k in enumerate(names)))

@@ -69,8 +69,8 @@ def requests(rows: DataFrame) -> DataFrame:
 
 def read_requests(texts: DataFrame) -> DataFrame:
     """The fields of each request's text, under drawer()'s names; confidence as a number, 0 for none."""
-    field = lambda k: tx.or_empty(tx.from_query(F.col("query"), k))
-    return texts.select("uuid", *((tx.to_number(field(k)) if c == "confidence" else field(k)).alias(c) for k, c in REQUEST.items()))
+    field = lambda k: tx.or_empty(F.col(k))
+    return tx.from_queries(texts, F.col("query"), list(REQUEST), ["uuid"]).select("uuid", *((tx.to_number(field(k)) if c == "confidence" else field(k)).alias(c) for k, c in REQUEST.items()))
 
 
 def drawer_page(mappings: DataFrame, request: Mapping[str, str | None], limit: int = 25, number: int = 1) -> DataFrame:

@@ -283,6 +283,19 @@ def test_pager_of_each_place(spark):
     assert all(r.previous_disabled == (r.p == 0) and r.next_disabled == (r.p == r.n - 1) for r in got)
 
 
+def test_fields_of_requests_are_found_by_place(spark):
+    texts = ["?a=1&b=x%20y+z&a=2", "b&a=", "a&a=1", "a=1&a", "%61=3&a=1", "ab=1&ba=2", "&&=x&a==&", "?", None, "a=%zz+100%", "b=%41&a=?a=5"]
+    fields = [F.struct(*(tx.from_query(F.col("t"), k).alias(n) for k, n in (("a", "a"), ("b", "b"), ("", "none"))))]
+    got = [tuple(r[0]) for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(*fields).collect()]
+    nothing = (None, None, None)
+    assert got == [("1", "x y z", None), ("", "", None), ("", None, None), ("1", None, None), ("3", None, None), nothing, ("=", None, "x"), nothing, nothing, ("%zz 100%", None, None), ("?a=5", "A", None)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    every = tx.from_queries(rows, F.col("t"), ["a", "b", ""], [])
+    assert [tuple(r) for r in every.collect()] == got
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("instr(_body") == 4  # each place of a and b is searched for once
+
+
 def test_all_pairs_shuffle_the_table_once(spark):
     m = spark.createDataFrame([(f"u{i}", f"A:{i % 3}", "r:1", "B:1", f"j{i % 2}") for i in range(12)], "uuid string, subject_id_curie string, predicate_id_curie string, object_id_curie string, mapping_justification string")
     m = source.conform(m)

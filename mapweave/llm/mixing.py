@@ -25,13 +25,15 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import fresh, stage, table
 
 DIMS = ("source", "lang", "topic")
+#: A dimension with so many values at most has them looked up in a map of the plan: no join, so one small job a step.
+FEW = 1_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -73,7 +75,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
         whole = t.agg(F.sum("t")).first()[0] or 1.0
         known = now.select(F.col(d).alias("k")).distinct()
         goals[d] = _kept(known.join(t.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k")), "left").select("k", (F.coalesce("t", F.lit(0.0)) / F.lit(whole)).alias("t")), small[d])
-    factors: dict[str, DataFrame] = {}
+    factors: dict[str, Values] = {}
     worst: list[float] = []
     for _ in range(rounds):
         offs = []
@@ -83,8 +85,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
             found = _beside(found, d, factors[d], "f", small[d]) if d in factors else found.withColumn("f", F.lit(1.0))
             new = F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(0.0)
             step = _kept(found.select(F.col(d).alias("k"), new.alias("f"), F.abs(F.col("s") * F.col("f") - F.col("t")).alias("off")), small[d])
-            offs.append(step.agg(F.max("off")).first()[0])
-            factors[d] = step.select("k", "f")
+            offs.append(max(r.off for r in step) if isinstance(step, list) else step.agg(F.max("off")).first()[0])
+            factors[d] = step
         worst.append(max(offs))
         if worst[-1] <= tolerance:  # no marginal was off when its turn came
             break
@@ -95,22 +97,33 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
     return weighted, left
 
 
-def _kept(values: DataFrame, small: bool) -> DataFrame:
-    """A table of the values of one dimension, worked out once: as a literal of the plan where they are few, else in the shared folder."""
+#: A value of each value k of a dimension: rows where these are few, else a table.
+Values = list[Row] | DataFrame
+
+
+def _kept(values: DataFrame, small: bool) -> Values:
+    """A table of the values of one dimension, worked out once: in the plan where they are few, else in the shared folder."""
     if not small:
         return stage(values)
-    rows = F.lit(json.dumps([r.asDict() for r in values.collect()], default=str))
-    return values.sparkSession.range(1).select(F.inline(F.from_json(rows, T.ArrayType(values.schema))))
+    rows = values.collect()
+    if len(rows) <= FEW and isinstance(values.schema["k"].dataType, T.StringType):
+        return rows
+    made = F.lit(json.dumps([r.asDict() for r in rows], default=str))
+    return values.sparkSession.range(1).select(F.inline(F.from_json(made, T.ArrayType(values.schema))))
 
 
-def _beside(rows: DataFrame, d: str, values: DataFrame, name: str, small: bool) -> DataFrame:
+def _beside(rows: DataFrame, d: str, values: Values, name: str, small: bool) -> DataFrame:
     """rows with the value of their d, 0 where it has none."""
+    if isinstance(values, list):
+        of = {"" if r.k is None else f"={r.k}": r[name] for r in values}
+        key = F.coalesce(F.concat(F.lit("="), d), F.lit(""))
+        return rows.withColumn(name, F.coalesce(F.try_element_at(F.from_json(F.lit(json.dumps(of)), "map<string, double>"), key), F.lit(0.0)))
     v = values.select(F.col("k").alias("_k"), F.col(name).alias("_v"))
     v = F.broadcast(v) if small else v.hint("merge")
     return rows.join(v, F.col(d).eqNullSafe(F.col("_k")), "left").select(*rows.columns, F.coalesce("_v", F.lit(0.0)).alias(name))
 
 
-def _weighted(cells: DataFrame, factors: dict[str, DataFrame], small: dict[str, bool]) -> DataFrame:
+def _weighted(cells: DataFrame, factors: dict[str, Values], small: dict[str, bool]) -> DataFrame:
     """cells with w times the factors of their values."""
     for d, f in factors.items():
         cells = _beside(cells, d, f, "f", small[d]).withColumn("w", F.col("w") * F.col("f")).drop("f")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, in_batches, named, sliced, stage, table, texts_of
+from .common import fresh, in_batches, named, sliced, stage, table, texts_of, with_numbers
 from .components import components
 
 
@@ -386,6 +386,11 @@ def _starred(cells: DataFrame, width: int) -> DataFrame:
     return dealt.select("u", "s", "key", "text").mapInArrow(run, "u long, v long")
 
 
+def _with_texts(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """cells (row and more) with their rows' texts; only those texts are moved."""
+    return with_numbers(texts, "row", cells.select("row")).join(cells.hint("merge"), "row")
+
+
 def _to_pivots(texts: DataFrame, sets: DataFrame, shared: DataFrame, width: int, tile: int) -> DataFrame:
     """Edges of shared (block, u, key, n): each text against the least one, u, of each of its blocks, every pair once."""
     pairs = stage(shared.filter("key <> u").select("u", "key", "n").distinct())
@@ -393,7 +398,7 @@ def _to_pivots(texts: DataFrame, sets: DataFrame, shared: DataFrame, width: int,
     others = pairs.join(tiles.hint("merge"), "u").select("u", F.pmod(F.xxhash64("key"), F.col("tiles")).alias("s"), "key")
     pivots = tiles.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("s"), F.col("u").alias("key"))
     cells = stage(others.union(pivots).join(sets.select("key", "row"), "key"))
-    return stage(_starred(texts.join(cells, "row"), width))
+    return stage(_starred(_with_texts(cells, texts), width))
 
 
 def _weighed(members: DataFrame, cell: str, tile: int, *more: str) -> DataFrame:
@@ -461,7 +466,7 @@ def _block_links(texts: DataFrame, sets: DataFrame, width: int, tile: int) -> Da
     at_once = _in_tiles(members.withColumn("cell", F.col("group")).select("cell", "key", "root"), stage(cells_of(by_group, "group", "not apart")))
     singly = _in_tiles(left.withColumn("cell", F.col("block")).select("cell", "key", "root"), stage(cells_of(by_block, "block", "apart")))
     dealt = stage(at_once.union(singly).join(sets.select("key", "row"), "key"))
-    return near.union(stage(_compared(texts.join(dealt, "row"), width)))
+    return near.union(stage(_compared(_with_texts(dealt, texts), width)))
 
 
 def _staying(numbered: DataFrame, width: int, tile: int) -> DataFrame:
@@ -481,8 +486,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", width: int = 5, ti
     row = fresh(docs, "row")
     numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))
     plain = numbered.select(F.col(row).alias("row"), named(id_col).alias("id"), "text")
-    stays = _staying(plain, width, tile).select(F.col("row").alias(row))
-    return numbered.join(stays, row, "left_semi").select(*map(named, docs.columns))
+    return with_numbers(numbered, row, _staying(plain, width, tile)).select(*map(named, docs.columns))
 
 
 # ---- the query

@@ -46,3 +46,13 @@ def test_expected_tokens_have_the_target_weights(spark, table):
     assert sum(r._mix.copies for r in rows) == pytest.approx(sum(r._mix.rate for r in rows), rel=0.05)
     taken = Counter(r.doc_id for r in mixing.sample(docs).collect())
     assert taken == Counter({r.doc_id: r._mix.copies for r in rows if r._mix.copies})
+
+
+@pytest.mark.parametrize("few", [1_000, 1])
+def test_few_values_are_looked_up_without_a_join(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW", few)
+    cells = spark.createDataFrame([("a", 1.0), (None, 2.0), ("", 3.0), ("=", 4.0), ("é\"'.`", 5.0), ("none", 6.0)], "source string, w double")
+    values = spark.createDataFrame([("a", 0.1), (None, 0.2), ("", 0.3), ("=", 1 / 3), ("é\"'.`", 1e-300)], "k string, f double")
+    found = mixing._beside(cells, "source", mixing._kept(values, True), "f", True)
+    assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) == (few == 1)
+    assert {r.source: r.f for r in found.collect()} == {"a": 0.1, None: 0.2, "": 0.3, "=": 1 / 3, "é\"'.`": 1e-300, "none": 0.0}

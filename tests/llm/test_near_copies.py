@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mapweave.llm import simhash
+from mapweave.llm import common, simhash
 
 
 def grams(text):
@@ -151,3 +151,26 @@ def test_members_of_different_roots_meet_in_a_cell(spark):
     met = {(u, v) for x in cells.values() for u in x for v in x}
     assert all((x[1], y[1]) in met for x in rows for y in rows if x[0] == y[0] and x[2] != y[2])
     assert max(map(len, cells.values())) < 40
+
+
+def test_texts_are_not_shuffled_to_tell_which_stay(spark):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(80))
+    rows = [(i, words(i % 30) + (" more" if i >= 30 else ""), f"b{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block string").repartition(3)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables larger than this, as they are at size
+    try:
+        left = simhash.drop_near_copies(docs)
+        assert "Exchange hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, left.collect())) == rows[:30]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+@pytest.mark.parametrize("most", [16_000, 0])
+def test_rows_by_number(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BLOCKS", most)
+    rows = common.stage(spark.range(0, 200_000, 1, 3).select(F.col("id").alias("bits"), F.monotonically_increasing_id().alias("row")))
+    some = rows.filter("bits % 7 = 0 or bits in (1, 32767, 32768, 32769, 199999)")
+    assert common.with_numbers(rows, "row", some.select("row")).exceptAll(some).isEmpty() and some.count() == common.with_numbers(rows, "row", some.select("row")).count()
+    assert common.with_numbers(rows, "row", some.select("row").limit(0)).isEmpty()

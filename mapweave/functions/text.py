@@ -181,3 +181,28 @@ def from_queries(rows: DataFrame, text: Column, names: list[str], keep: list[str
     places = [c.alias(f"_{kind}{i}") for i, k in enumerate(names) for kind, c in zip(("at", "bare"), _places(F.col("_body"), k), strict=True)]
     found = bodies.select(*keep, "_body", _escaped(F.col("_body")).alias("_escaped"), *places)
     return found.select(*keep, *(_field(F.col("_body"), F.col("_escaped"), F.col(f"_at{i}"), F.col(f"_bare{i}"), k).alias(k) for i, k in enumerate(names)))
+
+
+def packed(text: Column) -> Column:
+    """text as bytes that sort as it does, and that unpacked() turns back: 17 for 32 lower-case hex digits, which hashes have.
+
+    16 bytes for the digits and one between those of the texts just before (0) and after (2) them. Any other text takes
+    the place of the digits that it begins with, filled up so that it comes before or after all that go on with digits;
+    the text itself follows.
+    """
+    whole = F.unhex(text)
+    head = F.regexp_extract(text, r"\A[0-9a-f]{0,32}", 0)
+    n = F.length(head)
+    after = F.substr(text, n + 1, F.lit(1))
+    low = (n < 32) & (after < "0")
+    filled = F.when(low, F.rpad(head, 32, "0")).when((n < 32) & (after < "a"), F.rpad(F.concat(head, F.lit("9")), 32, "f")).otherwise(F.rpad(head, 32, "f"))
+    mark = lambda k: F.unhex(F.lit(f"0{k}"))
+    other = F.concat(F.unhex(filled), F.when(low, mark(0)).otherwise(mark(2)), text.cast("binary"))
+    return F.when((F.octet_length(text) == 32) & (F.lower(F.hex(whole)) == text), F.concat(whole, mark(1))).otherwise(other)
+
+
+def unpacked(data: Column) -> Column:
+    """The text that packed() has made data of."""
+    digits = F.lower(F.hex(F.substr(data, F.lit(1), F.lit(16))))
+    plain = F.substr(data, F.lit(17), F.lit(1)) == F.unhex(F.lit("01"))
+    return F.when(plain, digits).otherwise(F.substr(data, F.lit(18)).cast("string"))

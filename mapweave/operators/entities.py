@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mapweave.functions.text import packed, unpacked
 from mapweave.operators import paging
 from mapweave.operators.predicates import LIST_LIMIT, confidence_between, entity_in
 from mapweave.sources.folders import staged
@@ -26,17 +27,18 @@ def entity_views(mappings: DataFrame, limit: int = paging.TOP) -> DataFrame:
     """entity_view of every entity at once: entity, place, is_subject, is_object and the mapping's columns.
 
     Rows are ranked within each entity, and the limit goes below the shuffle: a task sends at most limit rows of an
-    entity, however many it has. A mapping with the entity on both sides comes once, with both flags.
+    entity, however many it has. A mapping with the entity on both sides comes once, with both flags. Through sort and
+    shuffle uuid goes packed, in half its bytes.
     """
     one = lambda e, s, o: F.struct(F.col(e).alias("entity"), s.alias("is_subject"), o.alias("is_object"))
     same, yes, no = F.col("subject_id_curie").eqNullSafe(F.col("object_id_curie")), F.lit(True), F.lit(False)
     first, second = one("subject_id_curie", yes, same), one("object_id_curie", no, yes)
     sides = F.filter(F.when(same, F.array(first)).otherwise(F.array(first, second)), lambda x: x["entity"] != "")
-    rows = mappings.filter(confidence_between()).select(F.inline(sides), *mappings.columns)
+    rows = mappings.filter(confidence_between()).withColumn("uuid", packed(F.col("uuid"))).select(F.inline(sides), *mappings.columns)
     of = Window.partitionBy("entity")
     kept = rows.withColumn("_rank", F.row_number().over(of.orderBy("uuid"))).filter(F.col("_rank") <= limit)
     placed = kept.withColumn("place", F.row_number().over(of.orderBy(F.desc("is_subject"), "uuid")))
-    return placed.select("entity", "place", "is_subject", "is_object", *mappings.columns)
+    return placed.withColumn("uuid", unpacked(F.col("uuid"))).select("entity", "place", "is_subject", "is_object", *mappings.columns)
 
 
 def entities(mappings: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 """Searches from many starts, bucketed edges, bitmap counts, views of all entities, deep pages, sketches."""
 
 import itertools
+import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mapweave.functions import text as tx
 from mapweave.operators import bitmaps, entities, facets, page_index, reach, sketches
 from mapweave.plans.search import EntitySearch
 from mapweave.sources import mappings as source
@@ -160,3 +163,26 @@ def test_buckets_by_the_number_of_edges(spark, monkeypatch):
     rows = spark.range(1_000).select(F.col("id").cast("string").alias("uuid"), F.concat(F.lit("A:"), F.col("id").cast("string")).alias("subject_id_curie"), F.lit("B:1").alias("object_id_curie"))
     table = spark.table(reach.write_bucketed_edges(rows))
     assert table.count() == 2_000 and len(table.inputFiles()) > 16
+
+
+def test_packed_texts_sort_as_they_are(spark):
+    rng = random.Random(5)
+    texts = {"", "0", "f", "g", "-", "é", "a" * 31, "a" * 32, "a" * 33, "a" * 31 + ":", "A" * 32, "0" * 32, "f" * 32, "f" * 32 + "\n", "ab9:", "ab99g", "ab9", "ab9" + "f" * 29, "ab9" + "f" * 28 + "g", "0" * 31 + "/", "日本", "\n", "a\nb"}
+    texts |= {"".join(rng.choices("09af:`/gAé", (5, 5, 5, 5, 1, 1, 1, 1, 1, 1), k=rng.choice((1, 2, 3, 31, 32, 33)))) for _ in range(600)}
+    texts |= {"".join(rng.choices("0123456789abcdef", k=32)) for _ in range(200)} | {"".join(rng.choices("9af", k=rng.choice((30, 31, 32, 33)))) for _ in range(200)}
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").withColumn("p", tx.packed(F.col("t"))).select("t", "p", tx.unpacked(F.col("p")).alias("back")).collect()
+    assert all(r.back == r.t for r in rows) and [r.p for r in rows if r.t is None] == [None]
+    known = [r for r in rows if r.t is not None]
+    assert [r.t for r in sorted(known, key=lambda r: bytes(r.p))] == sorted(texts, key=lambda t: t.encode())
+    assert {len(r.p) for r in known if re.fullmatch("[0-9a-f]{32}", r.t)} == {17}
+
+
+def test_views_of_all_entities_move_packed_ids(spark):
+    """Ids of 32 hex digits take half their bytes through the shuffle; others keep their order among them."""
+    ids = [F.md5(F.col("id").cast("string")), F.concat(F.lit("x-"), F.col("id").cast("string")), F.lit(None).cast("string")]
+    rows = spark.range(60).select(F.when(F.col("id") % 3 == 0, ids[1]).when(F.col("id") == 1, ids[2]).otherwise(ids[0]).alias("uuid"), F.lit("E").alias("subject_id_curie"), F.concat(F.lit("O"), F.col("id").cast("string")).alias("object_id_curie"))
+    views = entities.entity_views(source.conform(rows), 20)
+    plan = views._jdf.queryExecution().executedPlan().toString()
+    assert "unhex" in plan[plan.index("Exchange") :]  # below the shuffle
+    want = sorted((r.uuid for r in rows.collect()), key=lambda u: (u is not None, u or ""))[:20]
+    assert [r.uuid for r in views.filter("entity = 'E'").orderBy("place").collect()] == want

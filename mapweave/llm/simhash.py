@@ -387,18 +387,17 @@ def _starred(cells: DataFrame, width: int) -> DataFrame:
 
 
 def _with_texts(cells: DataFrame, texts: DataFrame) -> DataFrame:
-    """cells (row and more) with their rows' texts; only those texts are moved."""
-    return with_numbers(texts, "row", cells.select("row")).join(cells.hint("merge"), "row")
+    """cells (key and more) with their keys' texts; only those texts are moved."""
+    return with_numbers(texts, "key", cells.select("key")).join(cells.hint("merge"), "key")
 
 
-def _to_pivots(texts: DataFrame, sets: DataFrame, shared: DataFrame, width: int, tile: int) -> DataFrame:
+def _to_pivots(texts: DataFrame, shared: DataFrame, width: int, tile: int) -> DataFrame:
     """Edges of shared (block, u, key, n): each text against the least one, u, of each of its blocks, every pair once."""
     pairs = stage(shared.filter("key <> u").select("u", "key", "n").distinct())
     tiles = stage(pairs.groupBy("u").agg(F.ceil(F.sum("n") / tile).alias("tiles")))
     others = pairs.join(tiles.hint("merge"), "u").select("u", F.pmod(F.xxhash64("key"), F.col("tiles")).alias("s"), "key")
     pivots = tiles.select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("s"), F.col("u").alias("key"))
-    cells = stage(others.union(pivots).join(sets.select("key", "row"), "key"))
-    return stage(_starred(_with_texts(cells, texts), width))
+    return stage(_starred(_with_texts(stage(others.union(pivots)), texts), width))
 
 
 def _weighed(members: DataFrame, cell: str, tile: int, *more: str) -> DataFrame:
@@ -432,7 +431,9 @@ def _in_tiles(members: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _block_links(texts: DataFrame, sets: DataFrame, width: int, tile: int) -> DataFrame:
-    """Edges (u, v) of sets (key, n, blocks, row) with the components of all similar pairs that share a block.
+    """Edges (u, v) of sets (key, n, blocks) with the components of all similar pairs that share a block.
+
+    A set's key is the number of one row that has it, so texts (key, text) are found without another table.
 
     First each text is held against the least one of each of its blocks. What is left are blocks whose members are then
     of several components. Such blocks that hang together are compared in one go where that moves fewer shingles, and
@@ -441,7 +442,7 @@ def _block_links(texts: DataFrame, sets: DataFrame, width: int, tile: int) -> Da
     met = stage(sets.select("key", "n", F.explode("blocks").alias("block")))
     least = stage(met.groupBy("block").agg(F.min("key").alias("u"), F.count(F.lit(1)).alias("c")).filter("c > 1"))
     shared = stage(met.join(least.hint("merge"), "block"))
-    near = _to_pivots(texts, sets, shared, width, tile)
+    near = _to_pivots(texts, shared, width, tile)
 
     roots = stage(components(near))
     rooted = shared.filter("c > 2").join(roots.hint("merge"), F.col("key") == F.col("node"), "left")
@@ -455,9 +456,10 @@ def _block_links(texts: DataFrame, sets: DataFrame, width: int, tile: int) -> Da
         return near
 
     whole = stage(components(left.filter("key <> u").select("u", F.col("key").alias("v"))))
-    left = stage(left.join(whole.select(F.col("node").alias("key"), F.col("root").alias("group")).hint("merge"), "key"))
-    members = stage(left.select("group", "key", "n", "root").distinct())
-    by_block = stage(_weighed(left, "block", tile, "group"))
+    # joined by text and by block: left has a row for each block of each text
+    group_of = lambda name: whole.select(F.col("node").alias(name), F.col("root").alias("group")).hint("merge")
+    members = stage(left.select("key", "n", "root").distinct().join(group_of("key"), "key"))
+    by_block = stage(_weighed(left, "block", tile, "u").join(group_of("u"), "u"))
     by_group = stage(_weighed(members, "group", tile))
     parts = by_block.groupBy("group").agg(F.sum("work").alias("parts"))
     apart = stage(by_group.join(parts.hint("merge"), "group").select("group", (F.col("work") > F.col("parts")).alias("apart")))
@@ -465,8 +467,7 @@ def _block_links(texts: DataFrame, sets: DataFrame, width: int, tile: int) -> Da
     cells_of = lambda weighed, cell, which: weighed.join(apart.filter(which).hint("merge"), "group").withColumn("cell", F.col(cell)).select(*plan)
     at_once = _in_tiles(members.withColumn("cell", F.col("group")).select("cell", "key", "root"), stage(cells_of(by_group, "group", "not apart")))
     singly = _in_tiles(left.withColumn("cell", F.col("block")).select("cell", "key", "root"), stage(cells_of(by_block, "block", "apart")))
-    dealt = stage(at_once.union(singly).join(sets.select("key", "row"), "key"))
-    return near.union(stage(_compared(_with_texts(dealt, texts), width)))
+    return near.union(stage(_compared(_with_texts(stage(at_once.union(singly)), texts), width)))
 
 
 def _staying(numbered: DataFrame, width: int, tile: int) -> DataFrame:
@@ -474,10 +475,10 @@ def _staying(numbered: DataFrame, width: int, tile: int) -> DataFrame:
     marked = stage(_sketches(numbered, width))
     best = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "row")
     sets = stage(marked.groupBy("key").agg(F.min(best).alias("best"), F.first("n").alias("n"), F.first("blocks").alias("blocks")))
-    rows = sets.select("key", "n", "blocks", F.col("best.row").alias("row"))
-    linked = stage(components(_block_links(numbered.select("row", "text"), rows, width, tile)))
+    rows = sets.select(F.col("best.row").alias("key"), "n", "blocks")
+    linked = stage(components(_block_links(numbered.select(F.col("row").alias("key"), "text"), rows, width, tile)))
 
-    rooted = sets.join(linked, sets["key"] == linked["node"], "left").select("best", F.coalesce("root", "key").alias("root"))
+    rooted = sets.join(linked, F.col("best.row") == F.col("node"), "left").select("best", F.coalesce("root", "best.row").alias("root"))
     return rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.row")
 
 

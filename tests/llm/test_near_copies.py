@@ -174,3 +174,28 @@ def test_rows_by_number(spark, monkeypatch, most):
     some = rows.filter("bits % 7 = 0 or bits in (1, 32767, 32768, 32769, 199999)")
     assert common.with_numbers(rows, "row", some.select("row")).exceptAll(some).isEmpty() and some.count() == common.with_numbers(rows, "row", some.select("row")).count()
     assert common.with_numbers(rows, "row", some.select("row").limit(0)).isEmpty()
+
+
+def test_groups_are_joined_by_text_not_by_block(spark):
+    """Texts near one that most aren't similar to each other share many blocks; joins on the text take it a few times."""
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    base = [word() for _ in range(150)]
+    rows = []
+    for i in range(80):
+        w = base[:]
+        for at in rng.choice(len(w), 4, replace=False):
+            w[at] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == sorted(rows[i][0] for i in stay(rows))
+    made, runs = 0, store.executionsList()
+    for x in {runs.apply(i).executionId() for i in range(runs.size())} - before:
+        nodes, values = store.planGraph(x).allNodes(), store.executionMetrics(x)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search(r"Join \[key#\d+L?\], \[key#\d+L?\], Inner", node.desc()):
+                ids = (node.metrics().apply(i) for i in range(node.metrics().size()))
+                made += sum(int(values.get(m.accumulatorId()).get().replace(",", "")) for m in ids if m.name() == "number of output rows" and values.get(m.accumulatorId()).isDefined())
+    assert made < 20 * len(rows)

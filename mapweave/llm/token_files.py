@@ -153,21 +153,23 @@ def repair(ids: np.ndarray, counts: np.ndarray, size: int, max_rules: int, least
         pair = x[:-1].astype(both)
         pair <<= both(half)
         pair |= x[1:]
-        slot = ((pair * factor) >> both(2 * half - bits)).astype(np.int32)  # counts by hash, exact ones for the frequent
-        inner = ~last[:-1]
-        number = np.bincount(slot[inner], minlength=1 << bits).astype(np.int32)
+        slot = ((pair * factor) >> both(2 * half - bits)).astype(np.intp)  # counts by hash, exact ones for the frequent
+        slot[np.flatnonzero(last[:-1])] = 1 << bits  # no pairs across documents
+        number = np.bincount(slot, minlength=(1 << bits) + 1)
+        number[-1] = 0
         k = min(pairs_a_sweep, max_rules - rules)
-        top = int(np.partition(number, -k)[-k])
-        often = np.flatnonzero((number >= max(least, top))[slot] & inner)
-        if not len(often):
+        slots = np.flatnonzero(number >= least)
+        if not len(slots):
             break
+        if len(slots) > k:
+            number = number[slots]
+            slots = slots[number >= np.partition(number, -k)[-k]]
         # of pairs that share a slot one is taken now; its count is exact
-        at_slot, pair_of = slot[often], pair[often]
-        place = np.full(1 << bits, -1, np.int32)
-        place[at_slot] = 0
-        slots = np.flatnonzero(place == 0)
+        place = np.full((1 << bits) + 1, -1, np.int32)
         place[slots] = np.arange(len(slots), dtype=np.int32)
-        which = place[at_slot]
+        which = place[slot]
+        often = np.flatnonzero(which >= 0)
+        which, pair_of = which[often], pair[often]
         pairs = np.zeros(len(slots), both)
         pairs[which] = pair_of
         same = pairs[which] == pair_of

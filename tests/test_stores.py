@@ -242,3 +242,10 @@ def test_large_exports_have_several_files(spark, tmp_path, monkeypatch):
     m = made(spark, drawn(95, 3)).coalesce(1)
     source.export(m, f"{tmp_path}/csv")
     assert len(list((tmp_path / "csv").glob("part-*"))) == 10 and source.read_export(spark, f"{tmp_path}/csv").count() == 95
+
+
+def test_decoding_is_compiled(spark, tmp_path):
+    got = documents.decode(spark.createDataFrame([('{"data": [{"uuid": "u", "confidence": "x", "comment": null, "match_string": []}, {}, 5]}',)], "value string"))
+    assert [(r.uuid, r._wrong, r._rejected) for r in got.collect()] == [("u", {"confidence": '"x"'}, None), (None, {}, None), (None, {}, "5")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and plan.count("variant_get(record") == 1

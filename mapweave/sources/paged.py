@@ -1,6 +1,6 @@
-"""spark.read.format("mapping_pages"): mappings from numbered page documents, a partition for each page (up to 2,000).
+"""spark.read.format("mapping_pages"): mappings from numbered page documents, a partition for each file or page (up to 2,000).
 
-Options: ``path``, a folder that all workers can open, whose files are the pages; or ``url``, an address with {page} in
+Options: ``path``, a folder that all workers can open, whose files hold a page each, or several one after another; or ``url``, an address with {page} in
 it (from 1 on) whose first page says how many there are (pagination.total_pages); ``query`` says whether search fields
 may be sent along with the url. Conditions of equality on the search fields and on the uuid are taken over from Spark:
 they are added to the address, and each page's rows are held against them before they leave the reader. A page that
@@ -29,7 +29,7 @@ from mapweave.schema import MAPPING
 #: Fields whose conditions of equality the reader takes.
 PUSHED = ("uuid", "subject_id", "subject_id_curie", "predicate_id", "predicate_id_curie", "object_id", "object_id_curie", "mapping_provider")
 FORMAT = "mapping_pages"
-#: Pages beyond so many share partitions.
+#: Files or pages beyond so many share partitions.
 MOST_PARTITIONS = 2_000
 
 
@@ -39,28 +39,35 @@ class Page(InputPartition):
     fields: dict[str, list[str]]
 
 
-def fetch(address: str) -> dict:
-    """The page document at an address or in a file."""
+def load(address: str) -> bytes:
+    """What lies at an address or in a file."""
     try:
         if "://" in address:
             with urllib.request.urlopen(address) as answer:  # noqa: S310
-                text = answer.read()
-        else:
-            with open(address, "rb") as f:
-                text = f.read()
-            if address.endswith(".gz"):
-                text = gzip.decompress(text)
+                return answer.read()
+        with open(address, "rb") as f:
+            text = f.read()
+        return gzip.decompress(text) if address.endswith(".gz") else text
     except urllib.error.HTTPError as e:
         raise OSError(f"Failure loading {address} with status {e.code}") from e
     except OSError as e:
         raise OSError(f"Failure loading {address}: {e}") from e
+
+
+def fetch(address: str) -> Iterator[dict]:
+    """The page documents at an address or in a file, one after another; one at least."""
+    raw, at, read = load(address), 0, json.JSONDecoder().raw_decode
     try:
-        page = json.loads(text)
-        if not isinstance(page["data"], list):
-            raise TypeError("data is no list")
+        text = raw.decode(json.detect_encoding(raw)).strip()
+        while at < len(text) or not text:
+            page, at = read(text, at)
+            if not isinstance(page["data"], list):
+                raise TypeError("data is no list")
+            yield page
+            while text[at : at + 1].isspace():
+                at += 1
     except (ValueError, KeyError, TypeError) as e:
         raise OSError(f"Failure loading {address}: no page document ({e})") from e
-    return page
 
 
 class PageReader(DataSourceReader):
@@ -86,19 +93,21 @@ class PageReader(DataSourceReader):
         url = self.options["url"]
         sent = "".join(f"&{k}={urllib.parse.quote(v)}" for k, values in self.fields.items() for v in values) if self.options.get("query", "false") == "true" else ""
         at = lambda n: url.replace("{page}", str(n)) + sent
-        return self._dealt([at(n) for n in range(1, int(fetch(at(1))["pagination"]["total_pages"]) + 1)])
+        return self._dealt([at(n) for n in range(1, int(next(fetch(at(1)))["pagination"]["total_pages"]) + 1)])
 
     def _dealt(self, addresses: list[str]) -> list[Page]:
-        """A partition for each page, for several where there are more than MOST_PARTITIONS."""
+        """A partition for each address, for several where there are more than MOST_PARTITIONS."""
         several = -(-len(addresses) // MOST_PARTITIONS) or 1
         return [Page(addresses[i : i + several], self.fields) for i in range(0, len(addresses), several)]
 
     def read(self, partition: Page | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # a folder without pages
             return
-        for address in partition.addresses:
-            rows = [r for r in fetch(address)["data"] if all(r.get(k) in values for k, values in partition.fields.items())]
-            yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in self.schema} for r in rows], to_arrow_schema(self.schema))
+        schema = to_arrow_schema(self.schema)
+        for page in (p for address in partition.addresses for p in fetch(address)):
+            rows = [r for r in page["data"] if all(r.get(k) in values for k, values in partition.fields.items())]
+            if rows:
+                yield pa.RecordBatch.from_pylist([{f: r.get(f) for f in schema.names} for r in rows], schema)
 
 
 class MappingPages(DataSource):

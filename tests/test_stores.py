@@ -244,6 +244,19 @@ def test_large_exports_have_several_files(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "csv").glob("part-*"))) == 10 and source.read_export(spark, f"{tmp_path}/csv").count() == 95
 
 
+def test_a_file_holds_several_pages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "FILE_ROWS", 30)
+    m = made(spark, drawn(95, 3)).coalesce(1)
+    documents.write_documents(m, f"{tmp_path}/d", 10)
+    files = list((tmp_path / "d").glob("part-*"))
+    assert len(files) == 4 and [len(list(paged.fetch(str(f)))) for f in sorted(files)] == [3, 3, 3, 1]
+    paged.register(spark)
+    assert content(spark.read.format("mapping_pages").option("path", f"{tmp_path}/d").load()) == content(m)
+    (tmp_path / "d" / "odd.json").write_text('\n{"data": [],\n "pagination": {}}\n\n{"data": []} {"rows": []}\n')
+    with pytest.raises(Exception, match="odd.json: no page document"):
+        spark.read.format("mapping_pages").option("path", f"{tmp_path}/d").load().collect()
+
+
 def test_decoding_is_compiled(spark, tmp_path):
     got = documents.decode(spark.createDataFrame([('{"data": [{"uuid": "u", "confidence": "x", "comment": null, "match_string": []}, {}, 5]}',)], "value string"))
     assert [(r.uuid, r._wrong, r._rejected) for r in got.collect()] == [("u", {"confidence": '"x"'}, None), (None, {}, None), (None, {}, "5")]

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from mapweave import queries
 from mapweave.operators import entities, facets, maintained
 from mapweave.schema import MAPPING
 from mapweave.sources import documents, paged, store
@@ -262,3 +263,16 @@ def test_decoding_is_compiled(spark, tmp_path):
     assert [(r.uuid, r._wrong, r._rejected) for r in got.collect()] == [("u", {"confidence": '"x"'}, None), (None, {}, None), (None, {}, "5")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan and plan.count("variant_get(record") == 1
+
+
+def test_exports_can_be_gzipped(spark, tmp_path):
+    m = made(spark, drawn(95, 3))
+    for kind in ("csv", "tsv"):
+        source.export(m, f"{tmp_path}/{kind}", kind, compression="gzip")
+        assert all(f.name.endswith(".csv.gz") for f in (tmp_path / kind).glob("part-*")) and source.read_export(spark, f"{tmp_path}/{kind}", kind).count() == 95
+
+
+def test_exported_files_of_the_queries_are_gzipped(spark):
+    for kind in ("csv", "tsv"):
+        got = queries.QUERIES[f"exported_{kind}"](spark, "/root/testdata/sf0.001")
+        assert all(f.endswith(".csv.gz") for f in got.inputFiles()) and got.count() > 0

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mapweave import queries
 from mapweave.operators import entities, facets, maintained
 from mapweave.schema import MAPPING
-from mapweave.sources import documents, paged, store
+from mapweave.sources import documents, folders, paged, store
 from mapweave.sources import mappings as source
 
 KEYS = ("mapping_provider", "subject_match_field", "confidence")
@@ -276,3 +276,20 @@ def test_exported_files_of_the_queries_are_gzipped(spark):
     for kind in ("csv", "tsv"):
         got = queries.QUERIES[f"exported_{kind}"](spark, "/root/testdata/sf0.001")
         assert all(f.endswith(".csv.gz") for f in got.inputFiles()) and got.count() > 0
+
+
+def test_puts_leave_no_staged_tables(spark):
+    kept, counts = store.create(spark, MAPPING, buckets=4), maintained.begin(spark, KEYS, buckets=4)
+    rows, made_folders = drawn(150, 9), lambda: set(folders._MADE[spark.sparkContext.applicationId])
+    before = made_folders()
+    first = kept.put(made(spark, rows + rows[:5]))
+    assert {p.rsplit("/", 1)[1].split("-")[0] for p in made_folders() - before} == {"batch", "repeated"} and first.count() == 150  # not the rows again as changes
+    counts.apply(first)
+    folders.forget(first)
+    assert made_folders() == before
+    second = kept.put(made(spark, [{**r, "comment": "new"} for r in rows[:20]]), made(spark, rows[100:]).select("uuid"))
+    assert {p.rsplit("/", 1)[1].split("-")[0] for p in made_folders() - before} == {"changes"} and second.count() == 20 * 2 + 50
+    counts.apply(second)
+    folders.forget(second, kept.read())  # the store's own files stay
+    assert made_folders() == before and kept.read().count() == 100 and counts.stats().first()[0] == 100
+    assert all(".zstd." in f for f in kept.read().inputFiles())

@@ -1,10 +1,11 @@
 """spark.read.format("mapping_pages"): mappings from numbered page documents, a partition for each file or page (up to 2,000).
 
-Options: ``path``, a folder that all workers can open, whose files hold a page each, or several one after another; or ``url``, an address with {page} in
-it (from 1 on) whose first page says how many there are (pagination.total_pages); ``query`` says whether search fields
-may be sent along with the url. Conditions of equality on the search fields and on the uuid are taken over from Spark:
-they are added to the address, and each page's rows are held against them before they leave the reader. A page that
-can't be read, or that is no page document, fails the job and says which.
+Options: ``path``, a folder that all workers can open, whose files hold a page each, or several one after another (an
+empty file holds none); or ``url``, an address with {page} in it (from 1 on) whose first page says how many there are
+(pagination.total_pages); ``query`` says whether search fields may be sent along with the url. Conditions of equality on
+the search fields and on the uuid are taken over from Spark: they are added to the address, and each page's rows are
+held against them before they leave the reader. A page that can't be read, or that is no page document, fails the job
+and says which.
 """
 
 from __future__ import annotations
@@ -55,11 +56,11 @@ def load(address: str) -> bytes:
 
 
 def fetch(address: str) -> Iterator[dict]:
-    """The page documents at an address or in a file, one after another; one at least."""
+    """The page documents at an address (one at least) or in a file (none in an empty one, as Spark writes for an empty partition)."""
     raw, at, read = load(address), 0, json.JSONDecoder().raw_decode
     try:
         text = raw.decode(json.detect_encoding(raw)).strip()
-        while at < len(text) or not text:
+        while at < len(text) or not text and "://" in address:
             page, at = read(text, at)
             if not isinstance(page["data"], list):
                 raise TypeError("data is no list")

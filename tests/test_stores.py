@@ -293,3 +293,14 @@ def test_puts_leave_no_staged_tables(spark):
     folders.forget(second, kept.read())  # the store's own files stay
     assert made_folders() == before and kept.read().count() == 100 and counts.stats().first()[0] == 100
     assert all(".zstd." in f for f in kept.read().inputFiles())
+
+
+def test_an_empty_partition_is_no_bad_page(spark, tmp_path):
+    rows = [tuple(r.get(f.name) for f in MAPPING) for r in drawn(20, 3)]
+    m = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).mapPartitionsWithIndex(lambda i, part: part if i else iter(())), MAPPING)
+    paged.register(spark)
+    for each in (False, True):
+        documents.write_documents(m, f"{tmp_path}/{each}", 5, each=each)
+        assert any(not documents.read_documents(spark, str(f), lines=True).count() for f in (tmp_path / str(each)).glob("part-00000*"))
+        read = spark.read.format("mapping_pages").option("path", f"{tmp_path}/{each}").load()
+        assert content(read).keys() == {r[0] for r in rows[10:]}
